@@ -94,16 +94,15 @@ DRIFTS = (
 
 def rotated_drift(url: Column, index: Column) -> Column:
     """struct<label, url>: start at builder index % 4, fall through where one does not apply."""
-    usable = [
-        F.when(built.isNotNull() & (built != url), F.struct(F.lit(label).alias("label"), built.alias("url")))
-        for label, built in ((label, builder(url)) for label, builder in DRIFTS)
-    ]
-    chosen = F.lit(None)
-    start = F.pmod(index, F.lit(len(DRIFTS)))
-    for offset in range(len(DRIFTS)):
-        order = usable[offset:] + usable[:offset]
-        chosen = F.when(start == offset, F.coalesce(*order)).otherwise(chosen)
-    return chosen
+    usable = F.array(
+        *[
+            F.when(built != url, F.struct(F.lit(label).alias("label"), built.alias("url")))
+            for label, built in ((label, builder(url)) for label, builder in DRIFTS)
+        ]
+    )
+    start = F.pmod(index, F.lit(len(DRIFTS))).cast("int")
+    turned = F.concat(F.slice(usable, start + 1, F.lit(len(DRIFTS))), F.slice(usable, F.lit(1), start))
+    return F.try_element_at(F.array_compact(turned), F.lit(1))
 
 
 # -- attack builders: a genuine prefix with an invented remainder ------------------------------
