@@ -1,45 +1,41 @@
-"""Joins where one string starts with the other, rewritten as equi joins.
+"""Matching strings that start with each other, rewritten as equi joins.
 
-A `startswith` join plans as a nested loop over all pairs. Here one side is expanded into its
-prefixes, but only at lengths that occur on the other side, and matched on a 64-bit hash of
-(key, prefix). The full strings are compared afterwards, so a hash collision cannot match.
+A `startswith` join plans as a nested loop over all pairs. Here a string is expanded into its
+prefixes and matched on a 64-bit hash of (day, direction, prefix). The full strings are compared
+afterwards, so a hash collision cannot match. The expansion is linear: one row per character.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+EXTENDS = "E"     # the target continues a known string
+TRUNCATES = "T"   # a known string continues the target
+SETTLED = "S"     # keeps a row that needs no match away from every other key
 
-def _lengths(df: DataFrame, column: str) -> DataFrame:
-    """One row: the distinct lengths of a column, bounded by the longest URL."""
-    return df.agg(F.sort_array(F.collect_set(F.length(column))).alias("_lengths"))
-
-
-def _hash(key: str, value) -> object:
-    return F.xxhash64(F.col(key), value)
-
-
-def starts_with_pairs(
-    longer: DataFrame, shorter: DataFrame, key: str, long_col: str, short_col: str
-) -> DataFrame:
-    """(key, long_col, short_col) for every pair of the same key with long = short + rest.
-
-    Equal strings are not paired. The lengths row is a single bounded row, so the cross join
-    with it adds a column, not rows.
-    """
-    sizes = _lengths(shorter, short_col)
-    usable = F.filter("_lengths", lambda n: (n > 0) & (n < F.length(long_col)))
-    expanded = (
-        longer.crossJoin(F.broadcast(sizes))
-        .select(key, long_col, F.explode(usable).alias("_n"))
-        .select(key, long_col, _hash(key, F.expr(f"substring({long_col}, 1, _n)")).alias("_h"))
-    )
-    keyed = shorter.select(
-        F.col(key).alias("_key"), short_col, _hash(key, F.col(short_col)).alias("_h")
-    )
-    return (
-        expanded.join(keyed, "_h")
-        .filter((F.col(key) == F.col("_key")) & F.col(long_col).startswith(F.col(short_col)))
-        .select(key, long_col, short_col)
-    )
+
+def probe(direction: str, text: Column) -> Column:
+    return F.xxhash64(F.col("day"), F.lit(direction), text)
+
+
+def prefix_probes(direction: str, text: Column, shortest: int) -> Column:
+    """Probes of the proper prefixes of `text` that have at least `shortest` characters."""
+    longest = F.length(text) - 1
+    sizes = F.when(longest >= shortest, F.sequence(F.lit(shortest), longest)).otherwise(F.array().cast("array<int>"))
+    return F.transform(sizes, lambda n: probe(direction, F.substring(text, F.lit(1), n)))
+
+
+def target_probes(text: Column, shortest_known: int) -> Column:
+    """What a target looks for: known strings it continues, and known strings that continue it."""
+    return F.concat(prefix_probes(EXTENDS, text, shortest_known), F.array(probe(TRUNCATES, text)))
+
+
+def known_probes(text: Column, shortest_target: int) -> Column:
+    """Where a known string can be found: as itself, and under each of its prefixes."""
+    return F.concat(F.array(probe(EXTENDS, text)), prefix_probes(TRUNCATES, text, shortest_target))
+
+
+def is_prefix_pair(target: Column, known: Column) -> Column:
+    """Exact test behind the hash: one string starts with the other and they differ."""
+    return (target != known) & (target.startswith(known) | known.startswith(target))

@@ -1,8 +1,8 @@
 """Does a cited URL trace back to what was captured that day?
 
 Inputs:  citations(day, url, ...)   known(day, canonical) distinct
-Every rung of the ladder is an equi join on distinct (day, target) pairs. Targets settled by
-an earlier rung do not enter the next one, and the verdict is joined back to the citations.
+The ladder works on distinct (day, target) pairs with two equi joins; targets the first one
+settles are not expanded for the second. Verdicts are joined back to the citations.
 """
 
 from __future__ import annotations
@@ -17,7 +17,13 @@ from attesta.functions.urls import (
     strip_arxiv_version,
 )
 from attesta.functions.vocabulary import MIN_PREFIX_LENGTH
-from attesta.operators.prefix import starts_with_pairs
+from attesta.operators.prefix import (
+    SETTLED,
+    is_prefix_pair,
+    known_probes,
+    probe,
+    target_probes,
+)
 
 # Result of a rung: decision, reason, failure class, drift.
 _RUNGS = {
@@ -43,22 +49,21 @@ def _pick(index: int) -> Column:
     return value
 
 
-def _prefix_rungs(residue: DataFrame, known: DataFrame, min_length: int) -> DataFrame:
-    """Best ambiguous match per residual target: the longest captured URL, then the first by name."""
-    real = known.filter(F.length("canonical") >= min_length)
-    extends = starts_with_pairs(residue, real, "day", "target", "canonical").withColumn(
-        "rung", F.lit("extends")
-    )
-    truncates = starts_with_pairs(real, residue, "day", "canonical", "target").withColumn(
-        "rung", F.lit("truncates")
-    )
-    best = F.min(F.struct((-F.length("canonical")).alias("n"), F.col("canonical"), F.col("rung")))
-    return (
-        extends.unionByName(truncates)
-        .groupBy("day", "target")
-        .agg(best.alias("best"))
-        .select("day", "target", F.col("best.canonical").alias("matched"), F.col("best.rung").alias("rung"))
+def _ambiguous(settled: DataFrame, known: DataFrame, text: str, shortest_known: int, shortest_target: int) -> DataFrame:
+    """Settled rows, joined by prefix to `known.canonical` where `open` is true.
+
+    Rows with a verdict pass through on a probe of their own, so one plan carries both and no
+    null key gathers in one task.
+    """
+    column = F.col(text)
+    wanted = F.when(F.col("open"), target_probes(column, shortest_known)).otherwise(F.array(probe(SETTLED, column)))
+    places = known.filter(F.length("canonical") >= shortest_known).select(
+        F.col("day").alias("k_day"), F.col("canonical").alias("real"),
+        F.explode(known_probes(F.col("canonical"), shortest_target)).alias("probe"),
     )
+    found = settled.select("*", F.explode(wanted).alias("probe")).join(places, "probe", "left")
+    sound = (F.col("day") == F.col("k_day")) & is_prefix_pair(column, F.col("real"))
+    return found.withColumn("real", F.when(F.coalesce(sound, F.lit(False)), F.col("real"))).drop("probe", "k_day")
 
 
 def classify_targets(
@@ -66,56 +71,59 @@ def classify_targets(
 ) -> DataFrame:
     """(day, target) -> rung and matched URL. `targets` must be distinct and already canonical.
 
-    The three equality rungs are one left join each against distinct keys, so they cannot
-    multiply rows. Only what they leave undecided is expanded into prefixes.
+    Two equi joins. The first settles equality, paper versions and extra query parameters
+    together; only targets it leaves open are expanded into prefixes for the second. The best
+    rung wins, then the longest captured URL, then the first by name.
     """
-    exact = known.select("day", F.col("canonical").alias("target"), F.lit(True).alias("is_exact"))
-    bare = (
-        known.filter(F.instr("canonical", "?") > 0)
-        .groupBy("day", path_only(F.col("canonical")).alias("target"))
-        .agg(F.min(F.struct((-F.length("canonical")).alias("n"), "canonical"))["canonical"].alias("with_query"))
-    )
-    paper = known.select("day", F.col("canonical").alias("stripped"), F.lit(True).alias("is_paper"))
-    staged = (
-        targets.withColumn("stripped", strip_arxiv_version(F.col("target")))
-        .join(exact, ["day", "target"], "left")
-        .join(bare, ["day", "target"], "left")
-    )
-    versioned = F.col("stripped") != F.col("target")
-    papers = (
-        targets.select("day", strip_arxiv_version(F.col("target")).alias("stripped"), "target")
-        .filter(versioned)
-        .join(paper, ["day", "stripped"])
-        .select("day", "target", "is_paper")
-    )
-    staged = staged.join(papers, ["day", "target"], "left")
-    settled = staged.select(
-        "day",
-        "target",
-        F.when(F.col("target") == "", F.lit("malformed"))
-        .when(F.col("is_exact"), F.lit("exact"))
-        .when(F.col("is_paper"), F.lit("arxiv"))
-        .when((F.instr("target", "?") == 0) & F.col("with_query").isNotNull(), F.lit("query"))
-        .alias("rung"),
-        F.when(F.col("target") == "", F.lit(None).cast("string"))
-        .when(F.col("is_exact"), F.col("target"))
-        .when(F.col("is_paper"), F.col("stripped"))
-        .when(F.instr("target", "?") == 0, F.col("with_query"))
-        .alias("matched"),
-    )
-    residue = settled.filter(F.col("rung").isNull()).select("day", "target")
-    ambiguous = _prefix_rungs(residue, known, min_length).withColumnsRenamed(
-        {"rung": "p_rung", "matched": "p_matched"}
+    has_query = F.instr("target", "?") > 0
+    stripped = strip_arxiv_version(F.col("target"))
+    keys = F.array_compact(
+        F.array(
+            F.struct(F.lit("t").alias("as"), F.col("target").alias("key")),
+            F.when(stripped != F.col("target"), F.struct(F.lit("v").alias("as"), stripped.alias("key"))),
+        )
     )
-    return (
-        settled.join(ambiguous, ["day", "target"], "left")
-        .select(
-            "day",
-            "target",
-            F.coalesce("rung", "p_rung", F.lit("none")).alias("rung"),
-            F.coalesce("matched", "p_matched").alias("matched"),
+    bare = path_only(F.col("canonical"))
+    names = F.array_compact(
+        F.array(
+            F.struct(F.lit(False).alias("cut"), F.col("canonical").alias("key")),
+            F.when(bare != F.col("canonical"), F.struct(F.lit(True).alias("cut"), bare.alias("key"))),
+        )
+    )
+    named = known.select("day", "canonical", F.explode(names).alias("n")).select("day", "canonical", "n.*")
+    joined = (
+        targets.select("day", "target", F.explode(keys).alias("k"))
+        .select("day", "target", "k.*")
+        .join(named, ["day", "key"], "left")
+    )
+    rung = (
+        F.when(F.col("target") == "", F.lit("0malformed"))
+        .when(F.col("canonical").isNull(), F.lit(None).cast("string"))
+        .when((F.col("as") == "t") & ~F.col("cut"), F.lit("1exact"))
+        .when((F.col("as") == "v") & ~F.col("cut"), F.lit("2arxiv"))
+        .when((F.col("as") == "t") & ~has_query, F.lit("3query"))
+    )
+    ranked = F.struct(rung.alias("rung"), (-F.length("canonical")).alias("n"), F.col("canonical").alias("matched"))
+    settled = joined.groupBy("day", "target").agg(F.min(F.when(rung.isNotNull(), ranked)).alias("best")).select(
+        "day", "target", F.substring("best.rung", 2, 20).alias("rung"), "best.matched",
+        F.col("best").isNull().alias("open"),
+    )
+    way = F.when(F.col("target").startswith(F.col("real")), F.lit("extends")).otherwise(F.lit("truncates"))
+    closest = F.struct((-F.length("real")).alias("n"), F.col("real").alias("matched"), way.alias("rung"))
+    final = (
+        _ambiguous(settled, known, "target", min_length, 1)
+        .groupBy("day", "target")
+        .agg(
+            F.first("rung").alias("rung"),
+            F.first("matched").alias("matched"),
+            F.min(F.when(F.col("real").isNotNull(), closest)).alias("near"),
         )
     )
+    return final.select(
+        "day", "target",
+        F.coalesce("rung", "near.rung", F.lit("none")).alias("rung"),
+        F.when(F.col("rung") != "malformed", F.col("matched")).when(F.col("rung").isNull(), F.col("near.matched")).alias("matched"),
+    )
 
 
 def classify_citations(citations: DataFrame, known: DataFrame, min_length: int = MIN_PREFIX_LENGTH) -> DataFrame:
@@ -133,36 +141,25 @@ def classify_citations(citations: DataFrame, known: DataFrame, min_length: int =
 
 def legacy_citations(citations: DataFrame, known: DataFrame) -> DataFrame:
     """The older boolean matcher, faults kept: any shared prefix passes once the base is over 20 long."""
-    aimed = citations.withColumn("legacy_target", legacy_normalise(F.col("url"))).withColumn(
-        "base", path_only(F.col("legacy_target"))
-    )
-    keys = aimed.select("day", "legacy_target", "base").distinct()
-    full = known.select("day", F.col("canonical").alias("legacy_target"), F.lit(True).alias("hit_full"))
-    bare = known.select("day", F.col("canonical").alias("base"), F.lit(True).alias("hit_base"))
-    staged = keys.join(full, ["day", "legacy_target"], "left").join(bare, ["day", "base"], "left")
-    hit = F.coalesce("hit_full", F.lit(False)) | F.coalesce("hit_base", F.lit(False))
-    staged = staged.select("day", "legacy_target", "base", hit.alias("hit"))
-    residue = (
-        staged.filter(~F.col("hit") & (F.length("base") > MIN_PREFIX_LENGTH)).select("day", "base").distinct()
-    )
-    real = known.filter(F.col("canonical") != "")
-    loose = (
-        starts_with_pairs(residue, real, "day", "base", "canonical").select("day", "base")
-        .unionByName(starts_with_pairs(real, residue, "day", "canonical", "base").select("day", "base"))
+    aimed = citations.withColumn("legacy_target", legacy_normalise(F.col("url")))
+    base = path_only(F.col("legacy_target"))
+    keys = F.array_distinct(F.array(F.col("legacy_target"), base))
+    settled = (
+        aimed.select("day", "legacy_target")
         .distinct()
-        .withColumn("hit_prefix", F.lit(True))
-    )
-    verdicts = staged.join(loose, ["day", "base"], "left").select(
-        "day",
-        "legacy_target",
-        F.when(
-            F.col("hit") | (F.coalesce("hit_prefix", F.lit(False)) & (F.length("base") > MIN_PREFIX_LENGTH)),
-            F.lit("pass"),
-        )
-        .otherwise(F.lit("fail"))
-        .alias("decision"),
-    )
-    return aimed.join(verdicts, ["day", "legacy_target"], "left").drop("legacy_target", "base")
+        .select("day", "legacy_target", base.alias("base"), F.explode(keys).alias("key"))
+        .join(known.select("day", F.col("canonical").alias("key"), F.lit(True).alias("hit")), ["day", "key"], "left")
+        .groupBy("day", "legacy_target", "base")
+        .agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+        .withColumn("open", ~F.col("hit") & (F.length("base") > MIN_PREFIX_LENGTH))
+    )
+    verdicts = (
+        _ambiguous(settled, known, "base", 1, MIN_PREFIX_LENGTH + 1)
+        .groupBy("day", "legacy_target")
+        .agg(F.max(F.col("hit") | F.col("real").isNotNull()).alias("passed"))
+        .select("day", "legacy_target", F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("decision"))
+    )
+    return aimed.join(verdicts, ["day", "legacy_target"], "left").drop("legacy_target")
 
 
 def stale_days(failed: DataFrame, known: DataFrame, look_back: int | None = 30) -> DataFrame:
