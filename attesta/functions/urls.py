@@ -39,14 +39,10 @@ def canonical_url(url: Column) -> Column:
     whole-stage codegen instead of exploding parameters into arrays.
     """
     text = F.substring_index(strip(url), "#", 1)
-    base = path_only(text)
-    raw_query = F.substring(text, F.length(base) + F.lit(2), F.length(text))
-    kept = F.regexp_replace(F.concat(F.lit("&"), raw_query), _TRACKED, "")
-    kept = F.regexp_replace(F.regexp_replace(kept, "&{2,}", "&"), "^&|&$", "")
-    query = F.when(kept == "", F.lit("")).otherwise(F.concat(F.lit("?"), kept))
-    text = F.concat(base, query)
-    text = _drop_prefix(text, "(?:https://|http://)")
-    text = _drop_prefix(text, r"www\.")
+    query = F.regexp_replace(F.concat(F.lit("&"), F.regexp_replace(text, r"^[^?]*\??", "")), _TRACKED, "")
+    query = F.regexp_replace(F.regexp_replace(query, "&{2,}", "&"), "^&|&$", "")
+    text = F.regexp_replace(F.concat(path_only(text), F.lit("?"), query), r"^([^?]*)\?$", "$1")
+    text = _drop_prefix(_drop_prefix(text, "(?:https://|http://)"), r"www\.")
     return F.lower(F.regexp_replace(text, "/+$", ""))
 
 

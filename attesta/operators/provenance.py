@@ -131,11 +131,9 @@ def classify_citations(citations: DataFrame, known: DataFrame, min_length: int =
     aimed = citations.withColumn("target", canonical_url(F.col("url")))
     verdicts = classify_targets(aimed.select("day", "target").distinct(), known, min_length)
     return (
-        aimed.join(verdicts, ["day", "target"], "left")
-        .withColumn("decision", _pick(0))
-        .withColumn("reason", _pick(1))
-        .withColumn("failure_class", _pick(2))
-        .withColumn("drift", _pick(3))
+        aimed.join(verdicts, ["day", "target"], "left").withColumns(
+            {"decision": _pick(0), "reason": _pick(1), "failure_class": _pick(2), "drift": _pick(3)}
+        )
     )
 
 
