@@ -1,8 +1,9 @@
-"""Article contract: nested JSON flattened and checked inside the row.
+"""Article contract: nested JSON flattened and checked.
 
-Input: articles(day, content) with `content` a JSON text. The text is parsed to VARIANT, which
-never fails on an unexpected shape, and every check that concerns one article is an array
-expression over it. Only the final listing explodes, so no article is shuffled to be checked.
+Input: articles(day, content) with `content` a JSON text and one row per day. The text is parsed
+to VARIANT, which never fails on an unexpected shape. Items are exploded and read with plain
+column expressions; what a gate needs per article comes back through an aggregate whose map side
+already folds each article to one row, because an article is exploded inside one task.
 """
 
 from __future__ import annotations
@@ -15,19 +16,20 @@ from attesta.functions.urls import strip
 from attesta.functions.vocabulary import ARTICLE_KEYS, ITEM_KEYS, SECTION_CAPS
 
 _VARIANTS = "array<variant>"
+_BILINGUAL = ("title", "prose", "summary", "comment", "body")
 
 
 def _get(node: Column, key: str, kind: str = "variant") -> Column:
     return F.try_variant_get(node, f"$.{key}", kind)
 
 
-def _kind(node: Column) -> Column:
-    """JSON type of a node: OBJECT<...>, ARRAY<...>, STRING, BIGINT, VOID, ..."""
-    return F.schema_of_variant(node)
+def _is_object(node: Column) -> Column:
+    """Only a JSON object casts to a struct; this reads no further than the top of the node."""
+    return node.try_cast("struct<id:variant>").isNotNull()
 
 
-def _is_object(node: Column) -> Column:
-    return F.coalesce(_kind(node).startswith("OBJECT"), F.lit(False))
+def _is_whole_number(node: Column) -> Column:
+    return F.schema_of_variant(node) == "BIGINT"
 
 
 def _list(node: Column, key: str) -> Column:
@@ -41,113 +43,35 @@ def _objects(node: Column, key: str) -> Column:
 
 def bilingual(node: Column, key: str) -> Column:
     """struct<zh,en>: a plain string is Chinese only, an object is read by language."""
-    block = _get(node, key)
-    plain = _kind(block) == "STRING"
-    zh = F.when(plain, strip(_get(node, key, "string"))).when(_is_object(block), strip(_get(block, "zh", "string")))
-    en = F.when(_is_object(block), strip(_get(block, "en", "string")))
-    return F.struct(F.coalesce(zh, F.lit("")).alias("zh"), F.coalesce(en, F.lit("")).alias("en"))
-
-
-def _joined(*parts: Column) -> Column:
-    return F.trim(F.concat_ws(" ", *parts))
-
-
-def _lacks(block: Column) -> Column:
-    """Exactly or at least one language is missing."""
-    return (block["zh"] == "") | (block["en"] == "")
-
-
-def _present(block: Column) -> Column:
-    return (block["zh"] != "") | (block["en"] != "")
+    block = _get(node, key, "struct<zh:string,en:string>")
+    plain = F.when(F.schema_of_variant(_get(node, key)) == "STRING", _get(node, key, "string"))
+    zh = F.when(block.isNotNull(), block["zh"]).otherwise(plain)
+    return F.struct(strip(zh).alias("zh"), strip(block["en"]).alias("en"))
 
 
-def _body(item: Column) -> Column:
-    """struct<variant, zh, en, issues> by the fixed order prose, fields, summary, body."""
-    prose, summary, comment, plain = (bilingual(item, k) for k in ("prose", "summary", "comment", "body"))
-    entries = _list(item, "fields")
-    dicts = F.filter(entries, _is_object)
-    pairs = F.transform(dicts, lambda e: F.struct(bilingual(e, "label").alias("label"), bilingual(e, "value").alias("value")))
-    zh_fields = F.array_join(F.filter(F.transform(pairs, lambda p: p["value"]["zh"]), lambda x: x != ""), " ")
-    en_fields = F.array_join(F.filter(F.transform(pairs, lambda p: p["value"]["en"]), lambda x: x != ""), " ")
+def parse_articles(articles: DataFrame) -> DataFrame:
+    """(day, doc): the parsed document, or NULL when it is missing, malformed or not an object."""
+    parsed = articles.select("day", F.try_parse_json("content").alias("doc"))
+    return parsed.select("day", F.when(_is_object(F.col("doc")), F.col("doc")).alias("doc"))
 
-    def half(block: Column) -> Column:
-        return (block["zh"] != "") & (block["en"] == "")
 
-    field_issues = F.concat(
-        F.transform(F.filter(entries, lambda e: ~_is_object(e)), lambda _: F.lit("fields entry is not an object")),
-        F.transform(F.filter(pairs, lambda p: half(p["label"])), lambda _: F.lit("field label not bilingual")),
-        F.transform(F.filter(pairs, lambda p: half(p["value"])), lambda _: F.lit("field value not bilingual")),
-        F.array_compact(F.array(F.when((zh_fields == "") | (en_fields == ""), F.lit("fields are not bilingual")))),
+def json_gate(files: DataFrame) -> DataFrame:
+    """files(path, content): malformed or missing text fails; a scalar passes with no keys."""
+    parsed = F.try_parse_json("content")
+    size = F.coalesce(
+        F.size(F.map_keys(parsed.try_cast("map<string,variant>"))), F.size(parsed.try_cast(_VARIANTS)), F.lit(0)
     )
-
-    def issue(condition: Column, text: str) -> Column:
-        return F.when(condition, F.lit(text))
-
-    def body(variant: str, zh: Column, en: Column, issues: Column) -> Column:
-        return F.struct(F.lit(variant).alias("variant"), zh.alias("zh"), en.alias("en"), issues.alias("issues"))
-
-    return (
-        F.when(
-            _present(prose),
-            body("prose", prose["zh"], prose["en"], F.array_compact(F.array(issue(_lacks(prose), "prose is not bilingual")))),
-        )
-        .when(F.size(entries) > 0, body("fields", zh_fields, en_fields, field_issues))
-        .when(
-            _present(summary),
-            body(
-                "summary_comment",
-                F.when(_present(comment), _joined(summary["zh"], comment["zh"])).otherwise(summary["zh"]),
-                F.when(_present(comment), _joined(summary["en"], comment["en"])).otherwise(summary["en"]),
-                F.array_compact(
-                    F.array(
-                        issue(_lacks(summary), "summary is not bilingual"),
-                        issue(_present(comment) & _lacks(comment), "comment is not bilingual"),
-                    )
-                ),
-            ),
-        )
-        .when(
-            _present(plain),
-            body("prose", plain["zh"], plain["en"], F.array_compact(F.array(issue(_lacks(plain), "body is not bilingual")))),
-        )
-        .otherwise(body("unknown", F.lit(""), F.lit(""), F.array(F.lit("no recognised body variant"))))
+    ok = F.col("content").isNotNull() & parsed.isNotNull()
+    return files.select(
+        "path",
+        F.when(ok, F.lit("pass")).otherwise(F.lit("fail")).alias("decision"),
+        F.when(ok, size).otherwise(F.lit(0)).alias("top_level_keys"),
     )
 
 
-def _integer_sources(item: Column) -> Column:
-    """Whole-number source ids. JSON true and false are not ids here."""
-    whole = F.filter(_list(item, "sources"), lambda s: _kind(s) == "BIGINT")
-    return F.transform(whole, lambda s: s.try_cast("long"))
-
-
-def _view(entry: Column) -> Column:
-    """One item as a flat struct."""
-    item = entry["item"]
-    title = bilingual(item, "title")
-    body = _body(item)
-    sources = _integer_sources(item)
-    keys = F.map_keys(item.try_cast("map<string,variant>"))
-    issues = F.concat(
-        body["issues"],
-        F.array_compact(
-            F.array(
-                F.when((title["zh"] != "") & (title["en"] == ""), F.lit("title is not bilingual")),
-                F.when(F.size(sources) == 0, F.lit("no sources")),
-            )
-        ),
-    )
-    return F.struct(
-        entry["group_id"].alias("group_id"),
-        body["variant"].alias("variant"),
-        title["zh"].alias("title_zh"),
-        title["en"].alias("title_en"),
-        body["zh"].alias("body_zh"),
-        body["en"].alias("body_en"),
-        sources.alias("sources"),
-        F.array_sort(F.array_except(keys, F.array(*[F.lit(k) for k in ITEM_KEYS]))).alias("extra_keys"),
-        issues.alias("issues"),
-        F.size(F.filter(_list(item, "sources"), lambda s: _kind(s) != "BIGINT")).alias("bad_sources"),
-    )
+def files_gate(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """Expected paths that are not present."""
+    return expected.select("path").distinct().join(present.select("path").distinct(), "path", "left_anti")
 
 
 def _section_entries(section: Column) -> Column:
@@ -166,83 +90,119 @@ def _section_entries(section: Column) -> Column:
     return F.concat(grouped, own)
 
 
-def parse_articles(articles: DataFrame) -> DataFrame:
-    """Parsed document, or NULL when it is missing, malformed or not an object."""
-    parsed = F.try_parse_json("content")
-    return articles.withColumn("doc", F.when(_is_object(parsed), parsed))
-
-
-def json_gate(files: DataFrame) -> DataFrame:
-    """files(path, content): malformed or missing text fails; a scalar passes with no keys."""
-    parsed = F.try_parse_json("content")
-    size = F.coalesce(
-        F.size(F.map_keys(parsed.try_cast("map<string,variant>"))), F.size(parsed.try_cast(_VARIANTS)), F.lit(0)
+def raw_items(articles: DataFrame) -> DataFrame:
+    """(day, section_pos, section, item_pos, location, group_id, item): items still as VARIANT."""
+    sections = parse_articles(articles).select(
+        "day", F.posexplode(_objects(F.col("doc"), "sections")).alias("section_pos", "s")
     )
-    ok = F.col("content").isNotNull() & parsed.isNotNull()
-    return files.select(
-        "path",
-        F.when(ok, F.lit("pass")).otherwise(F.lit("fail")).alias("decision"),
-        F.when(ok, size).otherwise(F.lit(0)).alias("top_level_keys"),
+    entries = sections.select(
+        "day", "section_pos", F.coalesce(_get(F.col("s"), "id", "string"), F.lit("")).alias("section"),
+        F.posexplode(_section_entries(F.col("s"))).alias("item_pos", "e"),
     )
+    group = F.coalesce("e.group_id", F.lit(""))
+    where = F.concat(
+        "section", F.when(group != "", F.concat(F.lit("/"), group)).otherwise(F.lit("")),
+        F.lit("["), (F.col("item_pos") + 1).cast("string"), F.lit("]"),
+    )
+    return entries.select("day", "section_pos", "section", "item_pos", where.alias("location"), "e.group_id", "e.item")
 
 
-def files_gate(expected: DataFrame, present: DataFrame) -> DataFrame:
-    """Expected paths that are not present."""
-    return expected.select("path").distinct().join(present.select("path").distinct(), "path", "left_anti")
+def _present(block: str) -> Column:
+    return (F.col(f"{block}.zh") != "") | (F.col(f"{block}.en") != "")
 
 
-def normalise_articles(articles: DataFrame) -> DataFrame:
-    """Article per row with `sections` (id, items as flat structs) and `refs` arrays."""
-    parsed = parse_articles(articles).filter("doc is not null")
-    sections = F.transform(
-        _objects(F.col("doc"), "sections"),
-        lambda s: F.struct(
-            F.coalesce(_get(s, "id", "string"), F.lit("")).alias("id"),
-            F.transform(_section_entries(s), _view).alias("items"),
-            F.transform(
-                _objects(s, "groups"),
-                lambda g: F.struct(_get(g, "id", "string").alias("id"), bilingual(g, "title")["zh"].alias("title_zh")),
-            ).alias("groups"),
-        ),
+def _lacks(block: str) -> Column:
+    return (F.col(f"{block}.zh") == "") | (F.col(f"{block}.en") == "")
+
+
+def _half(block: Column) -> Column:
+    return (block["zh"] != "") & (block["en"] == "")
+
+
+def _field_columns(items: DataFrame) -> DataFrame:
+    """Body text and issues of the labelled-fields variant."""
+    dicts = F.filter("fields", _is_object)
+    pairs = F.transform(dicts, lambda e: F.struct(bilingual(e, "label").alias("label"), bilingual(e, "value").alias("value")))
+    staged = items.withColumn("pairs", pairs)
+
+    def joined(lang: str) -> Column:
+        return F.array_join(F.filter(F.transform("pairs", lambda p: p["value"][lang]), lambda x: x != ""), " ")
+
+    staged = staged.withColumns({"fields_zh": joined("zh"), "fields_en": joined("en")})
+    issues = F.concat(
+        F.transform(F.filter("fields", lambda e: ~_is_object(e)), lambda _: F.lit("fields entry is not an object")),
+        F.transform(F.filter("pairs", lambda p: _half(p["label"])), lambda _: F.lit("field label not bilingual")),
+        F.transform(F.filter("pairs", lambda p: _half(p["value"])), lambda _: F.lit("field value not bilingual")),
+        F.array_compact(F.array(F.when((F.col("fields_zh") == "") | (F.col("fields_en") == ""), F.lit("fields are not bilingual")))),
     )
-    refs = F.transform(
-        _objects(F.col("doc"), "references"),
-        lambda r: F.struct(
-            F.when(_kind(_get(r, "id")) == "BIGINT", _get(r, "id", "long")).alias("id"),
-            F.coalesce(_get(r, "id", "string"), F.lit("")).alias("id_text"),
-            F.coalesce(_get(r, "url", "string"), F.lit("")).alias("url"),
-            F.coalesce(_get(r, "title", "string"), F.lit("")).alias("title"),
-        ),
+    return staged.withColumn("field_issues", issues)
+
+
+def flatten_items(articles: DataFrame) -> DataFrame:
+    """One row per item with its ordinal location, body variant, issues and sources.
+
+    Body variants are tried in a fixed order: prose, fields, summary with comment, body.
+    """
+    item = F.col("item")
+    rows = raw_items(articles)
+    read = rows.select(
+        *[c for c in rows.columns if c != "item"],
+        *[bilingual(item, key).alias(key) for key in _BILINGUAL],
+        _list(item, "fields").alias("fields"),
+        _list(item, "sources").alias("all_sources"),
+        F.map_keys(item.try_cast("map<string,variant>")).alias("keys"),
     )
-    return parsed.select(
-        "day",
-        F.coalesce(_get(F.col("doc"), "date", "string"), F.lit("")).alias("date"),
-        *[bilingual(F.col("doc"), k).alias(k) for k in ("title", "summary", "notes")],
-        sections.alias("sections"),
-        refs.alias("refs"),
-        F.array_sort(
-            F.array_except(
-                F.map_keys(F.col("doc").try_cast("map<string,variant>")), F.array(*[F.lit(k) for k in ARTICLE_KEYS])
-            )
-        ).alias("unknown_keys"),
+    whole = F.transform(F.filter("all_sources", _is_whole_number), lambda s: s.try_cast("long"))
+    staged = _field_columns(read).withColumns(
+        {
+            "sources": whole,
+            "kind": F.when(_present("prose"), "prose")
+            .when(F.size("fields") > 0, "fields")
+            .when(_present("summary"), "summary")
+            .when(_present("body"), "body")
+            .otherwise("unknown"),
+        }
     )
+    kind = F.col("kind")
+
+    def text(lang: str) -> Column:
+        both = F.trim(F.concat_ws(" ", f"summary.{lang}", f"comment.{lang}"))
+        return (
+            F.when(kind == "prose", F.col(f"prose.{lang}"))
+            .when(kind == "fields", F.col(f"fields_{lang}"))
+            .when(kind == "summary", F.when(_present("comment"), both).otherwise(F.col(f"summary.{lang}")))
+            .when(kind == "body", F.col(f"body.{lang}"))
+            .otherwise(F.lit(""))
+        )
 
+    def issue(condition: Column, words: str) -> Column:
+        return F.when(condition, F.lit(words))
 
-def flatten_items(articles: DataFrame) -> DataFrame:
-    """One row per item with its ordinal location, groups before flat items inside a section."""
-    spread = (
-        normalise_articles(articles)
-        .select("day", F.posexplode("sections").alias("section_pos", "s"))
-        .select("day", "section_pos", F.col("s.id").alias("section"), F.posexplode("s.items").alias("item_pos", "item"))
+    issues = F.concat(
+        F.when(kind == "fields", F.col("field_issues")).otherwise(F.array().cast("array<string>")),
+        F.array_compact(
+            F.array(
+                issue((kind == "prose") & _lacks("prose"), "prose is not bilingual"),
+                issue((kind == "summary") & _lacks("summary"), "summary is not bilingual"),
+                issue((kind == "summary") & _present("comment") & _lacks("comment"), "comment is not bilingual"),
+                issue((kind == "body") & _lacks("body"), "body is not bilingual"),
+                issue(kind == "unknown", "no recognised body variant"),
+                issue(_half(F.col("title")), "title is not bilingual"),
+                issue(F.size("sources") == 0, "no sources"),
+            )
+        ),
     )
-    where = F.concat(
-        F.col("section"),
-        F.when(F.coalesce("item.group_id", F.lit("")) != "", F.concat(F.lit("/"), "item.group_id")).otherwise(F.lit("")),
-        F.lit("["),
-        (F.col("item_pos") + 1).cast("string"),
-        F.lit("]"),
+    variant = F.when(kind == "summary", "summary_comment").when(kind == "body", "prose").otherwise(kind)
+    return staged.select(
+        "day", "section_pos", "section", "item_pos", "location", "group_id",
+        variant.alias("variant"),
+        F.col("title.zh").alias("title_zh"), F.col("title.en").alias("title_en"),
+        text("zh").alias("body_zh"), text("en").alias("body_en"),
+        "sources",
+        F.array_sort(F.array_except("keys", F.array(*[F.lit(k) for k in ITEM_KEYS]))).alias("extra_keys"),
+        issues.alias("issues"),
+        (F.size("all_sources") - F.size("sources")).alias("bad_sources"),
     )
-    return spread.select("day", "section_pos", "section", "item_pos", where.alias("location"), "item.*")
 
 
 def drop_items(items: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -251,118 +211,129 @@ def drop_items(items: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def references(articles: DataFrame) -> DataFrame:
-    """One row per reference, in order."""
-    return normalise_articles(articles).select("day", F.posexplode("refs").alias("ref_pos", "r")).select("day", "ref_pos", "r.*")
+    """One row per reference, in order; `id` only when it is a whole number."""
+    spread = parse_articles(articles).select("day", F.posexplode(_objects(F.col("doc"), "references")).alias("ref_pos", "r"))
+    node = F.col("r")
+    return spread.select(
+        "day", "ref_pos",
+        F.when(_is_whole_number(_get(node, "id")), _get(node, "id", "long")).alias("id"),
+        F.coalesce(_get(node, "id", "string"), F.lit("")).alias("id_text"),
+        F.coalesce(_get(node, "url", "string"), F.lit("")).alias("url"),
+        F.coalesce(_get(node, "title", "string"), F.lit("")).alias("title"),
+    )
+
+
+def item_sources(articles: DataFrame) -> DataFrame:
+    """(day, source) for every entry of every item's sources; NULL where it is not a whole number."""
+    node = F.col("source")
+    spread = raw_items(articles).select("day", F.explode(_list(F.col("item"), "sources")).alias("source"))
+    return spread.select("day", F.when(_is_whole_number(node), node.try_cast("long")).alias("source"))
 
 
 def cited_references(articles: DataFrame) -> DataFrame:
     """References some item cites, by whole-number id: the input of provenance checks."""
-    used = F.flatten(F.transform("sections", lambda s: F.flatten(F.transform(s["items"], lambda i: i["sources"]))))
-    return (
-        normalise_articles(articles)
-        .select("day", "refs", F.array_distinct(used).alias("used"))
-        .select("day", "used", F.explode("refs").alias("r"))
-        .filter(F.array_contains("used", F.col("r.id")))
-        .select("day", F.col("r.id").alias("ref_id"), F.col("r.url").alias("url"))
-    )
+    used = item_sources(articles).filter("source is not null").distinct().withColumnRenamed("source", "id")
+    named = references(articles).filter("id is not null")
+    return named.join(used, ["day", "id"], "left_semi").select("day", F.col("id").alias("ref_id"), "url")
 
 
 def structure_gate(articles: DataFrame) -> DataFrame:
     """Contract decision per article. An undeclared shape is cannot_verify, never a pass."""
-    base = normalise_articles(articles).withColumn(
-        "items", F.flatten(F.transform("sections", lambda s: s["items"]))
+    doc = F.col("doc")
+    sections = _objects(doc, "sections")
+    names = F.transform(sections, lambda s: F.coalesce(_get(s, "id", "string"), F.lit("")))
+    groups = F.transform(
+        F.flatten(F.transform(sections, lambda s: _objects(s, "groups"))),
+        lambda g: F.struct(F.coalesce(_get(g, "id", "string"), F.lit("")).alias("id"), bilingual(g, "title")["zh"].alias("zh")),
     )
-    names = F.transform("sections", lambda s: s["id"])
-    unknown = F.filter(names, lambda n: ~n.isin(*SECTION_CAPS))
-    odd = F.filter("items", lambda i: i["variant"] == "unknown")
-
-    def count_in(section: str) -> Column:
-        inside = F.filter("sections", lambda s: s["id"] == section)
-        return F.aggregate(inside, F.lit(0), lambda n, s: n + F.size(s["items"]))
-
-    counted = base.select(
-        "*",
-        F.size("sections").alias("n_sections"),
-        F.size(unknown).alias("unknown_sections"),
-        F.size(odd).alias("unknown_items"),
-        F.size("items").alias("n_items"),
-        F.size("refs").alias("n_refs"),
-        F.aggregate("items", F.lit(0), lambda n, i: n + F.size(i["issues"])).alias("item_issues"),
-        *[count_in(s).alias(f"n_{s}") for s in SECTION_CAPS],
-        *[F.size(F.filter("items", lambda i, v=v: i["variant"] == v)).alias(f"v_{v}") for v in ("prose", "fields", "summary_comment")],
+    ungrouped = F.filter(sections, lambda s: (_get(s, "id", "string") == "insights") & (F.size(_objects(s, "groups")) == 0))
+    blocks = [bilingual(doc, key).alias(key) for key in ("title", "summary", "notes")]
+    heads = parse_articles(articles).select(
+        "day",
+        doc.isNull().alias("broken"),
+        (F.coalesce(_get(doc, "date", "string"), F.lit("")) == "").cast("int").alias("no_date"),
+        *blocks,
+        names.alias("names"),
+        groups.alias("groups"),
+        F.size(ungrouped).alias("ungrouped"),
+        F.size(_objects(doc, "references")).alias("n_refs"),
+        F.size(
+            F.array_except(F.map_keys(doc.try_cast("map<string,variant>")), F.array(*[F.lit(k) for k in ARTICLE_KEYS]))
+        ).alias("unknown_top_level_keys"),
     )
-    missing_text = sum(
+    empty_text = sum(
         ((F.col(f"{block}.{lang}") == "").cast("int") for block in ("title", "summary", "notes") for lang in ("zh", "en")),
         F.lit(0),
     )
-    over_cap = sum(((F.col(f"n_{s}") > cap).cast("int") for s, cap in SECTION_CAPS.items()), F.lit(0))
-    groups = F.flatten(F.transform("sections", lambda s: s["groups"]))
-    group_problems = (
-        F.size(F.filter("sections", lambda s: (s["id"] == "insights") & (F.size(s["groups"]) == 0)))
-        + F.size(F.filter(groups, lambda g: F.coalesce(g["id"], F.lit("")) == ""))
-        + F.size(F.filter(groups, lambda g: g["title_zh"] == ""))
+    heads = heads.select(
+        "day", "broken", "n_refs", "unknown_top_level_keys",
+        F.size(F.filter("names", lambda n: ~n.isin(*SECTION_CAPS))).alias("unknown_sections"),
+        (
+            F.col("no_date") + empty_text + (F.size("names") < 2).cast("int") + F.col("ungrouped")
+            + F.size(F.filter("groups", lambda g: g["id"] == "")) + F.size(F.filter("groups", lambda g: g["zh"] == ""))
+            + (F.col("n_refs") == 0).cast("int")
+        ).alias("head_failures"),
     )
-    failures = (
-        (F.col("date") == "").cast("int")
-        + missing_text
-        + (F.col("n_sections") < 2).cast("int")
-        + F.col("item_issues")
-        + over_cap
-        + group_problems
-        + (F.col("n_refs") == 0).cast("int")
+    items = flatten_items(articles).groupBy("day").agg(
+        F.count(F.lit(1)).cast("int").alias("n_items"),
+        F.count_if(F.col("variant") == "unknown").cast("int").alias("unknown_items"),
+        F.sum(F.size("issues")).cast("int").alias("item_issues"),
+        *[F.count_if(F.col("section") == s).cast("int").alias(f"n_{s}") for s in SECTION_CAPS],
+        *[F.count_if(F.col("variant") == v).cast("int").alias(f"v_{v}") for v in ("prose", "fields", "summary_comment")],
     )
-    shape_unknown = (F.col("unknown_sections") > 0) | (F.col("unknown_items") > 0)
-    judged = counted.select(
+    counts = [c for c in items.columns if c != "day"]
+    joined = heads.join(items, "day", "left").fillna(0, counts)
+    over_cap = sum(((F.col(f"n_{s}") > cap).cast("int") for s, cap in SECTION_CAPS.items()), F.lit(0))
+    failures = F.col("head_failures") + F.col("item_issues") + over_cap
+    odd = (F.col("unknown_sections") > 0) | (F.col("unknown_items") > 0)
+    return joined.select(
         "day",
-        failures.alias("failures"),
-        F.when(shape_unknown, F.lit("cannot_verify")).when(failures > 0, F.lit("fail")).otherwise(F.lit("pass")).alias("decision"),
-        F.when(shape_unknown, F.lit("unknown_variant")).when(failures > 0, F.lit("policy_violation")).alias("failure_class"),
-        "unknown_sections", "unknown_items", "n_items", "n_refs", "item_issues",
-        *[f"n_{s}" for s in SECTION_CAPS],
-        "v_prose", "v_fields", "v_summary_comment",
-        F.size("unknown_keys").alias("unknown_top_level_keys"),
-    )
-    return articles.select("day").join(judged, "day", "left").withColumns(
-        {
-            "decision": F.coalesce("decision", F.lit("fail")),
-            "failure_class": F.when(F.col("failures").isNull(), F.lit("policy_violation")).otherwise(F.col("failure_class")),
-        }
+        F.when(~F.col("broken"), failures).alias("failures"),
+        F.when(F.col("broken"), "fail").when(odd, "cannot_verify").when(failures > 0, "fail").otherwise("pass").alias("decision"),
+        F.when(F.col("broken"), "policy_violation").when(odd, "unknown_variant").when(failures > 0, "policy_violation").alias("failure_class"),
+        "unknown_sections", "n_refs", *counts, "unknown_top_level_keys",
     )
 
 
 def references_gate(articles: DataFrame) -> DataFrame:
-    """Reference problems per article; an orphan reference only warns."""
-    base = normalise_articles(articles)
-    ids = F.transform("refs", lambda r: r["id"])
-    known = F.filter(ids, lambda i: i.isNotNull())
-    items = F.flatten(F.transform("sections", lambda s: s["items"]))
-    cites = F.flatten(F.transform(items, lambda i: i["sources"]))
-    prepared = base.select(
-        "day",
-        F.transform("refs", lambda r: r["id_text"]).alias("id_texts"),
-        F.array_distinct(known).alias("known"),
-        cites.alias("cites"),
-        F.size(F.filter("refs", lambda r: ~(r["url"].startswith("http://") | r["url"].startswith("https://")))).alias("bad_urls"),
-        F.size(F.filter("refs", lambda r: strip(r["title"]) == "")).alias("untitled"),
-        F.aggregate(items, F.lit(0), lambda n, i: n + i["bad_sources"]).alias("bad_sources"),
-        F.size("refs").alias("references"),
+    """Reference problems per article; an orphan reference only warns.
+
+    Declared and cited ids meet in one aggregate per (day, id), so resolving them needs no
+    lookup list per article.
+    """
+    refs = references(articles)
+    web = F.col("url").startswith("http://") | F.col("url").startswith("https://")
+    declared = refs.select(
+        "day", F.col("id").alias("id"), "id_text", F.lit(1).alias("refs"), F.lit(0).alias("cites"),
+        (~web).cast("int").alias("bad_url"), (strip(F.col("title")) == "").cast("int").alias("untitled"), F.lit(0).alias("bad_source"),
+    )
+    cited = item_sources(articles).select(
+        "day", F.col("source").alias("id"), F.col("source").cast("string").alias("id_text"), F.lit(0).alias("refs"),
+        F.col("source").isNotNull().cast("int").alias("cites"), F.lit(0).alias("bad_url"), F.lit(0).alias("untitled"),
+        F.col("source").isNull().cast("int").alias("bad_source"),
+    )
+    per_id = declared.unionByName(cited).groupBy("day", "id", "id_text").agg(
+        *[F.sum(c).alias(c) for c in ("refs", "cites", "bad_url", "untitled", "bad_source")]
+    )
+    has_id = F.col("id").isNotNull()
+    tally = per_id.groupBy("day").agg(
+        F.sum("refs").cast("int").alias("references"),
+        F.count_if(has_id & (F.col("cites") > 0)).cast("int").alias("cited"),
+        F.max((F.col("refs") > 1).cast("int")).alias("duplicate_ids"),
+        F.sum("bad_url").cast("int").alias("bad_urls"),
+        F.sum("untitled").cast("int").alias("untitled"),
+        F.sum("bad_source").cast("int").alias("bad_sources"),
+        F.sum(F.when(has_id & (F.col("refs") == 0), F.col("cites")).otherwise(0)).cast("int").alias("dangling"),
+        F.count_if(has_id & (F.col("refs") > 0) & (F.col("cites") == 0)).cast("int").alias("orphans"),
     )
-    dangling = F.size(F.filter("cites", lambda c: ~F.array_contains("known", c)))
-    repeated = (F.size("id_texts") != F.size(F.array_distinct("id_texts"))).cast("int")
+    counts = [c for c in tally.columns if c != "day"]
+    parsed = parse_articles(articles).select("day", F.col("doc").isNull().alias("broken"))
     return (
-        prepared.select(
-            "day",
-            "references",
-            F.size(F.array_distinct("cites")).alias("cited"),
-            repeated.alias("duplicate_ids"),
-            "bad_urls",
-            "untitled",
-            "bad_sources",
-            dangling.alias("dangling"),
-            F.size(F.array_except("known", "cites")).alias("orphans"),
-        )
+        parsed.join(tally, "day", "left")
+        .fillna(0, counts)
         .withColumn("problems", F.expr("duplicate_ids + bad_urls + untitled + bad_sources + dangling"))
-        .withColumn("decision", F.when(F.col("problems") > 0, F.lit("fail")).otherwise(F.lit("pass")))
+        .withColumn("decision", F.when(F.col("broken") | (F.col("problems") > 0), F.lit("fail")).otherwise(F.lit("pass")))
+        .drop("broken")
     )
 
 
@@ -382,45 +353,44 @@ def depth_gate(items: DataFrame, min_ratio: float = 0.6) -> DataFrame:
 
 def brief_gate(articles: DataFrame, limit: int = 5) -> DataFrame:
     """The first `limit` items of an article make the brief; each needs a Chinese body."""
-    base = normalise_articles(articles).select(
-        "day", F.flatten(F.transform("sections", lambda s: s["items"])).alias("items")
+    from attesta.operators.ranking import top_k
+
+    items = flatten_items(articles).select("day", "section_pos", "item_pos", (F.col("body_zh") == "").alias("bare"))
+    chosen = top_k(items, limit, ["day"], [F.col("section_pos"), F.col("item_pos")]).groupBy("day").agg(
+        F.count(F.lit(1)).cast("int").alias("entries"), F.count_if("bare").cast("int").alias("without_body")
     )
-    chosen = F.slice("items", 1, limit)
-    bare = F.size(F.filter(chosen, lambda i: i["body_zh"] == ""))
-    return base.select(
-        "day",
-        F.size(chosen).alias("entries"),
-        F.size("items").alias("candidates"),
-        bare.alias("without_body"),
-        F.when((F.size(chosen) == 0) | (bare > 0), F.lit("fail")).otherwise(F.lit("pass")).alias("decision"),
+    size = raw_items(articles).groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("candidates"))
+    return (
+        articles.select("day")
+        .join(size, "day", "left")
+        .join(chosen, "day", "left")
+        .fillna(0, ["entries", "candidates", "without_body"])
+        .withColumn(
+            "decision",
+            F.when((F.col("entries") == 0) | (F.col("without_body") > 0), F.lit("fail")).otherwise(F.lit("pass")),
+        )
     )
 
 
 def dedup_candidates(articles: DataFrame) -> DataFrame:
     """Items as duplicate candidates: rank is the document order, urls come from the references.
 
-    A bad reference id repeats: the last one with an address wins, as a lookup table would.
+    When a reference id repeats, its last address counts.
     """
-    urls = F.map_from_entries(
-        F.transform(
-            F.filter("refs", lambda r: r["id"].isNotNull() & (r["url"] != "")),
-            lambda r: F.struct(r["id"].alias("key"), F.regexp_replace(r["url"], "/+$", "").alias("value")),
-        )
+    items = flatten_items(articles).withColumn("rank", F.col("section_pos").cast("long") * 1_000_000 + F.col("item_pos"))
+    urls = (
+        references(articles)
+        .filter("id is not null and url <> ''")
+        .groupBy("day", "id")
+        .agg(F.max_by(F.regexp_replace("url", "/+$", ""), "ref_pos").alias("url"))
     )
-    base = normalise_articles(articles).select("day", urls.alias("url_of"), "sections")
-    spread = base.select("day", "url_of", F.posexplode("sections").alias("sp", "s")).select(
-        "day", "url_of", "sp", F.col("s.id").alias("section"), F.posexplode("s.items").alias("ip", "item")
+    linked = (
+        items.select("day", "rank", F.explode("sources").alias("id"))
+        .join(urls, ["day", "id"])
+        .groupBy("day", "rank")
+        .agg(F.collect_set("url").alias("urls"))
     )
-    links = F.array_compact(F.transform("item.sources", lambda s: F.try_element_at("url_of", s)))
-    where = F.concat(
-        "section",
-        F.when(F.coalesce("item.group_id", F.lit("")) != "", F.concat(F.lit("/"), "item.group_id")).otherwise(F.lit("")),
-        F.lit("["), (F.col("ip") + 1).cast("string"), F.lit("]"),
-    )
-    return spread.select(
-        F.col("day").alias("article"),
-        (F.col("sp").cast("long") * 1_000_000 + F.col("ip")).alias("rank"),
-        where.alias("location"),
-        "section", "item.title_zh", "item.title_en", "item.body_zh", "item.body_en",
-        links.alias("urls"),
+    return items.join(linked, ["day", "rank"], "left").select(
+        F.col("day").alias("article"), "rank", "location", "section", "title_zh", "title_en", "body_zh", "body_en",
+        F.coalesce("urls", F.array().cast("array<string>")).alias("urls"),
     )

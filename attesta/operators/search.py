@@ -28,6 +28,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def _frequency(term: str) -> Column:
+    return F.size(F.filter("w", lambda word: word == term))
+
+
 def ranked(entries: DataFrame, terms: list[str], key: str, text: Column) -> DataFrame:
     """(key, score) of entries holding any term; larger is better.
 
@@ -38,7 +42,7 @@ def ranked(entries: DataFrame, terms: list[str], key: str, text: Column) -> Data
     counted = bag.select(
         key,
         F.size("w").alias("dl"),
-        *[F.size(F.filter("w", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)],
+        *[_frequency(term).alias(f"tf{i}") for i, term in enumerate(terms)],
     )
     stats = counted.agg(
         F.count(F.lit(1)).alias("docs"),
