@@ -26,10 +26,10 @@ def parse_log(log: DataFrame) -> DataFrame:
     log(text). Each chunk between '@@' headers is one commit, so the islands come from a split
     inside the row instead of a running count over exploded lines.
     """
-    commits = F.split(F.concat(F.lit("\n"), F.regexp_replace("text", r"\r\n?", "\n")), r"\n@@")
-    chunk = log.select(F.posexplode(F.slice(commits, 2, 2_147_483_647)).alias("commit_no", "chunk"))
+    chunks = F.split(F.concat(F.lit("\n"), F.regexp_replace("text", r"\r\n?", "\n")), r"\n@@")
+    chunk = log.select(F.posexplode(chunks).alias("commit_no", "chunk")).filter("commit_no > 0")
     head = F.substring_index("chunk", "\n", 1)
-    rows = F.filter(F.split("chunk", "\n"), lambda line: F.size(F.split(line, "\t")) >= 3)
+    rows = F.filter(F.split("chunk", "\n"), lambda line, i: (i > 0) & (F.size(F.split(line, "\t")) >= 3))
     return chunk.select(
         "commit_no",
         F.substring_index(head, "\t", 1).alias("sha"),

@@ -60,22 +60,21 @@ def articles(spark, root):
     docs = table(spark, root, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     marked = docs.select("doc_id", "lang", "source", lines.alias("l"))
-    items = F.transform("l", lambda x, i: F.struct(i.alias("i"), _item(x, i).alias("j")))
-    refs = F.transform("l", _reference)
+    marked = marked.select("*", F.transform("l", _item).alias("items"), F.transform("l", _reference).alias("refs"))
     orphan = F.when(
         F.size("l") % 2 == 0,
         F.array(F.concat(F.lit('{"id":'), F.size("l").cast("string"), F.lit(',"url":"https://docs.example/orphan","title":"orphan"}'))),
     ).otherwise(F.array().cast("array<string>"))
 
     def half(parity: int) -> Column:
-        return F.array_join(F.transform(F.filter(items, lambda x: x["i"] % 2 == parity), lambda x: x["j"]), ",")
+        return F.array_join(F.filter("items", lambda x, i: i % 2 == parity), ",")
 
     head = _pair(F.col("lang"), F.col("source"))
     content = F.concat(
         F.lit('{"date":"2026-01-01","title":'), head, F.lit(',"summary":'), head, F.lit(',"notes":'), head,
         F.lit(',"sections":[{"id":"insights","groups":[{"id":'), _quoted(F.col("source")), F.lit(',"title":'), head,
         F.lit(',"items":['), half(0), F.lit(']}]},{"id":"github","items":['), half(1),
-        F.lit(']}],"references":['), F.array_join(F.concat(refs, orphan), ","), F.lit("]}"),
+        F.lit(']}],"references":['), F.array_join(F.concat("refs", orphan), ","), F.lit("]}"),
     )
     return marked.select(F.col("doc_id").alias("day"), content.alias("content"))
 

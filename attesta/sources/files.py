@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, name, stem, content): one row per file; malformed content is still a row."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
+        spark.read.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True)
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
     )
     return files.select("path", "name", F.regexp_replace("name", r"\.[^.]*$", "").alias("stem"), "content")
@@ -20,9 +19,8 @@ def whole_texts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 def _flat(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", glob)
-        .text(path)
+        spark.read.option("pathGlobFilter", glob)
+        .text(path, wholetext=True)
         .select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("day"), F.col("value").alias("content"))
     )
 
