@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.urls import legacy_normalise
 from attesta.operators.ranking import row_numbers, top_k
+from attesta.session import materialise
 
 
 def capture_index(urls: DataFrame) -> DataFrame:
@@ -70,23 +71,26 @@ def cap_items(items: DataFrame, cap: int) -> DataFrame:
     return top_k(turns, cap, ["article"], [F.col("turn"), F.col("group_no")], "pick").drop("turn")
 
 
-def renumber(cited: DataFrame, ids: DataFrame) -> DataFrame:
-    """Dense ids for the references still cited: (article, url, global_id, final_id)."""
-    kept = ids.join(cited.select("article", "url").distinct(), ["article", "url"], "left_semi")
-    return row_numbers(kept, ["article"], "global_id", "final_id")
+def final_ids(resolved: DataFrame, used: DataFrame) -> DataFrame:
+    """(article, url, final_id): dense ids of the references still cited, by first appearance.
+
+    Numbering what is left by first appearance gives the same ids as numbering everything and
+    closing the gaps afterwards.
+    """
+    first = resolved.filter("url is not null").groupBy("article", "url").agg(F.min(place()).alias("first_place"))
+    kept = first.join(used.select("article", "url").distinct(), ["article", "url"], "left_semi")
+    return row_numbers(kept, ["article"], "first_place", "final_id", ties=("url",))
 
 
 def merge(items: DataFrame, links: DataFrame, index: DataFrame, cap: int = 20) -> tuple[DataFrame, DataFrame]:
     """(kept items, their final citations) of every article."""
-    resolved = resolve_links(links, index)
+    resolved = materialise(resolve_links(links, index), "links")
     cited = resolved.filter("url is not null")
     kept = cap_items(supported_items(items, cited), cap)
     keys = ["article", "group_no", "item_no"]
-    used = cited.join(kept.select(*keys), keys, "left_semi")
-    final = renumber(used, first_seen_ids(resolved))
-    citations = used.join(final.select("article", "url", "final_id"), ["article", "url"]).select(
-        *keys, "local_id", "url", "final_id"
-    )
+    used = materialise(cited.join(kept.select(*keys), keys, "left_semi"), "used")
+    final = final_ids(resolved, used).select("article", "url", "final_id")
+    citations = used.join(final, ["article", "url"]).select(*keys, "local_id", "url", "final_id")
     return kept, citations.distinct()
 
 

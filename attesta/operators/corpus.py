@@ -16,6 +16,7 @@ from attesta.functions.urls import (
 )
 from attesta.functions.vocabulary import EXPECT_NOT_PASS, EXPECT_PASS, MIN_PREFIX_LENGTH
 from attesta.operators.ranking import row_numbers, top_k
+from attesta.session import materialise
 
 
 def _samples(df: DataFrame, stem: str, kind: str, expect: str) -> DataFrame:
@@ -26,7 +27,7 @@ def _samples(df: DataFrame, stem: str, kind: str, expect: str) -> DataFrame:
     )
 
 
-def _stale(cited: DataFrame, known: DataFrame, cap: int) -> DataFrame:
+def _stale(cites: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     """The first `cap` URLs cited on other days and foreign to this day, per day.
 
     The pool of a day is almost the whole list of cited URLs, so it is never built. All first
@@ -36,7 +37,6 @@ def _stale(cited: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     per day follow from counts. A URL the day cited first but others cited later re-enters
     with its first citation elsewhere.
     """
-    cites = cited.select("day", "position", "url", canonical_url(F.col("url")).alias("canonical"))
     per_day = cites.groupBy("canonical", "day").agg(
         F.min("position").alias("position"), F.min_by("url", "position").alias("url")
     )
@@ -90,7 +90,8 @@ def build_corpus(cited: DataFrame, known: DataFrame, cap: int = 25) -> DataFrame
     `position` orders all citations over days. Caps per kind and day are top-k windows, which
     cut each day in the map tasks.
     """
-    ids = cited.withColumn("canonical", canonical_url(F.col("url")))
+    ids = materialise(cited.select("day", "position", "url", canonical_url(F.col("url")).alias("canonical")), "cited")
+    known = materialise(known, "known")
     in_capture = known.select("day", "canonical")
     legit = top_k(ids.join(in_capture, ["day", "canonical"], "left_semi"), cap, ["day"], [F.col("position")], "n")
     legit = legit.withColumn("index", F.col("n") - 1)
@@ -118,7 +119,7 @@ def build_corpus(cited: DataFrame, known: DataFrame, cap: int = 25) -> DataFrame
         _samples(attack(attack_extension), "ext", "prefix_extension", EXPECT_NOT_PASS),
         _samples(attack(attack_suffix), "fab", "fabricated_suffix", EXPECT_NOT_PASS),
         _samples(unrelated, "unrel", "unrelated", EXPECT_NOT_PASS),
-        _samples(_stale(cited, known, cap), "stale", "stale_evidence", EXPECT_NOT_PASS),
+        _samples(_stale(ids, known, cap), "stale", "stale_evidence", EXPECT_NOT_PASS),
         _samples(uncited, "uncited", "plausible_uncited", EXPECT_PASS),
     ]
     out = parts[0]

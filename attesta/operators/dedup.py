@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import jaccard, normalise_title, title_band, tokens
 from attesta.functions.vocabulary import BORDERLINE_SCORE, DUPLICATE_SCORE
+from attesta.session import materialise
 
 # Size bound of the broadcast list of common tokens. Any list gives right results; a token
 # missing from it is merely treated as rare.
@@ -60,15 +61,40 @@ def entry_classes(candidates: DataFrame) -> DataFrame:
     )
 
 
-def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
-    """Explode each token set into its prefix of rarest tokens for a Jaccard threshold.
+def plan(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entry classes, class pairs), each written once: every later step reads both."""
+    classes = materialise(entry_classes(candidates), "entries")
+    return classes, materialise(class_pairs(classes), "pairs")
 
-    sets(article, scope, rank, tokens) -> (article, scope, rank, size, place, token). Two sets
-    with Jaccard >= t share a token among their first size - ceil(t * size) + 1 tokens in any
-    common order; ordering by frequency makes those tokens rare ones.
+
+def _token_sets(classes: DataFrame) -> DataFrame:
+    """(article, rank, scope, needed, tokens): every set an overlap rule looks at, with the
+    lowest overlap that matters to it. Titles are also scoped by each cited URL."""
+
+    def entry(scope: Column, needed: float, tokens_: Column) -> Column:
+        return F.struct(scope.alias("scope"), F.lit(needed).alias("needed"), tokens_.alias("tokens"))
+
+    plain = [
+        entry(F.lit(f"{stem}-{lang}"), needed, F.col(f"{stem}_{lang}"))
+        for stem, needed in (("title", _TITLE_OVERLAP), ("body", _BODY_OVERLAP))
+        for lang in ("zh", "en")
+    ]
+    linked = [
+        F.transform("urls", lambda url: entry(F.concat(F.lit("zh "), url), _SHARED_OVERLAP, F.col("title_zh"))),
+        F.transform("urls", lambda url: entry(F.concat(F.lit("en "), url), _SHARED_OVERLAP, F.col("title_en"))),
+    ]
+    spread = classes.select("article", "rank", F.explode(F.concat(F.array(*plain), *linked)).alias("s"))
+    return spread.select("article", "rank", "s.*", F.size("s.tokens").alias("size")).filter("size > 0")
+
+
+def _rarest(sets: DataFrame) -> DataFrame:
+    """Explode each token set into its prefix of rarest tokens.
+
+    Two sets with Jaccard >= t share a token among their first size - ceil(t * size) + 1 tokens
+    in any common order; ordering by frequency makes those tokens rare ones.
     """
-    sized = sets.withColumn("size", F.size("tokens")).filter(F.col("size") > 0)
-    spread = sized.select("article", "scope", "rank", "size", F.explode("tokens").alias("token"))
+    keys = ["article", "rank", "scope", "needed", "size"]
+    spread = sets.select(*keys, F.explode("tokens").alias("token"))
     common = (
         spread.groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
@@ -76,84 +102,74 @@ def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
         .orderBy(F.desc("df"), "token")
         .limit(COMMON_TOKENS)
     )
-    keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)) + F.lit(1)
-    ordered = (
-        spread.join(F.broadcast(common), "token", "left")
-        .groupBy("article", "scope", "rank", "size")
-        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ts"))
-    )
+    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+    ordered = spread.join(F.broadcast(common), "token", "left").groupBy(*keys).agg(ranked.alias("ts"))
+    keep = F.col("size") - F.ceil(F.col("size") * F.col("needed") - F.lit(1e-9)) + F.lit(1)
     return ordered.select(
-        "article",
-        "scope",
-        "rank",
-        "size",
-        F.posexplode(F.slice(F.col("ts.token"), F.lit(1), keep.cast("int"))).alias("place", "token"),
+        *keys, F.posexplode(F.slice(F.col("ts.token"), F.lit(1), keep.cast("int"))).alias("place", "token")
     )
 
 
-def _meeting_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(article, rank_a, rank_b) that can still reach the threshold; rank_a < rank_b."""
-    rare = _rarest(sets, threshold)
-    a = rare.withColumnsRenamed({"rank": "rank_a", "size": "size_a", "place": "place_a"})
-    b = rare.withColumnsRenamed({"rank": "rank_b", "size": "size_b", "place": "place_b"})
-    small = F.least("size_a", "size_b")
-    large = F.greatest("size_a", "size_b")
+def _meeting_pairs(classes: DataFrame) -> DataFrame:
+    """Distinct (article, rank_a, rank_b), rank_a < rank_b, that can still reach some threshold."""
+    rare = _rarest(_token_sets(classes))
+    a = rare.select("article", "scope", "token", "needed", *[F.col(c).alias(f"{c}_a") for c in ("rank", "size", "place")])
+    b = rare.select("article", "scope", "token", *[F.col(c).alias(f"{c}_b") for c in ("rank", "size", "place")])
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     # Overlap still possible from the shared token onwards, against the overlap required.
     reachable = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    required = (F.col("size_a") + F.col("size_b")) * (threshold / (1.0 + threshold)) - 1e-9
+    needed = F.col("needed")
+    required = (F.col("size_a") + F.col("size_b")) * (needed / (needed + 1.0)) - 1e-9
     return (
         a.join(b, ["article", "scope", "token"])
-        .filter((F.col("rank_a") < F.col("rank_b")) & (small >= large * threshold - 1e-9))
-        .filter(reachable >= required)
+        .filter((F.col("rank_a") < F.col("rank_b")) & (small >= large * needed - 1e-9) & (reachable >= required))
         .select("article", "rank_a", "rank_b")
         .distinct()
     )
 
 
-def _sets(classes: DataFrame, stem: str, url: bool = False) -> DataFrame:
-    """Token sets of both languages, scoped by language and, if asked, by cited URL."""
-    language = F.explode(
-        F.array(
-            F.struct(F.lit("zh").alias("lang"), F.col(f"{stem}_zh").alias("tokens")),
-            F.struct(F.lit("en").alias("lang"), F.col(f"{stem}_en").alias("tokens")),
-        )
-    ).alias("s")
-    if url:
-        spread = classes.select("article", "rank", "urls", language).select(
-            "article", "rank", "s", F.explode("urls").alias("url")
-        )
-        return spread.select(
-            "article", F.concat_ws("\x1f", "s.lang", "url").alias("scope"), "rank", F.col("s.tokens").alias("tokens")
-        )
-    return classes.select("article", F.lit(0), "rank", language).select(
-        "article", F.col("s.lang").alias("scope"), "rank", F.col("s.tokens").alias("tokens")
-    )
+def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
+    """Exact score of each pair by the fixed rules for titles, cited URLs and bodies.
 
+    The steps are separate projections, so an overlap is computed once and not once per rule.
+    """
+    a, b, m = classes.alias("a"), classes.alias("b"), meeting.alias("m")
+    joined = m.join(a, (F.col("m.article") == F.col("a.article")) & (F.col("m.rank_a") == F.col("a.rank"))).join(
+        b, (F.col("m.article") == F.col("b.article")) & (F.col("m.rank_b") == F.col("b.rank"))
+    )
 
-def _overlap(a: str, b: str, lang: str, scored: bool) -> Column:
-    """Title overlap (or its band score) in one language; 0 when a normal form is empty."""
-    left, right = F.col(f"{a}.norm_{lang}"), F.col(f"{b}.norm_{lang}")
-    overlap = jaccard(F.col(f"{a}.title_{lang}"), F.col(f"{b}.title_{lang}"))
-    same, other = (F.lit(0.95), title_band(overlap)) if scored else (F.lit(1.0), overlap)
-    return F.when((left == "") | (right == ""), F.lit(0.0)).when(left == right, same).otherwise(other)
+    def same(lang: str) -> Column:
+        return (F.col(f"a.norm_{lang}") == F.col(f"b.norm_{lang}")) & (F.col(f"a.norm_{lang}") != "")
+
+    def overlap(lang: str) -> Column:
+        untitled = (F.col(f"a.norm_{lang}") == "") | (F.col(f"b.norm_{lang}") == "")
+        shared = jaccard(F.col(f"a.title_{lang}"), F.col(f"b.title_{lang}"))
+        return F.when(untitled, F.lit(0.0)).when(same(lang), F.lit(1.0)).otherwise(shared)
+
+    measured = joined.select(
+        "m.article", "m.rank_a", "m.rank_b",
+        *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("location", "copies")],
+        (F.col("a.section") == F.col("b.section")).alias("together"),
+        F.arrays_overlap("a.urls", "b.urls").alias("shares"),
+        *[same(lang).alias(f"same_{lang}") for lang in ("zh", "en")],
+        *[overlap(lang).alias(f"overlap_{lang}") for lang in ("zh", "en")],
+        F.greatest(*[jaccard(F.col(f"a.body_{lang}"), F.col(f"b.body_{lang}")) for lang in ("zh", "en")]).alias("body"),
+    )
 
+    def title(lang: str) -> Column:
+        return F.when(F.col(f"same_{lang}"), F.lit(0.95)).otherwise(title_band(F.col(f"overlap_{lang}")))
 
-def pair_score(a: str = "a", b: str = "b") -> Column:
-    """Score of two aliased entry rows, by the fixed rules for titles, cited URLs and bodies."""
-    title = F.greatest(*[_overlap(a, b, lang, True) for lang in ("zh", "en")])
-    overlap = F.greatest(*[_overlap(a, b, lang, False) for lang in ("zh", "en")])
-    shares = F.arrays_overlap(F.col(f"{a}.urls"), F.col(f"{b}.urls"))
-    same_section = F.col(f"{a}.section") == F.col(f"{b}.section")
-    proven = F.when(same_section, overlap >= 0.4).otherwise(overlap >= 0.75)
+    titled = measured.withColumns({"title": F.greatest(title("zh"), title("en")), "overlap": F.greatest("overlap_zh", "overlap_en")})
+    proven = F.when(F.col("together"), F.col("overlap") >= 0.4).otherwise(F.col("overlap") >= 0.75)
     linked = (
-        F.when(shares & proven, F.greatest(title, F.lit(0.9)))
-        .when(shares & (title < BORDERLINE_SCORE) & (overlap >= _SHARED_OVERLAP), F.lit(0.66))
-        .otherwise(title)
+        F.when(F.col("shares") & proven, F.greatest("title", F.lit(0.9)))
+        .when(F.col("shares") & (F.col("title") < BORDERLINE_SCORE) & (F.col("overlap") >= _SHARED_OVERLAP), F.lit(0.66))
+        .otherwise(F.col("title"))
     )
-    body = F.greatest(
-        *[jaccard(F.col(f"{a}.body_{lang}"), F.col(f"{b}.body_{lang}")) for lang in ("zh", "en")]
+    score = F.when((F.col("linked") < BORDERLINE_SCORE) & (F.col("body") >= _BODY_OVERLAP), F.lit(0.62)).otherwise(F.col("linked"))
+    return titled.withColumn("linked", linked).withColumn("score", score).select(
+        "article", "rank_a", "rank_b", "location_a", "location_b", "copies_a", "copies_b", "score"
     )
-    return F.when(linked >= BORDERLINE_SCORE, linked).when(body >= _BODY_OVERLAP, F.lit(0.62)).otherwise(linked)
 
 
 def band(score: Column) -> Column:
@@ -170,28 +186,7 @@ def class_pairs(classes: DataFrame) -> DataFrame:
     Pairs of copies repeat the score of their first copies, so a row stands for
     copies_a * copies_b pairs of entries (`pairs`). Equal titles are in title_groups().
     """
-    meeting = (
-        _meeting_pairs(_sets(classes, "title"), _TITLE_OVERLAP)
-        .unionByName(_meeting_pairs(_sets(classes, "title", url=True), _SHARED_OVERLAP))
-        .unionByName(_meeting_pairs(_sets(classes, "body"), _BODY_OVERLAP))
-        .distinct()
-    )
-    a, b = classes.alias("a"), classes.alias("b")
-    m = meeting.alias("m")
-    scored = (
-        m.join(a, (F.col("m.article") == F.col("a.article")) & (F.col("m.rank_a") == F.col("a.rank")))
-        .join(b, (F.col("m.article") == F.col("b.article")) & (F.col("m.rank_b") == F.col("b.rank")))
-        .select(
-            F.col("m.article").alias("article"),
-            F.col("m.rank_a").alias("rank_a"),
-            F.col("m.rank_b").alias("rank_b"),
-            F.col("a.location").alias("location_a"),
-            F.col("b.location").alias("location_b"),
-            F.col("a.copies").alias("copies_a"),
-            F.col("b.copies").alias("copies_b"),
-            pair_score().alias("score"),
-        )
-    )
+    scored = score_pairs(_meeting_pairs(classes), classes)
     return (
         scored.filter((F.col("score") >= BORDERLINE_SCORE) & (F.col("score") < 0.95))
         .withColumn("verdict", band(F.col("score")))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from attesta.functions.decisions import allowed, decision_of, policy_action, severity
 from attesta.functions.vocabulary import DECISIONS
 from attesta.operators import contract, coverage, dedup, merge_review, provenance, refund
+from attesta.session import materialise
 from attesta.sources import pages
 from attesta.sources.capture import capture_urls, signal_rows
 
@@ -63,9 +64,8 @@ def _references(inputs: Inputs) -> DataFrame:
 @gate("duplicates")
 def _duplicates(inputs: Inputs, borderline: str = "warn") -> DataFrame:
     """An article whose shape is undeclared cannot be checked for duplicates."""
-    candidates = contract.dedup_candidates(inputs["articles"])
-    classes = dedup.entry_classes(candidates)
-    pairs = dedup.class_pairs(classes)
+    candidates = materialise(contract.dedup_candidates(inputs["articles"]), "candidates")
+    classes, pairs = dedup.plan(candidates)
     dropped = dedup.resolve(candidates, classes, pairs)
     counts = dedup.duplicate_gate(candidates, classes, pairs, dropped, borderline)
     shape = contract.structure_gate(inputs["articles"]).select(

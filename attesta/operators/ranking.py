@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from attesta.session import materialise
+
 # Split points taken per hot group, and the size from which a group counts as hot.
 SLICES = 256
 HOT_GROUP_ROWS = 1_000_000
@@ -48,23 +50,19 @@ def _with_slice(
 ) -> DataFrame:
     """Add `_slice`: 0 for ordinary groups, an ordered range number inside hot ones.
 
-    Split points are approximate percentiles of `position`, one mergeable sketch per group.
+    Split points are approximate percentiles of `position`, one mergeable sketch per hot group;
+    other groups are only counted.
     """
-    cuts = [(i + 1) / slices for i in range(slices - 1)]
-    sketch = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(F.col(position), cuts, 10_000).alias("_cuts"),
-    )
-    none = F.array().cast("array<bigint>")
-    sketch = sketch.select(
-        *keys,
-        F.when(F.col("_n") >= hot_rows, F.array_distinct("_cuts").cast("array<bigint>"))
-        .otherwise(none)
-        .alias("_cuts"),
-    )
-    joined = df.join(sketch, keys) if keys else df.crossJoin(F.broadcast(sketch))
+    cuts = F.percentile_approx(F.col(position), [(i + 1) / slices for i in range(slices - 1)], 10_000)
+    points = F.array_distinct(cuts.cast("array<bigint>")).alias("_cuts")
+    if keys:
+        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
+        joined = df.join(df.join(hot, keys, "left_semi").groupBy(*keys).agg(points), keys, "left")
+    else:
+        joined = df.crossJoin(F.broadcast(df.agg(points)))
     pos = F.col(position)
-    return joined.withColumn("_slice", F.size(F.filter("_cuts", lambda cut: cut < pos))).drop("_cuts")
+    number = F.size(F.filter("_cuts", lambda cut: cut < pos))
+    return joined.withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(number)).drop("_cuts")
 
 
 def row_numbers(

@@ -50,7 +50,7 @@ scored AS (SELECT 'typed' AS matcher, sample_id, kind, expect, decision AS verdi
 
 def samples(spark, root):
     """The corpus, written once: several matchers read it, each more than once."""
-    return materialise(corpus.build_corpus(inputs.article_citations(spark, root), inputs.known(spark, root), CAP))
+    return materialise(corpus.build_corpus(inputs.article_citations(spark, root), inputs.known(spark, root), CAP), "corpus")
 
 
 def scored(spark, root):

@@ -132,8 +132,7 @@ _DROPPED = """dropped AS (
 
 def _dedup(spark, root):
     candidates = inputs.dedup_candidates(spark, root)
-    classes = dedup.entry_classes(candidates)
-    return candidates, classes, dedup.class_pairs(classes)
+    return candidates, *dedup.plan(candidates)
 
 
 @query(

@@ -41,8 +41,14 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+_own_folders: dict[str, str] = {}
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only if unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; one of our own only if unset.
+
+    Our own folder is for local masters, as in tests; on a cluster it would not be shared.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -51,17 +57,19 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="attesta-checkpoint-")
-
+    application = spark.sparkContext.applicationId
+    if application not in _own_folders:
+        _own_folders[application] = tempfile.mkdtemp(prefix="attesta-checkpoint-")
+    return _own_folders[application]
 
-def materialise(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, so a lost executor costs nothing already done."""
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint(eager)
 
+def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a table several later steps read, and continue from the written copy.
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written intermediate table in the shared folder."""
-    return os.path.join(checkpoint_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    Cuts the lineage, so nothing upstream runs twice and a lost executor costs only its own
+    tasks. A columnar table keeps pruning and sizes, and unlike checkpoint() computes its input
+    once.
+    """
+    path = os.path.join(checkpoint_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
