@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attesta.session import materialise
+
 # Fixed ranking constants.
 K1 = 1.2
 B = 0.75
@@ -29,20 +31,22 @@ def words(text: Column) -> Column:
 
 
 def _frequency(term: str) -> Column:
-    return F.size(F.filter("w", lambda word: word == term))
+    return F.size("w") - F.size(F.array_remove("w", term))
 
 
 def ranked(entries: DataFrame, terms: list[str], key: str, text: Column) -> DataFrame:
     """(key, score) of entries holding any term; larger is better.
 
     Term frequencies are counted inside the row for the query's terms only, so no posting list
-    is exploded. The statistics are one row and are joined to the hits by broadcast.
+    is exploded. The counts are a narrow table written once, so texts are split once for both
+    the statistics (one row, broadcast) and the hits.
     """
     bag = entries.select(key, words(text).alias("w"))
-    counted = bag.select(
-        key,
-        F.size("w").alias("dl"),
-        *[_frequency(term).alias(f"tf{i}") for i, term in enumerate(terms)],
+    counted = materialise(
+        bag.select(
+            key, F.size("w").alias("dl"), *[_frequency(term).alias(f"tf{i}") for i, term in enumerate(terms)]
+        ),
+        "terms",
     )
     stats = counted.agg(
         F.count(F.lit(1)).alias("docs"),

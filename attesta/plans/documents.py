@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from attesta.operators import contract, coverage, gates, provenance
 from attesta.plans import inputs, sql
 from attesta.plans.registry import query
-from attesta.session import table
+from attesta.session import materialise, table
 from attesta.sources import capture, memory, pages
 
 # -- articles ------------------------------------------------------------------------------------
@@ -56,7 +56,7 @@ def _reference(line: Column, i: Column) -> Column:
 
 
 def articles(spark, root):
-    """(day, content): one article per document, its id as the day."""
+    """(day, content): one article per document, its id as the day. Written once, like files."""
     docs = table(spark, root, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     marked = docs.select("doc_id", "lang", "source", lines.alias("l"))
@@ -76,7 +76,7 @@ def articles(spark, root):
         F.lit(',"items":['), half(0), F.lit(']}]},{"id":"github","items":['), half(1),
         F.lit(']}],"references":['), F.array_join(F.concat("refs", orphan), ","), F.lit("]}"),
     )
-    return marked.select(F.col("doc_id").alias("day"), content.alias("content"))
+    return materialise(marked.select(F.col("doc_id").alias("day"), content.alias("content")), "articles")
 
 
 _LINES = """lines AS (SELECT doc_id, source, lang, i - 1 AS i, line, length(line) AS n FROM (
