@@ -377,7 +377,7 @@ def dedup_candidates(articles: DataFrame) -> DataFrame:
 
     When a reference id repeats, its last address counts.
     """
-    items = flatten_items(articles).withColumn("rank", F.col("section_pos").cast("long") * 1_000_000 + F.col("item_pos"))
+    items = flatten_items(articles).withColumn("rank", F.shiftleft(F.col("section_pos").cast("long"), 32) + F.col("item_pos"))
     urls = (
         references(articles)
         .filter("id is not null and url <> ''")

@@ -19,7 +19,7 @@ from attesta.operators import (
 )
 from attesta.plans import inputs, sql
 from attesta.plans.registry import query
-from attesta.session import table
+from attesta.session import materialise, table
 
 # -- ranking and coverage ------------------------------------------------------------------------
 
@@ -710,13 +710,9 @@ FROM kept k JOIN final f ON k.article = f.article AND k.s_suppkey = f.s_suppkey"
 )
 def compose_merge(spark, root):
     """Items with a verifiable source, capped in turns, with densely renumbered citations."""
-    from pyspark.sql import Window as W
-
     group = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     lines = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("article"), group.alias("group_no"), "l_partkey", "l_suppkey").distinct()
-    # An order has a few lines, which bounds this window.
-    order = W.partitionBy("article", "group_no").orderBy("l_partkey", "l_suppkey")
-    items = lines.withColumn("item_no", F.row_number().over(order))
+    items = materialise(ranking.row_numbers(lines, ["article", "group_no"], "l_partkey", "item_no", ties=("l_suppkey",)), "items")
     links = items.select(
         "article", "group_no", "item_no", F.lit(0).alias("link_no"), F.lit(1).alias("local_id"),
         F.concat(F.lit("http://www.supplier.example/"), F.col("l_suppkey").cast("string"), F.lit("/")).alias("url"),
