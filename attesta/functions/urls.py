@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.vocabulary import TRACKING_PARAMS
+from attesta.functions.vocabulary import DRIFT_PARAMETER, TRACKING_PARAMS
 
 _TRACKED = "(?i)&(?:" + "|".join(TRACKING_PARAMS) + ")[^&]*"
 
@@ -71,7 +71,7 @@ def drift_trailing_slash(url: Column) -> Column:
 
 def drift_tracking(url: Column) -> Column:
     glue = F.when(F.instr(url, "?") > 0, F.lit("&")).otherwise(F.lit("?"))
-    return F.concat(url, glue, F.lit("utm_source=daily-trends"))
+    return F.concat(url, glue, F.lit(DRIFT_PARAMETER))
 
 
 def drift_www(url: Column) -> Column:

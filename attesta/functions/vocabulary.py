@@ -22,6 +22,9 @@ POLICY_ACTIONS = ("block", "warn")
 # Query parameters dropped from a URL: prefix test, any letter case.
 TRACKING_PARAMS = ("utm_", "gclid", "fbclid", "ref=", "source=", "mc_cid", "mc_eid")
 
+# The tracking parameter a drifted sample carries.
+DRIFT_PARAMETER = "utm_source=daily-trends"
+
 # Keys of a capture document whose string value is a URL.
 URL_KEYS = ("url", "html_url", "hn_url", "link", "source_url")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from attesta.functions.vocabulary import DRIFT_PARAMETER
+
 
 def canonical(x: str) -> str:
     text = f"split_part(trim({x}), '#', 1)"
@@ -28,7 +30,7 @@ def drifts(url: str) -> list[tuple[str, str]]:
         f"WHEN {url} LIKE 'http://%' THEN 'https://' || substr({url}, 8) ELSE {url} END"
     )
     slash = f"CASE WHEN instr({url}, '?') = 0 THEN rtrim({url}, '/') || '/' END"
-    tracking = f"{url} || CASE WHEN instr({url}, '?') > 0 THEN '&' ELSE '?' END || 'utm_source=daily-trends'"
+    tracking = f"{url} || CASE WHEN instr({url}, '?') > 0 THEN '&' ELSE '?' END || '{DRIFT_PARAMETER}'"
     www = (
         f"CASE WHEN regexp_matches({url}, '^https?://www\\.') THEN replace({url}, '://www.', '://') "
         f"ELSE regexp_replace({url}, '^(https?://)', '\\1www.') END"

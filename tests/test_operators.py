@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import compose, corpus, coverage, dedup, experiment, ledger, merge_review, provenance, ranking, refund, scoring, search, selection
+from attesta.functions.vocabulary import FOREIGN_AREAS
 from attesta.operators.prefix import is_prefix_pair
 
 
@@ -398,9 +399,9 @@ def test_merge_gate(spark, checks, merge, expected):
 
 
 def test_log_and_scope_samples(spark):
-    log = "@@abc123\tfirst\twith tab\n1\t2\tsrc/a.py\n3\t4\tdocs/b.md\n\n@@def456\tempty\n@@0123456789\tone\n5\t6\tharness/c.py\n"
+    log = "@@abc123\tfirst\twith tab\n1\t2\tsrc/a.py\n3\t4\tdocs/b.md\n\n@@def456\tempty\n@@0123456789\tone\n5\t6\t" + FOREIGN_AREAS[0] + "/c.py\n"
     commits = merge_review.parse_log(spark.createDataFrame([(log,)], "text string"))
-    assert rows(commits.filter("path is not null"), "sha", "path") == [("0123456789", "harness/c.py"), ("abc123", "docs/b.md"), ("abc123", "src/a.py")]
+    assert rows(commits.filter("path is not null"), "sha", "path") == [("0123456789", FOREIGN_AREAS[0] + "/c.py"), ("abc123", "docs/b.md"), ("abc123", "src/a.py")]
     made = merge_review.scope_samples(commits)
     got = {r.sample_id: (r.expect, r.foreign_area) for r in made.collect()}
     assert got["scope-legit-1-abc123"] == ("pass", None)
