@@ -15,7 +15,7 @@ DICTIONARY_BYTES = 96 * 1024
 #: A sampled text gives a slice of at most this many bytes, so that no single one fills a dictionary.
 SAMPLE_BYTES = 2048
 CHUNK_BYTES = 4096
-LEVEL = 3
+LEVEL = 6
 #: Bytes of difference, at 4 KB of text, that make a rival half as likely; and the margin below which a verdict is unsure.
 HALF_BYTES = 4.0
 MARGIN = 0.02
