@@ -104,8 +104,10 @@ _TOKEN = re.compile(rf"plus\x20(?=\w)|{_DIGIT_WORD}(?!\w)", re.I)
 _OPEN, _CLOSE = r"\s?[\(\[\{<]\s?", r"\s?[\)\]\}>]\s?"
 _AT = re.compile(rf"{_OPEN}(?:at|arroba|ät|chez|@){_CLOSE}", re.I)
 _DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}", re.I)
+#: Without brackets the words at and dot count only before a common top-level domain.
 _PLAIN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+)?(?P<at>\x20at\x20)[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+", re.I
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+)?(?P<at>\x20at\x20)[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)*\x20dot\x20"
+    r"(?:com|org|net|edu|gov|info|biz|io|co|ai|app|dev|eu|us|uk|de|fr|es|it|nl|at|ch|be|br|mx|in|jp)(?![A-Za-z0-9-])", re.I
 )
 _PLAIN_DOT = re.compile(r"\x20dot\x20", re.I)
 
@@ -185,7 +187,7 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans) of a text, in source characters.
 
     The plain spans are those of the exact patterns. Disguised ones are detected in the normalised text,
-    mapped back and added where they do not overlap a plain span of their kind.
+    mapped back and added where they overlap no other span of their kind, or hold it as a part.
     """
     if not text:
         return [], []
@@ -197,7 +199,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     spans = list(base)
     for kind, s, e in detect(changed.text):
         low, high = int(changed.starts[s]), int(changed.ends[e - 1])
-        if all(high <= a or b <= low for a, b in taken[kind]):
+        apart = all(high <= a or b <= low or low <= a and b <= high for a, b in taken[kind])
+        if apart and (low, high) not in taken[kind]:
             taken[kind].append((low, high))
             spans.append((kind, low, high))
     return base, sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))

@@ -145,16 +145,16 @@ p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJK
 outcome AS (SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM labels),
 hosts AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, list_last(string_split(host, '.')) AS suffix,
   count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN outcome USING (page_id) GROUP BY host),
-overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::DOUBLE AS m FROM hosts),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS prior FROM hosts, overall GROUP BY suffix),
-sw AS (SELECT 1 / least(greatest((sum(n * pow(bad / n::DOUBLE - prior, 2) / (prior * (1 - prior))) - count(*)) / sum(n - 1), 0.001), 0.5) - 1 AS w FROM s WHERE n > 0),
-sp AS (SELECT suffix, (w * prior + bad) / (w + n) AS prior FROM s, sw),
-d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM hosts JOIN sp USING (suffix) GROUP BY suffix, domain),
-dw AS (SELECT 1 / least(greatest((sum(n * pow(bad / n::DOUBLE - prior, 2) / (prior * (1 - prior))) - count(*)) / sum(n - 1), 0.001), 0.5) - 1 AS w FROM d WHERE n > 0),
-dp AS (SELECT domain, (w * prior + bad) / (w + n) AS prior FROM d, dw),
-h AS (SELECT host, n, bad, prior FROM hosts JOIN dp USING (domain)),
-hw AS (SELECT 1 / least(greatest((sum(n * pow(bad / n::DOUBLE - prior, 2) / (prior * (1 - prior))) - count(*)) / sum(n - 1), 0.001), 0.5) - 1 AS w FROM h WHERE n > 0),
-hp AS (SELECT host, (w * prior + bad) / (w + n) AS rate, w + n AS weight FROM h, hw),
+overall AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::DOUBLE AS m, (coalesce(sum(n), 0) + 2)::DOUBLE AS k FROM hosts),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS prior, any_value(k) AS known FROM hosts, overall GROUP BY suffix),
+sw AS (SELECT 1 / least(greatest((sum(n * pow(bad / n::DOUBLE - prior, 2) / (prior * (1 - prior))) - count(*)) / sum(n - 1), 0.001), 0.2) - 1 AS w FROM s WHERE n > 0),
+sp AS (SELECT suffix, (e * prior + bad) / (e + n) AS prior, e + n AS known FROM (SELECT *, 1 / (1 / (w + 1) + 1 / (known + 1)) - 1 AS e FROM s, sw)),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior, any_value(known) AS known FROM hosts JOIN sp USING (suffix) GROUP BY suffix, domain),
+dw AS (SELECT 1 / least(greatest((sum(n * pow(bad / n::DOUBLE - prior, 2) / (prior * (1 - prior))) - count(*)) / sum(n - 1), 0.001), 0.2) - 1 AS w FROM d WHERE n > 0),
+dp AS (SELECT domain, (e * prior + bad) / (e + n) AS prior, e + n AS known FROM (SELECT *, 1 / (1 / (w + 1) + 1 / (known + 1)) - 1 AS e FROM d, dw)),
+h AS (SELECT host, n, bad, prior, known FROM hosts JOIN dp USING (domain)),
+hw AS (SELECT 1 / least(greatest((sum(n * pow(bad / n::DOUBLE - prior, 2) / (prior * (1 - prior))) - count(*)) / sum(n - 1), 0.001), 0.2) - 1 AS w FROM h WHERE n > 0),
+hp AS (SELECT host, (e * prior + bad) / (e + n) AS rate, e + n AS weight FROM (SELECT *, 1 / (1 / (w + 1) + 1 / (known + 1)) - 1 AS e FROM h, hw)),
 b AS (SELECT host, rate, greatest(0, rate - 1.645 * sqrt(rate * (1 - rate) / (weight + 1))) AS bound FROM hp),
 m AS (SELECT page_id, host, path, CASE
   WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'

@@ -56,20 +56,26 @@ def _concentration(children: DataFrame) -> float:
     """Weight of the prior, by the method of moments over children (n, bad, mean of the parent).
 
     With n outcomes around mean m, the squared distance of a child's rate has the mean
-    m (1 - m) / n * (1 + (n - 1) / (weight + 1)).
+    m (1 - m) / n * (1 + (n - 1) / (weight + 1)). The prior weighs as much as 4 to 999 outcomes.
     """
     spread = F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2) / (F.col("prior") * (1 - F.col("prior")))
     row = children.filter("n > 0").agg(F.sum(spread), F.count(F.lit(1)), F.sum(F.col("n") - 1)).first()
     if not row[2]:
         return 10.0
     share = (row[0] - row[1]) / row[2]
-    return 1 / min(max(share, 0.001), 0.5) - 1
+    return 1 / min(max(share, 0.001), 0.2) - 1
 
 
 def _posterior(children: DataFrame, weight: float) -> DataFrame:
-    return children.withColumn("rate", (weight * F.col("prior") + F.col("bad")) / (weight + F.col("n"))).withColumn(
-        "weight", F.lit(weight) + F.col("n")
-    )
+    """Posterior `rate` and `weight`; what is not known of the parent's own mean (`known`) thins its prior out.
+
+    The variances of a level and of the parent's mean add up, and the variance of a beta with weight w is
+    m (1 - m) / (w + 1).
+    """
+    prior = 1 / (F.lit(1 / (weight + 1)) + 1 / (F.col("known") + 1)) - 1
+    own = children.withColumn("_prior_weight", prior)
+    rate = (F.col("_prior_weight") * F.col("prior") + F.col("bad")) / (F.col("_prior_weight") + F.col("n"))
+    return own.withColumn("rate", rate).withColumn("weight", F.col("_prior_weight") + F.col("n")).drop("_prior_weight")
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -86,11 +92,13 @@ def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = counted.select("host", domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"), "n", "bad")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     total = hosts.agg(*sums).first()
-    overall = ((total["bad"] or 0) + 1) / ((total["n"] or 0) + 2)
-    suffixes = hosts.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(overall))
-    suffixes = _posterior(suffixes, _concentration(suffixes)).select("suffix", F.col("rate").alias("prior"))
+    everything = (total["n"] or 0) + 2
+    overall = ((total["bad"] or 0) + 1) / everything
+    up = [F.col("rate").alias("prior"), F.col("weight").alias("known")]
+    suffixes = hosts.groupBy("suffix").agg(*sums).withColumns({"prior": F.lit(overall), "known": F.lit(float(everything))})
+    suffixes = _posterior(suffixes, _concentration(suffixes)).select("suffix", *up)
     domains = hosts.groupBy("suffix", "domain").agg(*sums).join(suffixes, "suffix")
-    domains = _posterior(domains, _concentration(domains)).select("domain", F.col("rate").alias("prior"))
+    domains = _posterior(domains, _concentration(domains)).select("domain", *up)
     own = hosts.join(domains, "domain")
     own = _posterior(own, _concentration(own))
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
