@@ -82,14 +82,20 @@ def excerpt(body: Column, length: int = 200) -> Column:
 def max_blank_run(text: Column) -> Column:
     """Longest run of consecutive whitespace-only lines.
 
-    A run is a match of line breaks each preceded by optional blanks, so the islands come out
-    of one regex instead of a window over exploded lines.
+    Lines are folded one by one with the run so far and the longest yet: linear, whatever the run.
     """
     unix = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    closed = F.concat(F.regexp_replace(unix, r"\n\z", ""), F.lit("\n"))
-    runs = F.regexp_extract_all(closed, F.lit(r"(?mdU)^(?:[^\S\n]*\n)+"), F.lit(0))
-    lengths = F.transform(runs, lambda run: F.length(F.regexp_replace(run, r"[^\n]", "")))
-    return F.when(unix == "", F.lit(0)).otherwise(F.coalesce(F.array_max(lengths), F.lit(0)))
+    blank = F.transform(F.split(F.regexp_replace(unix, r"\n\z", ""), "\n"), lambda line: ~line.rlike(r"(?U)\S"))
+    longest = F.aggregate(
+        blank,
+        F.struct(F.lit(0).alias("run"), F.lit(0).alias("most")),
+        lambda s, empty: F.struct(
+            F.when(empty, s["run"] + 1).otherwise(F.lit(0)).alias("run"),
+            F.greatest(s["most"], F.when(empty, s["run"] + 1).otherwise(F.lit(0))).alias("most"),
+        ),
+        lambda s: s["most"],
+    )
+    return F.when(unix == "", F.lit(0)).otherwise(longest)
 
 
 def contains_any(text: Column, words: tuple[str, ...]) -> Column:

@@ -23,7 +23,7 @@ POLICY_ACTIONS = ("block", "warn")
 TRACKING_PARAMS = ("utm_", "gclid", "fbclid", "ref=", "source=", "mc_cid", "mc_eid")
 
 # The tracking parameter a drifted sample carries.
-DRIFT_PARAMETER = "utm_source=daily-trends"
+DRIFT_PARAMETER = "utm_source=newsletter"
 
 # Keys of a capture document whose string value is a URL.
 URL_KEYS = ("url", "html_url", "hn_url", "link", "source_url")
@@ -64,11 +64,6 @@ MERGE_CHECKS = ("TESTS_PASS", "ARCHITECTURE_OK", "NO_UNINTENDED_SCOPE")
 # Fragments that mark an argument name as a secret.
 SECRET_WORDS = ("key", "token", "secret", "password", "authorization")
 
-# Top-level areas tried, in order, for a file that no declared scope contains.
-FOREIGN_AREAS = (
-    "harness", "tasks", "tests", "docs", "scripts", "experiments", "config", "tools",
-)
-
 # Coverage signal per capture bucket: title field, url field, signal field, label.
 CAPTURE_SIGNALS = {
     "hn": ("title", "url", "points", "HN"),

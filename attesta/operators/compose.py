@@ -25,8 +25,8 @@ def capture_index(urls: DataFrame) -> DataFrame:
 
 
 def place() -> Column:
-    """Document order of a link as one bigint: 11 bits of group, 36 of item, 16 of link."""
-    return F.shiftleft(F.col("group_no").cast("long"), 52) + F.shiftleft(F.col("item_no").cast("long"), 16) + F.col("link_no")
+    """Document order of a link, whatever the numbers of groups, items and links."""
+    return F.struct("group_no", "item_no", "link_no")
 
 
 def resolve_links(links: DataFrame, index: DataFrame) -> DataFrame:

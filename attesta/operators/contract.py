@@ -337,18 +337,24 @@ def references_gate(articles: DataFrame) -> DataFrame:
     )
 
 
-def depth_gate(items: DataFrame, min_ratio: float = 0.6) -> DataFrame:
-    """Share of items whose body names a limitation; advisory, so it always passes."""
+def depth_gate(articles: DataFrame, min_ratio: float = 0.6) -> DataFrame:
+    """Share of items whose body names a limitation, for every article; advisory, so content never fails it.
+
+    An article without items has nothing to fault (ratio 1); one that cannot be read fails.
+    """
+    items = flatten_items(articles)
+    parsed = parse_articles(articles).select("day", F.col("doc").isNull().alias("broken"))
     body = F.when(F.col("body_zh") != "", F.col("body_zh")).otherwise(F.col("body_en"))
     tally = items.groupBy("day").agg(
         F.count(F.lit(1)).alias("items"),
         F.count_if(has_limit(body)).alias("with_limit"),
         F.count_if(~has_mechanism(body)).alias("without_substance"),
     )
-    ratio = F.bround(F.col("with_limit") / F.col("items"), 3)
-    return tally.withColumn("limit_ratio", ratio).withColumn("below_target", ratio < min_ratio).withColumn(
-        "decision", F.lit("pass")
-    )
+    every = parsed.join(tally, "day", "left").fillna(0, ["items", "with_limit", "without_substance"])
+    ratio = F.when(F.col("items") == 0, F.lit(1.0)).otherwise(F.bround(F.col("with_limit") / F.col("items"), 3))
+    return every.withColumn("limit_ratio", ratio).withColumn("below_target", ratio < min_ratio).withColumn(
+        "decision", F.when(F.col("broken"), F.lit("fail")).otherwise(F.lit("pass"))
+    ).drop("broken")
 
 
 def brief_gate(articles: DataFrame, limit: int = 5) -> DataFrame:
@@ -377,6 +383,7 @@ def dedup_candidates(articles: DataFrame) -> DataFrame:
 
     When a reference id repeats, its last address counts.
     """
+    # Both positions are 32-bit and not negative, so the rank is exact and unique within its article.
     items = flatten_items(articles).withColumn("rank", F.shiftleft(F.col("section_pos").cast("long"), 32) + F.col("item_pos"))
     urls = (
         references(articles)

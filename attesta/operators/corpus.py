@@ -40,8 +40,9 @@ def _stale(cites: DataFrame, known: DataFrame, cap: int) -> DataFrame:
     per_day = cites.groupBy("canonical", "day").agg(
         F.min("position").alias("position"), F.min_by("url", "position").alias("url")
     )
+    per_day = materialise(per_day, "per_day")
     first = per_day.groupBy("canonical").agg(F.min(F.struct("position", "day", "url")).alias("f")).select("canonical", "f.*")
-    listed = row_numbers(first, [], "position", "place")
+    listed = materialise(row_numbers(first, [], "position", "place"), "listed")
     paths = known.select("day", path_only(F.col("canonical")).alias("path")).distinct()
     by_path = (
         listed.select("canonical", path_only(F.col("canonical")).alias("path"), "place")

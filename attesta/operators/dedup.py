@@ -21,10 +21,6 @@ from attesta.functions.text import jaccard, normalise_title, title_band, tokens
 from attesta.functions.vocabulary import BORDERLINE_SCORE, DUPLICATE_SCORE
 from attesta.session import materialise
 
-# Size bound of the broadcast list of common tokens. Any list gives right results; a token
-# missing from it is merely treated as rare.
-COMMON_TOKENS = 10_000
-
 _TITLE_OVERLAP = 0.5    # lowest overlap that scores 0.62 by title alone
 _SHARED_OVERLAP = 0.3   # lowest overlap that matters when a cited URL is shared
 _BODY_OVERLAP = 0.6
@@ -36,28 +32,27 @@ def entry_classes(candidates: DataFrame) -> DataFrame:
     urls = F.array_sort(F.array_distinct(F.coalesce("urls", F.array().cast("array<string>"))))
     identity = F.sha2(F.concat_ws("\x1f", "section", *text, F.array_join(urls, "\x1e")), 256)
     columns = ["section", "location", "title_zh", "title_en", "body_zh", "body_en"]
+    # Numbers are folded, texts are fetched for the first copies only.
     folded = (
-        candidates.select("article", "rank", *columns, urls.alias("urls"), identity.alias("identity"))
+        candidates.select("article", "rank", identity.alias("identity"))
         .groupBy("article", "identity")
-        .agg(
-            F.count(F.lit(1)).alias("copies"),
-            F.min("rank").alias("rank"),
-            F.min_by(F.struct(*columns, "urls"), F.col("rank")).alias("e"),
-        )
+        .agg(F.count(F.lit(1)).alias("copies"), F.min("rank").alias("rank"))
+        .drop("identity")
     )
-    return folded.select(
+    first = candidates.select("article", "rank", *columns, urls.alias("urls")).join(folded, ["article", "rank"])
+    return first.select(
         "article",
         "rank",
         "copies",
-        F.col("e.location").alias("location"),
-        F.col("e.section").alias("section"),
-        F.col("e.urls").alias("urls"),
-        normalise_title(F.col("e.title_zh")).alias("norm_zh"),
-        normalise_title(F.col("e.title_en")).alias("norm_en"),
-        tokens(F.col("e.title_zh")).alias("title_zh"),
-        tokens(F.col("e.title_en")).alias("title_en"),
-        tokens(F.col("e.body_zh")).alias("body_zh"),
-        tokens(F.col("e.body_en")).alias("body_en"),
+        "location",
+        "section",
+        "urls",
+        normalise_title(F.col("title_zh")).alias("norm_zh"),
+        normalise_title(F.col("title_en")).alias("norm_en"),
+        tokens(F.col("title_zh")).alias("title_zh"),
+        tokens(F.col("title_en")).alias("title_en"),
+        tokens(F.col("body_zh")).alias("body_zh"),
+        tokens(F.col("body_en")).alias("body_en"),
     )
 
 
@@ -94,16 +89,10 @@ def _rarest(sets: DataFrame) -> DataFrame:
     in any common order; ordering by frequency makes those tokens rare ones.
     """
     keys = ["article", "rank", "scope", "needed", "size"]
-    spread = sets.select(*keys, F.explode("tokens").alias("token"))
-    common = (
-        spread.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .filter(F.col("df") > 1)
-        .orderBy(F.desc("df"), "token")
-        .limit(COMMON_TOKENS)
-    )
-    ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
-    ordered = spread.join(F.broadcast(common), "token", "left").groupBy(*keys).agg(ranked.alias("ts"))
+    spread = materialise(sets.select(*keys, F.explode("tokens").alias("token")), "tokens")
+    frequency = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = F.sort_array(F.collect_list(F.struct("df", "token")))
+    ordered = spread.join(frequency, "token").groupBy(*keys).agg(ranked.alias("ts"))
     keep = F.col("size") - F.ceil(F.col("size") * F.col("needed") - F.lit(1e-9)) + F.lit(1)
     return ordered.select(
         *keys, F.posexplode(F.slice(F.col("ts.token"), F.lit(1), keep.cast("int"))).alias("place", "token")
@@ -112,7 +101,7 @@ def _rarest(sets: DataFrame) -> DataFrame:
 
 def _meeting_pairs(classes: DataFrame) -> DataFrame:
     """Distinct (article, rank_a, rank_b), rank_a < rank_b, that can still reach some threshold."""
-    rare = _rarest(_token_sets(classes))
+    rare = materialise(_rarest(_token_sets(classes)), "rare")
     a = rare.select("article", "scope", "token", "needed", *[F.col(c).alias(f"{c}_a") for c in ("rank", "size", "place")])
     b = rare.select("article", "scope", "token", *[F.col(c).alias(f"{c}_b") for c in ("rank", "size", "place")])
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")

@@ -83,12 +83,14 @@ def blocked_reason(requires: Column, executor: Column, allow_llm: bool, allow_ne
     )
 
 
-def arm_runs(runs: DataFrame, validations: DataFrame, prefix: str, limit: int = 500) -> DataFrame:
-    """Experiment runs rebuilt from the ledger: newest runs of a prefix with their gate results.
+def arm_runs(runs: DataFrame, validations: DataFrame, prefix: str, limit: int | None = None) -> DataFrame:
+    """Experiment runs rebuilt from the ledger: all runs of a prefix, or its newest `limit`, with their gate results.
 
     validations(run_id, name, ok, required, verifiable_ratio). Advisory gates do not count.
     """
-    chosen = runs.filter(F.col("experiment").startswith(prefix)).orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
+    chosen = runs.filter(F.col("experiment").startswith(prefix))
+    if limit is not None:
+        chosen = chosen.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)
     gates = validations.groupBy("run_id").agg(
         F.min(F.when(F.col("required"), F.col("ok"))).alias("validators_ok"),
         F.max(F.when(F.col("name") == "verifiable", F.col("verifiable_ratio"))).alias("verifiable_ratio"),

@@ -108,7 +108,7 @@ def _verifiable(inputs: Inputs) -> DataFrame:
 
 @gate("depth")
 def _depth(inputs: Inputs, min_ratio: float = 0.6) -> DataFrame:
-    return contract.depth_gate(contract.flatten_items(inputs["articles"]), min_ratio).withColumnRenamed("day", "entity")
+    return contract.depth_gate(inputs["articles"], min_ratio).withColumnRenamed("day", "entity")
 
 
 @gate("brief")
@@ -182,9 +182,13 @@ def result_rows(name: str, df: DataFrame, policy: Mapping[str, str] | None = Non
 
 def run_gates(
     spark: SparkSession, names: list[str], inputs: Inputs, policy: Mapping[str, str] | None = None,
-    arguments: Mapping[str, dict] | None = None,
+    arguments: Mapping[str, dict] | None = None, expected: DataFrame | None = None,
 ) -> DataFrame:
-    """Union of the named gates. A gate that cannot be planned is a failed result, not an error."""
+    """Union of the named gates. A gate that cannot be planned is a failed result, not an error.
+
+    With `expected` (entity), each named gate has a result for each of these entities: where a gate gave
+    none, or could not be planned, the result is a failure. Faults in a running task end the job.
+    """
     out = None
     for name in names:
         function = get(name)
@@ -197,7 +201,16 @@ def run_gates(
             )
             rows = result_rows(name, broken, policy)
         out = rows if out is None else out.unionByName(rows)
-    return out
+    if expected is None or out is None:
+        return out
+    listed = F.explode(F.array(*[F.lit(name) for name in names])).alias("gate")
+    every = expected.select(F.col("entity").cast("string").alias("entity")).distinct().select("entity", listed)
+    gaps = every.join(out.select("gate", "entity"), ["gate", "entity"], "left_anti")
+    missing = gaps.select(
+        "gate", "entity", F.lit("fail").alias("decision"), F.lit("internal_error").alias("failure_class"),
+        policy_action(F.lit("fail"), policy).alias("policy_action"), F.lit(False).alias("ok"),
+    )
+    return out.filter("entity is not null").unionByName(missing)
 
 
 def combine(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -223,18 +236,29 @@ def repair_brief(results: DataFrame, severity_table: DataFrame | None = None) ->
     bad = results.filter(~F.col("ok"))
     if severity_table is None:
         return bad.withColumn("role", F.lit("entry"))
-    declared = bad.join(F.broadcast(severity_table.select("gate", "required")), "gate", "left")
+    declared = bad.join(severity_table.select("gate", "required"), "gate", "left")
     required = F.coalesce("required", F.lit(False))
     return declared.withColumn("role", F.when(required, F.lit("entry")).otherwise(F.lit("warning"))).drop("required")
 
 
 def content_debt(results: DataFrame, required: list[str]) -> DataFrame:
-    """Per day: which required gates block, whether the contract is behind the shape, and clean."""
-    blocker = F.col("gate").isin(*required) & ~F.col("ok")
-    return results.groupBy(F.col("entity").alias("day")).agg(
-        F.array_join(F.array_sort(F.collect_set(F.when(blocker, F.col("gate")))), ",").alias("blockers"),
+    """Per day: which required gates block, whether the contract is behind the shape, and clean.
+
+    A required gate without a result for a day blocks it. One that is broken as a whole (no entity)
+    blocks every day. The lists hold gate names, which `required` bounds.
+    """
+    declared = F.col("gate").isin(*required)
+    blocker = declared & ~F.coalesce("ok", F.lit(False))
+    broken = results.filter(F.col("entity").isNull() & blocker).agg(F.collect_set("gate").alias("broken"))
+    names = F.array(*[F.lit(name) for name in required]) if required else F.array().cast("array<string>")
+    tally = results.filter("entity is not null").groupBy(F.col("entity").alias("day")).agg(
+        F.collect_set(F.when(blocker, F.col("gate"))).alias("bad"),
+        F.collect_set(F.when(declared, F.col("gate"))).alias("given"),
         F.coalesce(F.max((F.col("gate") == "structure") & (F.col("decision") == "cannot_verify")), F.lit(False)).alias("gate_stale"),
-        (~F.max(blocker)).alias("clean"),
+    )
+    blockers = F.array_sort(F.array_distinct(F.concat("bad", "broken", F.array_except(names, F.col("given")))))
+    return tally.crossJoin(F.broadcast(broken)).select(
+        "day", F.array_join(blockers, ",").alias("blockers"), "gate_stale", (F.size(blockers) == 0).alias("clean")
     )
 
 

@@ -9,7 +9,6 @@ from attesta.functions.parsing import glob_to_regex, in_declared_scope
 from attesta.functions.vocabulary import (
     EXPECT_NOT_PASS,
     EXPECT_PASS,
-    FOREIGN_AREAS,
     MERGE_CHECKS,
 )
 from attesta.operators.ranking import top_k
@@ -38,9 +37,11 @@ def parse_log(log: DataFrame) -> DataFrame:
     )
 
 
-def scope_samples(commits: DataFrame, max_per_kind: int = 8) -> DataFrame:
+def scope_samples(commits: DataFrame, areas_known: tuple[str, ...], max_per_kind: int = 8) -> DataFrame:
     """Labelled scope samples, one row per sample: kind, expectation and declared areas.
 
+    `areas_known` are the top-level areas tried, in order, for a file that no declared scope contains.
+
     commits(commit_no, sha, path) in long form. A sample is described by aggregates over its
     paths, so a commit of any size never becomes one array.
     """
@@ -48,9 +49,9 @@ def scope_samples(commits: DataFrame, max_per_kind: int = 8) -> DataFrame:
     per_commit = areas.groupBy("commit_no", "sha").agg(
         F.min("area").alias("first_area"),
         F.max("area").alias("last_area"),
-        *[F.max((F.col("area") == name).cast("int")).alias(f"has_{name}") for name in FOREIGN_AREAS],
+        *[F.max((F.col("area") == name).cast("int")).alias(f"has_{name}") for name in areas_known],
     )
-    foreign = F.coalesce(*[F.when(F.col(f"has_{name}") == 0, F.lit(name)) for name in FOREIGN_AREAS])
+    foreign = F.coalesce(*[F.when(F.col(f"has_{name}") == 0, F.lit(name)) for name in areas_known])
     several = F.col("first_area") != F.col("last_area")
     options = F.array_compact(
         F.array(
@@ -102,17 +103,26 @@ def check_scope(changed: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def check_architecture(files: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """files(change_id, path, text) against (label, path glob, forbidden regex) rules."""
-    inspected, violated = F.lit(0), F.lit(0)
+    """files(change_id, path, text) against (label, path glob, forbidden regex) rules.
+
+    A file that a rule covers and whose text is missing cannot be verified, so its change does not pass.
+    """
+    inspected, violated, unread = F.lit(0), F.lit(0), F.lit(0)
     for _, glob, pattern in rules:
         applies = F.col("path").rlike(glob_to_regex(glob)) & ~F.col("path").contains("__pycache__")
         inspected = inspected + applies.cast("int")
-        violated = violated + (applies & F.col("text").rlike("(?m)" + pattern)).cast("int")
-    tally = files.groupBy("change_id").agg(F.sum(inspected).alias("inspected"), F.sum(violated).alias("violations"))
+        violated = violated + F.coalesce(applies & F.col("text").rlike("(?m)" + pattern), F.lit(False)).cast("int")
+        unread = unread + (applies & F.col("text").isNull()).cast("int")
+    tally = files.groupBy("change_id").agg(
+        F.sum(F.coalesce(inspected, F.lit(0))).alias("inspected"), F.sum(violated).alias("violations"),
+        F.sum(F.coalesce(unread, F.lit(0))).alias("_unread"),
+    )
     return tally.withColumn("check", F.lit("ARCHITECTURE_OK")).withColumn(
         "decision",
-        F.when(F.col("inspected") == 0, F.lit("cannot_verify")).when(F.col("violations") > 0, F.lit("fail")).otherwise(F.lit("pass")),
-    )
+        F.when(F.col("violations") > 0, F.lit("fail"))
+        .when((F.col("inspected") == 0) | (F.col("_unread") > 0), F.lit("cannot_verify"))
+        .otherwise(F.lit("pass")),
+    ).drop("_unread")
 
 
 def check_tests(output: Column, exit_code: Column) -> Column:

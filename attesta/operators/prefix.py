@@ -1,41 +1,59 @@
 """Matching strings that start with each other, rewritten as equi joins.
 
-A `startswith` join plans as a nested loop over all pairs. Here a string is expanded into its
-prefixes and matched on a 64-bit hash of (day, direction, prefix). The full strings are compared
-afterwards, so a hash collision cannot match. The expansion is linear: one row per character.
+A `startswith` join plans as a nested loop over all pairs. Here a string is expanded into hashes of
+its prefixes, eight bytes for each character, and never into copies of itself. The full strings are
+compared afterwards, so a hash collision cannot match.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXTENDS = "E"     # the target continues a known string
-TRUNCATES = "T"   # a known string continues the target
-SETTLED = "S"     # keeps a row that needs no match away from every other key
 
+def probe(text: Column) -> Column:
+    """What a string of a day is looked up by."""
+    return F.xxhash64(F.col("day"), text)
 
-def probe(direction: str, text: Column) -> Column:
-    return F.xxhash64(F.col("day"), F.lit(direction), text)
 
+def prefix_probes(text: Column, sizes: Column) -> Column:
+    """Probes of the proper prefixes of `text` that have one of the given sizes."""
+    return F.transform(F.filter(sizes, lambda n: n < F.length(text)), lambda n: probe(F.substring(text, F.lit(1), n)))
 
-def prefix_probes(direction: str, text: Column, shortest: int) -> Column:
-    """Probes of the proper prefixes of `text` that have at least `shortest` characters."""
-    longest = F.length(text) - 1
-    sizes = F.when(longest >= shortest, F.sequence(F.lit(shortest), longest)).otherwise(F.array().cast("array<int>"))
-    return F.transform(sizes, lambda n: probe(direction, F.substring(text, F.lit(1), n)))
 
+def with_sizes(rows: DataFrame, of: DataFrame, text: str) -> DataFrame:
+    """Rows with `sizes`, the distinct lengths of `of`.text: a scalar, at most as long as the longest string."""
+    sizes = of.select(F.length(text).alias("n")).agg(F.array_sort(F.collect_set("n")))
+    return rows.withColumn("sizes", sizes.scalar())
 
-def target_probes(text: Column, shortest_known: int) -> Column:
-    """What a target looks for: known strings it continues, and known strings that continue it."""
-    return F.concat(prefix_probes(EXTENDS, text, shortest_known), F.array(probe(TRUNCATES, text)))
 
+def nearest_extended(targets: DataFrame, text: str, known: DataFrame, shortest: int) -> DataFrame:
+    """(day, text, real): for each target the longest known string that it continues.
 
-def known_probes(text: Column, shortest_target: int) -> Column:
-    """Where a known string can be found: as itself, and under each of its prefixes."""
-    return F.concat(F.array(probe(EXTENDS, text)), prefix_probes(TRUNCATES, text, shortest_target))
+    Targets are expanded, known strings are not; a known string has one row for its probe.
+    """
+    own = known.filter(F.length("canonical") >= shortest)
+    rows = with_sizes(targets, own, "canonical").select("day", text, F.explode(prefix_probes(F.col(text), F.col("sizes"))).alias("probe"))
+    names = own.select(F.col("day").alias("k_day"), probe(F.col("canonical")).alias("probe"), F.col("canonical").alias("real"))
+    met = rows.join(names, "probe").filter((F.col("day") == F.col("k_day")) & F.col(text).startswith(F.col("real")))
+    return met.groupBy("day", text).agg(F.max_by("real", F.length("real")).alias("real"))
 
 
-def is_prefix_pair(target: Column, known: Column) -> Column:
-    """Exact test behind the hash: one string starts with the other and they differ."""
-    return (target != known) & (target.startswith(known) | known.startswith(target))
+def nearest_continuing(targets: DataFrame, text: str, known: DataFrame, shortest: int) -> DataFrame:
+    """(day, text, real): for each target the known string that continues it, the longest, then first by name.
+
+    Known strings are expanded only to lengths some target has, as hashes with their own name's hash, and
+    only those a target asks for fetch their text. The best of each probe is picked by an aggregate,
+    which combines in the map tasks, before it meets the target: a prefix that all known strings share
+    is one row there.
+    """
+    asked = targets.filter(F.length(text) >= shortest)
+    wanted = asked.select("day", text, probe(F.col(text)).alias("probe"))
+    spread = with_sizes(known, asked, text).select(
+        probe(F.col("canonical")).alias("name"), F.explode(prefix_probes(F.col("canonical"), F.col("sizes"))).alias("probe")
+    )
+    used = spread.join(wanted.select("probe").distinct(), "probe", "left_semi")
+    texts = known.select(probe(F.col("canonical")).alias("name"), F.col("day").alias("k_day"), F.col("canonical").alias("real"))
+    best = used.join(texts, "name").groupBy("probe", "k_day").agg(F.min(F.struct((-F.length("real")).alias("n"), "real")).alias("best"))
+    met = wanted.join(best.select("probe", "k_day", "best.real"), "probe")
+    return met.filter((F.col("day") == F.col("k_day")) & F.col("real").startswith(F.col(text))).select("day", text, "real")

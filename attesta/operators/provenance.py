@@ -1,8 +1,8 @@
 """Does a cited URL trace back to what was captured that day?
 
 Inputs:  citations(day, url, ...)   known(day, canonical) distinct
-The ladder works on distinct (day, target) pairs with two equi joins; targets the first one
-settles are not expanded for the second. Verdicts are joined back to the citations.
+The ladder works on distinct (day, target) pairs with equi joins; targets the first one settles
+are not expanded for the others. Verdicts are joined back to the citations.
 """
 
 from __future__ import annotations
@@ -17,13 +17,8 @@ from attesta.functions.urls import (
     strip_arxiv_version,
 )
 from attesta.functions.vocabulary import MIN_PREFIX_LENGTH
-from attesta.operators.prefix import (
-    SETTLED,
-    is_prefix_pair,
-    known_probes,
-    probe,
-    target_probes,
-)
+from attesta.operators.prefix import nearest_continuing, nearest_extended
+from attesta.session import materialise
 
 # Result of a rung: decision, reason, failure class, drift.
 _RUNGS = {
@@ -49,31 +44,14 @@ def _pick(index: int) -> Column:
     return value
 
 
-def _ambiguous(settled: DataFrame, known: DataFrame, text: str, shortest_known: int, shortest_target: int) -> DataFrame:
-    """Settled rows, joined by prefix to `known.canonical` where `open` is true.
-
-    Rows with a verdict pass through on a probe of their own, so one plan carries both and no
-    null key gathers in one task.
-    """
-    column = F.col(text)
-    wanted = F.when(F.col("open"), target_probes(column, shortest_known)).otherwise(F.array(probe(SETTLED, column)))
-    places = known.filter(F.length("canonical") >= shortest_known).select(
-        F.col("day").alias("k_day"), F.col("canonical").alias("real"),
-        F.explode(known_probes(F.col("canonical"), shortest_target)).alias("probe"),
-    )
-    found = settled.select("*", F.explode(wanted).alias("probe")).join(places, "probe", "left")
-    sound = (F.col("day") == F.col("k_day")) & is_prefix_pair(column, F.col("real"))
-    return found.withColumn("real", F.when(F.coalesce(sound, F.lit(False)), F.col("real"))).drop("probe", "k_day")
-
-
 def classify_targets(
     targets: DataFrame, known: DataFrame, min_length: int = MIN_PREFIX_LENGTH
 ) -> DataFrame:
     """(day, target) -> rung and matched URL. `targets` must be distinct and already canonical.
 
-    Two equi joins. The first settles equality, paper versions and extra query parameters
-    together; only targets it leaves open are expanded into prefixes for the second. The best
-    rung wins, then the longest captured URL, then the first by name.
+    The first join settles equality, paper versions and extra query parameters together; captured
+    URLs that share a bare path are one row there, the best of them. Only targets it leaves open are
+    matched by prefix. The best rung wins, then the longest captured URL, then the first by name.
     """
     has_query = F.instr("target", "?") > 0
     stripped = strip_arxiv_version(F.col("target"))
@@ -90,7 +68,13 @@ def classify_targets(
             F.when(bare != F.col("canonical"), F.struct(F.lit(True).alias("cut"), bare.alias("key"))),
         )
     )
-    named = known.select("day", "canonical", F.explode(names).alias("n")).select("day", "canonical", "n.*")
+    # The best of each key is picked before the join; the aggregate combines in the map tasks.
+    named = (
+        known.select("day", "canonical", F.explode(names).alias("n"))
+        .groupBy("day", F.col("n.key").alias("key"), F.col("n.cut").alias("cut"))
+        .agg(F.min(F.struct((-F.length("canonical")).alias("n"), "canonical")).alias("b"))
+        .select("day", "key", "cut", "b.canonical")
+    )
     joined = (
         targets.select("day", "target", F.explode(keys).alias("k"))
         .select("day", "target", "k.*")
@@ -108,17 +92,16 @@ def classify_targets(
         "day", "target", F.substring("best.rung", 2, 20).alias("rung"), "best.matched",
         F.col("best").isNull().alias("open"),
     )
-    way = F.when(F.col("target").startswith(F.col("real")), F.lit("extends")).otherwise(F.lit("truncates"))
-    closest = F.struct((-F.length("real")).alias("n"), F.col("real").alias("matched"), way.alias("rung"))
-    final = (
-        _ambiguous(settled, known, "target", min_length, 1)
-        .groupBy("day", "target")
-        .agg(
-            F.first("rung").alias("rung"),
-            F.first("matched").alias("matched"),
-            F.min(F.when(F.col("real").isNotNull(), closest)).alias("near"),
-        )
-    )
+    settled = materialise(settled, "settled")
+    open_targets = settled.filter("open").select("day", "target")
+    extends = nearest_extended(open_targets, "target", known, min_length).withColumnRenamed("real", "extends")
+    long_enough = known.filter(F.length("canonical") >= min_length)
+    truncates = nearest_continuing(open_targets, "target", long_enough, 1).withColumnRenamed("real", "truncates")
+    closest = F.least(*[
+        F.when(F.col(way).isNotNull(), F.struct((-F.length(way)).alias("n"), F.col(way).alias("matched"), F.lit(way).alias("rung")))
+        for way in ("extends", "truncates")
+    ])
+    final = settled.join(extends, ["day", "target"], "left").join(truncates, ["day", "target"], "left").withColumn("near", closest)
     return final.select(
         "day", "target",
         F.coalesce("rung", "near.rung", F.lit("none")).alias("rung"),
@@ -151,11 +134,15 @@ def legacy_citations(citations: DataFrame, known: DataFrame) -> DataFrame:
         .agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
         .withColumn("open", ~F.col("hit") & (F.length("base") > MIN_PREFIX_LENGTH))
     )
-    verdicts = (
-        _ambiguous(settled, known, "base", 1, MIN_PREFIX_LENGTH + 1)
-        .groupBy("day", "legacy_target")
-        .agg(F.max(F.col("hit") | F.col("real").isNotNull()).alias("passed"))
-        .select("day", "legacy_target", F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("decision"))
+    settled = materialise(settled, "settled")
+    bases = settled.filter("open").select("day", "base").distinct()
+    near = (
+        nearest_extended(bases, "base", known, 1).unionByName(nearest_continuing(bases, "base", known, MIN_PREFIX_LENGTH + 1))
+        .select("day", "base", F.lit(True).alias("near")).distinct()
+    )
+    passed = F.col("hit") | F.coalesce(F.col("near") & F.col("open"), F.lit(False))
+    verdicts = settled.join(near, ["day", "base"], "left").groupBy("day", "legacy_target").agg(F.max(passed).alias("passed")).select(
+        "day", "legacy_target", F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("decision")
     )
     return aimed.join(verdicts, ["day", "legacy_target"], "left").drop("legacy_target")
 

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 
 from attesta.session import materialise
 
-# Split points taken per hot group, and the size from which a group counts as hot.
-SLICES = 256
-HOT_GROUP_ROWS = 1_000_000
-
 
 def top_k(df: DataFrame, k: int, keys: list[str], order: list[Column], rank_name: str = "rank") -> DataFrame:
     """First k rows per group, with their rank. `order` must be total.
@@ -45,53 +41,34 @@ def earliest_by(df: DataFrame, keys: list[str], order: list[str], values: list[s
     )
 
 
-def _with_slice(
-    df: DataFrame, keys: list[str], position: str, hot_rows: int, slices: int
-) -> DataFrame:
-    """Add `_slice`: 0 for ordinary groups, an ordered range number inside hot ones.
-
-    Split points are approximate percentiles of `position`, one mergeable sketch per hot group;
-    other groups are only counted.
-    """
-    cuts = F.percentile_approx(F.col(position), [(i + 1) / slices for i in range(slices - 1)], 10_000)
-    points = F.array_distinct(cuts.cast("array<bigint>")).alias("_cuts")
-    if keys:
-        hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(*keys)
-        joined = df.join(df.join(hot, keys, "left_semi").groupBy(*keys).agg(points), keys, "left")
-    else:
-        joined = df.crossJoin(F.broadcast(df.agg(points)))
-    pos = F.col(position)
-    number = F.size(F.filter("_cuts", lambda cut: cut < pos))
-    return joined.withColumn("_slice", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(number)).drop("_cuts")
-
-
 def row_numbers(
-    df: DataFrame,
-    keys: list[str],
-    position: str,
-    name: str = "row_number",
-    ties: tuple[str, ...] = (),
-    hot_rows: int = HOT_GROUP_ROWS,
-    slices: int = SLICES,
+    df: DataFrame, keys: list[str], position: str, name: str = "row_number", ties: tuple[str, ...] = ()
 ) -> DataFrame:
     """row_number over (keys, position, ties) without putting a hot group into one task.
 
-    `position` is a bigint and, with `ties`, a total order of its group. Each hot group is cut
-    into ordered slices; a slice is numbered on its own and shifted by the rows in the slices
-    before it. With no keys the whole table is one group and this is a global numbering.
+    (keys, position, ties) is a total order; `position` may be a struct. The table is cut once into
+    ranges of that order, as many as its size asks for, and written: a group of any size spreads
+    over as many ranges as it fills. A range is numbered on its own and shifted by the rows its groups
+    have in the ranges before it, so only counts meet. With no keys this is a global numbering.
     """
-    sliced = _with_slice(df, keys, position, hot_rows, slices)
+    ranged = materialise(
+        df.repartitionByRange(*keys, position, *ties).withColumn("_slice", F.spark_partition_id()), "ranges"
+    )
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys, "_slice")
+        ranged.groupBy(*keys, "_slice")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
+    same = F.lit(True)
+    renamed = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_at"), "_offset")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     local = W.partitionBy(*keys, "_slice").orderBy(position, *ties)
     return (
-        sliced.join(offsets, [*keys, "_slice"])
+        ranged.join(renamed, (F.col("_slice") == F.col("_at")) & same)
         .withColumn(name, F.row_number().over(local) + F.col("_offset"))
-        .drop("_slice", "_offset")
+        .drop("_slice", "_at", "_offset", *[f"_{k}" for k in keys])
     )
 
 

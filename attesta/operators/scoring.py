@@ -252,16 +252,19 @@ def recommendation(samples: DataFrame, thresholds: list[float]) -> DataFrame:
         F.col("attack_abstain").alias("rule_attack_abstain"),
     )
     area = auc(folded.select("expect", "probability", "n"))
+    known_rule = folded.agg(F.max(F.col("rule_probability").isNotNull()).alias("has_rule"))
     merged = (
         step.join(F.broadcast(j), ["cost_side", "judge_threshold"], "left")
         .join(F.broadcast(r), "cost_side", "left")
         .crossJoin(F.broadcast(area.select("auc")))
+        .crossJoin(F.broadcast(known_rule))
     )
     judge_better = (F.col("judge_leak") < F.col("rule_leak")) | (
         (F.col("judge_leak") == F.col("rule_leak")) & (F.col("judge_blocked") < F.col("rule_blocked"))
     )
     verdict = (
-        F.when(F.col("judge_threshold").isNull(), F.lit("no_point"))
+        F.when(~F.coalesce("has_rule", F.lit(False)), F.lit("no_rule_baseline"))
+        .when(F.col("judge_threshold").isNull(), F.lit("no_point"))
         .when(F.col("auc") < 0.6, F.lit("unusable"))
         .when(judge_better, F.lit("judge_wins"))
         .otherwise(F.lit("rule_wins"))

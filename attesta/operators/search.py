@@ -96,8 +96,12 @@ def search(entries: DataFrame, query: str, limit: int = 10, kind: str | None = N
         return fallback.orderBy(F.desc("date"), "path").limit(limit)
     # Statistics come from all entries, hits only from the chosen kind.
     scores = ranked(entries, terms, "path", F.concat_ws(" ", "title", "body"))
-    hits = chosen.join(scores, "path").select(*head, snippet(F.col("body"), terms).alias("excerpt"), "score")
-    best = hits.orderBy(F.desc("score"), "path").limit(limit)
+    if kind:
+        scores = scores.join(chosen.select("path"), "path", "left_semi")
+    # The best are picked on the narrow scores; bodies are fetched for `limit` rows only.
+    top = scores.orderBy(F.desc("score"), "path").limit(limit)
+    best = chosen.join(F.broadcast(top), "path").select(*head, snippet(F.col("body"), terms).alias("excerpt"), "score")
+    best = best.orderBy(F.desc("score"), "path").limit(limit)
     found = best.agg((F.count(F.lit(1)) > 0).alias("ranked"))
     rest = fallback.orderBy(F.desc("date"), "path").limit(limit).crossJoin(F.broadcast(found)).filter("not ranked").drop("ranked")
     return best.unionByName(rest)

@@ -66,9 +66,17 @@ def build_sheet(selected: DataFrame, unselected: DataFrame, sample: int = 100, s
     return numbered.withColumn("case_id", F.format_string("sel-%s-%03d", F.col("day").cast("string"), F.col("case_no")))
 
 
-def unselected_candidates(rows: DataFrame, used: DataFrame, k: int = 25) -> DataFrame:
-    """High-signal capture rows the article did not reference: top k per day and bucket, then anti-join."""
+def unselected_candidates(rows: DataFrame, used: DataFrame, k: int = 25, feeds: DataFrame | None = None) -> DataFrame:
+    """High-signal capture rows the article did not reference: top k per day and bucket, then anti-join.
+
+    `feeds` (capture.feed_rows) join them as buckets named feed:<name>, ranked in feed order.
+    """
     order = [F.desc(F.coalesce("signal_number", F.lit(0.0))), F.desc(F.coalesce("signal_text", F.lit(""))), F.asc("position")]
     ranked = top_k(rows, k, ["day", "bucket"], order, "rank_in_source")
+    if feeds is not None:
+        listed = feeds.withColumn("bucket", F.concat(F.lit("feed:"), F.col("feed"))).withColumn("rank_in_source", F.col("position") + 1)
+        ranked = ranked.select("day", "bucket", "title", "url", "rank_in_source").unionByName(
+            listed.filter(F.col("rank_in_source") <= k).select("day", "bucket", "title", "url", "rank_in_source")
+        )
     trimmed = ranked.withColumn("url", F.regexp_replace(F.coalesce("url", F.lit("")), "/+$", "")).filter("url <> ''")
     return trimmed.join(used.select("day", "url").distinct(), ["day", "url"], "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.operators import contract, coverage, gates, provenance
+from attesta.operators import contract, coverage, gates, provenance, selection
 from attesta.plans import inputs, sql
 from attesta.plans.registry import query
 from attesta.session import materialise, table
@@ -32,7 +32,7 @@ def _pair(zh: Column, en: Column | None = None) -> Column:
 def _item(line: Column, i: Column) -> Column:
     size = F.length(line)
     body = (
-        F.when(size < 5, F.lit('"meta":1'))
+        F.when(size < 5, F.lit('"remark":1'))
         .when(size % 4 == 0, F.concat(F.lit('"prose":'), _pair(line, line)))
         .when(size % 8 == 1, F.concat(F.lit('"fields":[{"label":{"zh":"L","en":"L"},"value":'), _pair(line), F.lit("}]")))
         .when(size % 4 == 1, F.concat(F.lit('"fields":[{"label":{"zh":"L","en":"L"},"value":'), _pair(line, line), F.lit("}]")))
@@ -144,11 +144,12 @@ _DEPTH = f"""{_LINES}, depth AS (SELECT doc_id, count(*) AS items, count(*) FILT
 
 @query(
     "article_depth_gate",
-    f"""WITH {_DEPTH} SELECT doc_id AS day, items::BIGINT AS items, with_limit::BIGINT AS with_limit, without_substance::BIGINT AS without_substance,
-round_even(with_limit / items::DOUBLE, 3) AS limit_ratio, round_even(with_limit / items::DOUBLE, 3) < 0.6 AS below_target, 'pass' AS decision FROM depth""",
+    f"""WITH {_DEPTH} SELECT d.doc_id AS day, coalesce(items, 0)::BIGINT AS items, coalesce(with_limit, 0)::BIGINT AS with_limit, coalesce(without_substance, 0)::BIGINT AS without_substance,
+coalesce(round_even(with_limit / items::DOUBLE, 3), 1) AS limit_ratio, coalesce(round_even(with_limit / items::DOUBLE, 3), 1) < 0.6 AS below_target, 'pass' AS decision
+FROM documents d LEFT JOIN depth USING (doc_id)""",
 )
 def article_depth_gate(spark, root):
-    return contract.depth_gate(contract.flatten_items(articles(spark, root)))
+    return contract.depth_gate(articles(spark, root))
 
 
 _BRIEF = f"""{_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i % 2, i) AS place FROM items),
@@ -206,10 +207,13 @@ def json_gate(spark, root):
 
 @query(
     "json_props",
-    "SELECT event_type, count(*)::BIGINT AS events, sum((props->>'$.k')::BIGINT)::BIGINT AS k_sum, 0::BIGINT AS malformed FROM events GROUP BY 1",
+    """SELECT event_type, count(*)::BIGINT AS events, sum((props->>'$.k')::BIGINT) FILTER ((props->>'$.k')::BIGINT % 17 <> 0)::BIGINT AS k_sum,
+count(*) FILTER ((props->>'$.k')::BIGINT % 17 = 0)::BIGINT AS malformed FROM events GROUP BY 1""",
 )
 def json_props(spark, root):
-    parsed = table(spark, root, "events").select("event_type", F.try_parse_json("props").alias("v"))
+    """Properties of each event; where k is a multiple of 17 the text arrives cut short and is counted as malformed."""
+    cut = F.when(F.get_json_object("props", "$.k").cast("long") % 17 == 0, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
+    parsed = table(spark, root, "events").select("event_type", F.try_parse_json(cut).alias("v"))
     return parsed.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("events"), F.sum(F.try_variant_get("v", "$.k", "long")).alias("k_sum"),
         F.count_if(F.col("v").isNull()).alias("malformed"),
@@ -321,7 +325,7 @@ def _captures(spark, root):
 
     links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), entry)
     doc = F.to_json(F.struct(
-        links.alias("hn"), F.struct(F.array(F.struct(F.col("url").alias("source_url"), F.lit("2024-01-01").alias("date"))).alias("site")).alias("feeds"),
+        links.alias("hn"), F.struct(F.array(F.struct(F.col("url").alias("url"), F.lit("2024-01-01").alias("date"))).alias("site")).alias("feeds"),
         F.lit(5).alias("url"), F.array(F.lit("url"), F.col("url")).alias("words"),
     ))
     return table(spark, root, "pages").select(F.col("page_id").alias("day"), doc.alias("content"))
@@ -332,14 +336,14 @@ _CAP = "h AS (SELECT page_id, url, regexp_extract_all(html, 'href=\"([^\"]*)\"',
 
 @query(
     "capture_url_walk",
-    f"""WITH {_CAP}, u AS (SELECT page_id AS day, 'https://site.example' || unnest(l) AS url FROM h
-UNION ALL SELECT page_id, 'http://deep.example/' || unnest(range(len(l)))::VARCHAR FROM h UNION ALL SELECT page_id, url FROM h)
-SELECT day, url, count(*)::BIGINT AS n FROM u GROUP BY 1, 2""",
+    f"""WITH {_CAP}, u AS (SELECT page_id AS day, 'https://site.example' || unnest(l) AS url, 2 * unnest(range(len(l))) AS pos FROM h
+UNION ALL SELECT page_id, 'http://deep.example/' || unnest(range(len(l)))::VARCHAR, 2 * unnest(range(len(l))) + 1 FROM h UNION ALL SELECT page_id, url, 2 * len(l) FROM h)
+SELECT day, url, count(*)::BIGINT AS n, min(pos)::INTEGER AS first_at FROM u GROUP BY 1, 2""",
 )
 def capture_url_walk(spark, root):
     """Addresses at any depth; look-alikes inside strings and non-string values are not taken."""
     found = capture.capture_urls(_captures(spark, root), http_only=True)
-    return found.groupBy("day", "url").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy("day", "url").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("first_at"))
 
 
 @query(
@@ -375,6 +379,47 @@ def capture_feeds(spark, root):
     return capture.feed_rows(_captures(spark, root)).select("day", "feed", "dated")
 
 
+@query(
+    "capture_unselected",
+    f"""WITH {_CAP}, r AS (SELECT page_id, 'https://site.example' || unnest(l) AS url, unnest(l) AS title, unnest(range(len(l))) AS position, len(l) AS n FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(title) DESC, position) AS rank FROM r QUALIFY rank <= 4)
+SELECT page_id AS day, 'hn' AS bucket, regexp_replace(url, '/+$', '') AS url, rank::INTEGER AS rank_in_source FROM k WHERE position % 2 = 1
+UNION ALL SELECT page_id, 'feed:site', regexp_replace(url, '/+$', ''), 1 FROM h WHERE page_id % 3 <> 0""",
+)
+def capture_unselected(spark, root):
+    """The strongest capture rows and feed entries that an article left out: it cites every other link, and every third feed."""
+    captures = _captures(spark, root)
+    rows = capture.signal_rows(captures).filter("bucket = 'hn'")
+    cited = rows.filter("position % 2 = 0").select("day", F.regexp_replace("url", "/+$", "").alias("url"), F.col("position").alias("at"))
+    # A link may stand at several places: those at odd ones count as left out, as their places are cited by none.
+    own = rows.withColumn("url", F.concat("url", F.lit("#"), F.col("position").cast("string")))
+    feeds = capture.feed_rows(captures)
+    used = cited.select("day", F.concat("url", F.lit("#"), F.col("at").cast("string")).alias("url")).unionByName(
+        feeds.filter("day % 3 = 0").select("day", F.regexp_replace("url", "/+$", "").alias("url")))
+    found = selection.unselected_candidates(own, used, 4, feeds)
+    return found.select("day", "bucket", F.regexp_replace(F.regexp_replace("url", "#[0-9]+$", ""), "/+$", "").alias("url"), "rank_in_source")
+
+
+@query(
+    "item_unknown_keys",
+    f"""WITH {_LINES} SELECT doc_id AS day, count(*) FILTER (n < 5)::BIGINT AS with_unknown_keys, count(*)::BIGINT AS items FROM items GROUP BY 1""",
+)
+def item_unknown_keys(spark, root):
+    """Items that carry a key the contract does not name."""
+    items = contract.flatten_items(articles(spark, root))
+    return items.groupBy("day").agg(F.count_if(F.size("extra_keys") > 0).alias("with_unknown_keys"), F.count(F.lit(1)).alias("items"))
+
+
+@query(
+    "items_after_drop",
+    f"""WITH {_LINES} SELECT doc_id AS day, count(*)::BIGINT AS items FROM items WHERE n % 4 <> 1 OR n < 5 GROUP BY 1""",
+)
+def items_after_drop(spark, root):
+    """Items that stay when the locations of all items written as fields are dropped."""
+    items = materialise(contract.flatten_items(articles(spark, root)).select("day", "location", "variant"), "items")
+    return contract.drop_items(items, items.filter("variant = 'fields'")).groupBy("day").agg(F.count(F.lit(1)).alias("items"))
+
+
 # -- memory files --------------------------------------------------------------------------------
 
 

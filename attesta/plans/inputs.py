@@ -21,7 +21,6 @@ from attesta.operators.provenance import known_urls
 from attesta.session import table
 
 PAGES_PER_DAY = 100
-SUBSTANTIVE_HTML = 2000  # an article cites the pages of its day with this much text
 
 
 def captured(spark: SparkSession, root: str) -> DataFrame:
@@ -57,7 +56,6 @@ def article_citations(spark: SparkSession, root: str) -> DataFrame:
     """(day, position, url): what the article of each day cites, in order."""
     return (
         table(spark, root, "pages")
-        .filter(F.length("html") >= SUBSTANTIVE_HTML)
         .select(F.expr(f"page_id div {PAGES_PER_DAY}").alias("day"), F.col("page_id").alias("position"), "url")
     )
 

@@ -180,3 +180,18 @@ def refs_orphan(spark, root):
     return docs.join(table(spark, root, "labels").select("doc_id"), "doc_id", "left_anti").groupBy("lang").agg(
         F.count(F.lit(1)).alias("orphans")
     )
+
+
+@query(
+    "provenance_papers",
+    """SELECT page_id, CASE page_id % 3 WHEN 2 THEN 'fail' ELSE 'pass' END AS decision, CASE page_id % 3 WHEN 0 THEN 'arxiv_version' END AS drift FROM pages""",
+)
+def provenance_papers(spark, root):
+    """Each page as a captured paper, cited as a later version, as it is, or under a number that nothing captured has."""
+    pages = table(spark, root, "pages").select("page_id", F.expr("page_id div 100").alias("day"))
+    number = F.lpad(F.col("page_id").cast("string"), 12, "0")
+    paper = F.concat(F.lit("https://arxiv.org/abs/2601."), number)
+    cited = F.when(F.col("page_id") % 3 == 0, F.concat(paper, F.lit("v3"))).when(F.col("page_id") % 3 == 1, paper).otherwise(
+        F.concat(F.lit("https://arxiv.org/abs/2602."), number))
+    known = provenance.known_urls(pages.withColumn("url", paper))
+    return provenance.classify_citations(pages.withColumn("url", cited), known).select("page_id", "decision", "drift")

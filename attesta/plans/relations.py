@@ -296,6 +296,9 @@ def refund_violations(spark, root):
 _COMMITS = "commits AS (SELECT l_orderkey AS commit_no, p_brand AS area, p_brand || '/' || l_partkey::VARCHAR || '.py' AS path FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
+OTHER_AREAS = ("vendor", "generated")
+
+
 def _commits(spark, root):
     lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey")
     parts = table(spark, root, "part").select("p_partkey", "p_brand")
@@ -314,7 +317,7 @@ FROM s QUALIFY row_number() OVER (PARTITION BY kind ORDER BY commit_no, commit_n
 )
 def scope_labels(spark, root):
     """Scope samples from the change history, eight of each kind."""
-    return merge_review.scope_samples(_commits(spark, root)).select("sample_id", "kind", "expect")
+    return merge_review.scope_samples(_commits(spark, root), OTHER_AREAS).select("sample_id", "kind", "expect")
 
 
 @query(
@@ -327,7 +330,7 @@ SELECT kind, CASE WHEN kind = 'legit' THEN 1.0 ELSE 0.0 END::DOUBLE AS rule_prob
 def scope_rule(spark, root):
     """The free baseline: is every changed file inside the declared areas?"""
     commits = _commits(spark, root)
-    samples = merge_review.scope_samples(commits)
+    samples = merge_review.scope_samples(commits, OTHER_AREAS)
     ruled = merge_review.scope_rule_probability(merge_review.scope_files(samples, commits))
     return samples.join(ruled, "sample_id").groupBy("kind", "rule_probability").agg(F.count(F.lit(1)).alias("samples"))
 
@@ -536,7 +539,7 @@ def ledger_integrity(spark, root):
 
 @query(
     "ledger_run_status",
-    """WITH s AS (SELECT user_id AS run_id, max(CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) AS a FROM events WHERE value > 100 GROUP BY 1),
+    """WITH s AS (SELECT user_id AS run_id, max(CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END) AS a FROM events GROUP BY 1),
 g AS (SELECT user_id AS run_id, max(CASE WHEN event_type = 'purchase' AND value >= 300 THEN 2 ELSE 0 END) AS b FROM events GROUP BY 1)
 SELECT coalesce(s.run_id, g.run_id) AS run_id, ['success', 'degraded', 'failed'][greatest(coalesce(a, 0), coalesce(b, 0)) + 1] AS status FROM s FULL OUTER JOIN g ON s.run_id = g.run_id""",
 )
@@ -544,7 +547,7 @@ def ledger_run_status(spark, root):
     """failed > degraded > success over steps and required validations."""
     events = table(spark, root, "events")
     kind = F.col("event_type")
-    steps = events.filter("value > 100").select(
+    steps = events.select(
         F.col("user_id").alias("run_id"), F.when(kind == "error", "failed").otherwise("ok").alias("status"), (kind == "click").alias("degraded")
     )
     validations = events.select(F.col("user_id").alias("run_id"), (kind == "purchase").alias("required"), (F.col("value") < 300).alias("ok"))
@@ -584,23 +587,24 @@ def experiment_pareto(spark, root):
 
 @query(
     "experiment_arm_runs",
-    f"""WITH {sql.RUNS} SELECT run_id, task FROM runs WHERE starts_with(experiment, 'exp-s') ORDER BY started_at DESC, run_id DESC LIMIT 500""",
+    f"""WITH {sql.RUNS} SELECT run_id, task, tokens_in > 20 AS validators_ok, 1.0::DOUBLE AS verifiable_ratio FROM runs WHERE starts_with(experiment, 'exp-s')""",
 )
 def experiment_arm_runs(spark, root):
-    """The newest runs of an experiment with the outcome of their required gates."""
+    """All runs of an experiment with the outcome of their required gates."""
     runs = inputs.runs(spark, root)
     gates_of = runs.select("run_id", F.lit("verifiable").alias("name"), (F.col("tokens_in") > 20).alias("ok"), F.lit(True).alias("required"), F.lit(1.0).alias("verifiable_ratio"))
-    return experiment.arm_runs(runs, gates_of, "exp-s").select("run_id", "task")
+    return experiment.arm_runs(runs, gates_of, "exp-s").select("run_id", "task", "validators_ok", "verifiable_ratio")
 
 
 @query(
     "token_costs",
-    f"""WITH {sql.RUNS} SELECT run_id, round_even(tokens_in / 1e6 * 0.30 + tokens_out / 1e6 * 1.20, 6) AS cost, false AS over FROM runs""",
+    f"""WITH {sql.RUNS} SELECT run_id, round_even(tokens_in / 1e6 * 0.30 + tokens_out / 1e6 * 1.20, 6) AS cost,
+round_even(tokens_in / 1e6 * 0.30 + tokens_out / 1e6 * 1.20, 6) > 0.0001 AS over FROM runs""",
 )
 def token_costs(spark, root):
     """Model cost per run at fixed prices, and whether one run passes its own ceiling."""
     cost = parsing.token_cost(F.col("tokens_in"), F.col("tokens_out"), 0.30, 1.20)
-    return inputs.runs(spark, root).select("run_id", cost.alias("cost")).withColumn("over", parsing.over_budget(F.col("cost"), 1.0))
+    return inputs.runs(spark, root).select("run_id", cost.alias("cost")).withColumn("over", parsing.over_budget(F.col("cost"), 0.0001))
 
 
 # -- memory search -------------------------------------------------------------------------------

@@ -203,18 +203,19 @@ def dedup_gate(spark, root):
     "prob_parse",
     r"""WITH t AS (SELECT doc_id, regexp_extract(text, '(?:^|[^0-9])([0-9]{1,3}(?:\.[0-9]+)?)(?:[^0-9]|$)', 1) AS tok FROM (
   SELECT doc_id, 'p = ' || n_chars::VARCHAR || ' of ' || (n_chars % 101)::VARCHAR || '.' AS text FROM documents
-  UNION ALL SELECT doc_id + 1000000000, '0.' || n_chars::VARCHAR FROM documents))
+  UNION ALL SELECT doc_id + 1000000000, '0.' || n_chars::VARCHAR FROM documents UNION ALL SELECT doc_id + 2000000000, text FROM documents))
 SELECT doc_id, CASE WHEN tok = '' THEN NULL WHEN instr(tok, '.') > 0 THEN CASE WHEN tok::DOUBLE BETWEEN 0 AND 1 THEN round_even(tok::DOUBLE, 4) END
   WHEN tok::DOUBLE BETWEEN 0 AND 100 THEN round_even(tok::DOUBLE / 100, 4) END AS probability FROM t""",
 )
 def prob_parse(spark, root):
-    """Two replies made from each document's length: whole numbers in words, and a fraction."""
-    docs = table(spark, root, "documents").select("doc_id", F.col("n_chars").alias("n"))
+    """Three replies of each document: its length in words, as a fraction, and its whole text."""
+    docs = table(spark, root, "documents").select("doc_id", "text", F.col("n_chars").alias("n"))
     wordy = F.concat(F.lit("p = "), F.col("n").cast("string"), F.lit(" of "), (F.col("n") % 101).cast("string"), F.lit("."))
     fraction = F.concat(F.lit("0."), F.col("n").cast("string"))
     replies = docs.select(F.explode(F.array(
         F.struct(F.col("doc_id").alias("doc_id"), wordy.alias("reply")),
         F.struct((F.col("doc_id") + 1_000_000_000).alias("doc_id"), fraction.alias("reply")),
+        F.struct((F.col("doc_id") + 2_000_000_000).alias("doc_id"), F.col("text").alias("reply")),
     )).alias("r")).select("r.*")
     return replies.select("doc_id", parsing.parse_probability(F.col("reply")).alias("probability"))
 
@@ -260,14 +261,15 @@ def marker_rewrite(spark, root):
 
 @query(
     "secret_arguments",
-    """SELECT event_type, count(*)::BIGINT AS calls, 2::BIGINT AS kept_arguments FROM events GROUP BY event_type""",
+    """SELECT event_type, count(*)::BIGINT AS calls, sum(CASE WHEN (props->>'$.k')::BIGINT < 10 THEN 1 ELSE 2 END)::BIGINT AS kept_arguments FROM events GROUP BY event_type""",
 )
 def secret_arguments(spark, root):
-    """Arguments of each event as a tool call: of four names two look like secrets and go."""
+    """Arguments of each event as a tool call: its properties, and its user under a name that looks like a secret where k < 10."""
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "long")
+    name = F.when(k < 10, F.concat(F.col("event_type"), F.lit("_Token"))).otherwise(F.col("event_type"))
     arguments = F.create_map(
-        F.lit("path"), "props", F.lit("api_Token"), "props", F.lit("user"), F.col("user_id").cast("string"),
-        F.lit("AUTHORIZATION"), F.col("event_type"),
+        F.lit("path"), "props", name, F.col("user_id").cast("string"), F.lit("AUTHORIZATION"), F.col("event_type"),
     )
     kept = F.size(parsing.drop_secrets(arguments)).cast("long")
     calls = table(spark, root, "events").select("event_type", kept.alias("n"))
-    return calls.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.max("n").alias("kept_arguments"))
+    return calls.groupBy("event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum("n").alias("kept_arguments"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -47,7 +48,8 @@ _own_folders: dict[str, str] = {}
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir; one of our own only if unset.
 
-    Our own folder is for local masters, as in tests; on a cluster it would not be shared.
+    Our own folder is for local masters, as in tests, and goes when the process ends; on a cluster it
+    would not be shared, so there it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -59,17 +61,33 @@ def checkpoint_folder(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
-        _own_folders[application] = tempfile.mkdtemp(prefix="attesta-checkpoint-")
+        own = tempfile.mkdtemp(prefix="attesta-checkpoint-")
+        _own_folders[application] = own
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
     return _own_folders[application]
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+_written: dict[str, list[str]] = {}
+
+
+def materialise(df: DataFrame, name: str = "step", folder: str | None = None) -> DataFrame:
     """Write a table several later steps read, and continue from the written copy.
 
     Cuts the lineage, so nothing upstream runs twice and a lost executor costs only its own
     tasks. A columnar table keeps pruning and sizes, and unlike checkpoint() computes its input
-    once.
+    once. `folder` is where it goes, else the checkpoint folder; `forget` deletes what was written.
     """
-    path = os.path.join(checkpoint_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = f"{(folder or checkpoint_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables this application has written so far; plans that read them are void afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)

@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 from attesta.functions.vocabulary import CAPTURE_SIGNALS, URL_KEYS
 
 
+#: Stand-ins for escaped quotes and backslashes while a text is searched; JSON texts hold no raw control characters.
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+
+
 def harvest_urls(content: Column) -> Column:
-    """Every string under a URL key of a JSON text, at any depth: array<string>.
+    """Every string under a URL key of a JSON text, at any depth, in document order: array<string>.
 
-    The text is parsed and written again, which makes keys and escapes uniform. In that form a
-    member name is a quoted word after '{' or ',' and before ':', which text inside a string
-    cannot imitate because its quotes are escaped. One regex therefore walks the document; no
-    recursion, and NULL for malformed input.
+    Escaped backslashes and quotes are swapped for control characters, which well-formed JSON never
+    holds; then every quotation mark delimits a string, and a member name is a quoted word behind
+    '{' or ',' and before ':'. One pattern of plain character classes walks the text as it stands: no
+    recursion on long values. NULL for malformed input. Keys written with escapes are not recognised.
     """
-    uniform = F.to_json(F.try_parse_json(content))
-    pattern = r'(?<=[{,])"(?:' + "|".join(URL_KEYS) + r')":"((?:[^"\\]|\\.)*)"'
-    raw = F.regexp_extract_all(uniform, F.lit(pattern), F.lit(1))
-    return F.transform(
+    marked = F.replace(F.replace(content, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+    pattern = r'(?<=[{,\s])"(?:' + "|".join(URL_KEYS) + r')"\s*+:\s*+"([^"]*+)"'
+    raw = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
+    plain = lambda text: F.replace(F.replace(text, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+    found = F.transform(
         raw,
-        lambda text: F.when(F.instr(text, "\\") == 0, text).otherwise(
-            F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), text, F.lit('"'))), "$", "string")
+        lambda text: F.when(~text.rlike(r"[\x01\x02\\]"), text).otherwise(
+            F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), plain(text), F.lit('"'))), "$", "string")
         ),
     )
+    return F.when(F.try_parse_json(content).isNotNull(), found)
 
 
 def capture_urls(captures: DataFrame, http_only: bool = False) -> DataFrame:
@@ -103,9 +109,13 @@ EVIDENCE_UNRANKED = ("techmeme", "tweets_recent")
 
 
 def prefilter(rows: DataFrame) -> DataFrame:
-    """The evidence rows of a day: each bucket's own limit, by its signal or in capture order."""
+    """The evidence rows of a day: each bucket's own limit, by its signal or in capture order.
+
+    A bucket without a limit keeps all its rows.
+    """
     from attesta.operators.ranking import top_k
 
+    limited = F.col("bucket").isin(*EVIDENCE_LIMITS)
     limit = F.lit(0)
     for bucket, count in EVIDENCE_LIMITS.items():
         limit = F.when(F.col("bucket") == bucket, F.lit(count)).otherwise(limit)
@@ -116,4 +126,5 @@ def prefilter(rows: DataFrame) -> DataFrame:
         F.asc("position"),
     ]
     most = max(EVIDENCE_LIMITS.values())
-    return top_k(rows, most, ["day", "bucket"], order, "n").filter(F.col("n") <= limit)
+    cut = top_k(rows.filter(limited), most, ["day", "bucket"], order, "n").filter(F.col("n") <= limit).drop("n")
+    return cut.unionByName(rows.filter(~F.coalesce(limited, F.lit(False))))

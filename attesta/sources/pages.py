@@ -38,20 +38,32 @@ def index_gate(pages: DataFrame, earliest: str) -> DataFrame:
     )
 
 
-def sitemap_locs(xml: Column) -> Column:
-    """Texts of all <loc> elements in any namespace."""
-    return F.transform(F.xpath(xml, F.lit('//*[local-name()="loc"]/text()')), lambda loc: strip(loc))
+def _wrapped(xml: Column) -> Column:
+    """The text without prolog and comments, as the content of one outer element."""
+    bare = F.regexp_replace(xml, r"(?s)\A\uFEFF?\s*<\?xml.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*+(?:\[[^\]]*+\])?\s*+>", "")
+    return F.concat(F.lit("<sheet>"), bare, F.lit("</sheet>"))
+
+
+def _parses(wrapped: Column) -> Column:
+    """Whether a per-row parser reads the text; mis-nesting is a NULL there and no error of the job."""
+    parsed = F.from_xml(wrapped, F.lit("_corrupt_record string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    plain = F.regexp_replace(wrapped, r"(?s)<!\[CDATA\[.*?\]\]>", "")
+    tags = F.array_join(F.regexp_extract_all(plain, F.lit("<[^<>]*+>"), F.lit(0)), " ")
+    used = F.concat(
+        F.regexp_extract_all(tags, F.lit(r"</?([A-Za-z_][\w.-]*+):"), F.lit(1)),
+        F.regexp_extract_all(tags, F.lit(r"\s([A-Za-z_][\w.-]*+):[\w.-]++\s*+="), F.lit(1)),
+    )
+    declared = F.concat(F.regexp_extract_all(tags, F.lit(r"\sxmlns:([\w.-]++)\s*+="), F.lit(1)), F.array(F.lit("xml"), F.lit("xmlns")))
+    return F.coalesce(parsed.isNotNull() & parsed["_corrupt_record"].isNull() & (F.size(F.array_except(used, declared)) == 0), F.lit(False))
 
 
-def _is_well_formed(xml: Column) -> Column:
-    """A balanced single root with matching end tag. Text is checked before XPath reads it."""
-    bare = F.regexp_replace(xml, r"(?s)<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>", "")
-    opened = F.size(F.regexp_extract_all(bare, F.lit(r"<[A-Za-z_][^<>]*(?<!/)>"), F.lit(0)))
-    closed = F.size(F.regexp_extract_all(bare, F.lit(r"</[A-Za-z_][^<>]*>"), F.lit(0)))
-    root = F.regexp_extract(bare, r"(?s)\A\s*<([A-Za-z_][\w:.-]*)", 1)
-    ends = F.regexp_extract(bare, r"(?s)</([A-Za-z_][\w:.-]*)\s*>\s*\z", 1)
-    loose = F.regexp_replace(bare, r"&(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);", "").contains("&")
-    return (root != "") & (root == ends) & (opened == closed) & ~loose
+def sitemap_locs(xml: Column) -> Column:
+    """Texts of all <loc> elements in any namespace; NULL for a text that is not one well-formed document."""
+    wrapped = _wrapped(xml)
+    sound = F.when(_parses(wrapped), wrapped)
+    single = (F.xpath_int(sound, F.lit("count(/sheet/*)")) == 1) & ~F.array_join(F.xpath(sound, F.lit("/sheet/text()")), "").rlike(r"\S")
+    locs = F.xpath(sound, F.lit('//*[local-name()="loc"]/text()'))
+    return F.when(single, F.transform(locs, lambda loc: strip(loc)))
 
 
 def sitemap_gate(sitemaps: DataFrame, max_bytes: int = MAX_SITEMAP_BYTES, max_blank: int = MAX_BLANK_RUN) -> DataFrame:
@@ -59,9 +71,8 @@ def sitemap_gate(sitemaps: DataFrame, max_bytes: int = MAX_SITEMAP_BYTES, max_bl
 
     A missing folder means the check does not apply (abstain); a missing file is a failure.
     """
-    shaped = sitemaps.withColumn("well_formed", F.coalesce(_is_well_formed(F.col("content")), F.lit(False)))
-    locs = sitemap_locs(F.when(F.col("well_formed"), F.col("content")))
-    named = shaped.withColumn("locs", F.coalesce(locs, F.array().cast("array<string>")))
+    shaped = sitemaps.withColumn("found", sitemap_locs(F.col("content")))
+    named = shaped.withColumn("well_formed", F.col("found").isNotNull()).withColumn("locs", F.coalesce("found", F.array().cast("array<string>")))
     filled = F.filter("locs", lambda loc: loc != "")
     measured = named.select(
         "path", "folder_exists", "well_formed", F.col("content").isNull().alias("missing"),

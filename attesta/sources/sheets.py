@@ -50,10 +50,12 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
 
 
-def markdown(report: DataFrame, limit: int = 200) -> str:
-    """A small report as a Markdown table; reports are aggregates with a handful of rows."""
+def markdown(report: DataFrame, most: int = 10_000) -> str:
+    """A whole report as a Markdown table; one of more than `most` rows is refused, not cut."""
     names = report.columns
-    rows = report.limit(limit).collect()
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows is not a page: use write_report")
     cell = lambda v: "-" if v is None else str(v).replace("|", "/")
     head = ["| " + " | ".join(names) + " |", "|" + " --- |" * len(names)]
     return "\n".join(head + ["| " + " | ".join(cell(v) for v in row) + " |" for row in rows])

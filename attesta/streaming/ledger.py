@@ -7,7 +7,6 @@ written, so a replayed batch changes nothing.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,10 +15,12 @@ from attesta.operators.ledger import accept_once
 
 
 def _accepted(batch: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return batch.sparkSession.read.parquet(path)
-    except AnalysisException:
+    """Runs accepted so far; None only where nothing was written yet. A damaged ledger is an error."""
+    spark = batch.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.parquet(path)
 
 
 def accept_batch(path: str):
@@ -28,7 +29,9 @@ def accept_batch(path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         done = _accepted(batch, path)
         if done is not None:
-            done = done.filter(F.col("batch_id") != batch_id)
+            # Only what is accepted for the keys of this batch can matter.
+            keys = ["task", "target_date"]
+            done = done.filter(F.col("batch_id") != batch_id).join(batch.select(*keys).distinct(), keys, "left_semi")
         new = accept_once(batch, done)
         new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 

@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from attesta.functions import text as text_functions
 from attesta.operators import contract, gates
 from attesta.sources import capture, files, memory, pages, sheets
 from attesta.streaming import ledger as stream
@@ -267,3 +268,64 @@ def test_stream_accepts_each_task_and_date_once(spark, tmp_path):
     put("b", [("r2", "t", "d", "success", False, "2026-01-02 00:00:00"), ("r3", "t", "e", "degraded", False, "2026-01-02 00:00:00")])
     assert run() == ["r1", "r3"]
     assert run() == ["r1", "r3"]
+
+
+def test_every_expected_entity_has_a_result_and_a_broken_gate_blocks(spark):
+    inputs = {"articles": load(spark, article(), article())}
+    expected = spark.createDataFrame([("2026-01-01",), ("2026-01-02",), ("2026-01-09",)], "entity string")
+    names = ["structure", "verifiable"]
+    results = gates.run_gates(spark, names, inputs, expected=expected)
+    got = {(r.gate, r.entity): (r.decision, r.ok) for r in results.collect()}
+    assert len(got) == 6 and got["structure", "2026-01-01"] == ("pass", True)
+    assert got["verifiable", "2026-01-01"] == ("fail", False) and got["structure", "2026-01-09"] == ("fail", False)
+    debt = {r.day: (r.blockers, r.clean) for r in gates.content_debt(results, names).collect()}
+    assert debt == {"2026-01-01": ("verifiable", False), "2026-01-02": ("verifiable", False), "2026-01-09": ("structure,verifiable", False)}
+    loose = gates.content_debt(gates.run_gates(spark, names, inputs), names)
+    assert {r.day: r.blockers for r in loose.collect()} == {"2026-01-01": "verifiable", "2026-01-02": "verifiable"}
+    facts = spark.createDataFrame([], "entity string, raw_missing boolean, unknown_citations int, stale_citations int")
+    assert {r.release for r in gates.release_gate(loose, facts, 2).collect()} == {"block"}
+
+
+def test_depth_of_empty_and_unreadable_articles(spark):
+    rows = spark.createDataFrame([("d1", json.dumps({"sections": []})), ("d2", "{broken"), ("d3", None)], "day string, content string")
+    got = {r.day: (r.decision, r.limit_ratio, r["items"]) for r in contract.depth_gate(rows).collect()}
+    assert got == {"d1": ("pass", 1.0, 0), "d2": ("fail", 1.0, 0), "d3": ("fail", 1.0, 0)}
+
+
+@pytest.mark.parametrize("xml, urls", [
+    ("<urlset><url><loc>a</url></loc></urlset>", None), ("<urlset><url><loc>a</loc></url></urlset>", ["a"]), ("<x:urlset><x:loc>a</x:loc></x:urlset>", None),
+    ("<urlset><loc><![CDATA[a&b]]></loc></urlset>", ["a&b"]), ("<a/><b/>", None), ("<a/> tail", None), ("", None), (None, None), ("<a>&nope;</a>", None),
+])
+def test_bad_xml_is_a_result_and_no_error(spark, xml, urls):
+    row = spark.createDataFrame([(xml,)], "x string").select(pages.sitemap_locs(F.col("x")).alias("l")).first()
+    assert row.l == urls
+
+
+def test_long_values_and_runs_do_not_end_the_job(spark):
+    long = "http://a.org/" + "x" * 100_000
+    text = json.dumps({"url": 'http://first.org/"q\\', "link": long, "note": 'no "url":"http://no.org" here', "deep": [{"html_url": "http://z.org/é"}]})
+    found = spark.createDataFrame([(text,), ("{broken",), (None,)], "c string").select(capture.harvest_urls(F.col("c")).alias("u")).collect()
+    assert [r.u for r in found] == [['http://first.org/"q\\', long, "http://z.org/é"], None, None]
+    blank = spark.createDataFrame([("a" + "\n" * 100_001 + "b",), ("",), ("x\n \n\t\ny\n\n",)], "t string").select(text_functions.max_blank_run(F.col("t")).alias("n"))
+    assert [r.n for r in blank.collect()] == [100_000, 0, 2]
+
+
+def test_buckets_without_a_limit_are_kept(spark):
+    rows = spark.createDataFrame([("d", "other", "o", i, "t", "u", None, None, None, None) for i in range(40)],
+                                 "day string, bucket string, source string, position int, title string, url string, text string, date string, signal_number double, signal_text string")
+    assert capture.prefilter(rows).count() == 40
+
+
+def test_reports_are_refused_and_not_cut(spark):
+    with pytest.raises(ValueError):
+        sheets.markdown(spark.range(12), most=10)
+    assert sheets.markdown(spark.range(300)).count("\n") == 301
+
+
+def test_a_damaged_ledger_is_an_error(spark, tmp_path):
+    batch = spark.createDataFrame([], "task string, target_date date")
+    assert stream._accepted(batch, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        stream._accepted(batch, str(tmp_path / "bad")).count()

@@ -6,9 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import compose, corpus, coverage, dedup, experiment, ledger, merge_review, provenance, ranking, refund, scoring, search, selection
-from attesta.functions.vocabulary import FOREIGN_AREAS
-from attesta.operators.prefix import is_prefix_pair
+from attesta.operators import compose, corpus, coverage, dedup, experiment, ledger, merge_review, prefix, provenance, ranking, refund, scoring, search, selection
 
 
 def rows(df, *columns):
@@ -23,13 +21,13 @@ def test_row_numbers_equal_a_plain_numbering_with_hot_groups(spark):
     data = [("hot" if random.random() < 0.6 else f"k{i % 5}", i * 7 % 1009) for i in range(1000)]
     data = list({(k, p): 1 for k, p in data})
     df = spark.createDataFrame(data, "k string, p long")
-    got = rows(ranking.row_numbers(df, ["k"], "p", "n", hot_rows=50, slices=8), "k", "p", "n")
+    got = rows(ranking.row_numbers(df.repartition(4), ["k"], "p", "n"), "k", "p", "n")
     want = []
     for key in {k for k, _ in data}:
         want += [(key, p, i + 1) for i, p in enumerate(sorted(p for k, p in data if k == key))]
     assert got == sorted(want)
     everywhere = spark.createDataFrame([(p,) for p in range(500)], "p long")
-    numbered = ranking.row_numbers(everywhere, [], "p", "n", hot_rows=10, slices=16)
+    numbered = ranking.row_numbers(everywhere.repartition(5), [], "p", "n")
     assert numbered.filter("n <> p + 1").count() == 0
 
 
@@ -109,9 +107,28 @@ def test_ladder_matches_brute_force(spark):
     assert legacy == {(d, u): brute_legacy(u, per_day[d]) for d, u in set(cited)}
 
 
-def test_hash_matches_are_verified(spark):
-    df = spark.createDataFrame([("abc", "ab"), ("ab", "abc"), ("abc", "abc"), ("abc", "xy")], "t string, k string")
-    assert [r[0] for r in df.select(is_prefix_pair(F.col("t"), F.col("k"))).collect()] == [True, True, False, False]
+def test_prefix_matches_equal_brute_force(spark):
+    rng = random.Random(4)
+    known = sorted({(d, "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9)))) for d in (1, 2) for _ in range(60)})
+    asked = sorted({(d, "".join(rng.choice("ab") for _ in range(rng.randrange(1, 9)))) for d in (1, 2) for _ in range(60)})
+    k = spark.createDataFrame(known, "day int, canonical string")
+    t = spark.createDataFrame(asked, "day int, target string")
+    longer = {(d, x): [c for e, c in known if e == d and c != x and c.startswith(x)] for d, x in asked if len(x) >= 2}
+    shorter = {(d, x): [c for e, c in known if e == d and c != x and x.startswith(c) and len(c) >= 3] for d, x in asked}
+    got = {(r.day, r.target): r.real for r in prefix.nearest_continuing(t, "target", k, 2).collect()}
+    assert got == {key: min(v, key=lambda c: (-len(c), c)) for key, v in longer.items() if v}
+    got = {(r.day, r.target): r.real for r in prefix.nearest_extended(t, "target", k, 3).collect()}
+    assert got == {key: max(v, key=len) for key, v in shorter.items() if v}
+
+
+def test_prefix_expansion_is_linear_and_hot_prefixes_are_one_row(spark):
+    urls = spark.range(20_000).select(F.lit(1).alias("day"), F.format_string("g.org/watch/%05d", F.col("id")).alias("canonical"))
+    long = spark.createDataFrame([(1, "x" * 2000)], "day int, canonical string")
+    spread = long.select(F.explode(prefix.prefix_probes(F.col("canonical"), F.sequence(F.lit(1), F.lit(1999)))).alias("p"))
+    assert spread.dtypes == [("p", "bigint")] and spread.count() == 1999
+    asked = spark.createDataFrame([(1, "g"), (1, "g.org/watch")], "day int, target string")
+    got = {r.target: r.real for r in prefix.nearest_continuing(asked, "target", urls, 1).collect()}
+    assert got == {"g": "g.org/watch/00000", "g.org/watch": "g.org/watch/00000"}
 
 
 def test_stale_days_look_back(spark):
@@ -399,14 +416,14 @@ def test_merge_gate(spark, checks, merge, expected):
 
 
 def test_log_and_scope_samples(spark):
-    log = "@@abc123\tfirst\twith tab\n1\t2\tsrc/a.py\n3\t4\tdocs/b.md\n\n@@def456\tempty\n@@0123456789\tone\n5\t6\t" + FOREIGN_AREAS[0] + "/c.py\n"
+    log = "@@abc123\tfirst\twith tab\n1\t2\tsrc/a.py\n3\t4\tdocs/b.md\n\n@@def456\tempty\n@@0123456789\tone\n5\t6\tarea/c.py\n"
     commits = merge_review.parse_log(spark.createDataFrame([(log,)], "text string"))
-    assert rows(commits.filter("path is not null"), "sha", "path") == [("0123456789", FOREIGN_AREAS[0] + "/c.py"), ("abc123", "docs/b.md"), ("abc123", "src/a.py")]
-    made = merge_review.scope_samples(commits)
+    assert rows(commits.filter("path is not null"), "sha", "path") == [("0123456789", "area/c.py"), ("abc123", "docs/b.md"), ("abc123", "src/a.py")]
+    made = merge_review.scope_samples(commits, ("area", "tools"))
     got = {r.sample_id: (r.expect, r.foreign_area) for r in made.collect()}
     assert got["scope-legit-1-abc123"] == ("pass", None)
     assert got["scope-scope_extension-1-abc123"] == ("not_pass", None)
-    assert got["scope-foreign_file-2-01234567"] == ("not_pass", "tasks")
+    assert got["scope-foreign_file-2-01234567"] == ("not_pass", "tools")
     ruled = {r.sample_id: r.rule_probability for r in merge_review.scope_rule_probability(merge_review.scope_files(made, commits)).collect()}
     assert ruled["scope-legit-2-01234567"] == 1.0 and ruled["scope-foreign_file-1-abc123"] == 0.0 and ruled["scope-scope_extension-1-abc123"] == 0.0
 
@@ -493,3 +510,31 @@ def test_compose_merge(spark):
     assert rows(cited, "group_no", "item_no", "url", "final_id") == [(0, 0, "https://x.org/1", 1), (0, 1, "https://x.org/2", 2), (1, 0, "https://x.org/3", 3)]
     dropped = compose.dropped_citations(compose.resolve_links(links, index)).first()
     assert dropped.dropped_citations == 1
+
+
+def test_more_links_than_small_numbers_hold(spark):
+    links = spark.createDataFrame(
+        [("a", 0, 1, 65536, None, "u.org/1"), ("a", 0, 2, 0, None, "u.org/2"), ("a", 2048, 0, 0, None, "u.org/3"), ("a", 1, 0, 70000, None, "u.org/4")],
+        "article string, group_no int, item_no int, link_no int, local_id int, url string")
+    ids = {r.url: r.global_id for r in compose.first_seen_ids(links).collect()}
+    assert ids == {"u.org/1": 1, "u.org/2": 2, "u.org/4": 3, "u.org/3": 4}
+
+
+def test_architecture_without_text_is_not_a_pass(spark):
+    files = spark.createDataFrame([(1, "a.py", None), (2, "a.py", "ok"), (3, "a.py", "import os"), (3, "b.py", None)], "change_id int, path string, text string")
+    got = {r.change_id: (r.decision, r.violations) for r in merge_review.check_architecture(files, [("no os", "*.py", "^import os")]).collect()}
+    assert got == {1: ("cannot_verify", 0), 2: ("pass", 0), 3: ("fail", 1)}
+
+
+@pytest.mark.parametrize("rule, probability, want", [
+    ("none", 0.9, "no_rule_baseline"), ("same", 0.9, "rule_wins"), ("bad", 0.9, "judge_wins"), ("same", None, "rule_wins"), ("bad", 0.1, "unusable"), ("same", 0.9, "no_point"),
+])
+def test_recommendation_verdicts(spark, rule, probability, want):
+    rows = []
+    for i in range(60):
+        good = i % 2 == 0 or want == "no_point"  # one class only has no point to choose
+        p = None if probability is None else probability if good else round(1 - probability, 4)
+        r = {"none": None, "same": 1.0 if good else 0.0, "bad": 1.0}[rule]
+        rows.append((f"s{i}", "k", "pass" if good else "not_pass", p, r))
+    samples = spark.createDataFrame(rows, "sample_id string, kind string, expect string, probability double, rule_probability double")
+    assert scoring.recommendation(samples, [0.2, 0.5, 0.8]).first().verdict == want
