@@ -255,12 +255,15 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_
     gone = line_classes(docs, id_col, text, min_chars).filter("not kept")
     # Line numbers of one document, as many as it has lines.
     per_doc = gone.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("line_no").alias("_gone"))
-    same = (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_digest"))
-    joined = docs.join(per_doc, same, "left").drop("_id", "_digest")
-    lines = F.split(text, "\n")
-    numbered = F.filter(lines, lambda line, i: ~F.array_contains(F.col("_gone"), i))
-    out = joined.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_join(numbered, "\n")))
-    out = out.filter("_gone is null or length(trim(_kept)) > 0").withColumn(text, F.coalesce("_kept", text))
+    # The row travels in a struct, so its column names cannot clash with those used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    own = docs.select(row, F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
+    joined = own.join(per_doc, (F.col("id") == F.col("_id")) & (F.col("own") == F.col("_digest")), "left")
+    numbered = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("_gone"), i))
+    kept = F.when(F.col("_gone").isNotNull(), F.array_join(numbered, "\n"))
+    out = joined.select("row", "_gone", "text", kept.alias("kept")).filter("_gone is null or length(trim(kept)) > 0")
+    changed = {text: F.coalesce("kept", "text")}
     if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col(n_chars)))
-    return out.select(*docs.columns)
+        own_count = F.col("row").getField(n_chars)
+        changed[n_chars] = F.when(F.col("kept").isNotNull(), F.length("kept").cast(docs.schema[n_chars].dataType)).otherwise(own_count)
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -150,7 +150,12 @@ def select(
     leaf's budget ends. Null names are nodes like others; rows without tokens are never chosen; rows
     that repeat an id count each, and at the cut those with equal tokens are taken alike.
     """
-    rows = rows.withColumnRenamed(id_col, "doc_id")
+    # Columns get names of their own here, so those of the caller cannot clash.
+    names, levels = levels, [f"level{i}" for i in range(len(levels))]
+    rows = rows.select(
+        F.col(id_col).alias("doc_id"), *[F.col(c).alias(n) for c, n in zip(names, levels)], F.col("tokens").cast("long").alias("tokens"),
+        (F.struct(*keep) if keep else F.lit(None)).alias("kept"),
+    )
     total = rows.agg(F.sum("tokens")).first()[0] or 0
     plan = cuts(rows, levels, weights, int(total * share), max_epochs, seed)
     placed = _placed(rows.filter("tokens > 0"), plan, levels, seed)
@@ -162,4 +167,7 @@ def select(
     chosen = placed.withColumn("_cut", F.coalesce(at_cut, F.lit(False))).withColumn("_epochs", epochs).filter("_epochs > 0")
     each = chosen.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_epochs") - 1)))
     take = F.when(F.col("_cut") & (F.col("epoch") == F.col("full")), F.col("cut_take")).otherwise(F.col("tokens"))
-    return each.select(F.col("doc_id").alias(id_col), *levels, *keep, F.col("epoch").cast("int").alias("epoch"), "tokens", take.alias("take"))
+    return each.select(
+        F.col("doc_id").alias(id_col), *[F.col(n).alias(c) for c, n in zip(names, levels)], *[F.col(f"kept.{c}").alias(c) for c in keep],
+        F.col("epoch").cast("int").alias("epoch"), "tokens", take.alias("take"),
+    )

@@ -138,5 +138,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     """
     found = near_duplicates(docs, id_col, text).filter("doc_id <> component_id")
     gone = found.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
-    same = (docs[id_col] == F.col("gone_id")) & (F.xxhash64(docs[text]) == F.col("gone_digest"))
+    same = (docs[id_col] == gone["gone_id"]) & (F.xxhash64(docs[text]) == gone["gone_digest"])
     return docs.join(gone, same, "left_anti")
