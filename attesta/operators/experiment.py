@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Buckets of the first skyline round.
-BUCKETS = 256
+from attesta.session import materialise
 
 
 def verification_score() -> Column:
@@ -39,26 +38,20 @@ def arm_points(runs: DataFrame) -> DataFrame:
     )
 
 
-def _skyline(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points not dominated within their keys: best score at their cost, better than any cheaper one."""
-    cheaper = W.partitionBy(*keys).orderBy("cost").rowsBetween(W.unboundedPreceding, -1)
-    at_cost = points.groupBy(*keys, "cost").agg(F.max("score").alias("best"))
-    steps = at_cost.withColumn("before", F.max("best").over(cheaper))
-    return steps.filter("before is null or best > before").select(*keys, "cost", F.col("best").alias("score"))
-
-
 def pareto(points: DataFrame) -> DataFrame:
-    """Points with `pareto_optimal`, in two rounds so that no window spans all arms.
+    """Points with `pareto_optimal`: the best score at their cost, and better than any cheaper one. Equal points are both kept.
 
-    A point dominated inside its bucket is dominated; only bucket frontiers meet in the second
-    round. Equal points are both kept.
+    Costs are cut once into ranges, as many as their number asks for. A range is compared within itself
+    and with the best score of the ranges before it, so no window spans all arms.
     """
-    bucketed = points.withColumn("bucket", F.pmod(F.xxhash64("arm"), F.lit(BUCKETS)))
-    first = _skyline(bucketed, ["bucket"]).select("cost", "score").distinct()
-    front = _skyline(first, []).withColumn("pareto_optimal", F.lit(True))
-    return points.join(front, ["cost", "score"], "left").withColumn(
-        "pareto_optimal", F.coalesce("pareto_optimal", F.lit(False))
-    )
+    at_cost = points.groupBy("cost").agg(F.max("score").alias("best"))
+    ranged = materialise(at_cost.repartitionByRange("cost").withColumn("_slice", F.spark_partition_id()), "ranges")
+    earlier = W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_slice").agg(F.max("best").alias("top")).select("_slice", F.max("top").over(earlier).alias("_offset"))
+    cheaper = W.partitionBy("_slice").orderBy("cost").rowsBetween(W.unboundedPreceding, -1)
+    steps = ranged.join(offsets, "_slice").withColumn("before", F.greatest(F.max("best").over(cheaper), "_offset"))
+    front = steps.filter("before is null or best > before").select("cost", F.col("best").alias("score"), F.lit(True).alias("pareto_optimal"))
+    return points.join(front, ["cost", "score"], "left").withColumn("pareto_optimal", F.coalesce("pareto_optimal", F.lit(False)))
 
 
 def caveats(runs: DataFrame, points: DataFrame) -> DataFrame:

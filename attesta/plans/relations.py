@@ -157,13 +157,15 @@ def repair_brief(spark, root):
 
 @query(
     "content_debt",
-    f"""WITH {_DECIDED}, d AS (SELECT ts::DATE::VARCHAR AS day, coalesce(string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (sev > 0 AND event_type IN ('error', 'purchase')), '') AS blockers,
-FROM decided GROUP BY 1) SELECT day, blockers, false AS gate_stale, blockers = '' AS clean FROM d""",
+    """WITH d AS (SELECT user_id::VARCHAR || '-' || ts::DATE::VARCHAR AS day, count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views,
+  count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY 1),
+b AS (SELECT day, concat_ws(',', CASE WHEN clicks = 0 THEN 'click' END, CASE WHEN errors > 0 OR views = 0 THEN 'view' END) AS blockers, bought > 0 AS gate_stale FROM d)
+SELECT day, blockers, gate_stale, blockers = '' AS clean FROM b""",
 )
 def content_debt(spark, root):
-    """Which required gates still block each day."""
-    results = _results(spark, root).withColumn("entity", F.substring("entity", -10, 10))
-    return gates.content_debt(results, ["error", "purchase"])
+    """Which required gates block each user's day: clicks must be there, views must be there and without an error."""
+    name = F.when(F.col("gate") == "error", "view").when(F.col("gate") == "purchase", "structure").otherwise(F.col("gate"))
+    return gates.content_debt(_results(spark, root).withColumn("gate", name), ["click", "view"])
 
 
 # -- refunds -------------------------------------------------------------------------------------
@@ -281,13 +283,38 @@ def refund_reconcile(spark, root):
 
 @query(
     "refund_violations",
-    f"""WITH {_REFUND}, big AS (SELECT * FROM decided WHERE paid AND o_totalprice > 300000)
-SELECT 'contradicts_checks' AS violation, count(*)::BIGINT AS orders FROM big WHERE decision <> 'pass' HAVING count(*) > 0""",
+    f"""WITH {_REFUND}, r AS (SELECT order_id % 23 AS m, decision AS truth, CASE WHEN o_totalprice > 300000 THEN 'pass' ELSE decision END AS claimed,
+  c1 = 3 OR c2 = 3 AS any_fail, c1 = 2 OR c2 = 2 OR c3 = 2 OR c4 = 2 AS any_open FROM decided WHERE paid),
+v AS (SELECT 'unknown_decision' AS violation FROM r WHERE m = 0
+  UNION ALL SELECT 'unknown_action' FROM r WHERE m = 7
+  UNION ALL SELECT 'missing_checks' FROM r WHERE m IN (1, 9)
+  UNION ALL SELECT 'unknown_check_decision' FROM r WHERE m = 9
+  UNION ALL SELECT 'unknown_check' FROM r WHERE m = 8
+  UNION ALL SELECT 'duplicate_checks' FROM r WHERE m = 3
+  UNION ALL SELECT 'contradicts_checks' FROM r WHERE m NOT IN (0, 1, 7, 9) AND claimed <> truth
+  UNION ALL SELECT 'failed_checks_mismatch' FROM r WHERE m = 4 AND any_fail
+  UNION ALL SELECT 'unverified_checks_mismatch' FROM r WHERE m = 10 AND any_open
+  UNION ALL SELECT 'pass_not_approved' FROM r WHERE m = 6 AND claimed = 'pass'
+  UNION ALL SELECT 'fail_not_denied' FROM r WHERE m = 5 AND claimed = 'fail'
+  UNION ALL SELECT 'fail_closed_violated' FROM r WHERE m = 5 AND claimed = 'cannot_verify')
+SELECT violation, count(*)::BIGINT AS orders FROM v GROUP BY 1""",
 )
 def refund_violations(spark, root):
-    """Claims that contradict their own checks."""
-    found = refund.artifact_violations(_artifact(spark, root, _decided(spark, root)))
-    return found.groupBy("violation").agg(F.count(F.lit(1)).alias("orders"))
+    """Claims at odds with themselves; one order in 23 breaks each rule on purpose."""
+    case = F.pmod(F.col("order_id"), F.lit(23))
+    check = lambda name, decision: F.struct(F.lit(name).alias("check"), F.lit(decision).alias("decision"))
+    none = F.array().cast("array<string>")
+    last = refund.REFUND_CHECKS[-1]
+    doubtful = F.transform("checks", lambda c: F.when(c["check"] == last, check(last, "perhaps")).otherwise(c))
+    broken = _artifact(spark, root, _decided(spark, root)).withColumns({
+        "decision": F.when(case == 0, "maybe").otherwise(F.col("decision")),
+        "action": F.when(case == 5, "approve").when(case == 6, "deny").when(case == 7, "shrug").otherwise(F.col("action")),
+        "checks": F.when(case == 1, F.slice("checks", 1, 0)).when(case == 3, F.concat("checks", F.slice("checks", 1, 1)))
+        .when(case == 8, F.concat("checks", F.array(check("mood", "pass")))).when(case == 9, doubtful).otherwise(F.col("checks")),
+        "failed_checks": F.when(case == 4, none).otherwise(F.col("failed_checks")),
+        "unverified_checks": F.when(case == 10, none).otherwise(F.col("unverified_checks")),
+    })
+    return refund.artifact_violations(broken).groupBy("violation").agg(F.count(F.lit(1)).alias("orders"))
 
 
 # -- merge review --------------------------------------------------------------------------------
