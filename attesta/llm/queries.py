@@ -228,7 +228,10 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
 def op9_chat_format(spark, root):
     """Every conversation formatted, and what is read back from the output."""
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-7, 0, "user", _SAYS), (-7, 1, "assistant", _SAYS)], "conv_id long, turn long, role string, text string")
+    own = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_SAYS).alias("text"),
+    )
     made = chat.format_chats(rows.unionByName(own)).select("conv_id", "segments", "formatted", chat.parse(F.col("formatted")).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = chat.trained(F.col("segments"))
