@@ -1,6 +1,7 @@
 """The catalogue itself."""
 
 import __spark_entry__ as entry
+from attesta.session import _written, forget, materialise
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -10,6 +11,14 @@ def test_every_oracle_belongs_to_a_query():
     assert len(entry.queries()) > 100
 
 
+def test_written_tables_can_be_forgotten(spark, tmp_path):
+    kept = materialise(spark.range(3), "numbers", str(tmp_path))
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    own = _written.pop(spark.sparkContext.applicationId)  # other tests may still read theirs
+    _written[spark.sparkContext.applicationId] = own[-1:]
+    assert forget(spark) == 1 and not list(tmp_path.iterdir())
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
