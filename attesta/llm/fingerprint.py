@@ -153,13 +153,14 @@ def alike(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 _EDITS = StructType()
-for _name, _type in (("fingerprint", StringType()), ("edited", StringType()), ("edited_fingerprint", StringType()), ("near_edited", DoubleType()),
+for _name, _type in (("fingerprint", StringType()), ("edited_fingerprint", StringType()), ("near_edited", DoubleType()),
                      ("near_next", DoubleType()), ("common_start", LongType()), ("common_end", LongType())):
     _EDITS.add(_name, _type)
 
 
 @pandas_udf(_EDITS)
 def _edits(text: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """What the edited form has for a fingerprint; the form itself is not sent back."""
     rows = []
     for own, follower in zip(text.fillna(""), after.fillna("")):
         cut = len(own) // 4
@@ -168,7 +169,7 @@ def _edits(text: pd.Series, after: pd.Series) -> pd.DataFrame:
         print_a, print_b = compose(a), compose(b)
         start = common_extension(a, 0, b, 0)
         rows.append((
-            print_a, edited, print_b, likeness(print_a, print_b), likeness(print_a, fingerprint(follower)), start,
+            print_a, print_b, likeness(print_a, print_b), likeness(print_a, fingerprint(follower)), start,
             common_ending(a, b, min(a.n, b.n) - start),
         ))
     return pd.DataFrame(rows, columns=_EDITS.names)
@@ -215,8 +216,12 @@ def edited(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     `common_end` are the longest common extensions of a text and its edited form from both ends.
     """
     rows = with_next(docs, id_col, text)
-    return rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), _edits("text", "after").alias("e")).select(
-        "doc_id", "n_chars", "e.*"
+    text, after = F.coalesce("text", F.lit("")), F.coalesce("after", F.lit(""))
+    n = F.length(text)
+    cut = F.floor(n / 4).cast("int")
+    form = F.concat(text.substr(F.lit(1), n - cut), after.substr(F.lit(1), cut))
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), form.alias("edited"), _edits("text", "after").alias("e")).select(
+        "doc_id", "n_chars", "edited", "e.*"
     )
 
 
