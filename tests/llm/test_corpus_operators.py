@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attesta.llm import components, decontamination, lines, mixing, queries, simhash
+from attesta.llm import components, decontamination, lines, mixing, queries, shingles, simhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -106,6 +106,42 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert simhash.near_duplicates(frame.filter("doc_id > 99")).count() == 0
 
 
+def _shingle_set(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _similar_groups(texts):
+    sets = {i: _shingle_set(t) for i, t in texts.items()}
+    alike = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    return _roots([(i, i) for i in sets] + [(i, j) for i, j in itertools.combinations(sets, 2) if alike(sets[i], sets[j])])
+
+
+def test_near_copy_stage_equals_brute_force_jaccard(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    texts = {}
+    for base in range(8):
+        own = [rng.choice(words) for _ in range(150)]
+        for copy in range(12):  # up to 6 words changed: similarities on both sides of 0.8
+            text = list(own)
+            for at in rng.sample(range(150), rng.randrange(7)):
+                text[at] = rng.choice(words)
+            texts[100 * base + copy] = " ".join(text)
+    passage = " ".join(words[:60])
+    texts |= {2000 + i: passage + " " + " ".join(rng.choice(words) for _ in range(90)) for i in range(30)}
+    texts |= {3000: "a b c", 3001: "A  b c", 3002: "a b", 3003: "", 3004: " \n", 3005: None}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("digest", F.lit("x"))
+    roots = _similar_groups(texts)
+    got = shingles.keep_one(frame)
+    assert {r["doc_id"] for r in got.collect()} == set(roots.values()) and got.columns == frame.columns
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame, SMALL).collect()} == set(roots.values())
+    assert len(roots) - len(set(roots.values())) > 40
+    again = spark.createDataFrame([(None, texts[0], "b"), (5, texts[0], "c"), (5, "other words", "d")], "doc_id long, text string, digest string")
+    kept = sorted(((r["doc_id"], r["digest"]) for r in shingles.keep_one(again.union(again)).collect()), key=str)
+    assert kept == sorted([(None, "b"), (5, "c"), (5, "d")] * 2, key=str)
+
+
 # -- lines
 
 
