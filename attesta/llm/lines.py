@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.session import materialise
 
-#: Lines of fewer characters are left alone: short ones recur by chance.
+#: Lines with fewer characters between the blanks at their ends are never removed: short ones recur by chance.
 MIN_CHARS = 20
 EDITS = 1
 PLACE = "decimal(31,0)"
@@ -85,10 +85,10 @@ def _blocks(texts: DataFrame) -> DataFrame:
     the shorter line's layout, whatever their number, so hot segments come apart here.
     """
     n = F.length("line")
-    both = texts.select("*", n.alias("n"), F.explode(F.array(n, n - 1)).alias("layout"))
-    size = F.ceil(F.sqrt("layout")).cast("int")
+    both = texts.select("*", n.alias("n"), F.explode(F.array(n, n - 1)).alias("layout")).filter("layout >= 0")
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt("layout"))).cast("int")
     cut = both.withColumn("size", size).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.expr("cast((layout - 1) div size as int)")))
+        "at", F.explode(F.sequence(F.lit(0), F.expr("cast(greatest(layout - 1, 0) div size as int)")))
     )
     low = F.col("at") * F.col("size")
     behind = F.greatest(F.lit(0), F.col("layout") - low - F.col("size"))
@@ -235,24 +235,32 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mi
     last and, with no other place, are always kept; null texts and short lines have no rows; rows that
     repeat one id and text are one document. `digest` tells rows of one id apart.
     """
+    return _classes(docs, id_col, text, min_chars).drop("inner")
+
+
+def _classes(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
+    """`line_classes`, and the number of characters between the blanks at a line's ends as `inner`."""
     folded, links = line_links(docs, id_col, text, min_chars)
     known = folded.join(links, "place", "left").select(
         "h1", "h2", F.col("place").alias("own"), F.coalesce("first", "place").alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "copies"
     )
-    rows = line_rows(docs, id_col, text, min_chars).select("doc_id", "digest", "line_no", _place().alias("place"), *_names())
+    rows = line_rows(docs, id_col, text, min_chars).select(
+        "doc_id", "digest", "line_no", _place().alias("place"), *_names(), F.length(F.trim("line")).alias("inner")
+    )
     doc, line = _split_place("first")
     kept = (F.col("place") == F.col("own")) & (F.col("first") == F.col("own")) | F.col("doc_id").isNull()
     return rows.join(known, ["h1", "h2"]).select(
-        "doc_id", "digest", "line_no", doc.alias("class_doc"), line.alias("class_line"), "n_links", "copies", kept.alias("kept")
+        "doc_id", "digest", "line_no", doc.alias("class_doc"), line.alias("class_line"), "n_links", "copies", kept.alias("kept"), "inner"
     )
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents without their repeated lines, all columns; `n_chars` follows the text.
 
-    A document of which no character is left goes; one without repeated lines stays as it is.
+    Lines of fewer than `min_chars` characters between the blanks at their ends stay; one edit shorter
+    ones are read too, as longer lines may repeat them. A document of which no character is left goes; one without repeated lines stays as it is.
     """
-    gone = line_classes(docs, id_col, text, min_chars).filter("not kept")
+    gone = _classes(docs, id_col, text, max(0, min_chars - EDITS)).filter(~F.col("kept") & (F.col("inner") >= min_chars))
     # Line numbers of one document, as many as it has lines.
     per_doc = gone.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.collect_set("line_no").alias("_gone"))
     # The row travels in a struct, so its column names cannot clash with those used here.

@@ -112,8 +112,8 @@ def op2_fingerprints(spark, root):
 
 @query("op3_line_dedup")
 def op3_line_dedup(spark, root):
-    """Every line of enough characters with its class, links, copies and whether it stays."""
-    return lines.line_classes(table(spark, root, "documents")).drop("digest")
+    """Every line, of any length, with its class, links, copies and whether it is the first of them."""
+    return lines.line_classes(table(spark, root, "documents"), min_chars=0).drop("digest")
 
 
 # -- 4: toxicity ---------------------------------------------------------------------------------

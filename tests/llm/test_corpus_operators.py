@@ -202,6 +202,28 @@ def test_line_classes_equal_brute_force(spark):
     assert got == _line_classes(texts, lines.MIN_CHARS) and sum(v[2] for v in got.values()) > 50
 
 
+def test_lines_of_any_length_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = {d: "\n".join("".join(rng.choice("ab é") for _ in range(rng.choice((0, 1, 1, 2, 3, 4, 9)))) for _ in range(8)) for d in range(25)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_links"], r["kept"]) for r in lines.line_classes(frame, min_chars=0).collect()}
+    assert len(got) == 200 and got == _line_classes(texts, 0)
+
+
+def test_op3_has_a_row_for_every_line(spark, docs):
+    got = {(r["doc_id"], r["line_no"]): (r["class_doc"], r["class_line"], r["n_links"], r["kept"]) for r in queries.QUERIES["op3_line_dedup"](spark, SMALL).collect()}
+    assert set(got) == {(i, k) for i, t in docs.items() for k in range(len(t.split("\n")))}
+    short = {i: "\n".join(l for l in t.split("\n") if len(l) < 20) for i, t in docs.items()}
+    repeats = sum(sum(len(l) < 20 for l in t.split("\n")) for t in docs.values()) - len({l for t in short.values() for l in t.split("\n")} )
+    assert sum(not v[3] for v in got.values()) >= repeats > 0
+
+
+def test_minimum_length_is_of_the_line_without_outer_blanks(spark):
+    padded, near = " " * 20 + "Share", "exactly twenty chars"
+    frame = spark.createDataFrame([(1, f"{padded}\n{near[:-1]}"), (2, f"{padded}\n{near}\nrest")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in lines.drop_repeats(frame).collect()} == {1: f"{padded}\n{near[:-1]}", 2: f"{padded}\nrest"}
+
+
 def test_lines_of_awkward_rows(spark):
     line, near = "this line is repeated here", "this line is repeated hera"
     rows = [(1, f"{line}\nunique words of the first", 0), (2, line, 0), (3, None, 5), (4, "", 0), (None, f"{near}\nx", 9), (6, f"{near}\nshort", 0), (6, f"{near}\nshort", 0), (7, "y" * 100_000, 0)]
