@@ -16,6 +16,13 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
 
 
+def first_tokens(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th token, blanks before and between tokens included."""
+    blanks = TOKEN.replace("[^", "[").removesuffix("+") + "*"
+    pieces = F.regexp_extract_all(text, F.lit(f"({blanks}{TOKEN})"), F.lit(1))
+    return F.array_join(F.slice(pieces, F.lit(1), n.cast("int")), "")
+
+
 def _weight(levels: list[str], depth: int, weights: dict[tuple[str, ...], int]) -> Column:
     """Weight of a node among its siblings: that of the longest ending of its path that is named, else 1."""
     named = F.lit(1).cast("long")

@@ -370,6 +370,19 @@ def test_stages_on_their_own_input(spark, docs):
     assert calm.columns == columns and 0 < calm.count() <= len(docs)
 
 
+def test_mixing_stage_cuts_the_text_at_the_budget(spark, docs):
+    long = " \t".join(f"t{i}" for i in range(5000))
+    rows = [(i, f" {long} \n", "s1", "en", len(long) + 3) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars int")
+    for source in (frame, spark.read.parquet(f"{SMALL}/documents.parquet")):
+        whole = {r["doc_id"]: r["text"] for r in source.collect()}
+        out = corpus_pipeline.mix(spark, source, SMALL).collect()
+        for r in out:
+            assert len(re.findall(mixing.TOKEN, r["text"])) == r["take"] and r["n_chars"] == len(r["text"]) and whole[r["doc_id"]].startswith(r["text"])
+            assert r["take"] < r["tokens"] or r["text"] == whole[r["doc_id"]]
+        assert any(r["take"] < r["tokens"] for r in out)
+
+
 def test_pipeline_runs_whole_and_empty(spark):
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and {"doc_id", "text", "epoch", "take"} <= set(rows[0].asDict()) and all(r["take"] <= r["tokens"] for r in rows)
