@@ -97,19 +97,32 @@ DIGITS = {
 _DIGIT_WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 _JOIN = r"[\x20.()-]{1,2}"
 _PART = rf"(?:{_DIGIT_WORD}|[0-9]+)"
-#: At least three spelled digits in a row, with an optional plus.
+#: Four or more numbers in a row, with an optional plus; those with a spelled one among them are rewritten.
 _SPELLED = re.compile(rf"(?<!\w)(?:plus\x20|\+\x20?)?{_PART}(?:{_JOIN}{_PART}){{3,}}(?!\w)", re.I)
 _TOKEN = re.compile(rf"plus\x20(?=\w)|{_DIGIT_WORD}(?!\w)", re.I)
 
 _OPEN, _CLOSE = r"\s?[\(\[\{<]\s?", r"\s?[\)\]\}>]\s?"
 _AT = re.compile(rf"{_OPEN}(?:at|arroba|ät|chez|@){_CLOSE}", re.I)
 _DOT = re.compile(rf"{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}", re.I)
-#: Without brackets the words at and dot count only before a common top-level domain.
-_PLAIN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9_%+-]+)?(?P<at>\x20at\x20)[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)*\x20dot\x20"
-    r"(?:com|org|net|edu|gov|info|biz|io|co|ai|app|dev|eu|us|uk|de|fr|es|it|nl|at|ch|be|br|mx|in|jp)(?![A-Za-z0-9-])", re.I
+#: The plain form: words or brackets on any side, or a real @ or . where another sign is disguised.
+_ANY_DOT = rf"(?:\.|\x20(?:dot|punkt|point|punto)\x20|{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE})"
+_ANY_AT = re.compile(rf"@|\x20(?:at|arroba|ät|chez)\x20|{_OPEN}(?:at|arroba|ät|chez|@){_CLOSE}", re.I)
+_LABELS = re.compile(rf"[A-Za-z0-9-]++(?:{_ANY_DOT}[A-Za-z0-9-]++)+", re.I)
+_EACH_DOT = re.compile(_ANY_DOT, re.I)
+_DOT_BEHIND = re.compile(rf"{_ANY_DOT}\Z", re.I)
+_DOT_REACH = 12  # the longest form of a dot is "point" between brackets and blanks
+_LOCAL_WORD = _LOCAL - {"."}
+#: Words of prose, which are no labels of a domain beside the plain words at and chez (fixed values).
+_PROSE = frozenset(
+    "a an the this that these those one some any each every which what my your his her its our their no and or of on to for with from as if by so "
+    "polka le la les un une ce cet cette lui moi toi nous vous eux elle mon ma son sa du des et est el los las una este ese y que der die das dem den".split()
 )
-_PLAIN_DOT = re.compile(r"\x20dot\x20", re.I)
+#: Labels at the top that are hardly words of prose (an excerpt), asked for where the signs alone say little.
+_TOP = frozenset(
+    "com org net edu gov mil int info biz io ai app dev eu us uk de fr es it nl ch at pl ru cz sk hu ro bg gr dk fi no pt ie lu lt lv ee si hr rs ua "
+    "tr il ae jp cn kr tw hk sg au nz ca mx br ar cl pe za eg ke ng pk th vn online site shop cloud museum".split()
+)
+_TOP_WORDS = frozenset("it us no at de es in is to be me so int app site shop".split())
 
 
 class Mapped:
@@ -136,12 +149,15 @@ class Mapped:
         self.ends = np.concatenate([*ends, self.ends[last:]])
 
 
+_BETWEEN = str.maketrans(dict.fromkeys(".()-+,;:!?\"'", " "))
+_MIXED = re.compile(rb"[\1\2]{3,}")
+
+
 def _has_run(text: str) -> bool:
-    """Whether three spelled digits follow each other."""
-    flat = text.lower()
-    for sign in ".()-":
-        flat = flat.replace(sign, " ")
-    return bytes(map(DIGITS.__contains__, flat.split())).find(b"\1\1\1") >= 0
+    """Whether numbers follow each other, spelled or not, with a spelled one among them."""
+    flat = text.lower().translate(_BETWEEN).split()
+    flags = bytes(1 if t in DIGITS else 2 if t.isdigit() else 0 for t in flat)
+    return any(b"\1" in run for run in _MIXED.findall(flags)) if b"\1" in flags else False
 
 
 def _lookalikes(m: Mapped) -> None:
@@ -160,13 +176,67 @@ def _spelled(m: Mapped) -> None:
     m.rewrite(edits)
 
 
+def _local_start(text: str, at: int, least: int) -> int:
+    """Where the local part before `at` begins: words joined by dots in any form. `at` itself if there is none."""
+    start = low = at
+    while True:
+        while low > least and text[low - 1] in _LOCAL_WORD:
+            low -= 1
+        if low == start:
+            return start if start == at else min(at, start + len(_dot_after(text, start)))
+        start = low
+        found = _DOT_BEHIND.search(text, max(least, low - _DOT_REACH), low)
+        if not found:
+            return start
+        low = start = found.start()
+
+
+def _dot_after(text: str, at: int) -> str:
+    found = _EACH_DOT.match(text, at)
+    return found[0] if found else ""
+
+
+def _address(local: str, at: str, domain: str) -> bool:
+    """Whether a disguised address is meant; the plain words at and chez need more than those that are rare in prose."""
+    dots = [d.lower().strip() for d in _EACH_DOT.findall(domain)]
+    labels = [x.lower() for x in _EACH_DOT.split(domain)]
+    hidden = [d for d in dots if d != "."]
+    top = labels[-1]
+    local_hidden = any(d != "." for d in _EACH_DOT.findall(local))
+    if not (top.isalpha() and len(top) > 1):
+        return False
+    if at == "@":
+        if dots[0] == "." and hidden:
+            return top in _TOP
+        return bool(hidden or local_hidden) and top not in _PROSE
+    if at.lower().strip() not in ("at", "chez"):
+        return True
+    if not hidden:
+        return top in _TOP and (local_hidden or any(c in "._%+0123456789" for c in local))
+    if _PROSE.intersection(labels):
+        return False
+    return top in _TOP and top not in _TOP_WORDS if all(d in ("point", "punto") for d in hidden) else True
+
+
+def _plain(text: str) -> list[tuple[int, int, str]]:
+    """Edits for addresses with a disguised sign. Each at looks back over its own local part only."""
+    edits, end = [], 0
+    for at in _ANY_AT.finditer(text):
+        found = _LABELS.match(text, at.end()) if at.start() >= end else None
+        start = _local_start(text, at.start(), end) if found else at.start()
+        if start < at.start() and _address(text[start : at.start()], at[0], found[0]):
+            dots = [d.span() for low, high in ((start, at.start()), found.span()) for d in _EACH_DOT.finditer(text, low, high)]
+            edits += [(low, high, ".") for low, high in dots if text[low:high] != "."]
+            edits += [(*at.span(), "@")] if at[0] != "@" else []
+            end = found.end()
+    return edits
+
+
 def _separators(m: Mapped) -> None:
     edits = []
     if any(sign in m.text for sign in "([{<"):
         edits += [(x.start(), x.end(), "@") for x in _AT.finditer(m.text)] + [(x.start(), x.end(), ".") for x in _DOT.finditer(m.text)]
-    for x in _PLAIN.finditer(m.text) if " dot " in m.text.lower() else ():
-        edits.append((x.start("at"), x.end("at"), "@"))
-        edits += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(m.text, x.start(), x.end())]
+    edits += _plain(m.text)
     done, end = [], 0
     for e in sorted(set(edits)):
         if e[0] >= end:

@@ -201,6 +201,33 @@ def test_disguised_spans_map_back(text, kind, piece):
     assert (kind, text.index(piece), text.index(piece) + len(piece)) in spans
 
 
+@pytest.mark.parametrize("piece", [
+    "juan arroba ejemplo punto com", "max at beispiel punkt de", "john@example dot com", "anna.b.c at example dot com", "john at example dot pl",
+    "john at example dot museum", "anna dot b dot c at mail dot example dot com", "jane.doe at example.com", "john (at) example dot com",
+    "john at example [dot] com", "john dot doe@example.com", "lea chez exemple point fr", "jörg"[0] + "o ät beispiel punkt de",
+])
+def test_plain_disguises_of_addresses(piece):
+    for text in (f"mail {piece} now", piece, f"({piece})", f"{piece} or {piece}"):
+        base, spans = pii.find(text)
+        assert ("email", text.index(piece), text.index(piece) + len(piece)) in spans and len(spans) - len(base) == text.count(piece), (text, spans)
+
+
+@pytest.mark.parametrize("text, kind, piece", [
+    ("call +49 one 7 one 5 five 5 five 5 ok", "phone", "+49 one 7 one 5 five 5 five 5"),
+    ("call plus 49 171 two 3 4 5 six 7 8, ok", "phone", "plus 49 171 two 3 4 5 six 7 8"),
+    ("pay four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1", "card", "four 1 one 1 one 1 one 1 one 1 one 1 one 1 one 1"),
+])
+def test_mixed_runs_of_digits(text, kind, piece):
+    assert (kind, text.index(piece), text.index(piece) + len(piece)) in pii.find(text)[1]
+
+
+def test_prose_around_at_and_dot():
+    for text in ("We are at this point in the process.", "available at example.com", "Look at polka dot dresses", "seen at one point it fell", "chez lui point final",
+                 "call five times 5 or 5 one", " dot".join("x" * 3000), "a at " * 3000):
+        assert pii.find(text) == ([], [])
+    assert [s for s in pii.find("john@example.com dot matrix")[1]] == [("email", 0, 16)]
+
+
 def test_plain_prose_gets_no_spans():
     for text in ("We met at noon. Look at the dot on the map.", "one two three and four", "Nun eins zwei drei", "un deux trois soleil", "a [at] b"):
         assert pii.find(text) == ([], [])
