@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm import chat, decontamination, fingerprint, language, lines, mixing, pii, reputation, simhash, toxicity
+from attesta.llm import chat, decontamination, dualtree, fingerprint, language, lines, mixing, pii, preference, reputation, simhash, toxicity, whitening
 from attesta.session import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,47 @@ def op10_language(spark, root):
     learned = language.dictionaries(docs.filter(F.col("doc_id").isNotNull() & ~held("doc_id", 4, 2)))
     found = language.predict(docs, learned)
     return found.select("doc_id", held("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "sure")
+
+
+# -- 11: quality ---------------------------------------------------------------------------------
+
+
+@query("op11_quality")
+def op11_quality(spark, root):
+    """Quality of every whole text, learned from pairs of the labels that are not held out."""
+    docs = table(spark, root, "documents")
+    ranking = preference.fit(docs, table(spark, root, "labels").filter(~held("doc_id", 5, 0)))
+    scored = docs.select("doc_id", held("doc_id", 5, 0).alias("held_out"), preference.score(docs, ranking).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= preference.CUT_SCORE).cast("int"))
+
+
+# -- 12: ranked search ---------------------------------------------------------------------------
+
+
+@query(
+    "op12_ranked_search",
+    r"""WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM words GROUP BY doc_id, term),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM len),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored
+WHERE score > 0 QUALIFY rank <= 50""",
+)
+def op12_ranked_search(spark, root):
+    """The fifty documents of each benchmark item that score highest."""
+    return dualtree.ranked_search(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+# -- 13: embeddings ------------------------------------------------------------------------------
+
+
+@query("op13_whitening")
+def op13_whitening(spark, root):
+    """The four leading components of every usable vector, whitened."""
+    return whitening.whiten(table(spark, root, "embeddings"))
