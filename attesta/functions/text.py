@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,8 +11,6 @@ from pyspark.sql import functions as F
 from attesta.functions.urls import strip
 from attesta.functions.vocabulary import (
     CJK,
-    LIMIT_WORDS,
-    MECHANISM_WORDS,
     TITLE_LEAD_INS,
     TITLE_PUNCTUATION,
 )
@@ -98,14 +97,14 @@ def max_blank_run(text: Column) -> Column:
     return F.when(unix == "", F.lit(0)).otherwise(longest)
 
 
-def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+def contains_any(text: Column, words: Sequence[str]) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a | b, (lowered.contains(word.lower()) for word in words))
+    return reduce(lambda a, b: a | b, (lowered.contains(word.lower()) for word in words), F.lit(False))
 
 
-def has_mechanism(text: Column) -> Column:
-    return contains_any(text, MECHANISM_WORDS)
-
-
-def has_limit(text: Column) -> Column:
-    return contains_any(text, LIMIT_WORDS)
+def contained(text: Column, words: Sequence[str]) -> Column:
+    """The given words that a text contains, in their order."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    if not words:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(lowered.contains(word.lower()), F.lit(word)) for word in words]))

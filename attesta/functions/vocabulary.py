@@ -54,10 +54,6 @@ ARTICLE_KEYS = (
     "date", "generated_at", "title", "summary", "tldr", "sections", "references", "notes", "stats",
 )
 
-# Depth signals looked for in an item body.
-MECHANISM_WORDS = ("通过", "采用", "实现", "机制", "because", "by ", "using")
-LIMIT_WORDS = ("限制", "不足", "仅在", "但", "however", "only", "limit")
-
 REFUND_CHECKS = ("order_status", "refund_window", "payment_reference", "currency")
 MERGE_CHECKS = ("TESTS_PASS", "ARCHITECTURE_OK", "NO_UNINTENDED_SCOPE")
 

@@ -8,14 +8,19 @@ already folds each article to one row, because an article is exploded inside one
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import has_limit, has_mechanism
+from attesta.functions.text import contained, contains_any
 from attesta.functions.urls import strip
 from attesta.functions.vocabulary import ARTICLE_KEYS, ITEM_KEYS, SECTION_CAPS
+from attesta.session import materialise
 
 _VARIANTS = "array<variant>"
+#: Words by use: interest, exclude, mechanism, limit.
+Profile = Mapping[str, Sequence[str]]
 _BILINGUAL = ("title", "prose", "summary", "comment", "body")
 
 
@@ -337,45 +342,88 @@ def references_gate(articles: DataFrame) -> DataFrame:
     )
 
 
-def depth_gate(articles: DataFrame, min_ratio: float = 0.6) -> DataFrame:
+def _readable(articles: DataFrame) -> DataFrame:
+    return parse_articles(articles).select("day", F.col("doc").isNull().alias("broken"))
+
+
+def _undecided(broken: Column, decision: Column | None) -> dict[str, Column]:
+    """Decision and class of a gate that needs a profile; without one (None) only an unreadable article is decided."""
+    given = F.lit("cannot_verify") if decision is None else decision
+    unknown = F.lit("precondition_unknown" if decision is None else None).cast("string")
+    return {"decision": F.when(broken, F.lit("fail")).otherwise(given), "failure_class": F.when(~broken, unknown)}
+
+
+def depth_gate(articles: DataFrame, min_ratio: float = 0.6, profile: Profile | None = None) -> DataFrame:
     """Share of items whose body names a limitation, for every article; advisory, so content never fails it.
 
-    An article without items has nothing to fault (ratio 1); one that cannot be read fails.
+    The profile has the words that are signals of a `mechanism` and of a `limit`. Without a profile
+    the gate cannot verify. An article without items has nothing to fault (ratio 1); one that cannot be
+    read fails.
     """
+    parsed = _readable(articles)
+    if profile is None:
+        none = {c: F.lit(0).cast("long") for c in ("items", "with_limit", "without_substance")}
+        empty = parsed.withColumns({**none, "limit_ratio": F.lit(None).cast("double"), "below_target": F.lit(None).cast("boolean")})
+        return empty.withColumns(_undecided(F.col("broken"), None)).drop("broken")
     items = flatten_items(articles)
-    parsed = parse_articles(articles).select("day", F.col("doc").isNull().alias("broken"))
     body = F.when(F.col("body_zh") != "", F.col("body_zh")).otherwise(F.col("body_en"))
     tally = items.groupBy("day").agg(
         F.count(F.lit(1)).alias("items"),
-        F.count_if(has_limit(body)).alias("with_limit"),
-        F.count_if(~has_mechanism(body)).alias("without_substance"),
+        F.count_if(contains_any(body, profile.get("limit", ()))).alias("with_limit"),
+        F.count_if(~contains_any(body, profile.get("mechanism", ()))).alias("without_substance"),
     )
     every = parsed.join(tally, "day", "left").fillna(0, ["items", "with_limit", "without_substance"])
     ratio = F.when(F.col("items") == 0, F.lit(1.0)).otherwise(F.bround(F.col("with_limit") / F.col("items"), 3))
-    return every.withColumn("limit_ratio", ratio).withColumn("below_target", ratio < min_ratio).withColumn(
-        "decision", F.when(F.col("broken"), F.lit("fail")).otherwise(F.lit("pass"))
-    ).drop("broken")
+    judged = every.withColumn("limit_ratio", ratio).withColumn("below_target", ratio < min_ratio)
+    return judged.withColumns(_undecided(F.col("broken"), F.lit("pass"))).drop("broken")
+
+
+def brief_items(articles: DataFrame) -> DataFrame:
+    """What a brief looks at in each item, written once: parsing is the dear part."""
+    said = F.concat_ws(" ", "title_zh", "title_en", "body_zh", "body_en")
+    body = F.when(F.col("body_zh") != "", F.col("body_zh")).otherwise(F.col("body_en"))
+    columns = ["day", "section_pos", "item_pos", "location", "body_zh"]
+    return materialise(flatten_items(articles).select(*columns, body.alias("body"), F.lower(said).alias("said")), "items")
 
 
-def brief_gate(articles: DataFrame, limit: int = 5) -> DataFrame:
-    """The first `limit` items of an article make the brief; each needs a Chinese body."""
+def select_brief(items: DataFrame, profile: Profile, limit: int = 5) -> DataFrame:
+    """The items a reader should see first: (day, place, location, why, ...), at most `limit` of an article.
+
+    Of brief_items(). Those with a word of `exclude` are out, and so are those without a word of `interest`, if the
+    profile has any. Those with most interest words come first, then in document order; `why` lists the words.
+    """
     from attesta.operators.ranking import top_k
 
-    items = flatten_items(articles).select("day", "section_pos", "item_pos", (F.col("body_zh") == "").alias("bare"))
-    chosen = top_k(items, limit, ["day"], [F.col("section_pos"), F.col("item_pos")]).groupBy("day").agg(
-        F.count(F.lit(1)).cast("int").alias("entries"), F.count_if("bare").cast("int").alias("without_body")
+    wanted = profile.get("interest", ())
+    seen = items.withColumn("hits", contained(F.col("said"), wanted))
+    fit = seen.filter(~contains_any(F.col("said"), profile.get("exclude", ())) & ((F.size("hits") > 0) if wanted else F.lit(True)))
+    told = fit.select(
+        "day", "section_pos", "item_pos", "location", (F.col("body_zh") == "").alias("bare"), F.array_join("hits", ", ").alias("why"),
+        F.size("hits").alias("interest"), contains_any(F.col("body"), profile.get("limit", ())).alias("states_limit"),
     )
-    size = raw_items(articles).groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("candidates"))
-    return (
-        articles.select("day")
-        .join(size, "day", "left")
-        .join(chosen, "day", "left")
-        .fillna(0, ["entries", "candidates", "without_body"])
-        .withColumn(
-            "decision",
-            F.when((F.col("entries") == 0) | (F.col("without_body") > 0), F.lit("fail")).otherwise(F.lit("pass")),
-        )
+    return top_k(told, limit, ["day"], [F.desc("interest"), F.col("section_pos"), F.col("item_pos")], "place").drop("section_pos", "item_pos")
+
+
+def brief_gate(articles: DataFrame, limit: int = 5, profile: Profile | None = None) -> DataFrame:
+    """Does the profile find a brief in each article, and has every entry a Chinese body and a reason?
+
+    Without a profile the gate cannot verify. An article in which nothing is selected fails, as does
+    one that cannot be read.
+    """
+    parsed = _readable(articles)
+    counts = ["entries", "candidates", "excluded", "without_body", "without_reason", "without_limit"]
+    if profile is None:
+        return parsed.withColumns({c: F.lit(0) for c in counts}).withColumns(_undecided(F.col("broken"), None)).drop("broken")
+    items = brief_items(articles)
+    chosen = select_brief(items, profile, limit).groupBy("day").agg(
+        F.count(F.lit(1)).cast("int").alias("entries"), F.count_if("bare").cast("int").alias("without_body"),
+        F.count_if(F.col("why") == "").cast("int").alias("without_reason"), F.count_if(~F.col("states_limit")).cast("int").alias("without_limit"),
     )
+    out = contains_any(F.col("said"), profile.get("exclude", ()))
+    every = items.groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("candidates"), F.count_if(out).cast("int").alias("excluded"))
+    joined = parsed.join(every, "day", "left").join(chosen, "day", "left").fillna(0, counts)
+    bad = (F.col("entries") == 0) | (F.col("without_body") > 0) | (F.col("without_reason") > 0)
+    return joined.withColumns(_undecided(F.col("broken"), F.when(bad, F.lit("fail")).otherwise(F.lit("pass")))).select("day", *counts, "decision", "failure_class")
 
 
 def dedup_candidates(articles: DataFrame) -> DataFrame:

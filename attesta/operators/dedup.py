@@ -7,9 +7,10 @@ How quadratic work is avoided, with nothing dropped, capped or sampled:
 * entries equal in everything the score reads are folded into one *entry class* with a count;
 * entries with the same normalised title always score 0.95, so they are handled as groups
   (an aggregate), never as pairs;
-* other pairs at or above the 0.60 line must pass one of three overlap thresholds, and a set
-  overlap threshold means that the rarest tokens of both sets meet (prefix filter). Classes are
-  joined on those tokens only, with length and position filters, and then scored exactly.
+* other pairs at or above the 0.60 line must pass one of three overlap thresholds. Entries with the
+  same tokens are one set; sets meet on their rarest tokens only (prefix filter), with length and
+  position filters, and are verified before their entries are listed and scored exactly;
+* carriers of a frequent token meet in cells by length, large cells in blocks, so no task has them all.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import jaccard, normalise_title, title_band, tokens
 from attesta.functions.vocabulary import BORDERLINE_SCORE, DUPLICATE_SCORE
+from attesta.operators.skew import BLOCK, attach, blocked
 from attesta.session import materialise
 
 _TITLE_OVERLAP = 0.5    # lowest overlap that scores 0.62 by title alone
 _SHARED_OVERLAP = 0.3   # lowest overlap that matters when a cited URL is shared
 _BODY_OVERLAP = 0.6
+#: Carriers from which a token's sets meet in cells by length.
+HOT_TOKEN = 256
 
 
 def entry_classes(candidates: DataFrame) -> DataFrame:
@@ -47,8 +51,8 @@ def entry_classes(candidates: DataFrame) -> DataFrame:
         "location",
         "section",
         "urls",
-        normalise_title(F.col("title_zh")).alias("norm_zh"),
-        normalise_title(F.col("title_en")).alias("norm_en"),
+        normalise_title(F.coalesce("title_zh", F.lit(""))).alias("norm_zh"),
+        normalise_title(F.coalesce("title_en", F.lit(""))).alias("norm_en"),
         tokens(F.col("title_zh")).alias("title_zh"),
         tokens(F.col("title_en")).alias("title_en"),
         tokens(F.col("body_zh")).alias("body_zh"),
@@ -63,11 +67,11 @@ def plan(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _token_sets(classes: DataFrame) -> DataFrame:
-    """(article, rank, scope, needed, tokens): every set an overlap rule looks at, with the
+    """(article, rank, scope, needed, tokens, digest, titles): every set an overlap rule looks at, with the
     lowest overlap that matters to it. Titles are also scoped by each cited URL."""
 
     def entry(scope: Column, needed: float, tokens_: Column) -> Column:
-        return F.struct(scope.alias("scope"), F.lit(needed).alias("needed"), tokens_.alias("tokens"))
+        return F.struct(scope.alias("scope"), F.lit(needed).alias("needed"), F.array_sort(tokens_).alias("tokens"))
 
     plain = [
         entry(F.lit(f"{stem}-{lang}"), needed, F.col(f"{stem}_{lang}"))
@@ -78,43 +82,101 @@ def _token_sets(classes: DataFrame) -> DataFrame:
         F.transform("urls", lambda url: entry(F.concat(F.lit("zh "), url), _SHARED_OVERLAP, F.col("title_zh"))),
         F.transform("urls", lambda url: entry(F.concat(F.lit("en "), url), _SHARED_OVERLAP, F.col("title_en"))),
     ]
-    spread = classes.select("article", "rank", F.explode(F.concat(F.array(*plain), *linked)).alias("s"))
-    return spread.select("article", "rank", "s.*", F.size("s.tokens").alias("size")).filter("size > 0")
+    spread = classes.select("article", "rank", "norm_zh", "norm_en", F.explode(F.concat(F.array(*plain), *linked)).alias("s"))
+    digest = F.unhex(F.sha2(F.array_join("s.tokens", " "), 256))
+    return spread.filter("size(s.tokens) > 0").select("article", "rank", "norm_zh", "norm_en", "s.*", digest.alias("digest"))
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
-    """Explode each token set into its prefix of rarest tokens.
+    """Each set's prefix of rarest tokens that other sets have too: (article, scope, digest, needed, size, place, df, token).
 
     Two sets with Jaccard >= t share a token among their first size - ceil(t * size) + 1 tokens
-    in any common order; ordering by frequency makes those tokens rare ones.
+    in any common order; ordering by frequency inside article and scope makes those tokens rare ones.
     """
-    keys = ["article", "rank", "scope", "needed", "size"]
-    spread = materialise(sets.select(*keys, F.explode("tokens").alias("token")), "tokens")
-    frequency = spread.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = F.sort_array(F.collect_list(F.struct("df", "token")))
-    ordered = spread.join(frequency, "token").groupBy(*keys).agg(ranked.alias("ts"))
+    keys = ["article", "scope", "digest", "needed", "size"]
+    spread = materialise(sets.withColumn("size", F.size("tokens")).select(*keys, F.explode("tokens").alias("token")), "tokens")
+    token = ["article", "scope", "token"]
+    frequency = spread.groupBy(*token).agg(F.count(F.lit(1)).alias("df"))
+    counted = attach(spread, token, frequency, "df")
+    ordered = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     keep = F.col("size") - F.ceil(F.col("size") * F.col("needed") - F.lit(1e-9)) + F.lit(1)
-    return ordered.select(
-        *keys, F.posexplode(F.slice(F.col("ts.token"), F.lit(1), keep.cast("int"))).alias("place", "token")
-    )
+    prefix = F.posexplode(F.slice("ts", F.lit(1), keep.cast("int"))).alias("place", "t")
+    return ordered.select(*keys, prefix).filter("t.df > 1").select(*keys, "place", "t.df", "t.token")
 
 
-def _meeting_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct (article, rank_a, rank_b), rank_a < rank_b, that can still reach some threshold."""
-    rare = materialise(_rarest(_token_sets(classes)), "rare")
-    a = rare.select("article", "scope", "token", "needed", *[F.col(c).alias(f"{c}_a") for c in ("rank", "size", "place")])
-    b = rare.select("article", "scope", "token", *[F.col(c).alias(f"{c}_b") for c in ("rank", "size", "place")])
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    # Overlap still possible from the shared token onwards, against the overlap required.
-    reachable = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))
-    needed = F.col("needed")
-    required = (F.col("size_a") + F.col("size_b")) * (needed / (needed + 1.0)) - 1e-9
-    return (
-        a.join(b, ["article", "scope", "token"])
-        .filter((F.col("rank_a") < F.col("rank_b")) & (small >= large * needed - 1e-9) & (reachable >= required))
-        .select("article", "rank_a", "rank_b")
-        .distinct()
-    )
+def _band(size: Column) -> Column:
+    """Lengths in bands: up to eight each its own, then a quarter wider each."""
+    return F.when(size <= 8, size).otherwise(F.floor(F.log(size / 8) / F.log(F.lit(1.25)) + 1e-9) + 8).cast("int")
+
+
+def _meeting_sets(sets: DataFrame, hot: int = HOT_TOKEN, block: int = BLOCK) -> DataFrame:
+    """Distinct (article, scope, small, large) digests of different sets that can still reach their overlap.
+
+    From a shared token on, a set of `size` at `place` overlaps enough only with partners of up to `reach`
+    tokens. The smaller set of a pair is met under its own length; the larger one asks for the lengths it
+    may meet. For a token of more than `hot` carriers lengths are bands, which are cells of their own: a
+    cell one side of which is empty goes before the join, and a large one is cut into blocks of rows, so
+    that all carriers of a token never meet in one task.
+    """
+    rare = materialise(_rarest(sets), "rare")
+    reach = F.floor((F.col("size") - F.col("place")) * ((F.col("needed") + 1) / F.col("needed")) - F.col("size") + 1e-9)
+    least = F.ceil(F.col("size") * F.col("needed") - 1e-9)
+    reaching = rare.withColumns({"reach": reach, "least": least})
+    frequent = F.col("df") > hot
+    small = reaching.filter("reach >= size").withColumn("cell", F.when(frequent, _band(F.col("size"))).otherwise(-1))
+    cells = F.sequence(_band(F.col("least")), _band(F.least("reach", "size")))
+    large = reaching.filter("least(reach, size) >= least").withColumn("cell", F.explode(F.when(frequent, cells).otherwise(F.array(F.lit(-1)))))
+    key = ["article", "scope", "token", "cell"]
+    small_hot, large_hot = materialise(small.filter(frequent), "small"), materialise(large.filter(frequent), "large")
+    sides = small_hot.select(*key, F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(large_hot.select(*key, F.lit(0).alias("s"), F.lit(1).alias("l")))
+    counts = materialise(sides.groupBy(*key).agg(F.sum("s").alias("n_small"), F.sum("l").alias("n_large")).filter("n_small > 0 and n_large > 0"), "cells")
+    no_block = {"i": F.lit(0), "j": F.lit(0)}
+    columns = [*key, "i", "j", "digest", "size", "reach", "least"]
+    a = blocked(attach(small_hot, key, counts, "n_small"), F.col("digest"), F.col("n_small"), F.col("n_large"), "i", "j", block).select(columns)
+    a = a.unionByName(small.filter(~frequent).withColumns(no_block).select(columns))
+    b = blocked(attach(large_hot, key, counts, "n_large"), F.col("digest"), F.col("n_large"), F.col("n_small"), "j", "i", block).select(columns)
+    b = b.unionByName(large.filter(~frequent).withColumns(no_block).select(columns))
+    a = a.withColumnsRenamed({c: f"{c}_a" for c in ("digest", "size", "reach", "least")})
+    b = b.withColumnsRenamed({c: f"{c}_b" for c in ("digest", "size", "reach", "least")})
+    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("digest_a") < F.col("digest_b")))
+    able = (F.col("size_b") <= F.col("reach_a")) & (F.col("size_a") <= F.col("reach_b")) & (F.col("size_a") >= F.col("least_b"))
+    met = a.join(b, [*key, "i", "j"]).filter(ordered & able)
+    return met.select("article", "scope", F.col("digest_a").alias("small"), F.col("digest_b").alias("large")).distinct()
+
+
+def _similar_sets(sets: DataFrame, **limits: int) -> DataFrame:
+    """(article, scope, small, large) of different sets whose overlap is enough, verified on whole sets."""
+    whole = sets.select("article", "scope", "digest", "tokens")
+    a, b = (whole.withColumnsRenamed({"digest": side, "tokens": f"{side}_tokens"}) for side in ("small", "large"))
+    joined = _meeting_sets(sets, **limits).join(a, ["article", "scope", "small"]).join(b, ["article", "scope", "large"])
+    needed = F.when(F.col("scope").startswith("title-"), _TITLE_OVERLAP).when(F.col("scope").startswith("body-"), _BODY_OVERLAP).otherwise(_SHARED_OVERLAP)
+    return joined.filter(jaccard(F.col("small_tokens"), F.col("large_tokens")) >= needed - 1e-9).select("article", "scope", "small", "large")
+
+
+def _meeting_pairs(classes: DataFrame, **limits: int) -> DataFrame:
+    """Distinct (article, rank_a, rank_b), rank_a < rank_b, of entries that pass some overlap and share no normalised title.
+
+    Entries with the same tokens are one set, which is compared once. Similar sets, and the entries of one
+    set, are told apart by their titles before they are listed, so entries of one title never meet.
+    """
+    node, titles = ["article", "scope", "digest"], ["norm_zh", "norm_en"]
+    owned = _token_sets(classes)
+    members = materialise(owned.select(*node, *titles, "rank"), "members")
+    sets = materialise(owned.groupBy(*node).agg(F.first("tokens").alias("tokens"), F.first("needed").alias("needed"), F.count(F.lit(1)).alias("members")), "sets")
+    own = sets.filter("members > 1").select("article", "scope", F.col("digest").alias("small"), F.col("digest").alias("large"))
+    similar = _similar_sets(sets, **limits).unionByName(own)
+    groups = members.groupBy(*node, *titles).agg(F.min("rank").alias("first"))
+    a = groups.withColumnsRenamed({"digest": "small", **{c: f"{c}_a" for c in (*titles, "first")}})
+    b = groups.withColumnsRenamed({"digest": "large", **{c: f"{c}_b" for c in (*titles, "first")}})
+    same = [(F.col(f"{t}_a") == F.col(f"{t}_b")) & (F.col(f"{t}_a") != "") for t in titles]
+    once = (F.col("small") != F.col("large")) | (F.col("first_a") <= F.col("first_b"))
+    apart = similar.join(a, ["article", "scope", "small"]).join(b, ["article", "scope", "large"]).filter(once & ~same[0] & ~same[1])
+    entries = apart
+    for side, digest in (("a", "small"), ("b", "large")):
+        one = members.withColumnsRenamed({"digest": digest, "rank": f"rank_{side}", **{t: f"{t}_{side}" for t in titles}})
+        entries = entries.join(one, ["article", "scope", digest, *[f"{t}_{side}" for t in titles]])
+    pair = entries.filter("rank_a <> rank_b").select("article", F.least("rank_a", "rank_b").alias("rank_a"), F.greatest("rank_a", "rank_b").alias("rank_b"))
+    return pair.distinct()
 
 
 def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,13 +231,13 @@ def band(score: Column) -> Column:
     )
 
 
-def class_pairs(classes: DataFrame) -> DataFrame:
+def class_pairs(classes: DataFrame, **limits: int) -> DataFrame:
     """Pairs of entry classes at or above 0.60 whose normalised titles differ.
 
     Pairs of copies repeat the score of their first copies, so a row stands for
     copies_a * copies_b pairs of entries (`pairs`). Equal titles are in title_groups().
     """
-    scored = score_pairs(_meeting_pairs(classes), classes)
+    scored = score_pairs(_meeting_pairs(classes, **limits), classes)
     return (
         scored.filter((F.col("score") >= BORDERLINE_SCORE) & (F.col("score") < 0.95))
         .withColumn("verdict", band(F.col("score")))

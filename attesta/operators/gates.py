@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,13 +108,13 @@ def _verifiable(inputs: Inputs) -> DataFrame:
 
 
 @gate("depth")
-def _depth(inputs: Inputs, min_ratio: float = 0.6) -> DataFrame:
-    return contract.depth_gate(inputs["articles"], min_ratio).withColumnRenamed("day", "entity")
+def _depth(inputs: Inputs, min_ratio: float = 0.6, profile: contract.Profile | None = None) -> DataFrame:
+    return contract.depth_gate(inputs["articles"], min_ratio, profile).withColumnRenamed("day", "entity")
 
 
 @gate("brief")
-def _brief(inputs: Inputs, limit: int = 5) -> DataFrame:
-    return contract.brief_gate(inputs["articles"], limit).withColumnRenamed("day", "entity")
+def _brief(inputs: Inputs, limit: int = 5, profile: contract.Profile | None = None) -> DataFrame:
+    return contract.brief_gate(inputs["articles"], limit, profile).withColumnRenamed("day", "entity")
 
 
 @gate("coverage")
@@ -184,17 +185,19 @@ def run_gates(
     spark: SparkSession, names: list[str], inputs: Inputs, policy: Mapping[str, str] | None = None,
     arguments: Mapping[str, dict] | None = None, expected: DataFrame | None = None,
 ) -> DataFrame:
-    """Union of the named gates. A gate that cannot be planned is a failed result, not an error.
+    """Union of the named gates' results, each executed and written as its own job.
 
-    With `expected` (entity), each named gate has a result for each of these entities: where a gate gave
-    none, or could not be planned, the result is a failure. Faults in a running task end the job.
+    A gate that cannot be planned, or whose job ends with an error after Spark's own retries, is a failed
+    result and leaves the others' results as they are. With `expected` (entity), each named gate has a result
+    for each of these entities: where a gate gave none, or is broken, the result is a failure.
     """
     out = None
     for name in names:
         function = get(name)
         try:
-            rows = result_rows(name, function(inputs, **(arguments or {}).get(name, {})), policy)
-        except (PySparkException, KeyError) as problem:
+            # Writing it here is the barrier: later readers meet rows and not the gate's plan.
+            rows = materialise(result_rows(name, function(inputs, **(arguments or {}).get(name, {})), policy), f"gate-{name}")
+        except (PySparkException, Py4JError, KeyError) as problem:
             broken = spark.range(1).select(
                 F.lit(None).cast("string").alias("entity"), F.lit("fail").alias("decision"),
                 F.lit("internal_error").alias("failure_class"), F.lit(type(problem).__name__).alias("detail"),

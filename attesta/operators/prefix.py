@@ -1,59 +1,145 @@
-"""Matching strings that start with each other, rewritten as equi joins.
+"""Matching strings that start with each other, as one sort-merge join.
 
-A `startswith` join plans as a nested loop over all pairs. Here a string is expanded into hashes of
-its prefixes, eight bytes for each character, and never into copies of itself. The full strings are
-compared afterwards, so a hash collision cannot match.
+A `startswith` join plans as a nested loop over all pairs. Sorted, a string stands behind its prefixes
+and before what continues it, so one pass with a stack of the strings that are still open answers both
+questions. Both sides are sorted together, cut into ranges; each string is shuffled twice, however long
+it is. Strings that are open where a range begins travel there as guests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.session import materialise
 
-def probe(text: Column) -> Column:
-    """What a string of a day is looked up by."""
-    return F.xxhash64(F.col("day"), text)
+KNOWN, TARGET, GUEST = 1, 2, 4
 
 
-def prefix_probes(text: Column, sizes: Column) -> Column:
-    """Probes of the proper prefixes of `text` that have one of the given sizes."""
-    return F.transform(F.filter(sizes, lambda n: n < F.length(text)), lambda n: probe(F.substring(text, F.lit(1), n)))
+class _Open:
+    """A string that later ones may continue, with the longest known string below it and the best known one above."""
 
+    __slots__ = ("text", "kind", "below", "best")
 
-def with_sizes(rows: DataFrame, of: DataFrame, text: str) -> DataFrame:
-    """Rows with `sizes`, the distinct lengths of `of`.text: a scalar, at most as long as the longest string."""
-    sizes = of.select(F.length(text).alias("n")).agg(F.array_sort(F.collect_set("n")))
-    return rows.withColumn("sizes", sizes.scalar())
+    def __init__(self, text: str, kind: int, below: str | None):
+        self.text, self.kind, self.below, self.best = text, kind, below, None
 
+    def offer(self, name: str | None) -> None:
+        """The longer known string stays, of equally long ones the first by name."""
+        if name is not None and (self.best is None or (-len(name), name) < (-len(self.best), self.best)):
+            self.best = name
 
-def nearest_extended(targets: DataFrame, text: str, known: DataFrame, shortest: int) -> DataFrame:
-    """(day, text, real): for each target the longest known string that it continues.
 
-    Targets are expanded, known strings are not; a known string has one row for its probe.
-    """
-    own = known.filter(F.length("canonical") >= shortest)
-    rows = with_sizes(targets, own, "canonical").select("day", text, F.explode(prefix_probes(F.col(text), F.col("sizes"))).alias("probe"))
-    names = own.select(F.col("day").alias("k_day"), probe(F.col("canonical")).alias("probe"), F.col("canonical").alias("real"))
-    met = rows.join(names, "probe").filter((F.col("day") == F.col("k_day")) & F.col(text).startswith(F.col("real")))
-    return met.groupBy("day", text).agg(F.max_by("real", F.length("real")).alias("real"))
+class Stack:
+    """The open strings of one day while its strings arrive in order."""
 
+    def __init__(self):
+        self.open: list[_Open] = []
+        self.done: list[tuple[str, str | None, str | None]] = []
 
-def nearest_continuing(targets: DataFrame, text: str, known: DataFrame, shortest: int) -> DataFrame:
-    """(day, text, real): for each target the known string that continues it, the longest, then first by name.
+    def close(self, text: str | None = None) -> None:
+        """Take off what `text` does not continue; all of it without a text. Targets taken off are done."""
+        while self.open and (text is None or not text.startswith(self.open[-1].text)):
+            gone = self.open.pop()
+            if self.open:
+                self.open[-1].offer(gone.best)
+            below = None if gone.kind & GUEST else gone.below
+            if gone.kind & TARGET and (below is not None or gone.best is not None):
+                self.done.append((gone.text, below, gone.best))
+
+    def meet(self, text: str, kind: int) -> None:
+        self.close(text)
+        top = self.open[-1] if self.open else None
+        if top is not None and top.text == text:
+            fresh = kind & KNOWN and not top.kind & KNOWN
+            top.kind |= kind
+            top = self.open[-2] if len(self.open) > 1 else None
+        else:
+            fresh = kind & KNOWN
+            below = None if top is None else top.text if top.kind & KNOWN else top.below
+            self.open.append(_Open(text, kind, below))
+        if fresh and top is not None and not kind & GUEST:
+            top.offer(text)
 
-    Known strings are expanded only to lengths some target has, as hashes with their own name's hash, and
-    only those a target asks for fetch their text. The best of each probe is picked by an aggregate,
-    which combines in the map tasks, before it meets the target: a prefix that all known strings share
-    is one row there.
+
+def nearest(targets: DataFrame, text: str, known: DataFrame) -> DataFrame:
+    """(day, text, extends, truncates) for targets with either.
+
+    `extends` is the longest known string of the day that the target continues, `truncates` the longest,
+    then first by name, that continues the target. Equal strings are no match; nulls match nothing. Both
+    inputs are distinct.
+
+    A table of sorted ranges is written. Its first strings, one for each range, say which strings are still
+    open in later ranges: those that the first string of the range continues. A target that is open in
+    several ranges gets its best from each of them.
     """
-    asked = targets.filter(F.length(text) >= shortest)
-    wanted = asked.select("day", text, probe(F.col(text)).alias("probe"))
-    spread = with_sizes(known, asked, text).select(
-        probe(F.col("canonical")).alias("name"), F.explode(prefix_probes(F.col("canonical"), F.col("sizes"))).alias("probe")
-    )
-    used = spread.join(wanted.select("probe").distinct(), "probe", "left_semi")
-    texts = known.select(probe(F.col("canonical")).alias("name"), F.col("day").alias("k_day"), F.col("canonical").alias("real"))
-    best = used.join(texts, "name").groupBy("probe", "k_day").agg(F.min(F.struct((-F.length("real")).alias("n"), "real")).alias("best"))
-    met = wanted.join(best.select("probe", "k_day", "best.real"), "probe")
-    return met.filter((F.col("day") == F.col("k_day")) & F.col("real").startswith(F.col(text))).select("day", text, "real")
+    names = known.select("day", F.col("canonical").alias("text"), F.lit(KNOWN).alias("kind"))
+    asked = targets.select("day", F.col(text).alias("text"), F.lit(TARGET).alias("kind"))
+    rows = names.unionByName(asked).dropna()
+    ranges = materialise(rows.repartitionByRange("day", "text").withColumn("part", F.spark_partition_id()), "ranges")
+    borders = [
+        (r["part"], r["first"]["day"], r["first"]["text"])
+        for r in ranges.groupBy("part").agg(F.min(F.struct("day", "text")).alias("first")).orderBy("part").collect()  # one for each range
+    ]
+    whole = ranges
+    if len(borders) > 1:
+        schema = f"at int, b_day {rows.schema['day'].dataType.simpleString()}, first string"
+        after = [(here[0], *there[1:]) for here, there in zip(borders, borders[1:])]
+        opened = ranges.join(F.broadcast(rows.sparkSession.createDataFrame(after, schema)), F.col("part") == F.col("at"))
+        guests = opened.filter((F.col("day") == F.col("b_day")) & F.col("first").startswith(F.col("text")))
+        first = F.broadcast(rows.sparkSession.createDataFrame(borders, schema).withColumnRenamed("at", "later"))
+        # Few rows: at most as many for each border as its text has characters.
+        placed = guests.drop("at", "b_day", "first").join(first, (F.col("day") == F.col("b_day")) & (F.col("later") > F.col("part")) & F.col("first").startswith(F.col("text")))
+        whole = ranges.unionByName(placed.select("day", "text", F.col("kind").bitwiseOR(GUEST).alias("kind"), F.col("later").alias("part")))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stack, now = Stack(), None
+        kind = None
+
+        def result() -> pa.RecordBatch:
+            texts, extends, truncates, days = [], [], [], []
+            for day, done in finished:
+                for t, e, b in done:
+                    days.append(day), texts.append(t), extends.append(e), truncates.append(b)
+            finished.clear()
+            return pa.RecordBatch.from_arrays([pa.array(days, kind), *[pa.array(v, pa.string()) for v in (texts, extends, truncates)]], ["day", "text", "extends", "truncates"])
+
+        finished: list[tuple[object, list]] = []
+        for batch in batches:
+            kind = batch.column(1).type
+            for part, day, string, what in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (part, day) != now:
+                    stack.close()
+                    finished.append((now and now[1], stack.done))
+                    stack, now = Stack(), (part, day)
+                stack.meet(string, what)
+            if stack.done:
+                finished.append((now[1], stack.done))
+                stack.done = []
+            if finished:
+                yield result()
+        if kind is not None:
+            stack.close()
+            finished.append((now[1], stack.done))
+            yield result()
+
+    sorted_rows = whole.repartition("part").select("part", "day", "text", "kind").sortWithinPartitions("part", "day", "text", "kind")
+    day = rows.schema["day"].dataType.simpleString()
+    found = sorted_rows.mapInArrow(merged, f"day {day}, text string, extends string, truncates string")
+    best = F.min(F.when(F.col("truncates").isNotNull(), F.struct((-F.length("truncates")).alias("n"), F.col("truncates").alias("name"))))
+    return found.groupBy("day", F.col("text").alias(text)).agg(F.max("extends").alias("extends"), best["name"].alias("truncates"))
+
+
+def nearest_extended(targets: DataFrame, text: str, known: DataFrame, shortest: int) -> DataFrame:
+    """(day, text, real): for each target the longest known string of at least `shortest` characters that it continues."""
+    found = nearest(targets, text, known.filter(F.length("canonical") >= shortest))
+    return found.filter("extends is not null").select("day", text, F.col("extends").alias("real"))
+
+
+def nearest_continuing(targets: DataFrame, text: str, known: DataFrame, shortest: int) -> DataFrame:
+    """(day, text, real): for each target of at least `shortest` characters the known string that continues it, the longest, then first by name."""
+    found = nearest(targets.filter(F.length(text) >= shortest), text, known)
+    return found.filter("truncates is not null").select("day", text, F.col("truncates").alias("real"))

@@ -17,7 +17,7 @@ from attesta.functions.urls import (
     strip_arxiv_version,
 )
 from attesta.functions.vocabulary import MIN_PREFIX_LENGTH
-from attesta.operators.prefix import nearest_continuing, nearest_extended
+from attesta.operators.prefix import nearest
 from attesta.session import materialise
 
 # Result of a rung: decision, reason, failure class, drift.
@@ -94,14 +94,12 @@ def classify_targets(
     )
     settled = materialise(settled, "settled")
     open_targets = settled.filter("open").select("day", "target")
-    extends = nearest_extended(open_targets, "target", known, min_length).withColumnRenamed("real", "extends")
-    long_enough = known.filter(F.length("canonical") >= min_length)
-    truncates = nearest_continuing(open_targets, "target", long_enough, 1).withColumnRenamed("real", "truncates")
+    near = nearest(open_targets.filter("target <> ''"), "target", known.filter(F.length("canonical") >= min_length))
     closest = F.least(*[
         F.when(F.col(way).isNotNull(), F.struct((-F.length(way)).alias("n"), F.col(way).alias("matched"), F.lit(way).alias("rung")))
         for way in ("extends", "truncates")
     ])
-    final = settled.join(extends, ["day", "target"], "left").join(truncates, ["day", "target"], "left").withColumn("near", closest)
+    final = settled.join(near, ["day", "target"], "left").withColumn("near", closest)
     return final.select(
         "day", "target",
         F.coalesce("rung", "near.rung", F.lit("none")).alias("rung"),
@@ -136,10 +134,7 @@ def legacy_citations(citations: DataFrame, known: DataFrame) -> DataFrame:
     )
     settled = materialise(settled, "settled")
     bases = settled.filter("open").select("day", "base").distinct()
-    near = (
-        nearest_extended(bases, "base", known, 1).unionByName(nearest_continuing(bases, "base", known, MIN_PREFIX_LENGTH + 1))
-        .select("day", "base", F.lit(True).alias("near")).distinct()
-    )
+    near = nearest(bases, "base", known.filter("canonical <> ''")).select("day", "base", F.lit(True).alias("near"))
     passed = F.col("hit") | F.coalesce(F.col("near") & F.col("open"), F.lit(False))
     verdicts = settled.join(near, ["day", "base"], "left").groupBy("day", "legacy_target").agg(F.max(passed).alias("passed")).select(
         "day", "legacy_target", F.when(F.col("passed"), F.lit("pass")).otherwise(F.lit("fail")).alias("decision")

@@ -145,25 +145,31 @@ _DEPTH = f"""{_LINES}, depth AS (SELECT doc_id, count(*) AS items, count(*) FILT
 @query(
     "article_depth_gate",
     f"""WITH {_DEPTH} SELECT d.doc_id AS day, coalesce(items, 0)::BIGINT AS items, coalesce(with_limit, 0)::BIGINT AS with_limit, coalesce(without_substance, 0)::BIGINT AS without_substance,
-coalesce(round_even(with_limit / items::DOUBLE, 3), 1) AS limit_ratio, coalesce(round_even(with_limit / items::DOUBLE, 3), 1) < 0.6 AS below_target, 'pass' AS decision
-FROM documents d LEFT JOIN depth USING (doc_id)""",
+coalesce(round_even(with_limit / items::DOUBLE, 3), 1) AS limit_ratio, coalesce(round_even(with_limit / items::DOUBLE, 3), 1) < 0.6 AS below_target, 'pass' AS decision,
+NULL::VARCHAR AS failure_class FROM documents d LEFT JOIN depth USING (doc_id)""",
 )
 def article_depth_gate(spark, root):
-    return contract.depth_gate(articles(spark, root))
+    return contract.depth_gate(articles(spark, root), profile=inputs.PROFILE)
 
 
-_BRIEF = f"""{_LINES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i % 2, i) AS place FROM items),
-b AS (SELECT doc_id, count(*) FILTER (place <= 5) AS entries, count(*) AS candidates, count(*) FILTER (place <= 5 AND variant = 'unknown') AS without_body FROM o GROUP BY 1),
-brief AS (SELECT d.doc_id, coalesce(entries, 0) AS entries, coalesce(candidates, 0) AS candidates, coalesce(without_body, 0) AS without_body FROM documents d LEFT JOIN b USING (doc_id))"""
+_HITS = " + ".join(f"(contains(lower(line), '{word}'))::INT" for word in inputs.PROFILE["interest"])
+_OUT = " OR ".join(f"contains(line, '{word}')" for word in inputs.PROFILE["exclude"])
+_BRIEF = f"""{_LINES}, h AS (SELECT *, {_HITS} AS hits, {_OUT} AS excluded FROM items),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i % 2, i) AS place FROM h WHERE hits > 0 AND NOT excluded),
+e AS (SELECT doc_id, count(*) AS candidates, count(*) FILTER (excluded) AS excluded FROM h GROUP BY 1),
+b AS (SELECT doc_id, count(*) AS entries, count(*) FILTER (variant = 'unknown') AS without_body,
+  count(*) FILTER (NOT regexp_matches(lower(body), '限制|不足|仅在|但|however|only|limit')) AS without_limit FROM o WHERE place <= 5 GROUP BY 1),
+brief AS (SELECT d.doc_id, coalesce(entries, 0) AS entries, coalesce(candidates, 0) AS candidates, coalesce(excluded, 0) AS excluded, coalesce(without_body, 0) AS without_body,
+  coalesce(without_limit, 0) AS without_limit FROM documents d LEFT JOIN e USING (doc_id) LEFT JOIN b USING (doc_id))"""
 
 
 @query(
     "article_brief_gate",
-    f"""WITH {_BRIEF} SELECT doc_id AS day, entries::INTEGER AS entries, candidates::INTEGER AS candidates, without_body::INTEGER AS without_body,
-CASE WHEN entries = 0 OR without_body > 0 THEN 'fail' ELSE 'pass' END AS decision FROM brief""",
+    f"""WITH {_BRIEF} SELECT doc_id AS day, entries::INTEGER AS entries, candidates::INTEGER AS candidates, excluded::INTEGER AS excluded, without_body::INTEGER AS without_body,
+0 AS without_reason, without_limit::INTEGER AS without_limit, CASE WHEN entries = 0 OR without_body > 0 THEN 'fail' ELSE 'pass' END AS decision, NULL::VARCHAR AS failure_class FROM brief""",
 )
 def article_brief_gate(spark, root):
-    return contract.brief_gate(articles(spark, root))
+    return contract.brief_gate(articles(spark, root), profile=inputs.PROFILE)
 
 
 @query(

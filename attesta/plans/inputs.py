@@ -22,6 +22,14 @@ from attesta.session import table
 
 PAGES_PER_DAY = 100
 
+#: A reader's profile: words that make an item worth reading, words that exclude it, and signals of depth.
+PROFILE = {
+    "interest": ("tion", "ung", "ment", "ción", "ing"),
+    "exclude": ("!!", "%%%"),
+    "mechanism": ("通过", "采用", "实现", "机制", "because", "by ", "using"),
+    "limit": ("限制", "不足", "仅在", "但", "however", "only", "limit"),
+}
+
 
 def captured(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").select("page_id", F.expr(f"page_id div {PAGES_PER_DAY}").alias("day"), "url")

@@ -84,8 +84,8 @@ def depth_signals(spark, root):
     docs = table(spark, root, "documents").select("lang", "text")
     return docs.groupBy("lang").agg(
         F.count(F.lit(1)).alias("documents"),
-        F.count_if(text.has_mechanism(F.col("text"))).alias("with_mechanism"),
-        F.count_if(text.has_limit(F.col("text"))).alias("with_limit"),
+        F.count_if(text.contains_any(F.col("text"), inputs.PROFILE["mechanism"])).alias("with_mechanism"),
+        F.count_if(text.contains_any(F.col("text"), inputs.PROFILE["limit"])).alias("with_limit"),
     )
 
 

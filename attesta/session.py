@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,10 +86,28 @@ def materialise(df: DataFrame, name: str = "step", folder: str | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(spark: SparkSession) -> int:
-    """Delete the tables this application has written so far; plans that read them are void afterwards."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return len(paths)
+
+
+def forget(spark: SparkSession) -> int:
+    """Delete the tables this application has written so far; plans that read them are void afterwards."""
+    return _delete(spark, _written.pop(spark.sparkContext.applicationId, []))
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside the block go at its end, also after an error; those of outer blocks stay.
+
+    Results have to be written or collected inside the block.
+    """
+    application = spark.sparkContext.applicationId
+    outer = _written.pop(application, [])
+    try:
+        yield
+    finally:
+        _delete(spark, _written.pop(application, []))
+        _written[application] = outer

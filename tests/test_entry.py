@@ -1,7 +1,9 @@
 """The catalogue itself."""
 
+import pytest
+
 import __spark_entry__ as entry
-from attesta.session import _written, forget, materialise
+from attesta.session import _written, forget, intermediates, materialise
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -19,6 +21,17 @@ def test_written_tables_can_be_forgotten(spark, tmp_path):
     assert forget(spark) == 1 and not list(tmp_path.iterdir())
 
 
+def test_intermediates_go_at_the_end_of_their_block(spark, tmp_path):
+    before = list(_written.get(spark.sparkContext.applicationId, []))
+    with pytest.raises(ValueError), intermediates(spark):
+        materialise(spark.range(3), "outer", str(tmp_path))
+        with intermediates(spark):
+            assert materialise(spark.range(3), "inner", str(tmp_path)).count() == 3 and len(list(tmp_path.iterdir())) == 2
+        assert [p.name.startswith("outer") for p in tmp_path.iterdir()] == [True]
+        raise ValueError
+    assert not list(tmp_path.iterdir()) and _written[spark.sparkContext.applicationId] == before
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attesta.functions import text as text_functions
 from attesta.operators import contract, gates
+from attesta.plans.inputs import PROFILE as WORDS
 from attesta.sources import capture, files, memory, pages, sheets
 from attesta.streaming import ledger as stream
 
@@ -98,12 +99,39 @@ def test_duplicates_brief_depth(spark):
     inputs = {"articles": load(spark, doc, article())}
     got = {r.entity: r.decision for r in gates.get("duplicates")(inputs).collect()}
     assert got == {"2026-01-01": "fail", "2026-01-02": "pass"}
-    brief = gates.get("brief")(inputs).filter("entity = '2026-01-02'").first()
-    assert (brief.entries, brief.decision) == (2, "pass")
-    depth = gates.get("depth")(inputs).filter("entity = '2026-01-02'").first()
+    depth = gates.get("depth")(inputs, profile=WORDS).filter("entity = '2026-01-02'").first()
     assert (depth["items"], depth.with_limit, depth.without_substance) == (2, 1, 1)
 
 
+PROFILE = {"interest": ("alpha", "beta"), "exclude": ("spam",), "mechanism": ("because",), "limit": ("only", "but")}
+
+
+def test_brief_is_chosen_by_the_profile(spark):
+    def item(title, prose):
+        return {"title": bi(title), "prose": bi(prose) if prose else {"en": "no zh"}, "sources": [1]}
+
+    many = article(sections=[{"id": "s", "items": [item("one alpha", "x"), item("alpha", "beta only"), item("spam alpha", "y"), item("none", "z"), item("Beta", "")]}])
+    rows = load(spark, many)
+    chosen = [(r.place, r.location, r.why, r.states_limit) for r in contract.select_brief(contract.brief_items(rows), PROFILE, 2).orderBy("place").collect()]
+    assert chosen == [(1, "s[2]", "alpha, beta", True), (2, "s[1]", "alpha", False)]
+    gate = contract.brief_gate(rows, 2, PROFILE).first()
+    assert (gate.entries, gate.candidates, gate.excluded, gate.without_limit, gate.decision, gate.failure_class) == (2, 5, 1, 1, "pass", None)
+    assert contract.brief_gate(rows, 5, PROFILE).first().without_body == 1
+    nothing = contract.brief_gate(rows, 5, {"interest": ("absent",)}).first()
+    assert (nothing.entries, nothing.decision) == (0, "fail")
+    unexplained = contract.brief_gate(rows, 1, {"exclude": ("spam",)}).first()
+    assert (unexplained.entries, unexplained.without_reason, unexplained.decision) == (1, 1, "fail")
+
+
+@pytest.mark.parametrize("name", ["brief", "depth"])
+def test_without_a_profile_nothing_is_verified(spark, name):
+    inputs = {"articles": load(spark, article(), "{broken")}
+    got = {r.entity: (r.decision, r.failure_class) for r in gates.run_gates(spark, [name], inputs).collect()}
+    assert got == {"2026-01-01": ("cannot_verify", "precondition_unknown"), "2026-01-02": ("fail", "policy_violation")}
+    told = gates.run_gates(spark, [name], inputs, arguments={name: {"profile": PROFILE}})
+    assert {r.decision for r in told.filter("entity = '2026-01-01'").collect()} <= {"pass", "fail"}
+
+
 RAW = {"hn": [{"title": "x", "url": "http://www.a.org/story/one/long/?utm_source=q", "points": 3}], "deep": {"er": [{"link": "https://b.org/story/two/long"}]}}
 
 
@@ -147,6 +175,21 @@ def test_runner_policy_and_broken_gate(spark):
         gates.get("nope")
 
 
+def test_a_gate_whose_task_raises_leaves_the_other_results(spark, monkeypatch):
+    bomb = F.udf(lambda x: 1 // 0, "int")
+    monkeypatch.setitem(gates.GATES, "bomb", lambda inputs: inputs["articles"].select(F.col("day").alias("entity"), F.when(bomb("day") > 0, "pass").otherwise("fail").alias("decision")))
+    monkeypatch.setitem(gates.GATES, "overflow", lambda inputs: inputs["articles"].select(F.col("day").alias("entity"), F.raise_error(F.lit("no")).cast("string").alias("decision")))
+    inputs = {"articles": load(spark, article(), article())}
+    expected = spark.createDataFrame([("2026-01-01",), ("2026-01-02",), ("2026-01-03",)], "entity string")
+    names = ["bomb", "structure", "overflow", "references"]
+    got = {(r.gate, r.entity): (r.decision, r.failure_class, r.ok) for r in gates.run_gates(spark, names, inputs, expected=expected).collect()}
+    assert len(got) == 12
+    assert {got[n, f"2026-01-0{d}"] for n in ("bomb", "overflow") for d in (1, 2, 3)} == {("fail", "internal_error", False)}
+    assert {got[n, f"2026-01-0{d}"] for n in ("structure", "references") for d in (1, 2)} == {("pass", None, True)}
+    loose = gates.run_gates(spark, names, inputs)
+    assert sorted((r.gate, r.entity or "") for r in loose.filter("not ok").collect()) == [("bomb", ""), ("overflow", "")]
+
+
 def test_suite_rejects_gates_that_always_agree(spark):
     """A probe set must tell an always-pass and an always-fail gate from a real one."""
     probes = [(article(), True), (article(date=""), False), (article(notes=""), False)]
@@ -288,7 +331,7 @@ def test_every_expected_entity_has_a_result_and_a_broken_gate_blocks(spark):
 
 def test_depth_of_empty_and_unreadable_articles(spark):
     rows = spark.createDataFrame([("d1", json.dumps({"sections": []})), ("d2", "{broken"), ("d3", None)], "day string, content string")
-    got = {r.day: (r.decision, r.limit_ratio, r["items"]) for r in contract.depth_gate(rows).collect()}
+    got = {r.day: (r.decision, r.limit_ratio, r["items"]) for r in contract.depth_gate(rows, profile=PROFILE).collect()}
     assert got == {"d1": ("pass", 1.0, 0), "d2": ("fail", 1.0, 0), "d3": ("fail", 1.0, 0)}
 
 

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import compose, corpus, coverage, dedup, experiment, ledger, merge_review, prefix, provenance, ranking, refund, scoring, search, selection
+from attesta.operators import compose, corpus, coverage, dedup, experiment, ledger, merge_review, prefix, provenance, ranking, refund, scoring, search, selection, skew
+from attesta.session import materialise
 
 
 def rows(df, *columns):
@@ -121,13 +122,56 @@ def test_prefix_matches_equal_brute_force(spark):
     assert got == {key: max(v, key=len) for key, v in shorter.items() if v}
 
 
-def test_prefix_expansion_is_linear_and_hot_prefixes_are_one_row(spark):
-    urls = spark.range(20_000).select(F.lit(1).alias("day"), F.format_string("g.org/watch/%05d", F.col("id")).alias("canonical"))
-    long = spark.createDataFrame([(1, "x" * 2000)], "day int, canonical string")
-    spread = long.select(F.explode(prefix.prefix_probes(F.col("canonical"), F.sequence(F.lit(1), F.lit(1999)))).alias("p"))
-    assert spread.dtypes == [("p", "bigint")] and spread.count() == 1999
-    asked = spark.createDataFrame([(1, "g"), (1, "g.org/watch")], "day int, target string")
-    got = {r.target: r.real for r in prefix.nearest_continuing(asked, "target", urls, 1).collect()}
+def test_prefix_join_across_ranges(spark):
+    """Open strings travel over many ranges, over days, and through equal strings of both sides."""
+    rng = random.Random(8)
+    spark.conf.set("spark.sql.shuffle.partitions", 13)
+    try:
+        for alphabet, n in (("a", 40), ("ab", 150), ("a/é", 150)):
+            draw = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 12)))  # noqa: E731, B023
+            known = sorted({(d, draw()) for d in (1, 2, 3) for _ in range(n)})
+            asked = sorted({(d, draw()) for d in (1, 2, 4) for _ in range(n)})
+            k = spark.createDataFrame([*known, (None, "a"), (1, None)], "day int, canonical string")
+            t = spark.createDataFrame([*asked, (None, "ab"), (2, None)], "day int, target string")
+            got = {(r.day, r.target): (r.extends, r.truncates) for r in prefix.nearest(t, "target", k).collect()}
+            want = {}
+            for d, x in asked:
+                near = [c for e, c in known if e == d and c != x]
+                below, above = [c for c in near if x.startswith(c)], [c for c in near if c.startswith(x)]
+                if below or above:
+                    want[d, x] = (max(below, key=len, default=None), min(above, key=lambda c: (-len(c), c), default=None))
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+    assert prefix.nearest(t.limit(0), "target", k).count() == 0 and prefix.nearest(t, "target", k.limit(0)).count() == 0
+
+
+def _shuffled(df):
+    """Bytes of shuffle that running a plan writes, by its exchanges."""
+    df.collect()
+    sizes, open_ = 0, [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        metrics = node.metrics()
+        if "Exchange" in node.nodeName() and metrics.contains("dataSize"):
+            sizes += metrics.apply("dataSize").value()
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return sizes
+
+
+def test_prefix_join_shuffles_strings_once_and_not_once_for_each_length(spark, monkeypatch):
+    urls = spark.range(2_000).select(F.lit(1).alias("day"), F.concat(F.lit("g.org/"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 31), F.col("id")).alias("canonical"))
+    asked = urls.select("day", F.expr("substring(canonical, 1, 1500 + crc32(canonical) % 400)").alias("target"))
+    tail = []
+    monkeypatch.setattr(prefix, "materialise", lambda df, name: tail.append(df) or materialise(df, name))
+    found = prefix.nearest(asked, "target", urls)
+    written = urls.unionByName(asked.withColumnRenamed("target", "canonical")).agg(F.sum(F.octet_length("canonical"))).first()[0]
+    assert found.filter("truncates is not null").count() == 2_000
+    assert _shuffled(found.groupBy().count()) + _shuffled(tail[0]) < 3 * written
+    hot = spark.range(20_000).select(F.lit(1).alias("day"), F.format_string("g.org/watch/%05d", F.col("id")).alias("canonical"))
+    short = spark.createDataFrame([(1, "g"), (1, "g.org/watch")], "day int, target string")
+    got = {r.target: r.real for r in prefix.nearest_continuing(short, "target", hot, 1).collect()}
     assert got == {"g": "g.org/watch/00000", "g.org/watch": "g.org/watch/00000"}
 
 
@@ -201,12 +245,12 @@ def make_entries(seed, n):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_dedup_matches_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, limits", [(1, {}), (2, {}), (3, {"hot": 1, "block": 3})])
+def test_dedup_matches_brute_force(spark, seed, limits):
     entries = make_entries(seed, 60)
     df = spark.createDataFrame(entries, COLUMNS)
     classes = dedup.entry_classes(df)
-    pairs = dedup.class_pairs(classes).persist()
+    pairs = dedup.class_pairs(classes, **limits).persist()
     dropped = dedup.resolve(df, classes, pairs)
     every = [(a, b, brute_score(a, b)) for a, b in itertools.combinations(sorted(entries, key=lambda e: e[1]), 2) if a[0] == b[0]]
     hard = sorted([p for p in every if p[2] >= 0.86], key=lambda p: -p[2])
@@ -234,6 +278,36 @@ def test_dedup_output_stays_linear_for_copies(spark):
     assert dedup.resolve(df, classes, pairs).count() == 299
 
 
+def test_frequent_tokens_meet_in_cells(spark):
+    """Hundred thousand titles share a word, in nine lengths; only those that can be similar are met, and every similar one is."""
+    rest = F.transform(F.sequence(F.lit(1), (F.col("id") % 9 + 1).cast("int")), lambda k: F.concat(F.lit("x"), F.col("id"), F.lit("y"), k))
+    titles = spark.range(100_000).select((F.col("id") + 10).alias("rank"), F.concat_ws(" ", F.lit("hot"), rest).alias("title_en"))
+    planted = [(0, "hot x7y1 x7y2"), (1, "hot"), (2, "hot x18y1 other"), (3, "hot new words here"), (4, "hot new words there")]
+    every = spark.createDataFrame(planted, "rank long, title_en string").unionByName(titles)
+    entries = every.select(
+        F.lit("a").alias("article"), "rank", F.col("rank").cast("string").alias("location"), F.lit("s").alias("section"), F.lit("").alias("title_zh"), "title_en",
+        F.lit("").alias("body_zh"), F.lit("").alias("body_en"), F.array().cast("array<string>").alias("urls"),
+    )
+    pairs = dedup.class_pairs(dedup.entry_classes(entries)).select("rank_a", "rank_b", "score")
+    near = {(r.rank_a, r.rank_b): r.score for r in pairs.filter("rank_b < 10 or rank_a <> 1").collect()}
+    # 0 shares two of its three words with entry 17's eight more: 3/9; 2 shares two of three with 28's two.
+    assert near == {(2, 28): 0.62, (3, 4): 0.62}
+    single = pairs.filter("rank_a = 1 and rank_b >= 10").agg(F.count("*"), F.min("score"), F.max("score")).first()
+    assert tuple(single) == (11_112, 0.62, 0.62)  # {hot} against {hot, one word}
+
+
+def test_blocks_meet_every_pair_once_and_stay_small(spark):
+    a, b = (spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias(name)) for n, name in ((730, "a"), (95, "b")))
+    counts = spark.createDataFrame([("k", 730, 95), ("z", 1, 1)], "key string, n_a long, n_b long")
+    left = skew.blocked(skew.attach(a, ["key"], counts, "n_a"), F.col("a"), F.col("n_a"), F.col("n_b"), "i", "j", 50).select("key", "a", "i", "j")
+    right = skew.blocked(skew.attach(b, ["key"], counts, "n_b"), F.col("b"), F.col("n_b"), F.col("n_a"), "j", "i", 50).select("key", "b", "i", "j")
+    met = left.join(right, ["key", "i", "j"])
+    assert met.count() == met.select("a", "b").distinct().count() == 730 * 95
+    assert max(r["count"] for r in left.groupBy("i", "j").count().collect()) < 100
+    assert skew.attach(a, ["key"], counts, "n_a", share=1)._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+    assert skew.attach(a, ["key"], counts.filter("key = 'none'"), "n_a").count() == 0
+
+
 # -- measures ------------------------------------------------------------------------------------
 
 
