@@ -21,6 +21,8 @@ BATCH_WORDS, BATCH_ITEMS = 8_000, 256
 #: Cells of the coordinates of documents searched together in a task; leaves, and children of a node.
 CELLS = 4_000_000
 DOC_LEAF, ITEM_LEAF, FAN = 16, 8, 4
+#: Bounds are doubles, made a little larger than any error of their sums.
+ROUNDING = 1 + 1e-9
 #: One document in so many gives the first thresholds.
 SEED = 16
 #: Groups in which the best of an item are found before they meet.
@@ -68,7 +70,7 @@ class Batch:
         kind = np.float64 if exact else np.int64  # whole numbers below 2^53 are exact in doubles, which multiply faster
         self.weight = self.weight.astype(kind)
         self.rows = self.member * self.weight
-        self.tree = levels(self.rows, ITEM_LEAF)
+        self.tree = levels(self.rows.astype(np.float64), ITEM_LEAF)
 
 
 def batches_of(terms: list[np.ndarray], weight: np.ndarray, batch_words: int = BATCH_WORDS, batch_items: int = BATCH_ITEMS) -> list[Batch]:
@@ -134,7 +136,7 @@ def search(batch: Batch, coordinates: np.ndarray, ids: np.ndarray, absent: np.nd
     order = np.lexsort((strength.argmax(axis=1), first))
     del strength
     coordinates, ids, absent = coordinates[order], ids[order], absent[order]
-    tree = levels(coordinates, DOC_LEAF)
+    tree = levels(coordinates.astype(np.float64), DOC_LEAF)
     weakest = levels(best.least[batch.items], ITEM_LEAF, np.minimum)
     work.possible += len(ids) * len(batch.items)
     d, i = len(tree) - 1, len(batch.tree) - 1
@@ -142,8 +144,8 @@ def search(batch: Batch, coordinates: np.ndarray, ids: np.ndarray, absent: np.nd
     bounds = np.zeros((1, 1))
     while True:
         rows, columns = np.flatnonzero(live.any(axis=1)), np.flatnonzero(live.any(axis=0))
-        bounds = np.zeros(live.shape, tree[d].dtype)
-        bounds[np.ix_(rows, columns)] = tree[d][rows] @ batch.tree[i][columns].T
+        bounds = np.zeros(live.shape)
+        bounds[np.ix_(rows, columns)] = (tree[d][rows] @ batch.tree[i][columns].T) * ROUNDING
         live &= bounds >= weakest[i]
         if not live.any():
             return

