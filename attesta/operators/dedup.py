@@ -96,7 +96,7 @@ def _rarest(sets: DataFrame) -> DataFrame:
     keys = ["article", "scope", "digest", "needed", "size"]
     spread = materialise(sets.withColumn("size", F.size("tokens")).select(*keys, F.explode("tokens").alias("token")), "tokens")
     token = ["article", "scope", "token"]
-    frequency = spread.groupBy(*token).agg(F.count(F.lit(1)).alias("df"))
+    frequency = materialise(spread.groupBy(*token).agg(F.count(F.lit(1)).alias("df")), "frequency")
     counted = attach(spread, token, frequency, "df")
     ordered = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
     keep = F.col("size") - F.ceil(F.col("size") * F.col("needed") - F.lit(1e-9)) + F.lit(1)
@@ -160,8 +160,8 @@ def _meeting_pairs(classes: DataFrame, **limits: int) -> DataFrame:
     set, are told apart by their titles before they are listed, so entries of one title never meet.
     """
     node, titles = ["article", "scope", "digest"], ["norm_zh", "norm_en"]
-    owned = _token_sets(classes)
-    members = materialise(owned.select(*node, *titles, "rank"), "members")
+    owned = materialise(_token_sets(classes), "owned")
+    members = owned.select(*node, *titles, "rank")
     sets = materialise(owned.groupBy(*node).agg(F.first("tokens").alias("tokens"), F.first("needed").alias("needed"), F.count(F.lit(1)).alias("members")), "sets")
     own = sets.filter("members > 1").select("article", "scope", F.col("digest").alias("small"), F.col("digest").alias("large"))
     similar = _similar_sets(sets, **limits).unionByName(own)

@@ -16,6 +16,7 @@ def attach(rows: DataFrame, keys: list[str], stats: DataFrame, count: str, share
 
     Keys with more than 1/share of all rows are fewer than `share`, so their statistics are broadcast and
     their rows stay where they are; all other keys are small and meet by shuffle. Inner join; null keys drop.
+    Both inputs are read more than once, so they should be written tables.
     """
     total = stats.agg(F.sum(count)).first()[0] or 0
     frequent = F.broadcast(stats.filter(F.col(count) > total / share))
