@@ -313,14 +313,51 @@ def unjudged(pairs: DataFrame, dropped: DataFrame) -> DataFrame:
     return pairs.filter("verdict = 'borderline'").join(gone, ["article", "rank_b"], "left_anti")
 
 
-def judged_pairs(pairs: DataFrame, max_calls: int = 8) -> DataFrame:
-    """The pairs a judge is asked about first, best score first, at most max_calls per article.
+def judged_pairs(pairs: DataFrame, answers: DataFrame | None = None, max_calls: int = 8) -> DataFrame:
+    """Grey pairs of unjudged() with `same`, `call` and `outcome`: dropped, distinct, unjudged or skipped.
 
-    The cap is the judge's call budget; the pairs beyond it stay unjudged in unjudged().
+    An article's pairs are asked about in order of score, then ranks, as long as it has calls left; a pair whose
+    later entry has gone is skipped and costs no call. `answers` is (article, rank_a, rank_b, same): true drops the
+    later entry, false leaves both, and a call without an answer settles nothing. Without `answers` these are the
+    pairs to ask about first. The limit is the judge's call budget; pairs beyond it stay unjudged.
+
+    A pair is skipped if a better one with the same later entry was confirmed, and the first confirmed one of an
+    entry is never skipped itself. So the fold needs no state: aggregates find the first, a numbering the calls.
     """
     from attesta.operators.ranking import top_k
 
-    return top_k(pairs, max_calls, ["article"], [F.desc("score"), F.col("rank_a"), F.col("rank_b")], "call")
+    key, place = ["article", "rank_a", "rank_b"], F.struct((-F.col("score")).alias("n"), "rank_a")
+    answered = pairs.withColumn("same", F.lit(None).cast("boolean")) if answers is None else pairs.join(answers.select(*key, "same"), key, "left")
+    first = answered.filter("same").groupBy("article", "rank_b").agg(F.min(place).alias("first"))
+    placed = answered.join(first, ["article", "rank_b"], "left").withColumn("open", F.col("first").isNull() | (place <= F.col("first")))
+    order = [F.desc("score"), F.col("rank_a"), F.col("rank_b")]
+    calls = top_k(placed.filter("open").select(*key, "score", "same"), max_calls, ["article"], order, "call")
+    gone = calls.filter("same").select("article", "rank_b", F.lit(True).alias("gone"))
+    joined = placed.join(calls.select(*key, "call"), key, "left").join(gone, ["article", "rank_b"], "left")
+    outcome = (
+        F.when(F.col("call").isNull(), F.when(~F.col("open") & F.col("gone"), F.lit("skipped")).otherwise(F.lit("unjudged")))
+        .when(F.col("same"), F.lit("dropped")).when(~F.col("same"), F.lit("distinct")).otherwise(F.lit("unjudged"))
+    )
+    return joined.withColumn("outcome", outcome).drop("first", "open", "gone")
+
+
+def all_dropped(dropped: DataFrame, judged: DataFrame) -> DataFrame:
+    """Entries that go, with who decided: (article, rank, location, kept, score, source)."""
+    own = dropped.withColumn("source", F.lit("deterministic"))
+    told = judged.filter("outcome = 'dropped'").select(
+        "article", F.col("rank_b").alias("rank"), F.col("location_b").alias("location"), F.col("location_a").alias("kept"), "score", F.lit("model").alias("source")
+    )
+    return own.unionByName(told)
+
+
+def judged_metrics(pairs: DataFrame, dropped: DataFrame, judged: DataFrame) -> DataFrame:
+    """Per article: entries dropped, clear and grey pairs, calls, and grey pairs left open; pairs are those listed."""
+    listed = pairs.groupBy("article").agg(
+        F.count_if(F.col("verdict") == "duplicate").alias("clear"), F.count_if(F.col("verdict") == "borderline").alias("grey")
+    )
+    told = judged.groupBy("article").agg(F.count("call").alias("judged"), F.count_if(F.col("outcome") == "unjudged").alias("unjudged"))
+    gone = all_dropped(dropped, judged).groupBy("article").agg(F.count(F.lit(1)).alias("dropped"))
+    return gone.join(listed, "article", "full").join(told, "article", "full").fillna(0)
 
 
 def duplicate_gate(

@@ -175,6 +175,32 @@ def dedup_unjudged(spark, root):
     return dedup.unjudged(pairs, dropped).select("article", "rank_a", "rank_b", "score")
 
 
+@query(
+    "dedup_judged",
+    """WITH RECURSIVE p AS (
+  SELECT article, rank_a, rank_b, score, same, row_number() OVER (PARTITION BY article ORDER BY score DESC, rank_a, rank_b) AS pos FROM (
+    SELECT l_suppkey AS article, l_linenumber AS rank_a, l_linenumber + 1 + l_partkey % 7 AS rank_b, max(60 + l_quantity::BIGINT % 25)::BIGINT AS score,
+      CASE max(l_returnflag) WHEN 'R' THEN true WHEN 'N' THEN false END AS same FROM lineitem GROUP BY ALL)),
+f AS (
+  SELECT DISTINCT article, 0::BIGINT AS pos, 0 AS calls, []::BIGINT[] AS gone, 0::BIGINT AS rank_a, 0::BIGINT AS rank_b, 0::BIGINT AS score, 0 AS call, '' AS outcome FROM p
+  UNION ALL
+  SELECT article, pos, calls + asked, CASE WHEN asked = 1 AND same THEN list_append(gone, rank_b) ELSE gone END, rank_a, rank_b, score,
+    CASE WHEN asked = 1 THEN calls + 1 END,
+    CASE WHEN skipped THEN 'skipped' WHEN asked = 0 OR same IS NULL THEN 'unjudged' WHEN same THEN 'dropped' ELSE 'distinct' END FROM (
+    SELECT p.article, p.pos, f.calls, f.gone, p.rank_a::BIGINT AS rank_a, p.rank_b::BIGINT AS rank_b, p.score, p.same, list_contains(f.gone, p.rank_b::BIGINT) AS skipped,
+      (NOT list_contains(f.gone, p.rank_b::BIGINT) AND f.calls < 8)::INT AS asked FROM f JOIN p ON p.article = f.article AND p.pos = f.pos + 1))
+SELECT article, rank_a, rank_b, score, call::INTEGER AS call, outcome FROM f WHERE pos > 0""",
+)
+def dedup_judged(spark, root):
+    """Order lines of a supplier as grey pairs, their return flags as a judge's answers: what eight calls settle."""
+    lines = table(spark, root, "lineitem")
+    key = [F.col("l_suppkey").alias("article"), F.col("l_linenumber").cast("long").alias("rank_a"), (F.col("l_linenumber") + 1 + F.col("l_partkey") % 7).cast("long").alias("rank_b")]
+    pairs = lines.groupBy(*key).agg(F.max(60 + F.col("l_quantity").cast("long") % 25).alias("score"), F.max("l_returnflag").alias("flag"))
+    answers = pairs.select("article", "rank_a", "rank_b", F.when(F.col("flag") == "R", True).when(F.col("flag") == "N", False).alias("same"))
+    judged = dedup.judged_pairs(pairs, answers)
+    return judged.select("article", "rank_a", "rank_b", "score", "call", "outcome")
+
+
 @query(
     "dedup_gate",
     f"""WITH {_PAIRS}, {_DROPPED},

@@ -278,6 +278,38 @@ def test_dedup_output_stays_linear_for_copies(spark):
     assert dedup.resolve(df, classes, pairs).count() == 299
 
 
+@pytest.mark.parametrize("calls", [0, 1, 3, 8])
+def test_judged_pairs_equal_an_ordered_walk(spark, calls):
+    rng = random.Random(calls)
+    pairs = {(f"a{rng.randrange(4)}", x, x + 1 + rng.randrange(4)): rng.choice([0.62, 0.66, 0.7]) for x in range(14) for _ in range(6)}
+    answers = {key: rng.choice([True, False, None]) for key in pairs if rng.random() < 0.9}
+    want = {}
+    for article in {a for a, _, _ in pairs}:
+        used, gone = 0, set()
+        for key in sorted((k for k in pairs if k[0] == article), key=lambda k: (-pairs[k], k[1], k[2])):
+            if key[2] in gone:
+                want[key] = (None, "skipped")
+            elif used >= calls:
+                want[key] = (None, "unjudged")
+            else:
+                used += 1
+                same = answers.get(key)
+                want[key] = (used, "dropped" if same else "unjudged" if same is None else "distinct")
+                gone |= {key[2]} if same else set()
+    p = spark.createDataFrame([(*k, f"e{k[1]}", f"e{k[2]}", s, "borderline") for k, s in pairs.items()], "article string, rank_a long, rank_b long, location_a string, location_b string, score double, verdict string")
+    a = spark.createDataFrame([(*k, s) for k, s in answers.items()], "article string, rank_a long, rank_b long, same boolean")
+    judged = dedup.judged_pairs(p, a, calls)
+    rows = judged.collect()
+    assert {(r.article, r.rank_a, r.rank_b): (r.call, r.outcome) for r in rows} == want and len(rows) == len(pairs)
+    hard = spark.createDataFrame([("a0", 99, "e99", "e1", 0.95)], "article string, rank long, location string, kept string, score double")
+    gone = dedup.all_dropped(hard, judged).collect()
+    assert sum(r.source == "model" for r in gone) == sum(o == "dropped" for _, o in want.values()) == len({(r.article, r.location) for r in gone}) - 1
+    told = {r.article: r for r in dedup.judged_metrics(p, hard, judged).collect()}
+    assert sum(r.judged for r in told.values()) == sum(c is not None for c, _ in want.values()) and told["a0"].clear == 0
+    asked = dedup.judged_pairs(p, None, calls).filter("call is not null").collect()
+    assert len(asked) == sum(min(calls, sum(k[0] == f"a{i}" for k in pairs)) for i in range(4)) and all(r.outcome == "unjudged" for r in asked)
+
+
 def test_frequent_tokens_meet_in_cells(spark):
     """Hundred thousand titles share a word, in nine lengths; only those that can be similar are met, and every similar one is."""
     rest = F.transform(F.sequence(F.lit(1), (F.col("id") % 9 + 1).cast("int")), lambda k: F.concat(F.lit("x"), F.col("id"), F.lit("y"), k))
