@@ -19,7 +19,8 @@ from attesta.operators import (
 )
 from attesta.plans import inputs, sql
 from attesta.plans.registry import query
-from attesta.session import materialise, table
+from attesta.session import fresh_path, materialise, table
+from attesta.sources import store
 
 # -- ranking and coverage ------------------------------------------------------------------------
 
@@ -463,6 +464,51 @@ def ledger_latest(spark, root):
     return ledger.fold_events(events, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
+@query(
+    "ledger_snapshot",
+    "SELECT user_id, ts::DATE::VARCHAR AS target_date, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1, 2",
+)
+def ledger_snapshot(spark, root):
+    """The latest event of each user and day, from a snapshot by day: views first, then all others folded in."""
+    events = table(spark, root, "events").select("user_id", F.to_date("ts").alias("target_date"), "ts", "event_id", "event_type")
+    path = fresh_path(spark, "ledger")
+    for part in (F.col("event_type") == "view", F.col("event_type") != "view"):
+        store.update(path, events.filter(part), ["user_id"], ["ts", "event_id"])
+    held = spark.read.schema(events.schema).parquet(path)
+    return held.select("user_id", F.col("target_date").cast("string").alias("target_date"), "event_id", "event_type")
+
+
+@query(
+    "ledger_tail",
+    "SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2",
+)
+def ledger_tail(spark, root):
+    """As ledger_latest, with the newest day's events not yet folded into the snapshot."""
+    events = table(spark, root, "events").select("user_id", "event_type", "ts", "event_id")
+    newest = events.agg(F.max(F.to_date("ts"))).scalar()
+    order, keys = ["ts", "event_id"], ["user_id", "event_type"]
+    snapshot = materialise(ledger.fold_events(events.filter(F.to_date("ts") < newest), keys, order), "snapshot")
+    held = store.current(snapshot, events.filter(F.to_date("ts") >= newest), keys, order)
+    return held.select("user_id", "event_type", "event_id")
+
+
+@query(
+    "ledger_run_fields",
+    """SELECT event_id AS run_id, ts::DATE::VARCHAR AS target_date, json_extract(props, '$.k')::BIGINT AS k, json_type(props, '$.k') = 'UBIGINT' AS whole FROM events
+WHERE event_type = 'purchase' AND ts::DATE >= (SELECT max(ts::DATE) - 6 FROM events)""",
+)
+def ledger_run_fields(spark, root):
+    """Failed runs of the newest week with their decoded fields, looked up in a ledger stored by day."""
+    events = table(spark, root, "events")
+    runs = events.select(F.col("event_id").alias("run_id"), F.to_date("ts").alias("target_date"), F.col("props").alias("inputs_json"))
+    stored = materialise(store.decoded(runs, {"inputs_json": "inputs"}), "ledger", partition_by="target_date")
+    first = events.agg(F.date_sub(F.max(F.to_date("ts")), 6)).scalar()
+    failed = events.filter((F.col("event_type") == "purchase") & (F.to_date("ts") >= first))
+    found = store.get_runs(stored, failed.select(F.col("event_id").alias("run_id"), F.to_date("ts").alias("target_date")))
+    k = F.try_variant_get("inputs", "$.k", "long")
+    return found.select("run_id", F.col("target_date").cast("string").alias("target_date"), k.alias("k"), (F.schema_of_variant(F.try_variant_get("inputs", "$.k", "variant")) == "BIGINT").alias("whole"))
+
+
 @query(
     "ledger_find_done",
     f"""WITH {sql.RUNS} SELECT task, target_date::VARCHAR AS target_date, arg_max(run_id, (finished_at, run_id)) AS run_id FROM runs

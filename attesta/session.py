@@ -72,17 +72,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
 _written: dict[str, list[str]] = {}
 
 
-def materialise(df: DataFrame, name: str = "step", folder: str | None = None) -> DataFrame:
+def fresh_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """A new path for a table of our own, which `forget` deletes."""
+    path = f"{(folder or checkpoint_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def materialise(df: DataFrame, name: str = "step", folder: str | None = None, partition_by: str | None = None) -> DataFrame:
     """Write a table several later steps read, and continue from the written copy.
 
     Cuts the lineage, so nothing upstream runs twice and a lost executor costs only its own
     tasks. A columnar table keeps pruning and sizes, and unlike checkpoint() computes its input
-    once. `folder` is where it goes, else the checkpoint folder; `forget` deletes what was written.
+    once. `folder` is where it goes, else the checkpoint folder; `forget` deletes what was written. With
+    `partition_by` filters on that column choose what is read.
     """
     spark = df.sparkSession
-    path = f"{(folder or checkpoint_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = fresh_path(spark, name, folder)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,28 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators.ledger import accept_once
-
-
-def _accepted(batch: DataFrame, path: str) -> DataFrame | None:
-    """Runs accepted so far; None only where nothing was written yet. A damaged ledger is an error."""
-    spark = batch.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.parquet(path)
+from attesta.sources import store
 
 
 def accept_batch(path: str):
-    """foreachBatch writer. Each batch has its own folder, overwritten if the batch is replayed."""
+    """foreachBatch writer of accepted runs, partitioned by date and batch.
+
+    A batch reads only the dates it has, and a replayed one overwrites its own partitions. A damaged
+    ledger is an error.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        done = _accepted(batch, path)
-        if done is not None:
-            # Only what is accepted for the keys of this batch can matter.
-            keys = ["task", "target_date"]
-            done = done.filter(F.col("batch_id") != batch_id).join(batch.select(*keys).distinct(), keys, "left_semi")
-        new = accept_once(batch, done)
-        new.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        done = None
+        if store.exists(batch.sparkSession, path):
+            shape = accept_once(batch).schema.add("batch_id", "long")
+            done = store.of_days(batch.sparkSession.read.schema(shape).parquet(path), batch).filter(F.col("batch_id") != batch_id)
+        new = accept_once(batch, done).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_date", "batch_id").parquet(path)
 
     return write
 

@@ -1,5 +1,6 @@
 """Gates on small documents, the runner, sources, sinks and the stream."""
 
+import datetime
 import json
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from attesta.functions import text as text_functions
 from attesta.operators import contract, gates
 from attesta.plans.inputs import PROFILE as WORDS
-from attesta.sources import capture, files, memory, pages, sheets
+from attesta.sources import capture, files, memory, pages, sheets, store
 from attesta.streaming import ledger as stream
 
 
@@ -366,9 +367,46 @@ def test_reports_are_refused_and_not_cut(spark):
 
 
 def test_a_damaged_ledger_is_an_error(spark, tmp_path):
-    batch = spark.createDataFrame([], "task string, target_date date")
-    assert stream._accepted(batch, str(tmp_path / "none")) is None
-    (tmp_path / "bad").mkdir()
-    (tmp_path / "bad" / "x.parquet").write_text("no parquet")
+    shape = "run_id string, task string, target_date date, status string, dry_run boolean, started_at timestamp"
+    batch = spark.createDataFrame([("r", "t", datetime.date(2026, 1, 1), "success", False, None)], shape)
+    (tmp_path / "bad" / "target_date=2026-01-01" / "batch_id=1").mkdir(parents=True)
+    (tmp_path / "bad" / "target_date=2026-01-01" / "batch_id=1" / "x.parquet").write_text("no parquet")
     with pytest.raises(Exception):
-        stream._accepted(batch, str(tmp_path / "bad")).count()
+        stream.accept_batch(str(tmp_path / "bad"))(batch, 2)
+    stream.accept_batch(str(tmp_path / "good"))(batch, 2)
+    stream.accept_batch(str(tmp_path / "good"))(batch, 2)
+    assert spark.read.parquet(str(tmp_path / "good")).count() == 1
+
+
+def _events(spark, rows):
+    return spark.createDataFrame(rows, "run_id string, target_date string, seq int, status string, inputs_json string")
+
+
+def test_an_update_of_a_day_touches_one_partition(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    store.update(path, _events(spark, [("a", "2026-01-01", 1, "running", "{}"), ("b", "2026-01-02", 1, "running", "{}"), ("b", "2026-01-02", 2, "failed", "{}"), ("n", None, 1, "x", None)]), ["run_id"], ["seq"])
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "ledger").rglob("*.parquet")}
+    newer = _events(spark, [("a", "2026-01-01", 3, "success", "{}"), ("c", "2026-01-01", 1, "running", "{}")])
+    for _ in range(2):  # the same update again changes nothing
+        store.update(path, newer, ["run_id"], ["seq"])
+        held = {(r.run_id, str(r.target_date), r.seq, r.status) for r in spark.read.parquet(path).collect()}
+        assert held == {("a", "2026-01-01", 3, "success"), ("c", "2026-01-01", 1, "running"), ("b", "2026-01-02", 2, "failed"), ("n", "None", 1, "x")}
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "ledger").rglob("*.parquet")}
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if "2026-01-01" not in str(f)}
+    read = store.of_days(spark.read.parquet(path), newer)
+    assert {f.rsplit("target_date=", 1)[1][:10] for f in (r.f for r in read.select(F.input_file_name().alias("f")).distinct().collect())} == {"2026-01-01"}
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [target_date" in plan and "2026-01-01" in plan.split("PartitionFilters")[1][:120]
+
+
+def test_tail_over_a_snapshot_and_decoded_fields(spark):
+    old = _events(spark, [("a", "d1", 1, "running", '{"k": 1}'), ("b", "d1", 4, "failed", "{broken")])
+    tail = _events(spark, [("a", "d1", 2, "success", '{"k": 2}'), ("a", "d1", 1, "running", '{"k": 1}'), ("b", "d1", 3, "running", None), ("c", "d2", 1, "running", "[1]")])
+    now = store.current(old, tail, ["run_id"], ["seq"])
+    assert {(r.run_id, r.seq) for r in now.collect()} == {("a", 2), ("b", 4), ("c", 1)}
+    rich = store.decoded(now, {"inputs_json": "inputs"})
+    assert "inputs_json" not in rich.columns
+    got = {r.run_id: (r.kind, r.k) for r in rich.select("run_id", F.schema_of_variant("inputs").alias("kind"), F.try_variant_get("inputs", "$.k", "int").alias("k")).collect()}
+    assert got == {"a": ("OBJECT<k: BIGINT>", 2), "b": (None, None), "c": ("ARRAY<BIGINT>", None)}
+    wanted = spark.createDataFrame([("a", "d1"), ("c", "d1"), ("c", "d1")], "run_id string, target_date string")
+    assert [r.run_id for r in store.get_runs(now, wanted).collect()] == ["a"]
