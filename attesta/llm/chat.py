@@ -126,3 +126,11 @@ def parse(formatted: Column, template: Template = TEMPLATE) -> Column:
 def trained(segments: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+
+
+def trained_turns(turns: Column, template: Template = TEMPLATE) -> Column:
+    """The same read back from a formatted conversation: texts of parsed turns of the roles that are trained."""
+    plain = [role for role, t in template.turns.items() if t.loss != template.other.loss]
+    apart = lambda t: t["role"].isin(plain) if plain else F.lit(False)
+    wanted = F.filter(turns, lambda t: ~apart(t) if template.other.loss else apart(t))
+    return F.array_join(F.transform(wanted, lambda t: t["text"]), "")

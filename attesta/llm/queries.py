@@ -222,22 +222,25 @@ c AS (SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr
   coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
   3 + sum(length(text) + length(regexp_replace(text, '[^\\<\[\]]', '', 'g')) + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 11
     ELSE 16 + length(role) + length(regexp_replace(role, '[^\\<\[\]]', '', 'g')) END)::BIGINT AS formatted_chars
+    , list_reduce(list_prepend('start', list(role ORDER BY turn, role, text)), lambda s, x: CASE
+      WHEN s = 'start' AND x = 'system' THEN 'told' WHEN s IN ('start', 'told', 'answered') AND x = 'user' THEN 'asked'
+      WHEN s = 'asked' AND x = 'assistant' THEN 'answered' ELSE 'out of order' END) AS state
   FROM r GROUP BY conv_id)
-SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM c""",
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, state, state IN ('asked', 'answered') AS in_order FROM c""",
 )
 def op9_chat_format(spark, root):
-    """Every conversation formatted, and what is read back from the output."""
+    """Every conversation formatted, what is read back from the output, and where the machine of roles ends."""
     rows = table(spark, root, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(_SAYS).alias("text"),
     )
-    made = chat.format_chats(rows.unionByName(own)).select("conv_id", "segments", "formatted", chat.parse(F.col("formatted")).alias("turns"))
+    made = chat.format_chats(rows.unionByName(own)).select("conv_id", "state", "in_order", "formatted", chat.parse(F.col("formatted")).alias("turns"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = chat.trained(F.col("segments"))
+    loss = chat.trained_turns(F.col("turns"))
     return made.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), sha256(told).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        sha256(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        sha256(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "state", "in_order",
     )
 
 

@@ -256,12 +256,13 @@ def test_chats_read_back(spark):
             (5, 0, "user", "a"), (None, 0, "user", "z" * 200_000)]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, segments string")
     made = chat.format_chats(frame).select("*", chat.parse(F.col("formatted")).alias("back"), chat.trained(F.col("segments")).alias("loss"))
+    made = made.withColumn("read", chat.trained_turns(F.col("back")))
     got = {r["conv_id"]: r for r in made.collect()}
     key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")
     for conv, r in got.items():
         own = sorted((x for x in rows if x[0] == conv), key=key)
         assert [(t["role"], t["text"]) for t in r["back"]] == [(x[2] or "", x[3] or "") for x in own]
-        assert r["loss"] == "".join(x[3] or "" for x in own if x[2] == "assistant")
+        assert r["loss"] == "".join(x[3] or "" for x in own if x[2] == "assistant") == r["read"]
     assert [got[c]["in_order"] for c in (1, 2, 3, 4, 5)] == [True, True, False, False, False]
     assert chat.format_chats(frame.filter("conv_id > 99")).count() == 0
 
