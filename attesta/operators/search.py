@@ -63,14 +63,31 @@ def ranked(entries: DataFrame, terms: list[str], key: str, text: Column) -> Data
     return counted.filter(any_hit).crossJoin(F.broadcast(stats)).select(key, F.bround(score, 6).alias("score"))
 
 
-def snippet(text: Column, terms: list[str]) -> Column:
-    """Twelve words from the first hit on, the hits in brackets."""
+def snippet(text: Column, terms: list[str], width: int = SNIPPET_WORDS) -> Column:
+    """The `width` words that hold most distinct terms, the first of equally good ones, with hits in brackets.
+
+    One pass over the hits in order keeps the last place of each term: a window that ends with a hit holds
+    the terms whose last place is inside it, and the best window begins at the first of these places.
+    """
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\S+"), F.lit(0))
-    pattern = r"(?iU)^\W*(?:" + "|".join(re.escape(t) for t in terms) + r")\W*$"
-    marked = F.transform(parts, lambda p: F.when(p.rlike(pattern), F.concat(F.lit("["), p, F.lit("]"))).otherwise(p))
-    first = F.array_position(F.transform(parts, lambda p: p.rlike(pattern)), F.lit(True))
-    start = F.greatest(first, F.lit(1)).cast("int")
-    return F.array_join(F.slice(marked, start, F.lit(SNIPPET_WORDS)), " ")
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.lower(p), r"(?U)^\W+|\W+$", ""))
+    known = F.array(*[F.lit(t) for t in terms])
+    which = F.transform(bare, lambda p: F.array_position(known, p).cast("int"))
+    hits = F.filter(F.transform(which, lambda t, i: F.struct(t.alias("term"), (i + 1).alias("place"))), lambda h: h["term"] > 0)
+
+    def step(at: Column, hit: Column) -> Column:
+        last = F.transform(at["last"], lambda place, i: F.when(i + 1 == hit["term"], hit["place"]).otherwise(place))
+        inside = F.filter(last, lambda place: place > hit["place"] - width)
+        better = F.size(inside) > at["found"]
+        return F.struct(
+            last.alias("last"), F.when(better, F.size(inside)).otherwise(at["found"]).alias("found"),
+            F.when(better, F.array_min(inside)).otherwise(at["start"]).alias("start"),
+        )
+
+    nowhere = F.array_repeat(F.lit(-width), len(terms))
+    start = F.aggregate(hits, F.struct(nowhere.alias("last"), F.lit(0).alias("found"), F.lit(1).alias("start")), step, lambda at: at["start"])
+    marked = F.zip_with(parts, which, lambda p, t: F.when(t > 0, F.concat(F.lit("["), p, F.lit("]"))).otherwise(p))
+    return F.array_join(F.slice(marked, start, F.lit(width)), " ")
 
 
 def like(entries: DataFrame, query: str, key: str, columns: list[str]) -> DataFrame:

@@ -707,9 +707,23 @@ r AS (SELECT path, lang, round_even(greatest(ln((n - d0 + 0.5) / (d0 + 0.5)), 1e
   + greatest(ln((n - d1 + 0.5) / (d1 + 0.5)), 1e-6) * t1 * 2.2 / (t1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM c, s WHERE t0 + t1 > 0)"""
 
 
-@query("memory_bm25", f"WITH {_BM25} SELECT path, score FROM r ORDER BY score DESC, path LIMIT 20")
+_SNIPPET = r"""top AS (SELECT path, score FROM r ORDER BY score DESC, path LIMIT 20),
+p AS (SELECT path, score, regexp_extract_all(text, '\S+') AS parts FROM top JOIN documents ON doc_id::VARCHAR = path),
+h AS (SELECT path, i, list_position(['thou', 'ereaen'], regexp_replace(lower(parts[i]), '^[^\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+$', '', 'g')) AS term
+  FROM (SELECT path, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+last AS (SELECT e.path, e.i AS ends, x.term, max(x.i) AS place FROM h e JOIN h x ON x.path = e.path AND x.term IS NOT NULL AND x.i <= e.i AND x.i > e.i - 12 WHERE e.term IS NOT NULL GROUP BY ALL),
+w AS (SELECT path, arg_max(start, (n, -ends)) AS start FROM (SELECT path, ends, count(*) AS n, min(place) AS start FROM last GROUP BY path, ends) GROUP BY path)"""
+
+
+@query(
+    "memory_bm25",
+    rf"""WITH {_BM25}, {_SNIPPET} SELECT path, score, array_to_string(list_transform(range(coalesce(start, 1), least(coalesce(start, 1) + 12, len(parts) + 1)), lambda i:
+  CASE WHEN list_contains(['thou', 'ereaen'], regexp_replace(lower(parts[i]), '^[^\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_]+$', '', 'g')) THEN '[' || parts[i] || ']' ELSE parts[i] END), ' ') AS excerpt
+FROM p LEFT JOIN w USING (path)""",
+)
 def memory_bm25(spark, root):
-    return search.search(_entries(spark, root), "thou ereaen", 20).select("path", "score")
+    """The twenty best entries with the twelve words that hold most terms."""
+    return search.search(_entries(spark, root), "thou ereaen", 20).select("path", "score", "excerpt")
 
 
 @query("memory_scores", f"WITH {_BM25} SELECT path, score FROM r")

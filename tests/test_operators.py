@@ -278,6 +278,23 @@ def test_dedup_output_stays_linear_for_copies(spark):
     assert dedup.resolve(df, classes, pairs).count() == 299
 
 
+def test_snippet_holds_most_distinct_terms(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["aa", "BB,", "(cc)", "dd", "x", "y", "z", "aa-bb"]) for _ in range(rng.randrange(0, 40))) for _ in range(200)] + [None, "", "aa"]
+    terms = ["aa", "bb", "cc", "dd"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.s for r in frame.select("i", search.snippet(F.col("t"), terms, 5).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        parts = (t or "").split()
+        bare = [p.lower().strip("(),-") for p in parts]
+        best, start = 0, 0
+        for end, word in enumerate(bare):
+            inside = {w: k for k, w in enumerate(bare[: end + 1]) if w in terms and k > end - 5}
+            if word in terms and len(inside) > best:
+                best, start = len(inside), min(inside.values())
+        assert got[i] == " ".join(f"[{p}]" if b in terms else p for p, b in list(zip(parts, bare))[start : start + 5])
+
+
 @pytest.mark.parametrize("calls", [0, 1, 3, 8])
 def test_judged_pairs_equal_an_ordered_walk(spark, calls):
     rng = random.Random(calls)
