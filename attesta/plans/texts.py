@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attesta.functions import parsing, text
-from attesta.operators import dedup
+from attesta.operators import dedup, digests
 from attesta.plans import inputs
 from attesta.plans.registry import query
-from attesta.session import table
+from attesta.session import materialise, table
 
 # The punctuation of TITLE_PUNCTUATION in RE2 form.
 _PUNCT = r"[\s\x{3000}·—–\-:：,，.。;；!！?？''\"“”‘’()（）\[\]【】《》<>/\\|*#`~+=]+"
@@ -222,6 +223,44 @@ def dedup_gate(spark, root):
     return dedup.duplicate_gate(candidates, classes, pairs, dropped)
 
 
+# -- digests -------------------------------------------------------------------------------------
+
+
+def _tree_sql(name: str, source: str) -> str:
+    return f"""{name}_h AS (SELECT sha256(lang || '|' || text) AS h, count(*) AS n FROM {source} GROUP BY 1),
+{name}2 AS (SELECT h[1:2] AS node, sha256(string_agg(h || ':' || n, chr(10) ORDER BY h)) AS digest, sum(n)::BIGINT AS lines FROM {name}_h GROUP BY 1),
+{name}1 AS (SELECT node[1:1] AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest, sum(lines)::BIGINT AS lines FROM {name}2 GROUP BY 1),
+{name}0 AS (SELECT '' AS node, sha256(string_agg(node || ':' || digest, chr(10) ORDER BY node)) AS digest, sum(lines)::BIGINT AS lines FROM {name}1 GROUP BY 1)"""
+
+
+def _line() -> Column:
+    return F.concat("lang", F.lit("|"), "text")
+
+
+@query(
+    "corpus_digest_tree",
+    f"WITH {_tree_sql('t', 'documents')} " + " UNION ALL ".join(f"SELECT {k} AS level, node, digest, lines FROM t{k}" for k in range(3)),
+)
+def corpus_digest_tree(spark, root):
+    """Digests of all documents, in leaves by key range and up to the root."""
+    return digests.digest_tree(table(spark, root, "documents"), _line())
+
+
+@query(
+    "corpus_changed_leaves",
+    f"""WITH changed AS (SELECT lang, CASE WHEN n_chars > 20000 THEN text || '.' ELSE text END AS text FROM documents WHERE n_chars >= 30),
+{_tree_sql('a', 'documents')}, {_tree_sql('b', 'changed')}
+SELECT node, coalesce(a.lines, 0)::BIGINT AS lines_before, coalesce(b.lines, 0)::BIGINT AS lines_now FROM a2 a FULL JOIN b2 b USING (node) WHERE a.digest IS DISTINCT FROM b.digest""",
+)
+def corpus_changed_leaves(spark, root):
+    """Where the documents differ from an edition in which very long ones are changed and very short ones are gone."""
+    docs = table(spark, root, "documents")
+    text = F.when(F.col("n_chars") > 20_000, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    edition = docs.filter("n_chars >= 30").withColumn("text", text)
+    trees = [materialise(digests.digest_tree(part, _line()), "tree") for part in (docs, edition)]
+    return digests.changed_leaves(*trees)
+
+
 # -- replies -------------------------------------------------------------------------------------
 
 

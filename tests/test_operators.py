@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from attesta.operators import compose, corpus, coverage, dedup, experiment, ledger, merge_review, prefix, provenance, ranking, refund, scoring, search, selection, skew
+from attesta.operators import compose, corpus, coverage, dedup, digests, experiment, ledger, merge_review, prefix, provenance, ranking, refund, scoring, search, selection, skew
 from attesta.session import materialise
 
 
@@ -278,6 +278,31 @@ def test_dedup_output_stays_linear_for_copies(spark):
     assert dedup.resolve(df, classes, pairs).count() == 299
 
 
+def test_digest_tree_names_changed_leaves_whatever_the_partitions(spark):
+    import hashlib
+
+    rows = [f"line {i % 300}" for i in range(400)] + [None, ""]
+    frame = spark.createDataFrame([(r,) for r in rows], "line string")
+    tree = {(r.level, r.node): (r.digest, r.lines) for r in digests.digest_tree(frame, F.col("line"), 1).collect()}
+    again = {(r.level, r.node): (r.digest, r.lines) for r in digests.digest_tree(frame.repartition(7), F.col("line"), 1).collect()}
+    assert tree == again and tree[0, ""][1] == 402
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    counted = {}
+    for r in rows:
+        counted[sha(r or "")] = counted.get(sha(r or ""), 0) + 1
+    leaves = {}
+    for h in sorted(counted):
+        leaves.setdefault(h[0], []).append(f"{h}:{counted[h]}")
+    assert {n: d for (k, n), (d, _) in tree.items() if k == 1} == {n: sha("\n".join(v)) for n, v in leaves.items()}
+    assert tree[0, ""][0] == sha("\n".join(f"{n}:{sha(chr(10).join(leaves[n]))}" for n in sorted(leaves)))
+    other = spark.createDataFrame([(r,) for r in rows[:-3]] + [("line 299x",)], "line string")
+    a, b = digests.digest_tree(frame, F.col("line"), 2), digests.digest_tree(other, F.col("line"), 2)
+    gone = {sha("line 99")[:2], sha("")[:2]}
+    assert {r.node for r in digests.changed_leaves(a, b).collect()} == gone | {sha("line 299x")[:2]}
+    assert digests.changed_leaves(a, a).count() == 0 and digests.changed_leaves(a.limit(0), a.limit(0)).count() == 0
+    assert digests.changed_leaves(a.limit(0), b).count() == b.filter("level = 2").count()
+
+
 def test_snippet_holds_most_distinct_terms(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["aa", "BB,", "(cc)", "dd", "x", "y", "z", "aa-bb"]) for _ in range(rng.randrange(0, 40))) for _ in range(200)] + [None, "", "aa"]
