@@ -54,6 +54,11 @@ def pareto(points: DataFrame) -> DataFrame:
     return points.join(front, ["cost", "score"], "left").withColumn("pareto_optimal", F.coalesce("pareto_optimal", F.lit(False)))
 
 
+def frontier(points: DataFrame) -> DataFrame:
+    """The optimal points of pareto(), from the cheapest on; equal points by arm."""
+    return points.filter("pareto_optimal").orderBy("cost", F.desc("score"), "arm")
+
+
 def caveats(runs: DataFrame, points: DataFrame) -> DataFrame:
     """What a reader of the frontier must know (one row of counts)."""
     unscored = runs.agg(F.count_if(verification_score().isNull()).alias("unscored_runs"))

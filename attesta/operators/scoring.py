@@ -275,6 +275,20 @@ def recommendation(samples: DataFrame, thresholds: list[float]) -> DataFrame:
     )
 
 
+def probe_summary(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """outcomes(expect, verdict, keys): bad cases let through, good ones stopped, and how many came out as expected.
+
+    Undecided bad cases count as expected, undecided good ones as neither.
+    """
+    good, verdict = F.col("expect") == "pass", F.coalesce("verdict", F.lit("cannot_verify"))
+    return outcomes.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("probes"),
+        F.count_if(~good & (verdict == "pass")).alias("missed"),
+        F.count_if(good & (verdict == "fail")).alias("over_blocked"),
+        F.count_if(F.when(good, verdict == "pass").otherwise(verdict != "pass")).alias("as_expected"),
+    )
+
+
 def _corpus_line() -> Column:
     return F.concat_ws("|", F.col("sample_id").cast("string"), "kind", F.col("day").cast("string"))
 

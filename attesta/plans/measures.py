@@ -120,6 +120,17 @@ def per_kind_verdicts(spark, root):
     return scoring.per_kind(scored(spark, root), ["matcher"])
 
 
+@query(
+    "probe_summary",
+    f"""WITH {SCORED_SQL} SELECT matcher, kind, count(*)::BIGINT AS probes, count(*) FILTER (expect <> 'pass' AND verdict = 'pass')::BIGINT AS missed,
+count(*) FILTER (expect = 'pass' AND verdict = 'fail')::BIGINT AS over_blocked, count(*) FILTER ((expect = 'pass') = (verdict = 'pass'))::BIGINT AS as_expected
+FROM scored GROUP BY matcher, kind""",
+)
+def probe_summary(spark, root):
+    """What either matcher lets through or stops wrongly, by kind of case."""
+    return scoring.probe_summary(scored(spark, root), ["matcher", "kind"])
+
+
 @query(
     "sample_flags",
     f"""WITH {SCORED_SQL} SELECT matcher, count(*) FILTER ((verdict = 'pass') = (expect = 'pass'))::BIGINT AS safe,

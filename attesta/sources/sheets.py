@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from attesta.operators.selection import SHEET_COLUMNS
 
@@ -43,6 +44,27 @@ def save_verdicts(verdicts: DataFrame, path: str) -> None:
     verdicts.select("sample_id", "kind", "expect", "probability", "rule_probability").write.mode("overwrite").parquet(path)
 
 
+def save_report(verdicts: DataFrame, fingerprint: str, path: str) -> None:
+    """A nested report as JSON lines: each sample with its probabilities, bound to the corpus's fingerprint."""
+    sample = F.struct("sample_id", "kind", "expect").alias("sample")
+    probability = F.struct(F.col("probability").alias("judge"), F.col("rule_probability").alias("rule")).alias("probability")
+    line = F.to_json(F.struct(F.lit(fingerprint).alias("corpus"), sample, probability))
+    verdicts.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def load_report(spark: SparkSession, path: str, fingerprint: str) -> DataFrame:
+    """Samples and probabilities of a saved report, for scoring without new judge calls.
+
+    Lines are read as VARIANT. A line that cannot be read, or belongs to another corpus, is an error.
+    """
+    doc = F.try_parse_json("value")
+    own = F.try_variant_get(doc, "$.corpus", "string") == fingerprint
+    checked = spark.read.text(path).select(F.when(own, doc).otherwise(F.raise_error(F.lit("not a report of this corpus")).cast("variant")).alias("doc"))
+    fields = [("sample.sample_id", "string"), ("sample.kind", "string"), ("sample.expect", "string"), ("probability.judge", "double"), ("probability.rule", "double")]
+    names = ["sample_id", "kind", "expect", "probability", "rule_probability"]
+    return checked.select(*[F.try_variant_get("doc", f"$.{where}", kind).alias(name) for (where, kind), name in zip(fields, names)])
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A report table as JSON and CSV."""
     report.write.mode("overwrite").json(f"{path}/json")
