@@ -145,26 +145,21 @@ def legacy_citations(citations: DataFrame, known: DataFrame) -> DataFrame:
 def stale_days(failed: DataFrame, known: DataFrame, look_back: int | None = 30) -> DataFrame:
     """Other days whose capture holds a failed target: (day, target, other_days sorted).
 
-    Only failed targets are looked up. With `look_back`, only the newest captured days count,
-    the target's own day left out; the list of days is at most look_back + 1 rows.
+    Only failed targets are looked up. With `look_back`, only the newest captured days count, the target's own day
+    left out. These are at most look_back + 1 values, which go into the plan as a filter on the day: of captures
+    stored by day only their partitions are read.
     """
     targets = failed.select("day", "target").distinct()
     captures = known.withColumnRenamed("day", "other_day")
+    newest: list = []
     if look_back is not None:
-        days = known.select("day").distinct()
-        newest = days.orderBy(F.desc("day")).limit(look_back + 1)
-        bound = newest.agg(F.sort_array(F.collect_list("day"), asc=False).alias("_newest"))
-        captures = captures.join(F.broadcast(newest.withColumnRenamed("day", "other_day")), "other_day", "left_semi")
-        hits = targets.join(captures, targets.target == captures.canonical).filter("day <> other_day")
-        # look_back days other than this one: the oldest of look_back + 1 counts only when this
-        # day is itself among the newest.
-        hits = hits.crossJoin(F.broadcast(bound)).filter(
-            (F.size("_newest") <= look_back)
-            | F.array_contains(F.slice("_newest", 1, look_back), F.col("other_day"))
-            | F.array_contains("_newest", F.col("day"))
-        )
-    else:
-        hits = targets.join(captures, targets.target == captures.canonical).filter("day <> other_day")
+        days = known.select("day").filter("day is not null").distinct().orderBy(F.desc("day")).limit(look_back + 1)
+        newest = [r["day"] for r in days.collect()]
+        captures = captures.filter(F.col("other_day").isin(newest))
+    hits = targets.join(captures, targets.target == captures.canonical).filter("day <> other_day")
+    if look_back is not None and len(newest) > look_back:
+        # look_back days other than this one: the oldest of look_back + 1 counts only where this day is among the newest.
+        hits = hits.filter((F.col("other_day") != F.lit(newest[-1])) | F.col("day").isin(newest))
     # The days of one URL are bounded by look_back; without it they are bounded by history.
     return hits.groupBy("day", "target").agg(F.sort_array(F.collect_set("other_day")).alias("other_days"))
 

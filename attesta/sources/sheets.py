@@ -39,6 +39,12 @@ def freeze_baseline(report: DataFrame, path: str) -> None:
     report.select("matcher", "fingerprint", "samples", "false_pass_rate", "false_fail_rate").write.mode("overwrite").parquet(path)
 
 
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """The frozen side of check_baseline(); a baseline that is not there is an error, not an empty one."""
+    shape = "matcher string, fingerprint string, samples long, false_pass_rate double, false_fail_rate double"
+    return spark.read.schema(shape).parquet(path)
+
+
 def save_verdicts(verdicts: DataFrame, path: str) -> None:
     """Per-sample probabilities of judge and rule: re-scoring needs no second judge call."""
     verdicts.select("sample_id", "kind", "expect", "probability", "rule_probability").write.mode("overwrite").parquet(path)

@@ -180,6 +180,18 @@ def test_stale_days_look_back(spark):
     failed = spark.createDataFrame([(9, "u.org/a"), (6, "u.org/a")], "day int, target string")
     got = {r.day: r.other_days for r in provenance.stale_days(failed, known, 3).collect()}
     assert got == {9: [5, 6, 7], 6: [4, 5, 7]}
+    assert {r.day: r.other_days for r in provenance.stale_days(failed, known, None).collect()} == {9: [1, 2, 3, 4, 5, 6, 7], 6: [1, 2, 3, 4, 5, 7]}
+    assert {r.day: r.other_days for r in provenance.stale_days(failed, known, 30).collect()} == {9: [1, 2, 3, 4, 5, 6, 7], 6: [1, 2, 3, 4, 5, 7]}
+    assert provenance.stale_days(failed, known.limit(0), 3).count() == 0
+
+
+def test_stale_days_read_only_the_newest_partitions(spark, tmp_path):
+    spark.range(40).selectExpr("cast(id as int) day", "'u.org/a' canonical").write.partitionBy("day").parquet(str(tmp_path / "known"))
+    failed = spark.createDataFrame([(39, "u.org/a")], "day int, target string")
+    found = provenance.stale_days(failed, spark.read.parquet(str(tmp_path / "known")), 3)
+    assert found.first().other_days == [36, 37, 38]
+    filters = found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "36" in filters and "39" in filters and "35" not in filters
 
 
 def test_empty_day_fails(spark):
@@ -364,14 +376,14 @@ def test_frequent_tokens_meet_in_cells(spark):
     )
     pairs = dedup.class_pairs(dedup.entry_classes(entries)).select("rank_a", "rank_b", "score")
     near = {(r.rank_a, r.rank_b): r.score for r in pairs.filter("rank_b < 10 or rank_a <> 1").collect()}
-    # 0 shares two of its three words with entry 17's eight more: 3/9; 2 shares two of three with 28's two.
-    assert near == {(2, 28): 0.62, (3, 4): 0.62}
+    # 0 shares two of its three words with entry 17's eight more: 3/9; 2 shares two of its three with 28's two: 2/3.
+    assert near == {(2, 28): 0.72, (3, 4): 0.62}
     single = pairs.filter("rank_a = 1 and rank_b >= 10").agg(F.count("*"), F.min("score"), F.max("score")).first()
     assert tuple(single) == (11_112, 0.62, 0.62)  # {hot} against {hot, one word}
 
 
 def test_blocks_meet_every_pair_once_and_stay_small(spark):
-    a, b = (spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias(name)) for n, name in ((730, "a"), (95, "b")))
+    a, b = (spark.range(n).selectExpr("if(id < 0, 'z', 'k') key", f"id {name}") for n, name in ((730, "a"), (95, "b")))
     counts = spark.createDataFrame([("k", 730, 95), ("z", 1, 1)], "key string, n_a long, n_b long")
     left = skew.blocked(skew.attach(a, ["key"], counts, "n_a"), F.col("a"), F.col("n_a"), F.col("n_b"), "i", "j", 50).select("key", "a", "i", "j")
     right = skew.blocked(skew.attach(b, ["key"], counts, "n_b"), F.col("b"), F.col("n_b"), F.col("n_a"), "j", "i", 50).select("key", "b", "i", "j")

@@ -84,3 +84,19 @@ def test_report_writers(spark, tmp_path):
     lines = [row for f in (tmp_path / "r" / "csv").glob("*.csv") for row in csv.reader(f.read_text().splitlines())]
     assert ["matcher", "rate", "note"] in lines and any(row[:2] == ["m", "0.5"] for row in lines)
     assert sheets.markdown(report.select("matcher", "rate")).splitlines() == ["| matcher | rate |", "| --- | --- |", "| m | 0.5 |", '| q"/ | - |']
+
+
+def test_frozen_baseline_is_read_back_and_compared(spark, tmp_path):
+    shape = "matcher string, fingerprint string, samples long, false_pass_rate double, false_fail_rate double"
+    now = spark.createDataFrame([("typed", "f1", 10, 0.1, None), ("legacy", "f2", 10, 0.5, 0.0), ("new", "f1", 10, 0.0, 0.0)], shape)
+    frozen = spark.createDataFrame([("typed", "f1", 10, 0.05, 0.2), ("legacy", "f1", 9, 0.1, 0.0)], shape)
+    sheets.freeze_baseline(frozen, str(tmp_path / "base"))
+    held = sheets.load_baseline(spark, str(tmp_path / "base"))
+    assert sorted(held.collect()) == sorted(frozen.collect())
+    got = {(r.matcher, r.metric): (r.corpus_changed, r.regression) for r in scoring.check_baseline(now, held).collect()}
+    assert got == {
+        ("typed", "false_pass_rate"): (False, True), ("typed", "false_fail_rate"): (False, None),
+        ("legacy", "false_pass_rate"): (True, False), ("legacy", "false_fail_rate"): (True, False),
+    }
+    with pytest.raises(Exception):
+        sheets.load_baseline(spark, str(tmp_path / "none")).collect()
