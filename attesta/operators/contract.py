@@ -55,18 +55,11 @@ def bilingual(node: Column, key: str) -> Column:
 
 
 def parse_articles(articles: DataFrame) -> DataFrame:
-    """(day, doc): the parsed document, or NULL when it is missing, malformed or not an object. Parsed rows stay as they are."""
-    if "doc" in articles.columns:
-        return articles.select("day", "doc")
+    """(day, doc): the parsed document, or NULL when it is missing, malformed or not an object."""
     parsed = articles.select("day", F.try_parse_json("content").alias("doc"))
     return parsed.select("day", F.when(_is_object(F.col("doc")), F.col("doc")).alias("doc"))
 
 
-def parsed_once(articles: DataFrame) -> DataFrame:
-    """parse_articles() as a written table, for what reads the documents several times."""
-    return articles if "doc" in articles.columns else materialise(parse_articles(articles), "parsed")
-
-
 def json_gate(files: DataFrame) -> DataFrame:
     """files(path, content): malformed or missing text fails; a scalar passes with no keys."""
     parsed = F.try_parse_json("content")
@@ -251,7 +244,7 @@ def cited_references(articles: DataFrame) -> DataFrame:
 
 def structure_gate(articles: DataFrame) -> DataFrame:
     """Contract decision per article. An undeclared shape is cannot_verify, never a pass."""
-    articles, doc = parsed_once(articles), F.col("doc")
+    doc = F.col("doc")
     sections = _objects(doc, "sections")
     names = F.transform(sections, lambda s: F.coalesce(_get(s, "id", "string"), F.lit("")))
     groups = F.transform(
@@ -313,7 +306,6 @@ def references_gate(articles: DataFrame) -> DataFrame:
     Declared and cited ids meet in one aggregate per (day, id), so resolving them needs no
     lookup list per article.
     """
-    articles = parsed_once(articles)
     refs = references(articles)
     web = F.col("url").startswith("http://") | F.col("url").startswith("https://")
     declared = refs.select(
