@@ -143,6 +143,41 @@ def test_near_copy_stage_equals_brute_force_jaccard(spark):
     assert kept == sorted([(None, "b"), (5, "c"), (5, "d")] * 2, key=str)
 
 
+def test_no_link_is_lost_among_pages_of_one_template(spark):
+    """Every page lies just below 0.8 of every other; planted pairs, chains and a large group of copies lie above."""
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(280)]
+    page = lambda i: [f"p{i}x{k}" for k in range(36)]
+    own = {i: page(i) for i in range(240)}
+    for i in range(40):  # pairs: a third of the page's own words is shared
+        own[1000 + i] = own[i][:12] + page(1000 + i)[12:]
+    for i in range(15):  # chains: each link takes another third of the one before
+        own[2000 + i] = own[1000 + i][12:24] + page(2000 + i)[12:]
+    group = page("g")
+    for i in range(60):  # copies that differ in a few words, between which strangers stand
+        own[3000 + i] = group[:30] + page(f"c{i}")[30:]
+    ids = list(own)
+    rng.shuffle(ids)
+    texts = {n: " ".join(template + own[i]) for n, i in enumerate(ids)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    roots = _similar_groups(texts)
+    assert 100 < len(roots) - len(set(roots.values())) < 130
+    assert {r["doc_id"] for r in shingles.keep_one(frame).collect()} == set(roots.values())
+
+
+def test_rest_pairs_miss_none_and_pass_over_own_groups(spark):
+    rng = random.Random(11)
+    sets = {i: (i % 7 if i < 60 else i, sorted({rng.randrange(26) for _ in range(rng.randrange(1, 40))})) for i in range(150)}
+    frame = spark.createDataFrame([(i, root, tokens) for i, (root, tokens) in sets.items()], "digest long, root long, set array<long>")
+    for similarity in (0.5, 0.8, 1.0):
+        met = {(r["a"], r["b"]) for r in shingles.rest_pairs(frame, similarity).collect()}
+        assert all(a < b and sets[a][0] != sets[b][0] for a, b in met)
+        for (a, (x, s)), (b, (y, o)) in itertools.combinations(sets.items(), 2):
+            alike = len(set(s) & set(o)) >= similarity * len(set(s) | set(o))
+            assert not alike or x == y or (a, b) in met
+    assert shingles.rest_pairs(frame.filter("digest < 0")).count() == 0
+
+
 # -- lines
 
 
