@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -253,6 +254,25 @@ def normalise(text: str) -> Mapped:
     return m
 
 
+def _added(base: list[tuple[int, int]], new: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The new spans that overlap no span of the base or before them, or hold those they meet as a part.
+
+    Base spans are ascending and apart, so only the first and the last that a new span meets can cross its ends.
+    """
+    starts, ends = [s for s, _ in base], [e for _, e in base]
+    out: list[tuple[int, int]] = []
+    for low, high in sorted(set(new)):
+        first, last = bisect_right(ends, low), bisect_left(starts, high) - 1
+        apart = first > last or (low <= starts[first] and ends[last] <= high and (low, high) != base[first])
+        before = len(out) - 1
+        while apart and before >= 0 and out[before][1] > low:
+            apart = low <= out[before][0] and out[before][1] <= high
+            before -= 1
+        if apart:
+            out.append((low, high))
+    return out
+
+
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
     """(plain spans, all spans) of a text, in source characters.
 
@@ -265,14 +285,11 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     changed = normalise(text)
     if changed.text == text:
         return base, base
-    taken = {k: [(s, e) for kind, s, e in base if kind == k] for k in KINDS}
     spans = list(base)
-    for kind, s, e in detect(changed.text):
-        low, high = int(changed.starts[s]), int(changed.ends[e - 1])
-        apart = all(high <= a or b <= low or low <= a and b <= high for a, b in taken[kind])
-        if apart and (low, high) not in taken[kind]:
-            taken[kind].append((low, high))
-            spans.append((kind, low, high))
+    found = detect(changed.text)
+    for kind in KINDS:
+        new = [(int(changed.starts[s]), int(changed.ends[e - 1])) for k, s, e in found if k == kind]
+        spans += [(kind, low, high) for low, high in _added([(s, e) for k, s, e in base if k == kind], new)]
     return base, sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 

@@ -1,7 +1,9 @@
 """Fingerprints, toxicity, urls, personal data, chats and languages on small and awkward inputs."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import pytest
@@ -233,6 +235,28 @@ def test_plain_prose_gets_no_spans():
         assert pii.find(text) == ([], [])
 
 
+def test_pii_merge_of_spans_equals_plain_comparison_and_is_linear():
+    rng = random.Random(8)
+    for _ in range(3000):
+        cuts = sorted(rng.sample(range(40), 2 * rng.randrange(7)))
+        base = list(zip(cuts[::2], cuts[1::2]))
+        steps = sorted((a, a + rng.randrange(1, 9)) for a in rng.sample(range(40), rng.randrange(7)))
+        new = list(zip([a for a, _ in steps], sorted(b for _, b in steps)))
+        taken, added = list(base), []
+        for low, high in new:
+            if all(high <= a or b <= low or low <= a and b <= high for a, b in taken) and (low, high) not in taken:
+                taken.append((low, high))
+                added.append((low, high))
+        assert pii._added(base, new) == added
+    n = 50_000
+    disguised = "max at beispiel dot de"
+    text = " ".join(f"user{i}@mail{i}.example.org" for i in range(n)) + f" and {disguised}"
+    start = time.perf_counter()
+    base, spans = pii.find(text)
+    assert time.perf_counter() - start < 30
+    assert len(base) == n and set(spans) - set(base) == {("email", len(text) - len(disguised), len(text))}
+
+
 def test_pii_of_awkward_rows(awkward, none):
     rows = pii.personal_data(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(r["base"] == [] and r["spans"] == [] for r in rows)
