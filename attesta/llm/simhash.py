@@ -10,6 +10,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
 from attesta.llm.components import components
+from attesta.operators import skew
 from attesta.session import materialise
 
 BITS = 64
@@ -114,9 +115,10 @@ def group(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     own = materialise(prints.groupBy("fp").agg(F.min(id_col).alias("first")), "classes")
     roots = materialise(components(near_links(own)), "roots")
-    joined = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    least = joined.filter("root is not null").groupBy("root").agg(F.min("first").alias("least"))
-    return joined.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("first"))
+    rooted = materialise(own.join(roots.withColumnRenamed("node", "fp"), "fp"), "rooted")
+    least = materialise(rooted.groupBy("root").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("n")), "least")
+    moved = skew.attach(rooted, ["root"], least, "n").select("fp", "least")
+    return own.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("first"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
