@@ -8,20 +8,21 @@ How quadratic work is avoided, with nothing dropped, capped or sampled:
 * entries with the same normalised title always score 0.95, so they are handled as groups
   (an aggregate), never as pairs;
 * other pairs at or above the 0.60 line must pass one of three overlap thresholds. Entries with the
-  same tokens are one set; sets meet on their rarest tokens only (prefix filter), with length and
-  position filters, and are verified before their entries are listed and scored exactly;
+  same tokens are one set; sets meet on their rarest tokens only (prefix filter), with filters on length
+  and on how many they share there, before whole sets and then entries are fetched and scored exactly;
 * carriers of a frequent token meet in cells by length, large cells in blocks, so no task has them all.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.text import jaccard, normalise_title, title_band, tokens
 from attesta.functions.vocabulary import BORDERLINE_SCORE, DUPLICATE_SCORE
 from attesta.operators.skew import BLOCK, attach, blocked
-from attesta.session import materialise
+from attesta.session import materialise, written
 
 _TITLE_OVERLAP = 0.5    # lowest overlap that scores 0.62 by title alone
 _SHARED_OVERLAP = 0.3   # lowest overlap that matters when a cited URL is shared
@@ -63,12 +64,16 @@ def entry_classes(candidates: DataFrame) -> DataFrame:
 def plan(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entry classes, class pairs), each written once: every later step reads both."""
     classes = materialise(entry_classes(candidates), "entries")
-    return classes, materialise(class_pairs(classes), "pairs")
+    return classes, written(lambda: class_pairs(classes), classes.sparkSession, "pairs")
 
 
 def _token_sets(classes: DataFrame) -> DataFrame:
-    """(article, rank, scope, needed, tokens, digest, titles): every set an overlap rule looks at, with the
-    lowest overlap that matters to it. Titles are also scoped by each cited URL."""
+    """(article, rank, scope, needed, keys, digest, titles): every set an overlap rule looks at, with the
+    lowest overlap that matters to it. Titles are also scoped by each cited URL.
+
+    A key is a hash of article, scope and token, one for each token. Equal keys of unlike tokens only add to
+    what is scored; the digest tells sets apart.
+    """
 
     def entry(scope: Column, needed: float, tokens_: Column) -> Column:
         return F.struct(scope.alias("scope"), F.lit(needed).alias("needed"), F.array_sort(tokens_).alias("tokens"))
@@ -84,24 +89,26 @@ def _token_sets(classes: DataFrame) -> DataFrame:
     ]
     spread = classes.select("article", "rank", "norm_zh", "norm_en", F.explode(F.concat(F.array(*plain), *linked)).alias("s"))
     digest = F.unhex(F.sha2(F.array_join("s.tokens", " "), 256))
-    return spread.filter("size(s.tokens) > 0").select("article", "rank", "norm_zh", "norm_en", "s.*", digest.alias("digest"))
+    keys = F.transform("s.tokens", lambda token: F.hash("article", "s.scope", token))
+    return spread.filter("size(s.tokens) > 0").select("article", "rank", "norm_zh", "norm_en", "s.scope", "s.needed", keys.alias("keys"), digest.alias("digest"))
 
 
 def _rarest(sets: DataFrame) -> DataFrame:
-    """Each set's prefix of rarest tokens that other sets have too: (article, scope, digest, needed, size, place, df, token).
+    """Each set's prefix of rarest keys that other sets have too: (id, needed, size, place, df, key).
 
     Two sets with Jaccard >= t share a token among their first size - ceil(t * size) + 1 tokens
     in any common order; ordering by frequency inside article and scope makes those tokens rare ones.
     """
-    keys = ["article", "scope", "digest", "needed", "size"]
-    spread = materialise(sets.withColumn("size", F.size("tokens")).select(*keys, F.explode("tokens").alias("token")), "tokens")
-    token = ["article", "scope", "token"]
-    frequency = materialise(spread.groupBy(*token).agg(F.count(F.lit(1)).alias("df")), "frequency")
-    counted = attach(spread, token, frequency, "df")
-    ordered = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
-    keep = F.col("size") - F.ceil(F.col("size") * F.col("needed") - F.lit(1e-9)) + F.lit(1)
-    prefix = F.posexplode(F.slice("ts", F.lit(1), keep.cast("int"))).alias("place", "t")
-    return ordered.select(*keys, prefix).filter("t.df > 1").select(*keys, "place", "t.df", "t.token")
+    spread = sets.select("id", "needed", F.size("keys").alias("size"), F.explode("keys").alias("key"))
+    frequency = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "frequency")
+    counted = attach(spread, ["key"], frequency, "df")
+    placed = counted.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "key")) - 1)
+    return placed.filter((F.col("place") <= F.col("size") - _least(F.col("size"))) & (F.col("df") > 1))
+
+
+def _least(size: Column) -> Column:
+    """Tokens a set of `size` has to share with one that is no larger."""
+    return F.ceil(size * F.col("needed") - 1e-9)
 
 
 def _band(size: Column) -> Column:
@@ -110,47 +117,50 @@ def _band(size: Column) -> Column:
 
 
 def _meeting_sets(sets: DataFrame, hot: int = HOT_TOKEN, block: int = BLOCK) -> DataFrame:
-    """Distinct (article, scope, small, large) digests of different sets that can still reach their overlap.
+    """Distinct (small, large) ids of different sets that can still reach their overlap.
 
-    From a shared token on, a set of `size` at `place` overlaps enough only with partners of up to `reach`
-    tokens. The smaller set of a pair is met under its own length; the larger one asks for the lengths it
+    Of the tokens that two sets must share, all but `enough` may lie behind the prefix of the larger one and the
+    part of the smaller one that is cut to match; a pair with fewer in the prefixes goes before any set is fetched.
+    The smaller set of a pair is met under its own length; the larger one asks for the lengths it
     may meet. For a token of more than `hot` carriers lengths are bands, which are cells of their own: a
     cell one side of which is empty goes before the join, and a large one is cut into blocks of rows, so
     that all carriers of a token never meet in one task.
     """
-    rare = materialise(_rarest(sets), "rare")
-    reach = F.floor((F.col("size") - F.col("place")) * ((F.col("needed") + 1) / F.col("needed")) - F.col("size") + 1e-9)
-    least = F.ceil(F.col("size") * F.col("needed") - 1e-9)
-    reaching = rare.withColumns({"reach": reach, "least": least})
+    rare = materialise(_rarest(sets).withColumn("least", _least(F.col("size"))), "rare")
     frequent = F.col("df") > hot
-    small = reaching.filter("reach >= size").withColumn("cell", F.when(frequent, _band(F.col("size"))).otherwise(-1))
-    cells = F.sequence(_band(F.col("least")), _band(F.least("reach", "size")))
-    large = reaching.filter("least(reach, size) >= least").withColumn("cell", F.explode(F.when(frequent, cells).otherwise(F.array(F.lit(-1)))))
-    key = ["article", "scope", "token", "cell"]
+    small = rare.withColumn("cell", F.when(frequent, _band(F.col("size"))).otherwise(-1))
+    cells = F.sequence(_band(F.col("least")), _band(F.col("size")))
+    large = rare.withColumn("cell", F.explode(F.when(frequent, cells).otherwise(F.array(F.lit(-1)))))
+    key = ["key", "cell"]
     small_hot, large_hot = materialise(small.filter(frequent), "small"), materialise(large.filter(frequent), "large")
     sides = small_hot.select(*key, F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(large_hot.select(*key, F.lit(0).alias("s"), F.lit(1).alias("l")))
     counts = materialise(sides.groupBy(*key).agg(F.sum("s").alias("n_small"), F.sum("l").alias("n_large")).filter("n_small > 0 and n_large > 0"), "cells")
     no_block = {"i": F.lit(0), "j": F.lit(0)}
-    columns = [*key, "i", "j", "digest", "size", "reach", "least"]
-    a = blocked(attach(small_hot, key, counts, "n_small"), F.col("digest"), F.col("n_small"), F.col("n_large"), "i", "j", block).select(columns)
-    a = a.unionByName(small.filter(~frequent).withColumns(no_block).select(columns))
-    b = blocked(attach(large_hot, key, counts, "n_large"), F.col("digest"), F.col("n_large"), F.col("n_small"), "j", "i", block).select(columns)
-    b = b.unionByName(large.filter(~frequent).withColumns(no_block).select(columns))
-    a = a.withColumnsRenamed({c: f"{c}_a" for c in ("digest", "size", "reach", "least")})
-    b = b.withColumnsRenamed({c: f"{c}_b" for c in ("digest", "size", "reach", "least")})
-    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("digest_a") < F.col("digest_b")))
-    able = (F.col("size_b") <= F.col("reach_a")) & (F.col("size_a") <= F.col("reach_b")) & (F.col("size_a") >= F.col("least_b"))
-    met = a.join(b, [*key, "i", "j"]).filter(ordered & able)
-    return met.select("article", "scope", F.col("digest_a").alias("small"), F.col("digest_b").alias("large")).distinct()
+    a_columns = [*key, "i", "j", F.col("id").alias("small"), F.col("size").alias("size_a"), "place"]
+    b_columns = [*key, "i", "j", F.col("id").alias("large"), F.col("size").alias("size_b"), "least", "needed"]
+    a = blocked(attach(small_hot, key, counts, "n_small"), F.col("id"), F.col("n_small"), F.col("n_large"), "i", "j", block).select(a_columns)
+    a = a.unionByName(small.filter(~frequent).withColumns(no_block).select(a_columns))
+    b = blocked(attach(large_hot, key, counts, "n_large"), F.col("id"), F.col("n_large"), F.col("n_small"), "j", "i", block).select(b_columns)
+    b = b.unionByName(large.filter(~frequent).withColumns(no_block).select(b_columns))
+    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("small") < F.col("large")))
+    able = (F.col("size_a") >= F.col("least")) & (F.col("place") <= F.col("size_a") - F.col("least"))
+    shared = F.ceil((F.col("size_a") + F.col("size_b")) * F.col("needed") / (F.col("needed") + 1) - 1e-9)
+    met = a.join(b, [*key, "i", "j"]).filter(ordered & able).select("small", "large", (shared - F.col("least") + 1).cast("int").alias("enough"))
+    return met.groupBy("small", "large").agg(F.count(F.lit(1)).alias("n"), F.min("enough").alias("enough")).filter("n >= enough").select("small", "large")
 
 
 def _similar_sets(sets: DataFrame, **limits: int) -> DataFrame:
-    """(article, scope, small, large) of different sets whose overlap is enough, verified on whole sets."""
-    whole = sets.select("article", "scope", "digest", "tokens")
-    a, b = (whole.withColumnsRenamed({"digest": side, "tokens": f"{side}_tokens"}) for side in ("small", "large"))
-    joined = _meeting_sets(sets, **limits).join(a, ["article", "scope", "small"]).join(b, ["article", "scope", "large"])
-    needed = F.when(F.col("scope").startswith("title-"), _TITLE_OVERLAP).when(F.col("scope").startswith("body-"), _BODY_OVERLAP).otherwise(_SHARED_OVERLAP)
-    return joined.filter(jaccard(F.col("small_tokens"), F.col("large_tokens")) >= needed - 1e-9).select("article", "scope", "small", "large")
+    """(article, scope, small, large) digests of different sets whose overlap can be enough by their whole keys."""
+    met = written(lambda: _meeting_sets(sets, **limits), sets.sparkSession, "met")
+    node = ["article", "scope"]
+    a = sets.select(*node, F.col("id").alias("small"), F.col("digest").alias("digest_a"), F.col("keys").alias("keys_a"))
+    b = sets.select(*[F.col(c).alias(f"{c}_b") for c in node], F.col("id").alias("large"), F.col("digest").alias("digest_b"), F.col("keys").alias("keys_b"), "needed")
+    joined = met.join(a, "small").join(b, "large").filter((F.col("article") == F.col("article_b")) & (F.col("scope") == F.col("scope_b")))
+    # Tokens of one set with the same key count as shared.
+    shared = F.size(F.array_intersect("keys_a", "keys_b")) + F.size("keys_a") - F.size(F.array_distinct("keys_a"))
+    measured = joined.select(*node, "digest_a", "digest_b", "needed", (F.size("keys_a") + F.size("keys_b")).alias("n"), shared.alias("shared"))
+    similar = measured.filter("shared >= (needed - 1e-9) * (n - shared)")
+    return similar.select(*node, F.col("digest_a").alias("small"), F.col("digest_b").alias("large"))
 
 
 def _meeting_pairs(classes: DataFrame, **limits: int) -> DataFrame:
@@ -160,9 +170,10 @@ def _meeting_pairs(classes: DataFrame, **limits: int) -> DataFrame:
     set, are told apart by their titles before they are listed, so entries of one title never meet.
     """
     node, titles = ["article", "scope", "digest"], ["norm_zh", "norm_en"]
-    owned = materialise(_token_sets(classes), "owned")
-    members = owned.select(*node, *titles, "rank")
-    sets = materialise(owned.groupBy(*node).agg(F.first("tokens").alias("tokens"), F.first("needed").alias("needed"), F.count(F.lit(1)).alias("members")), "sets")
+    owned = _token_sets(classes)
+    members = materialise(owned.select(*node, *titles, "rank"), "members")
+    folded = owned.groupBy(*node).agg(F.first("keys").alias("keys"), F.first("needed").alias("needed"), F.count(F.lit(1)).alias("members"))
+    sets = materialise(folded.withColumn("id", F.monotonically_increasing_id()), "sets")
     own = sets.filter("members > 1").select("article", "scope", F.col("digest").alias("small"), F.col("digest").alias("large"))
     similar = _similar_sets(sets, **limits).unionByName(own)
     groups = members.groupBy(*node, *titles).agg(F.min("rank").alias("first"))
@@ -237,7 +248,7 @@ def class_pairs(classes: DataFrame, **limits: int) -> DataFrame:
     Pairs of copies repeat the score of their first copies, so a row stands for
     copies_a * copies_b pairs of entries (`pairs`). Equal titles are in title_groups().
     """
-    scored = score_pairs(_meeting_pairs(classes, **limits), classes)
+    scored = score_pairs(materialise(_meeting_pairs(classes, **limits), "meeting"), classes)
     return (
         scored.filter((F.col("score") >= BORDERLINE_SCORE) & (F.col("score") < 0.95))
         .withColumn("verdict", band(F.col("score")))

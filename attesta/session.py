@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,3 +118,12 @@ def intermediates(spark: SparkSession) -> Iterator[None]:
     finally:
         _delete(spark, _written.pop(application, []))
         _written[application] = outer
+
+
+def written(build: Callable[[], DataFrame], spark: SparkSession, name: str) -> DataFrame:
+    """Write the table that `build` returns, like materialise, and delete the tables `build` wrote on its way."""
+    path = fresh_path(spark, name)
+    with intermediates(spark):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

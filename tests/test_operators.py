@@ -1,11 +1,13 @@
 """Operators on small literal tables, and against brute force."""
 
 import itertools
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from attesta import session
 from attesta.operators import compose, corpus, coverage, dedup, digests, experiment, ledger, merge_review, prefix, provenance, ranking, refund, scoring, search, selection, skew
 from attesta.session import materialise
 
@@ -698,3 +700,40 @@ def test_recommendation_verdicts(spark, rule, probability, want):
         rows.append((f"s{i}", "k", "pass" if good else "not_pass", p, r))
     samples = spark.createDataFrame(rows, "sample_id string, kind string, expect string, probability double, rule_probability double")
     assert scoring.recommendation(samples, [0.2, 0.5, 0.8]).first().verdict == want
+
+
+def _sets(spark, token_sets, needed, key):
+    """Sets as the duplicate search folds them, token i of a set under key(i)."""
+    rows = [("a", "body-en", needed, i, bytearray([i // 256, i % 256]), [str(t) for t in sorted(ts)], [key(t) for t in sorted(ts)]) for i, ts in enumerate(token_sets)]
+    return spark.createDataFrame(rows, "article string, scope string, needed double, id long, digest binary, tokens array<string>, keys array<int>")
+
+
+def test_sets_that_share_few_rare_tokens_are_not_fetched(spark):
+    draw = random.Random(3)
+    hub = [[1000 + i, 1001 + i, *draw.sample(range(400), 98)] for i in range(10)]
+    near = [list(range(50_000, 50_100)), list(range(50_010, 50_110))]
+    met = dedup._meeting_sets(_sets(spark, hub + near, 0.6, int))
+    assert met.count() == 1
+
+
+def test_similar_sets_hold_with_equal_hashes_of_unlike_tokens(spark):
+    draw = random.Random(5)
+    base = [draw.sample(range(200), draw.randint(1, 30)) for _ in range(40)]
+    token_sets = base + [[t for t in s if draw.random() < 0.8] + draw.sample(range(200, 220), draw.randint(0, 4)) for s in base]
+    token_sets = list({tuple(sorted(s)): s for s in token_sets if s}.values())
+    for needed in (0.3, 0.5, 0.6):
+        for keys in (500, 61):
+            found = dedup._similar_sets(_sets(spark, token_sets, needed, lambda t: t % keys), hot=6, block=4).collect()
+            got = {frozenset(int.from_bytes(x, "big") for x in (r.small, r.large)) for r in found}
+            want = {frozenset((i, j)) for i, a in enumerate(token_sets) for j, b in enumerate(token_sets[:i])
+                    if len(set(a) & set(b)) >= (needed - 1e-9) * len(set(a) | set(b))}
+            assert want and want <= got and (keys < 500 or want == got)
+
+
+def test_duplicate_plan_leaves_only_its_two_tables(spark, tmp_path):
+    docs = spark.createDataFrame([("a", i, f"{i}", "s", "", f"one two three four {i} x", "", "alpha beta gamma delta " * 3, []) for i in range(6)],
+        "article string, rank long, location string, section string, title_zh string, title_en string, body_zh string, body_en string, urls array<string>")
+    with session.intermediates(spark):
+        dedup.plan(docs)
+        left = [p for p in session._written[spark.sparkContext.applicationId] if os.path.exists(p.removeprefix("file:"))]
+        assert len(left) == 2
