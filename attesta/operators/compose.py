@@ -10,6 +10,7 @@ Inputs, in long form:
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions.urls import legacy_normalise
@@ -20,7 +21,7 @@ from attesta.session import materialise
 def capture_index(urls: DataFrame) -> DataFrame:
     """urls(article, position, url) -> the first original URL per normal form."""
     return urls.groupBy("article", legacy_normalise(F.col("url")).alias("normalised")).agg(
-        F.min_by("url", F.struct("position", "url")).alias("url")
+        F.min(F.struct("position", "url"))["url"].alias("url")
     )
 
 
@@ -72,14 +73,15 @@ def cap_items(items: DataFrame, cap: int) -> DataFrame:
 
 
 def final_ids(resolved: DataFrame, used: DataFrame) -> DataFrame:
-    """(article, url, final_id): dense ids of the references still cited, by first appearance.
+    """Used citations with `final_id`: dense ids of the references still cited, by first appearance.
 
     Numbering what is left by first appearance gives the same ids as numbering everything and
-    closing the gaps afterwards.
+    closing the gaps afterwards. What an article uses is bounded by its cap, so its references are
+    numbered where they meet.
     """
     first = resolved.filter("url is not null").groupBy("article", "url").agg(F.min(place()).alias("first_place"))
-    kept = first.join(used.select("article", "url").distinct(), ["article", "url"], "left_semi")
-    return row_numbers(kept, ["article"], "first_place", "final_id", ties=("url",))
+    dense = F.dense_rank().over(W.partitionBy("article").orderBy("first_place", "url")).cast("long")
+    return used.join(first, ["article", "url"]).withColumn("final_id", dense)
 
 
 def merge(items: DataFrame, links: DataFrame, index: DataFrame, cap: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -88,9 +90,8 @@ def merge(items: DataFrame, links: DataFrame, index: DataFrame, cap: int = 20) -
     cited = resolved.filter("url is not null")
     kept = cap_items(supported_items(items, cited), cap)
     keys = ["article", "group_no", "item_no"]
-    used = materialise(cited.join(kept.select(*keys), keys, "left_semi"), "used")
-    final = final_ids(resolved, used).select("article", "url", "final_id")
-    citations = used.join(final, ["article", "url"]).select(*keys, "local_id", "url", "final_id")
+    used = cited.join(kept.select(*keys), keys, "left_semi")
+    citations = final_ids(resolved, used).select(*keys, "local_id", "url", "final_id")
     return kept, citations.distinct()
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,32 +45,34 @@ def earliest_by(df: DataFrame, keys: list[str], order: list[str], values: list[s
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], position: str, name: str = "row_number", ties: tuple[str, ...] = ()
+    df: DataFrame, keys: list[str], position: str, name: str = "row_number", ties: tuple[str, ...] = (), distinct: bool = False
 ) -> DataFrame:
     """row_number over (keys, position, ties) without putting a hot group into one task.
 
     (keys, position, ties) is a total order; `position` may be a struct. The table is cut once into
     ranges of that order, as many as its size asks for, and written: a group of any size spreads
-    over as many ranges as it fills. A range is numbered on its own and shifted by the rows its groups
-    have in the ranges before it, so only counts meet. With no keys this is a global numbering.
+    over as many ranges as it fills. A range is numbered on its own. Only the group that a range begins with
+    can have rows in ranges before it, so there are no more shifts than ranges, and they come by broadcast.
+    With no keys this is a global numbering. With `distinct` equal rows, which are in one range, count once.
     """
-    ranged = materialise(
-        df.repartitionByRange(*keys, position, *ties).withColumn("_slice", F.spark_partition_id()), "ranges"
-    )
+    cut = df.repartitionByRange(*keys, position, *ties)
+    ranged = materialise((cut.distinct() if distinct else cut).withColumn("_slice", F.spark_partition_id()), "ranges")
+
+    def held(other: DataFrame) -> Column:
+        return reduce(and_, (ranged[k].eqNullSafe(other[f"_{k}"]) for k in keys), F.lit(True))
+
+    split = ranged
+    if keys:
+        begins = ranged.groupBy("_slice").agg(F.min(F.struct(*keys)).alias("b")).select("b.*").distinct()
+        begins = begins.withColumnsRenamed({k: f"_{k}" for k in keys})
+        split = ranged.join(F.broadcast(begins), held(begins), "left_semi")
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    )
-    same = F.lit(True)
-    renamed = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_at"), "_offset")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    local = W.partitionBy(*keys, "_slice").orderBy(position, *ties)
+    shifts = split.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_offset", F.sum("_rows").over(before)).filter("_offset > 0")
+    shifts = shifts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slice").alias("_at"), "_offset")
+    local = W.partitionBy("_slice", *keys).orderBy(position, *ties)
     return (
-        ranged.join(renamed, (F.col("_slice") == F.col("_at")) & same)
-        .withColumn(name, F.row_number().over(local) + F.col("_offset"))
+        ranged.join(F.broadcast(shifts), (ranged["_slice"] == shifts["_at"]) & held(shifts), "left")
+        .withColumn(name, F.row_number().over(local) + F.coalesce("_offset", F.lit(0)))
         .drop("_slice", "_at", "_offset", *[f"_{k}" for k in keys])
     )
 

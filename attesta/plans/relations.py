@@ -802,8 +802,8 @@ FROM kept k JOIN final f ON k.article = f.article AND k.s_suppkey = f.s_suppkey"
 def compose_merge(spark, root):
     """Items with a verifiable source, capped in turns, with densely renumbered citations."""
     group = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    lines = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("article"), group.alias("group_no"), "l_partkey", "l_suppkey").distinct()
-    items = materialise(ranking.row_numbers(lines, ["article", "group_no"], "l_partkey", "item_no", ties=("l_suppkey",)), "items")
+    lines = table(spark, root, "lineitem").select(F.col("l_orderkey").alias("article"), group.alias("group_no"), "l_partkey", "l_suppkey")
+    items = materialise(ranking.row_numbers(lines, ["article", "group_no"], "l_partkey", "item_no", ties=("l_suppkey",), distinct=True), "items")
     links = items.select(
         "article", "group_no", "item_no", F.lit(0).alias("link_no"), F.lit(1).alias("local_id"),
         F.concat(F.lit("http://www.supplier.example/"), F.col("l_suppkey").cast("string"), F.lit("/")).alias("url"),

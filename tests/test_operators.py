@@ -737,3 +737,24 @@ def test_duplicate_plan_leaves_only_its_two_tables(spark, tmp_path):
         dedup.plan(docs)
         left = [p for p in session._written[spark.sparkContext.applicationId] if os.path.exists(p.removeprefix("file:"))]
         assert len(left) == 2
+
+
+def test_row_numbers_shift_only_groups_that_ranges_begin_with(spark):
+    data = [(None if i % 3 == 0 else "hot" if i % 3 == 1 else f"k{i % 50}", i % 400, i % 2) for i in range(1200)]
+    df = spark.createDataFrame(data + data[:300], "k string, p long, t int").repartition(6)
+    got = rows(ranking.row_numbers(df, ["k"], "p", "n", ties=("t",), distinct=True).fillna("", ["k"]), "k", "p", "t", "n")
+    want = []
+    for _, group in itertools.groupby(sorted({(k or "", p, t) for k, p, t in data}), key=lambda r: r[0]):
+        want += [(*r, i + 1) for i, r in enumerate(group)]
+    assert got == sorted(want)
+
+
+def test_merge_writes_its_links_only(spark):
+    items = spark.createDataFrame([("a", 0, i) for i in range(9)], "article string, group_no int, item_no int")
+    links = spark.createDataFrame([("a", 0, i, n, n, f"https://x.example/{(i * 2 + n) % 7}") for i in range(9) for n in (1, 2)],
+        "article string, group_no int, item_no int, link_no int, local_id int, url string")
+    index = compose.capture_index(links.select("article", F.col("link_no").alias("position"), "url"))
+    with session.intermediates(spark):
+        _, cited = compose.merge(items, links, index, cap=3)
+        assert [r.final_id for r in cited.orderBy("item_no", "local_id").collect()] == [1, 2, 3, 4, 5, 6]
+        assert len(session._written[spark.sparkContext.applicationId]) == 1
