@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from attesta.functions.vocabulary import DRIFT_PARAMETER, TRACKING_PARAMS
+from attesta.functions.vocabulary import DRIFT_PARAMETER, TRACKING_PARAMS, WHITESPACE
 
 _TRACKED = "(?i)&(?:" + "|".join(TRACKING_PARAMS) + ")[^&]*"
 
 
 def strip(text: Column) -> Column:
-    """Trim every kind of whitespace, not only U+0020."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
+    """Trim every kind of whitespace, not only U+0020. Only the ends are looked at: a pattern would try every character."""
+    return F.trim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
 
 
 def _drop_prefix(text: Column, pattern: str) -> Column:

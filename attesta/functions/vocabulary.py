@@ -43,6 +43,9 @@ TITLE_LEAD_INS = (
 
 CJK = r"一-鿿"
 
+# Every character with the Unicode property White_Space.
+WHITESPACE = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 # Duplicate scoring bands.
 DUPLICATE_SCORE = 0.86
 BORDERLINE_SCORE = 0.60

@@ -21,6 +21,7 @@ from attesta.session import materialise
 _VARIANTS = "array<variant>"
 #: Words by use: interest, exclude, mechanism, limit.
 Profile = Mapping[str, Sequence[str]]
+_BLOCK = "struct<zh:string,en:string>"
 _BILINGUAL = ("title", "prose", "summary", "comment", "body")
 
 
@@ -46,14 +47,24 @@ def _objects(node: Column, key: str) -> Column:
     return F.filter(_list(node, key), _is_object)
 
 
-def bilingual(node: Column, key: str) -> Column:
-    """struct<zh,en>: a plain string is Chinese only, an object is read by language."""
-    block = _get(node, key, "struct<zh:string,en:string>")
-    plain = F.when(F.schema_of_variant(_get(node, key)) == "STRING", _get(node, key, "string"))
+def _spoken(node: Column, block: Column | None = None) -> Column:
+    """struct<zh,en>: a plain string is Chinese only, an object is read by language. `block` is the node cast to _BLOCK, if at hand."""
+    block = node.try_cast(_BLOCK) if block is None else block
+    plain = F.when(F.schema_of_variant(node) == "STRING", node.try_cast("string"))
     zh = F.when(block.isNotNull(), block["zh"]).otherwise(plain)
     return F.struct(strip(zh).alias("zh"), strip(block["en"]).alias("en"))
 
 
+def bilingual(node: Column, key: str) -> Column:
+    """A member as struct<zh,en>, see _spoken."""
+    return _spoken(_get(node, key))
+
+
+def _members(node: Column) -> Column:
+    """An object as map<string,variant>: taken apart once, where each look-up by path reads all its names again."""
+    return node.try_cast("map<string,variant>")
+
+
 def parse_articles(articles: DataFrame) -> DataFrame:
     """(day, doc): the parsed document, or NULL when it is missing, malformed or not an object."""
     parsed = articles.select("day", F.try_parse_json("content").alias("doc"))
@@ -79,37 +90,70 @@ def files_gate(expected: DataFrame, present: DataFrame) -> DataFrame:
     return expected.select("path").distinct().join(present.select("path").distinct(), "path", "left_anti")
 
 
+#: Sections as they should be. A cast to VARIANT encodes anew all that is below it, so the tree is cast once, down to the members of items.
+_SECTIONS = (
+    "array<struct<id:string,groups:array<struct<id:string,title:variant,items:array<map<string,variant>>>>,items:array<map<string,variant>>>>"
+)
+
+
+def _sections(doc: Column) -> Column:
+    """Sections with their groups and items, as _SECTIONS; only objects count. One of another shape is read piece by piece."""
+    def items(node: Column) -> Column:
+        return F.transform(_objects(node, "items"), _members)
+
+    def group(g: Column) -> Column:
+        return F.struct(_get(g, "id", "string").alias("id"), _get(g, "title").alias("title"), items(g).alias("items"))
+
+    piecewise = F.transform(
+        _objects(doc, "sections"),
+        lambda s: F.struct(
+            _get(s, "id", "string").alias("id"), F.transform(_objects(s, "groups"), group).alias("groups"), items(s).alias("items")
+        ),
+    )
+    return F.array_compact(F.coalesce(_get(doc, "sections", _SECTIONS), piecewise))
+
+
+def _groups(section: Column) -> Column:
+    """Groups of one of _sections(), empty when there are none."""
+    return F.coalesce(F.array_compact(section["groups"]), F.array())
+
+
 def _section_entries(section: Column) -> Column:
-    """Items of a section in order: those of its groups, then its own; only objects count."""
+    """Items of one of _sections() in order: those of its groups, then its own; only objects count."""
     grouped = F.flatten(
         F.transform(
-            _objects(section, "groups"),
-            lambda g: F.transform(
-                _objects(g, "items"), lambda i: F.struct(_get(g, "id", "string").alias("group_id"), i.alias("item"))
-            ),
+            _groups(section),
+            lambda g: F.coalesce(F.transform(g["items"], lambda i: F.struct(g["id"].alias("group_id"), i.alias("members"))), F.array()),
         )
     )
-    own = F.transform(
-        _objects(section, "items"), lambda i: F.struct(F.lit(None).cast("string").alias("group_id"), i.alias("item"))
-    )
-    return F.concat(grouped, own)
-
-
-def raw_items(articles: DataFrame) -> DataFrame:
-    """(day, section_pos, section, item_pos, location, group_id, item): items still as VARIANT."""
-    sections = parse_articles(articles).select(
-        "day", F.posexplode(_objects(F.col("doc"), "sections")).alias("section_pos", "s")
-    )
-    entries = sections.select(
-        "day", "section_pos", F.coalesce(_get(F.col("s"), "id", "string"), F.lit("")).alias("section"),
-        F.posexplode(_section_entries(F.col("s"))).alias("item_pos", "e"),
-    )
+    own = F.transform(section["items"], lambda i: F.struct(F.lit(None).cast("string").alias("group_id"), i.alias("members")))
+    return F.filter(F.concat(grouped, F.coalesce(own, F.array())), lambda e: e["members"].isNotNull())
+
+
+def _entries(parsed: DataFrame, every: bool = False) -> DataFrame:
+    """Items of (day, ..., sections), which keep the other columns; with `every` an article or section without items has a row of NULLs."""
+    kept = [c for c in parsed.columns if c != "sections"]
+    spread = F.posexplode_outer if every else F.posexplode
+    sections = parsed.select(*kept, spread("sections").alias("section_pos", "s"))
+    # Only the section's name goes on: the section itself beside each of its items would be its square.
+    named = sections.select(*kept, "section_pos", F.coalesce("s.id", F.lit("")).alias("section"), _section_entries(F.col("s")).alias("entries"))
+    entries = named.select(*kept, "section_pos", "section", spread("entries").alias("item_pos", "e"))
     group = F.coalesce("e.group_id", F.lit(""))
     where = F.concat(
         "section", F.when(group != "", F.concat(F.lit("/"), group)).otherwise(F.lit("")),
         F.lit("["), (F.col("item_pos") + 1).cast("string"), F.lit("]"),
     )
-    return entries.select("day", "section_pos", "section", "item_pos", where.alias("location"), "e.group_id", "e.item")
+    return entries.select(*kept, "section_pos", "section", "item_pos", where.alias("location"), "e.group_id", "e.members")
+
+
+def raw_items(articles: DataFrame) -> DataFrame:
+    """(day, section_pos, section, item_pos, location, group_id, members): items as maps of VARIANT."""
+    return _entries(parse_articles(articles).select("day", _sections(F.col("doc")).alias("sections")))
+
+
+def _listed(members: Column, key: str) -> Column:
+    """A list member of an item, empty when it is missing or not a list."""
+    return F.coalesce(members[key].try_cast(_VARIANTS), F.array().cast(_VARIANTS))
 
 
 def _present(block: str) -> Column:
@@ -125,22 +169,35 @@ def _half(block: Column) -> Column:
 
 
 def _field_columns(items: DataFrame) -> DataFrame:
-    """Body text and issues of the labelled-fields variant."""
-    dicts = F.filter("fields", _is_object)
-    pairs = F.transform(dicts, lambda e: F.struct(bilingual(e, "label").alias("label"), bilingual(e, "value").alias("value")))
-    staged = items.withColumn("pairs", pairs)
+    """Body text and issues of the labelled-fields variant; NULL for an item without fields."""
+    def given(column: Column) -> Column:
+        return F.when(F.size("fields") > 0, column)
+
+    # In a lambda nothing is shared, so each entry is cast in steps of its own and only then read by language.
+    named = F.transform("fields", lambda e: e.try_cast("struct<label:variant,value:variant>"))
+    cast = F.transform(
+        F.array_compact("named"),
+        lambda e: F.struct(
+            e["label"].alias("label"), e["label"].try_cast(_BLOCK).alias("label_block"),
+            e["value"].alias("value"), e["value"].try_cast(_BLOCK).alias("value_block"),
+        ),
+    )
+    pairs = F.transform(
+        cast, lambda e: F.struct(_spoken(e["label"], e["label_block"]).alias("label"), _spoken(e["value"], e["value_block"]).alias("value"))
+    )
+    staged = items.withColumn("named", given(named)).withColumn("pairs", given(pairs))
 
     def joined(lang: str) -> Column:
-        return F.array_join(F.filter(F.transform("pairs", lambda p: p["value"][lang]), lambda x: x != ""), " ")
+        return F.array_join(F.filter(F.col(f"pairs.value.{lang}"), lambda x: x != ""), " ")
 
     staged = staged.withColumns({"fields_zh": joined("zh"), "fields_en": joined("en")})
     issues = F.concat(
-        F.transform(F.filter("fields", lambda e: ~_is_object(e)), lambda _: F.lit("fields entry is not an object")),
+        F.transform(F.filter("named", lambda e: e.isNull()), lambda _: F.lit("fields entry is not an object")),
         F.transform(F.filter("pairs", lambda p: _half(p["label"])), lambda _: F.lit("field label not bilingual")),
         F.transform(F.filter("pairs", lambda p: _half(p["value"])), lambda _: F.lit("field value not bilingual")),
         F.array_compact(F.array(F.when((F.col("fields_zh") == "") | (F.col("fields_en") == ""), F.lit("fields are not bilingual")))),
     )
-    return staged.withColumn("field_issues", issues)
+    return staged.withColumn("field_issues", given(issues))
 
 
 def flatten_items(articles: DataFrame) -> DataFrame:
@@ -148,14 +205,18 @@ def flatten_items(articles: DataFrame) -> DataFrame:
 
     Body variants are tried in a fixed order: prose, fields, summary with comment, body.
     """
-    item = F.col("item")
-    rows = raw_items(articles)
+    return _read_items(raw_items(articles))
+
+
+def _read_items(rows: DataFrame) -> DataFrame:
+    member = F.col("members")
+    own = [c for c in rows.columns if c != "members"]
     read = rows.select(
-        *[c for c in rows.columns if c != "item"],
-        *[bilingual(item, key).alias(key) for key in _BILINGUAL],
-        _list(item, "fields").alias("fields"),
-        _list(item, "sources").alias("all_sources"),
-        F.map_keys(item.try_cast("map<string,variant>")).alias("keys"),
+        *own,
+        *[_spoken(member[key]).alias(key) for key in _BILINGUAL],
+        _listed(member, "fields").alias("fields"),
+        _listed(member, "sources").alias("all_sources"),
+        F.map_keys(member).alias("keys"),
     )
     whole = F.transform(F.filter("all_sources", _is_whole_number), lambda s: s.try_cast("long"))
     staged = _field_columns(read).withColumns(
@@ -199,7 +260,7 @@ def flatten_items(articles: DataFrame) -> DataFrame:
     )
     variant = F.when(kind == "summary", "summary_comment").when(kind == "body", "prose").otherwise(kind)
     return staged.select(
-        "day", "section_pos", "section", "item_pos", "location", "group_id",
+        *own,
         variant.alias("variant"),
         F.col("title.zh").alias("title_zh"), F.col("title.en").alias("title_en"),
         text("zh").alias("body_zh"), text("en").alias("body_en"),
@@ -231,7 +292,7 @@ def references(articles: DataFrame) -> DataFrame:
 def item_sources(articles: DataFrame) -> DataFrame:
     """(day, source) for every entry of every item's sources; NULL where it is not a whole number."""
     node = F.col("source")
-    spread = raw_items(articles).select("day", F.explode(_list(F.col("item"), "sources")).alias("source"))
+    spread = raw_items(articles).select("day", F.explode(_listed(F.col("members"), "sources")).alias("source"))
     return spread.select("day", F.when(_is_whole_number(node), node.try_cast("long")).alias("source"))
 
 
@@ -242,26 +303,34 @@ def cited_references(articles: DataFrame) -> DataFrame:
     return named.join(used, ["day", "id"], "left_semi").select("day", F.col("id").alias("ref_id"), "url")
 
 
+def _id(node: Column) -> Column:
+    return F.struct(_get(node, "id", "string").alias("id"))
+
+
 def structure_gate(articles: DataFrame) -> DataFrame:
-    """Contract decision per article. An undeclared shape is cannot_verify, never a pass."""
+    """Contract decision per article. An undeclared shape is cannot_verify, never a pass.
+
+    An article is parsed once: what its head says is a few numbers that travel with its items.
+    """
     doc = F.col("doc")
-    sections = _objects(doc, "sections")
-    names = F.transform(sections, lambda s: F.coalesce(_get(s, "id", "string"), F.lit("")))
+    names = F.transform("sections", lambda s: F.coalesce(s["id"], F.lit("")))
     groups = F.transform(
-        F.flatten(F.transform(sections, lambda s: _objects(s, "groups"))),
-        lambda g: F.struct(F.coalesce(_get(g, "id", "string"), F.lit("")).alias("id"), bilingual(g, "title")["zh"].alias("zh")),
+        F.flatten(F.transform("sections", _groups)),
+        lambda g: F.struct(F.coalesce(g["id"], F.lit("")).alias("id"), _spoken(g["title"])["zh"].alias("zh")),
     )
-    ungrouped = F.filter(sections, lambda s: (_get(s, "id", "string") == "insights") & (F.size(_objects(s, "groups")) == 0))
+    ungrouped = F.filter("sections", lambda s: (s["id"] == "insights") & (F.size(_groups(s)) == 0))
     blocks = [bilingual(doc, key).alias(key) for key in ("title", "summary", "notes")]
-    heads = parse_articles(articles).select(
-        "day",
+    heads = parse_articles(articles).withColumn("sections", _sections(doc)).select(
+        "day", "sections",
         doc.isNull().alias("broken"),
         (F.coalesce(_get(doc, "date", "string"), F.lit("")) == "").cast("int").alias("no_date"),
         *blocks,
         names.alias("names"),
         groups.alias("groups"),
         F.size(ungrouped).alias("ungrouped"),
-        F.size(_objects(doc, "references")).alias("n_refs"),
+        F.size(
+            F.coalesce(F.array_compact(_get(doc, "references", "array<struct<id:string>>")), F.transform(_objects(doc, "references"), _id))
+        ).alias("n_refs"),
         F.size(
             F.array_except(F.map_keys(doc.try_cast("map<string,variant>")), F.array(*[F.lit(k) for k in ARTICLE_KEYS]))
         ).alias("unknown_top_level_keys"),
@@ -271,7 +340,7 @@ def structure_gate(articles: DataFrame) -> DataFrame:
         F.lit(0),
     )
     heads = heads.select(
-        "day", "broken", "n_refs", "unknown_top_level_keys",
+        "day", "sections", "broken", "n_refs", "unknown_top_level_keys",
         F.size(F.filter("names", lambda n: ~n.isin(*SECTION_CAPS))).alias("unknown_sections"),
         (
             F.col("no_date") + empty_text + (F.size("names") < 2).cast("int") + F.col("ungrouped")
@@ -279,15 +348,18 @@ def structure_gate(articles: DataFrame) -> DataFrame:
             + (F.col("n_refs") == 0).cast("int")
         ).alias("head_failures"),
     )
-    items = flatten_items(articles).groupBy("day").agg(
-        F.count(F.lit(1)).cast("int").alias("n_items"),
-        F.count_if(F.col("variant") == "unknown").cast("int").alias("unknown_items"),
-        F.sum(F.size("issues")).cast("int").alias("item_issues"),
-        *[F.count_if(F.col("section") == s).cast("int").alias(f"n_{s}") for s in SECTION_CAPS],
-        *[F.count_if(F.col("variant") == v).cast("int").alias(f"v_{v}") for v in ("prose", "fields", "summary_comment")],
+    known = ["day", "broken", "n_refs", "unknown_sections", "head_failures"]
+    items = _read_items(_entries(heads, every=True))
+    is_item = F.col("item_pos").isNotNull()
+    joined = items.groupBy(*known).agg(
+        F.max("unknown_top_level_keys").alias("unknown_top_level_keys"),
+        F.count("item_pos").cast("int").alias("n_items"),
+        F.count_if(is_item & (F.col("variant") == "unknown")).cast("int").alias("unknown_items"),
+        F.sum(F.when(is_item, F.size("issues")).otherwise(0)).cast("int").alias("item_issues"),
+        *[F.count_if(is_item & (F.col("section") == s)).cast("int").alias(f"n_{s}") for s in SECTION_CAPS],
+        *[F.count_if(is_item & (F.col("variant") == v)).cast("int").alias(f"v_{v}") for v in ("prose", "fields", "summary_comment")],
     )
-    counts = [c for c in items.columns if c != "day"]
-    joined = heads.join(items, "day", "left").fillna(0, counts)
+    counts = [c for c in joined.columns if c not in (*known, "unknown_top_level_keys")]
     over_cap = sum(((F.col(f"n_{s}") > cap).cast("int") for s, cap in SECTION_CAPS.items()), F.lit(0))
     failures = F.col("head_failures") + F.col("item_issues") + over_cap
     odd = (F.col("unknown_sections") > 0) | (F.col("unknown_items") > 0)

@@ -18,41 +18,59 @@ from attesta.sources import capture, memory, pages
 # -- articles ------------------------------------------------------------------------------------
 
 
+def _unwrapped(text: Column) -> Column:
+    """A JSON text without its first and last character."""
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
 def _quoted(text: Column) -> Column:
     """A JSON string literal."""
-    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+    return _unwrapped(F.to_json(F.array(text)))
 
 
 def _pair(zh: Column, en: Column | None = None) -> Column:
+    """An object of two JSON texts by language."""
     if en is None:
-        return F.concat(F.lit('{"zh":'), _quoted(zh), F.lit("}"))
-    return F.concat(F.lit('{"zh":'), _quoted(zh), F.lit(',"en":'), _quoted(en), F.lit("}"))
+        return F.concat(F.lit('{"zh":'), zh, F.lit("}"))
+    return F.concat(F.lit('{"zh":'), zh, F.lit(',"en":'), en, F.lit("}"))
+
+
+def _parts(lines: Column) -> Column:
+    """Each line's length, and the line and its first 8 characters as JSON; in two steps, so each is written once."""
+    wrapped = F.transform(
+        lines,
+        lambda x: F.struct(
+            F.length(x).alias("size"), F.to_json(F.array(x)).alias("line"), F.to_json(F.array(F.substring(x, 1, 8))).alias("head")
+        ),
+    )
+    return F.transform(
+        wrapped, lambda p: F.struct(p["size"].alias("size"), _unwrapped(p["line"]).alias("line"), _unwrapped(p["head"]).alias("head"))
+    )
 
 
-def _item(line: Column, i: Column) -> Column:
-    size = F.length(line)
+def _item(part: Column, i: Column) -> Column:
+    size, line, head = part["size"], part["line"], part["head"]
     body = (
         F.when(size < 5, F.lit('"remark":1'))
         .when(size % 4 == 0, F.concat(F.lit('"prose":'), _pair(line, line)))
         .when(size % 8 == 1, F.concat(F.lit('"fields":[{"label":{"zh":"L","en":"L"},"value":'), _pair(line), F.lit("}]")))
         .when(size % 4 == 1, F.concat(F.lit('"fields":[{"label":{"zh":"L","en":"L"},"value":'), _pair(line, line), F.lit("}]")))
         .when(size % 4 == 2, F.concat(F.lit('"summary":'), _pair(line, line), F.lit(',"comment":'), _pair(line)))
-        .otherwise(F.concat(F.lit('"body":'), _quoted(line)))
+        .otherwise(F.concat(F.lit('"body":'), line))
     )
     number = i.cast("string")
     sources = F.concat(
         F.lit("["), number, F.when(size % 7 == 0, ',"x"').otherwise(""),
         F.when(size % 11 == 0, F.concat(F.lit(",1000"), number)).otherwise(""), F.lit("]"),
     )
-    head = F.substring(line, 1, 8)
     return F.concat(F.lit('{"title":'), _pair(head, head), F.lit(","), body, F.lit(',"sources":'), sources, F.lit("}"))
 
 
-def _reference(line: Column, i: Column) -> Column:
-    size, number = F.length(line), i.cast("string")
+def _reference(part: Column, i: Column) -> Column:
+    size, number = part["size"], i.cast("string")
     scheme = F.when(size % 13 == 0, "ftp").otherwise("https")
-    title = F.when(size % 17 == 0, F.lit("  ")).otherwise(F.substring(line, 1, 8))
-    return F.concat(F.lit('{"id":'), number, F.lit(',"url":"'), scheme, F.lit("://docs.example/"), number, F.lit('","title":'), _quoted(title), F.lit("}"))
+    title = F.when(size % 17 == 0, F.lit('"  "')).otherwise(part["head"])
+    return F.concat(F.lit('{"id":'), number, F.lit(',"url":"'), scheme, F.lit("://docs.example/"), number, F.lit('","title":'), title, F.lit("}"))
 
 
 def articles(spark, root):
@@ -60,7 +78,8 @@ def articles(spark, root):
     docs = table(spark, root, "documents")
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
     marked = docs.select("doc_id", "lang", "source", lines.alias("l"))
-    marked = marked.select("*", F.transform("l", _item).alias("items"), F.transform("l", _reference).alias("refs"))
+    marked = marked.withColumn("parts", _parts(F.col("l")))
+    marked = marked.select("*", F.transform("parts", _item).alias("items"), F.transform("parts", _reference).alias("refs"))
     orphan = F.when(
         F.size("l") % 2 == 0,
         F.array(F.concat(F.lit('{"id":'), F.size("l").cast("string"), F.lit(',"url":"https://docs.example/orphan","title":"orphan"}'))),
@@ -69,7 +88,7 @@ def articles(spark, root):
     def half(parity: int) -> Column:
         return F.array_join(F.filter("items", lambda x, i: i % 2 == parity), ",")
 
-    head = _pair(F.col("lang"), F.col("source"))
+    head = _pair(_quoted(F.col("lang")), _quoted(F.col("source")))
     content = F.concat(
         F.lit('{"date":"2026-01-01","title":'), head, F.lit(',"summary":'), head, F.lit(',"notes":'), head,
         F.lit(',"sections":[{"id":"insights","groups":[{"id":'), _quoted(F.col("source")), F.lit(',"title":'), head,

@@ -160,3 +160,11 @@ def test_split_half_is_the_parity_of_the_first_sha1_byte(spark):
 
     want = ["left" if hashlib.sha1(i.encode()).digest()[0] % 2 == 0 else "right" for i in ids]
     assert column(spark, ids, split_half) == want
+
+
+def test_strip_takes_all_unicode_whitespace_from_the_ends_only(spark):
+    codes = spark.range(1, 0x10000).filter("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c"))
+    text = F.concat("c", "c", F.lit("a"), "c", F.lit("b\u00e4"), "c", F.lit("\n"))
+    both = codes.select("c", urls.strip(text).alias("got"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("want"))
+    assert both.filter("got <> want").collect() == []
+    assert "regexp" not in both.select("got")._jdf.queryExecution().optimizedPlan().toString()

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,46 @@ def test_references(spark, changes, problems, orphans):
     assert row.decision == ("fail" if problems else "pass")
 
 
+ODD = [
+    {"id": "insights", "groups": [7, None, {"id": "g", "title": "g", "items": [{**ITEM, "prose": bi("p")}, "x", None, 3]}, {"id": 4}]},
+    "no section", None, {"groups": "none", "items": {"a": 1}}, {"id": "github", "items": [None, {**ITEM, "fields": [3, {"value": "v"}]}]},
+]
+
+
+def test_sections_of_odd_shapes_are_read_piece_by_piece(spark):
+    got = contract.flatten_items(load(spark, article(sections=ODD))).orderBy("section_pos", "item_pos").collect()
+    assert [(r.section_pos, r.location, r.group_id, r.variant, r.title_zh) for r in got] == [
+        (0, "insights/g[1]", "g", "prose", "beta"), (2, "github[1]", None, "fields", "beta"),
+    ]
+    assert got[1].issues == ["fields entry is not an object", "field value not bilingual", "fields are not bilingual"]
+    gate = contract.structure_gate(load(spark, article(sections=ODD))).first()
+    # One group without a title and one section without an id, which is no declared one.
+    assert (gate.n_items, gate.n_insights, gate.n_github, gate.unknown_sections, gate.item_issues, gate.failures) == (2, 1, 1, 1, 3, 4)
+
+
+def test_nulls_in_lists_of_whole_sections_count_as_nothing(spark):
+    sections = [None, {"id": "insights", "groups": [None, {"id": "g", "title": bi("g"), "items": [None, {**ITEM, "prose": bi("p")}]}, {"id": "h", "title": bi("h")}]}, {"id": "github"}]
+    got = contract.flatten_items(load(spark, article(sections=sections))).collect()
+    assert [(r.section_pos, r.location) for r in got] == [(0, "insights/g[1]")]
+    gate = contract.structure_gate(load(spark, article(sections=sections, references=[None, {"id": [1]}]))).first()
+    assert (gate.n_items, gate.n_refs, gate.unknown_sections, gate.failures, gate.decision) == (1, 1, 0, 0, "pass")
+
+
+def test_an_article_without_items_has_a_decision(spark):
+    rows = load(spark, article(sections=[]), article(sections=[{"id": "insights"}, {"id": "github"}]), "{broken", article())
+    got = {r.day[-1]: (r.decision, r.failures, r.n_items, r.unknown_items) for r in contract.structure_gate(rows).collect()}
+    assert got == {"1": ("fail", 1, 0, 0), "2": ("fail", 1, 0, 0), "3": ("fail", None, 0, 0), "4": ("pass", 0, 2, 0)}
+    told = {r.day[-1]: (r.candidates, r.entries, r.decision) for r in contract.brief_gate(rows, profile={"interest": ("alpha",)}).collect()}
+    assert told == {"1": (0, 0, "fail"), "2": (0, 0, "fail"), "3": (0, 0, "fail"), "4": (2, 1, "pass")}
+
+
+def test_structure_parses_once_and_no_section_travels_with_its_items(spark):
+    plan = contract.structure_gate(load(spark, article()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 1
+    beside_items = re.findall(r"\[([^\[\]]*)\], (?:true|false), \[item_pos", plan)
+    assert [{c.strip().split("#")[0] for c in columns.split(",")} & {"s", "sections", "doc", "content"} for columns in beside_items] == [set()]
+
+
 def test_duplicates_brief_depth(spark):
     doc = with_item({"title": bi("Alpha: one!"), "prose": bi("z"), "sources": [2]})
     inputs = {"articles": load(spark, doc, article())}
