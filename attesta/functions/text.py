@@ -97,14 +97,26 @@ def max_blank_run(text: Column) -> Column:
     return F.when(unix == "", F.lit(0)).otherwise(longest)
 
 
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def holds_any(lower: Column, words: Sequence[str]) -> Column:
+    """Does a lowered() text contain one of the words? As a column of its own it is lowered once for all words."""
+    return reduce(lambda a, b: a | b, (lower.contains(word.lower()) for word in words), F.lit(False))
+
+
+def held(lower: Column, words: Sequence[str]) -> Column:
+    """The given words that a lowered() text contains, in their order."""
+    if not words:
+        return F.array().cast("array<string>")
+    return F.array_compact(F.array(*[F.when(lower.contains(word.lower()), F.lit(word)) for word in words]))
+
+
 def contains_any(text: Column, words: Sequence[str]) -> Column:
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    return reduce(lambda a, b: a | b, (lowered.contains(word.lower()) for word in words), F.lit(False))
+    return holds_any(lowered(text), words)
 
 
 def contained(text: Column, words: Sequence[str]) -> Column:
     """The given words that a text contains, in their order."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
-    if not words:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(lowered.contains(word.lower()), F.lit(word)) for word in words]))
+    return held(lowered(text), words)

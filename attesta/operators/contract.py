@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.functions.text import contained, contains_any
+from attesta.functions.text import contains_any, held, holds_any, lowered
 from attesta.functions.urls import strip
 from attesta.functions.vocabulary import ARTICLE_KEYS, ITEM_KEYS, SECTION_CAPS
 from attesta.session import materialise
@@ -450,12 +450,33 @@ def depth_gate(articles: DataFrame, min_ratio: float = 0.6, profile: Profile | N
     return judged.withColumns(_undecided(F.col("broken"), F.lit("pass"))).drop("broken")
 
 
-def brief_items(articles: DataFrame) -> DataFrame:
-    """What a brief looks at in each item, written once: parsing is the dear part."""
+def _brief_texts(items: DataFrame) -> DataFrame:
+    """What a brief looks at in each of flatten_items()."""
     said = F.concat_ws(" ", "title_zh", "title_en", "body_zh", "body_en")
     body = F.when(F.col("body_zh") != "", F.col("body_zh")).otherwise(F.col("body_en"))
-    columns = ["day", "section_pos", "item_pos", "location", "body_zh"]
-    return materialise(flatten_items(articles).select(*columns, body.alias("body"), F.lower(said).alias("said")), "items")
+    return items.withColumns({"body": body, "said": said})
+
+
+def _brief_marks(texts: DataFrame, profile: Profile) -> DataFrame:
+    """What the profile says of each item, in place of its texts."""
+    marked = texts.withColumns({"said": lowered(F.col("said")), "body": lowered(F.col("body")), "bare": F.col("body_zh") == ""}).withColumns({
+        "hits": held(F.col("said"), profile.get("interest", ())), "out": holds_any(F.col("said"), profile.get("exclude", ())),
+        "states_limit": holds_any(F.col("body"), profile.get("limit", ())),
+    })
+    return marked.withColumns({"why": F.array_join("hits", ", "), "interest": F.size("hits")}).drop("hits", "body_zh", "body", "said")
+
+
+def _first_marks(marks: DataFrame, profile: Profile, limit: int) -> DataFrame:
+    from attesta.operators.ranking import top_k
+
+    fit = marks.filter(~F.col("out") & ((F.col("interest") > 0) if profile.get("interest", ()) else F.lit(True)))
+    return top_k(fit, limit, ["day"], [F.desc("interest"), F.col("section_pos"), F.col("item_pos")], "place")
+
+
+def brief_items(articles: DataFrame) -> DataFrame:
+    """What a brief looks at in each item, written once: parsing is the dear part."""
+    columns = ["day", "section_pos", "item_pos", "location", "body_zh", "body", F.lower("said").alias("said")]
+    return materialise(_brief_texts(flatten_items(articles)).select(*columns), "items")
 
 
 def select_brief(items: DataFrame, profile: Profile, limit: int = 5) -> DataFrame:
@@ -464,36 +485,33 @@ def select_brief(items: DataFrame, profile: Profile, limit: int = 5) -> DataFram
     Of brief_items(). Those with a word of `exclude` are out, and so are those without a word of `interest`, if the
     profile has any. Those with most interest words come first, then in document order; `why` lists the words.
     """
-    from attesta.operators.ranking import top_k
-
-    wanted = profile.get("interest", ())
-    seen = items.withColumn("hits", contained(F.col("said"), wanted))
-    fit = seen.filter(~contains_any(F.col("said"), profile.get("exclude", ())) & ((F.size("hits") > 0) if wanted else F.lit(True)))
-    told = fit.select(
-        "day", "section_pos", "item_pos", "location", (F.col("body_zh") == "").alias("bare"), F.array_join("hits", ", ").alias("why"),
-        F.size("hits").alias("interest"), contains_any(F.col("body"), profile.get("limit", ())).alias("states_limit"),
-    )
-    return top_k(told, limit, ["day"], [F.desc("interest"), F.col("section_pos"), F.col("item_pos")], "place").drop("section_pos", "item_pos")
+    chosen = _first_marks(_brief_marks(items, profile), profile, limit)
+    return chosen.select("day", "location", "bare", "why", "interest", "states_limit", "place")
 
 
 def brief_gate(articles: DataFrame, limit: int = 5, profile: Profile | None = None) -> DataFrame:
     """Does the profile find a brief in each article, and has every entry a Chinese body and a reason?
 
     Without a profile the gate cannot verify. An article in which nothing is selected fails, as does
-    one that cannot be read.
+    one that cannot be read. An article is parsed once; of its items only the marks are written.
     """
-    parsed = _readable(articles)
     counts = ["entries", "candidates", "excluded", "without_body", "without_reason", "without_limit"]
     if profile is None:
-        return parsed.withColumns({c: F.lit(0) for c in counts}).withColumns(_undecided(F.col("broken"), None)).drop("broken")
-    items = brief_items(articles)
-    chosen = select_brief(items, profile, limit).groupBy("day").agg(
+        return _readable(articles).withColumns({c: F.lit(0) for c in counts}).withColumns(_undecided(F.col("broken"), None)).drop("broken")
+    doc = F.col("doc")
+    parsed = parse_articles(articles).select("day", doc.isNull().alias("broken"), _sections(doc).alias("sections"))
+    texts = _brief_texts(_read_items(_entries(parsed, every=True)))
+    marks = _brief_marks(texts.select("day", "broken", "section_pos", "item_pos", "body_zh", "body", "said"), profile)
+    marks = materialise(marks, "marks")
+    items = marks.filter("item_pos is not null")
+    chosen = _first_marks(items, profile, limit).groupBy("day").agg(
         F.count(F.lit(1)).cast("int").alias("entries"), F.count_if("bare").cast("int").alias("without_body"),
         F.count_if(F.col("why") == "").cast("int").alias("without_reason"), F.count_if(~F.col("states_limit")).cast("int").alias("without_limit"),
     )
-    out = contains_any(F.col("said"), profile.get("exclude", ()))
-    every = items.groupBy("day").agg(F.count(F.lit(1)).cast("int").alias("candidates"), F.count_if(out).cast("int").alias("excluded"))
-    joined = parsed.join(every, "day", "left").join(chosen, "day", "left").fillna(0, counts)
+    every = marks.groupBy("day", "broken").agg(
+        F.count("item_pos").cast("int").alias("candidates"), F.count_if(F.col("item_pos").isNotNull() & F.col("out")).cast("int").alias("excluded")
+    )
+    joined = every.join(chosen, "day", "left").fillna(0, counts)
     bad = (F.col("entries") == 0) | (F.col("without_body") > 0) | (F.col("without_reason") > 0)
     return joined.withColumns(_undecided(F.col("broken"), F.when(bad, F.lit("fail")).otherwise(F.lit("pass")))).select("day", *counts, "decision", "failure_class")
 

@@ -136,6 +136,15 @@ def test_structure_parses_once_and_no_section_travels_with_its_items(spark):
     assert [{c.strip().split("#")[0] for c in columns.split(",")} & {"s", "sections", "doc", "content"} for columns in beside_items] == [set()]
 
 
+def test_brief_writes_marks_and_no_texts(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(contract, "materialise", lambda df, name: written.append(df) or df)
+    contract.brief_gate(load(spark, article()), profile=PROFILE)
+    assert [set(df.columns) for df in written] == [{"day", "broken", "section_pos", "item_pos", "bare", "out", "states_limit", "why", "interest"}]
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parseJson(") == 1
+
+
 def test_duplicates_brief_depth(spark):
     doc = with_item({"title": bi("Alpha: one!"), "prose": bi("z"), "sources": [2]})
     inputs = {"articles": load(spark, doc, article())}
