@@ -8,9 +8,10 @@ How quadratic work is avoided, with nothing dropped, capped or sampled:
 * entries with the same normalised title always score 0.95, so they are handled as groups
   (an aggregate), never as pairs;
 * other pairs at or above the 0.60 line must pass one of three overlap thresholds. Entries with the
-  same tokens are one set; sets meet on their rarest tokens only (prefix filter), with filters on length
-  and on how many they share there, before whole sets and then entries are fetched and scored exactly;
-* carriers of a frequent token meet in cells by length, large cells in blocks, so no task has them all.
+  same tokens are one set; sets are dealt out in blocks by size, a set passes by the blocks of sizes it may
+  overlap, and in a task it meets them on its rarest tokens only (overlap). Pairs leave the task when their
+  whole sets overlap enough, so what is shuffled is sets and true pairs, never pairs that share a token;
+* titles and whole token sets are compared by digests, texts are fetched for entries of found pairs only.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 
 from attesta.functions.text import jaccard, normalise_title, title_band, tokens
 from attesta.functions.vocabulary import BORDERLINE_SCORE, DUPLICATE_SCORE
-from attesta.operators.skew import BLOCK, attach, blocked
+from attesta.operators.overlap import overlapping
+from attesta.operators.skew import few
 from attesta.session import materialise, written
 
 _TITLE_OVERLAP = 0.5    # lowest overlap that scores 0.62 by title alone
 _SHARED_OVERLAP = 0.3   # lowest overlap that matters when a cited URL is shared
 _BODY_OVERLAP = 0.6
-#: Carriers from which a token's sets meet in cells by length.
-HOT_TOKEN = 256
+#: Keys from which a node's sets are dealt out in blocks, keys of a block, and parts into which sets of one size can be cut.
+HOT_NODE, BLOCK_KEYS, SLICES = 1_000_000, 4_000_000, 1_024
 
 
 def entry_classes(candidates: DataFrame) -> DataFrame:
@@ -37,14 +39,19 @@ def entry_classes(candidates: DataFrame) -> DataFrame:
     urls = F.array_sort(F.array_distinct(F.coalesce("urls", F.array().cast("array<string>"))))
     identity = F.sha2(F.concat_ws("\x1f", "section", *text, F.array_join(urls, "\x1e")), 256)
     columns = ["section", "location", "title_zh", "title_en", "body_zh", "body_en"]
-    # Numbers are folded, texts are fetched for the first copies only.
+    node = ["article", "rank"]
+    # Numbers are folded; texts stay where they are unless very many entries are copies.
     folded = (
-        candidates.select("article", "rank", identity.alias("identity"))
+        candidates.select(*node, F.unhex(identity).alias("identity"))
         .groupBy("article", "identity")
         .agg(F.count(F.lit(1)).alias("copies"), F.min("rank").alias("rank"))
-        .drop("identity")
+        .select(*node, "copies")
     )
-    first = candidates.select("article", "rank", *columns, urls.alias("urls")).join(folded, ["article", "rank"])
+    placed = candidates.select(*node, F.lit(None).cast("long").alias("copies")).unionByName(folded).dropna(subset=node)
+    counts = placed.groupBy(*node).agg(F.sort_array(F.collect_list("copies")).alias("copies")).filter("copies <> array(1L)")
+    copied = few(materialise(counts, "copied"))
+    held = candidates.select(*node, *columns, urls.alias("urls")).dropna(subset=node).join(copied, node, "left")
+    first = held.withColumn("copies", F.explode(F.coalesce("copies", F.expr("array(1L)"))))
     return first.select(
         "article",
         "rank",
@@ -63,12 +70,18 @@ def entry_classes(candidates: DataFrame) -> DataFrame:
 
 def plan(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entry classes, class pairs), each written once: every later step reads both."""
-    classes = materialise(entry_classes(candidates), "entries")
-    return classes, written(lambda: class_pairs(classes), classes.sparkSession, "pairs")
+    spark = candidates.sparkSession
+    classes = written(lambda: entry_classes(candidates), spark, "entries")
+    return classes, written(lambda: class_pairs(classes), spark, "pairs")
+
+
+def short_digest(text: Column) -> Column:
+    """The first 16 bytes of the SHA-256 digest."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
 def _token_sets(classes: DataFrame) -> DataFrame:
-    """(article, rank, scope, needed, keys, digest, titles): every set an overlap rule looks at, with the
+    """(article, rank, norm_zh, norm_en, scope, needed, tokens, keys, digest): every set an overlap rule looks at, with the
     lowest overlap that matters to it. Titles are also scoped by each cited URL.
 
     A key is a hash of article, scope and token, one for each token. Equal keys of unlike tokens only add to
@@ -76,7 +89,7 @@ def _token_sets(classes: DataFrame) -> DataFrame:
     """
 
     def entry(scope: Column, needed: float, tokens_: Column) -> Column:
-        return F.struct(scope.alias("scope"), F.lit(needed).alias("needed"), F.array_sort(tokens_).alias("tokens"))
+        return F.struct(scope.alias("scope"), F.lit(needed).alias("needed"), tokens_.alias("tokens"))
 
     plain = [
         entry(F.lit(f"{stem}-{lang}"), needed, F.col(f"{stem}_{lang}"))
@@ -88,79 +101,75 @@ def _token_sets(classes: DataFrame) -> DataFrame:
         F.transform("urls", lambda url: entry(F.concat(F.lit("en "), url), _SHARED_OVERLAP, F.col("title_en"))),
     ]
     spread = classes.select("article", "rank", "norm_zh", "norm_en", F.explode(F.concat(F.array(*plain), *linked)).alias("s"))
-    digest = F.unhex(F.sha2(F.array_join("s.tokens", " "), 256))
+    digest = short_digest(F.array_join(F.sort_array("s.tokens"), " "))
     keys = F.transform("s.tokens", lambda token: F.hash("article", "s.scope", token))
-    return spread.filter("size(s.tokens) > 0").select("article", "rank", "norm_zh", "norm_en", "s.scope", "s.needed", keys.alias("keys"), digest.alias("digest"))
+    return spread.filter("size(s.tokens) > 0 and s.scope is not null").select("article", "rank", "norm_zh", "norm_en", "s.scope", "s.needed", "s.tokens", keys.alias("keys"), digest.alias("digest"))
+
+
+def _node() -> Column:
+    """A number for article and scope, whose sets are compared."""
+    return F.xxhash64("article", "scope")
 
 
-def _rarest(sets: DataFrame) -> DataFrame:
-    """Each set's prefix of rarest keys that other sets have too: (id, needed, size, place, df, key).
+def _blocks(sets: DataFrame, hot: int, block: int) -> tuple[DataFrame, int]:
+    """(node, needed, blocks) of the nodes with more than `hot` keys, and how many tasks the other nodes are packed into.
 
-    Two sets with Jaccard >= t share a token among their first size - ceil(t * size) + 1 tokens
-    in any common order; ordering by frequency inside article and scope makes those tokens rare ones.
+    A block is (size, slice, lowest), where it begins in the order of sizes and slices, and its lowest size.
     """
-    spread = sets.select("id", "needed", F.size("keys").alias("size"), F.explode("keys").alias("key"))
-    frequency = materialise(spread.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "frequency")
-    counted = attach(spread, ["key"], frequency, "df")
-    placed = counted.withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "key")) - 1)
-    return placed.filter((F.col("place") <= F.col("size") - _least(F.col("size"))) & (F.col("df") > 1))
+    key = ["node", "needed"]
+    weights = materialise(sets.groupBy(*key).agg(F.sum("size").alias("weight")), "weights")
+    large = weights.filter(F.col("weight") > hot).select(*key)
+    rest = weights.filter(F.col("weight") <= hot).agg(F.sum("weight")).first()[0] or 0
+    cells = sets.join(F.broadcast(large), key).groupBy(*key, "size", _slice()).agg(F.sum("size").alias("weight"))
+    before = F.sum("weight").over(W.partitionBy(*key).orderBy("size", "slice")) - F.col("weight")
+    numbered = cells.withColumn("no", F.floor(before / block)).groupBy(*key, "no").agg(F.min(F.struct("size", "slice")).alias("start"))
+    blocks = numbered.groupBy(*key).agg(F.array_sort(F.collect_list("start")).alias("blocks"))
+    return materialise(blocks, "blocks"), int(rest // block) + 1
 
 
-def _least(size: Column) -> Column:
-    """Tokens a set of `size` has to share with one that is no larger."""
-    return F.ceil(size * F.col("needed") - 1e-9)
+def _sized() -> list[Column | str]:
+    return [_node().alias("node"), "needed", "digest", F.size("tokens").alias("size")]
 
 
-def _band(size: Column) -> Column:
-    """Lengths in bands: up to eight each its own, then a quarter wider each."""
-    return F.when(size <= 8, size).otherwise(F.floor(F.log(size / 8) / F.log(F.lit(1.25)) + 1e-9) + 8).cast("int")
+def _slice() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(SLICES)).cast("int").alias("slice")
 
 
-def _meeting_sets(sets: DataFrame, hot: int = HOT_TOKEN, block: int = BLOCK) -> DataFrame:
-    """Distinct (small, large) ids of different sets that can still reach their overlap.
+def _meeting_sets(sets: DataFrame, sized: DataFrame | None = None, hot: int = HOT_NODE, block: int = BLOCK_KEYS) -> DataFrame:
+    """Distinct (node, small, large) digests of different sets whose overlap can be enough by their whole keys.
 
-    Of the tokens that two sets must share, all but `enough` may lie behind the prefix of the larger one and the
-    part of the smaller one that is cut to match; a pair with fewer in the prefixes goes before any set is fetched.
-    The smaller set of a pair is met under its own length; the larger one asks for the lengths it
-    may meet. For a token of more than `hot` carriers lengths are bands, which are cells of their own: a
-    cell one side of which is empty goes before the join, and a large one is cut into blocks of rows, so
-    that all carriers of a token never meet in one task.
+    `sized` has node, needed, digest and size of the same sets, if that is at hand.
+
+    The sets of an article and scope stand in the order of their sizes. Small nodes are packed, several to a
+    task. Those of more than `hot` keys are cut into blocks of about `block` keys. A task holds one block, and the sets
+    of earlier blocks that are not too small for its first set pass by it, so its memory doesn't grow with the node.
     """
-    rare = materialise(_rarest(sets).withColumn("least", _least(F.col("size"))), "rare")
-    frequent = F.col("df") > hot
-    small = rare.withColumn("cell", F.when(frequent, _band(F.col("size"))).otherwise(-1))
-    cells = F.sequence(_band(F.col("least")), _band(F.col("size")))
-    large = rare.withColumn("cell", F.explode(F.when(frequent, cells).otherwise(F.array(F.lit(-1)))))
-    key = ["key", "cell"]
-    small_hot, large_hot = materialise(small.filter(frequent), "small"), materialise(large.filter(frequent), "large")
-    sides = small_hot.select(*key, F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(large_hot.select(*key, F.lit(0).alias("s"), F.lit(1).alias("l")))
-    counts = materialise(sides.groupBy(*key).agg(F.sum("s").alias("n_small"), F.sum("l").alias("n_large")).filter("n_small > 0 and n_large > 0"), "cells")
-    no_block = {"i": F.lit(0), "j": F.lit(0)}
-    a_columns = [*key, "i", "j", F.col("id").alias("small"), F.col("size").alias("size_a"), "place"]
-    b_columns = [*key, "i", "j", F.col("id").alias("large"), F.col("size").alias("size_b"), "least", "needed"]
-    a = blocked(attach(small_hot, key, counts, "n_small"), F.col("id"), F.col("n_small"), F.col("n_large"), "i", "j", block).select(a_columns)
-    a = a.unionByName(small.filter(~frequent).withColumns(no_block).select(a_columns))
-    b = blocked(attach(large_hot, key, counts, "n_large"), F.col("id"), F.col("n_large"), F.col("n_small"), "j", "i", block).select(b_columns)
-    b = b.unionByName(large.filter(~frequent).withColumns(no_block).select(b_columns))
-    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("small") < F.col("large")))
-    able = (F.col("size_a") >= F.col("least")) & (F.col("place") <= F.col("size_a") - F.col("least"))
-    shared = F.ceil((F.col("size_a") + F.col("size_b")) * F.col("needed") / (F.col("needed") + 1) - 1e-9)
-    met = a.join(b, [*key, "i", "j"]).filter(ordered & able).select("small", "large", (shared - F.col("least") + 1).cast("int").alias("enough"))
-    return met.groupBy("small", "large").agg(F.count(F.lit(1)).alias("n"), F.min("enough").alias("enough")).filter("n >= enough").select("small", "large")
-
-
-def _similar_sets(sets: DataFrame, **limits: int) -> DataFrame:
-    """(article, scope, small, large) digests of different sets whose overlap can be enough by their whole keys."""
-    met = written(lambda: _meeting_sets(sets, **limits), sets.sparkSession, "met")
-    node = ["article", "scope"]
-    a = sets.select(*node, F.col("id").alias("small"), F.col("digest").alias("digest_a"), F.col("keys").alias("keys_a"))
-    b = sets.select(*[F.col(c).alias(f"{c}_b") for c in node], F.col("id").alias("large"), F.col("digest").alias("digest_b"), F.col("keys").alias("keys_b"), "needed")
-    joined = met.join(a, "small").join(b, "large").filter((F.col("article") == F.col("article_b")) & (F.col("scope") == F.col("scope_b")))
-    # Tokens of one set with the same key count as shared.
-    shared = F.size(F.array_intersect("keys_a", "keys_b")) + F.size("keys_a") - F.size(F.array_distinct("keys_a"))
-    measured = joined.select(*node, "digest_a", "digest_b", "needed", (F.size("keys_a") + F.size("keys_b")).alias("n"), shared.alias("shared"))
-    similar = measured.filter("shared >= (needed - 1e-9) * (n - shared)")
-    return similar.select(*node, F.col("digest_a").alias("small"), F.col("digest_b").alias("large"))
+    blocks, packs = _blocks(sets.select(*_sized()) if sized is None else sized, hot, block)
+    placed = sets.select(*_sized(), "keys").withColumn("slice", _slice()).join(F.broadcast(blocks), ["node", "needed"], "left")
+    own = F.size(F.filter("blocks", lambda b: b <= F.struct("size", "slice"))) - 1
+    last = F.size("blocks") - 1
+    reached = F.filter(F.sequence("own", last), lambda j: (j == F.col("own")) | (F.col("blocks")[j]["size"] * (F.col("needed") - 1e-9) <= F.col("size")))
+    packed = F.col("blocks").isNull()
+    dealt = placed.withColumn("own", F.when(packed, -1).otherwise(own)).select(
+        "needed",
+        F.when(packed, F.pmod("node", F.lit(packs))).otherwise(F.col("node")).alias("unit"),
+        F.explode(F.when(packed, F.array(F.lit(-1))).otherwise(reached)).alias("part"),
+        "own", "size", "node", "digest", "keys",
+    )
+    task = ["needed", "unit", "part"]
+    columns = [*task, (F.col("part") != F.col("own")).alias("passes"), "size", "node", "digest", F.sort_array("keys").alias("keys")]
+    ordered = dealt.select(*columns).repartition(*task).sortWithinPartitions(*task, "passes", "size", "node", "digest")
+    return ordered.mapInArrow(overlapping, "node long, small binary, large binary")
+
+
+def _similar_sets(sets: DataFrame, sized: DataFrame | None = None, **limits: int) -> DataFrame:
+    """_meeting_sets, written: each later step reads them."""
+    return written(lambda: _meeting_sets(sets, sized, **limits), sets.sparkSession, "similar")
+
+
+def _title_key(norm: str) -> Column:
+    """A digest in place of a title; an empty title stays empty."""
+    return F.when(F.col(norm) == "", F.lit(bytearray())).otherwise(short_digest(F.col(norm))).alias(norm)
 
 
 def _meeting_pairs(classes: DataFrame, **limits: int) -> DataFrame:
@@ -169,33 +178,41 @@ def _meeting_pairs(classes: DataFrame, **limits: int) -> DataFrame:
     Entries with the same tokens are one set, which is compared once. Similar sets, and the entries of one
     set, are told apart by their titles before they are listed, so entries of one title never meet.
     """
-    node, titles = ["article", "scope", "digest"], ["norm_zh", "norm_en"]
+    node, titles = ["article", "node", "digest"], ["norm_zh", "norm_en"]
     owned = _token_sets(classes)
-    members = materialise(owned.select(*node, *titles, "rank"), "members")
-    folded = owned.groupBy(*node).agg(F.first("keys").alias("keys"), F.first("needed").alias("needed"), F.count(F.lit(1)).alias("members"))
-    sets = materialise(folded.withColumn("id", F.monotonically_increasing_id()), "sets")
-    own = sets.filter("members > 1").select("article", "scope", F.col("digest").alias("small"), F.col("digest").alias("large"))
-    similar = _similar_sets(sets, **limits).unionByName(own)
+    every = materialise(owned.select("article", *_sized(), *[_title_key(t) for t in titles], "rank"), "sized")
+    similar = _similar_sets(owned, sized=every, **limits)
+    title = F.struct(*titles)
+    untitled = (F.length("last.norm_zh") == 0) & (F.length("last.norm_en") == 0)
+    shared = every.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.min(title).alias("first"), F.max(title).alias("last"))
+    own = materialise(shared.filter((F.col("n") > 1) & ((F.col("first") != F.col("last")) | untitled)).select(*node), "own")
+    # Of most sets no more is needed than that they are alone.
+    ends = similar.select("node", F.explode(F.array("small", "large")).alias("digest"))
+    wanted = few(materialise(ends.unionByName(own.select("node", "digest")).distinct(), "wanted"))
+    members = materialise(every.join(wanted, ["node", "digest"], "left_semi").select(*node, *titles, "rank"), "members")
     groups = members.groupBy(*node, *titles).agg(F.min("rank").alias("first"))
     a = groups.withColumnsRenamed({"digest": "small", **{c: f"{c}_a" for c in (*titles, "first")}})
     b = groups.withColumnsRenamed({"digest": "large", **{c: f"{c}_b" for c in (*titles, "first")}})
-    same = [(F.col(f"{t}_a") == F.col(f"{t}_b")) & (F.col(f"{t}_a") != "") for t in titles]
+    same = [(F.col(f"{t}_a") == F.col(f"{t}_b")) & (F.length(f"{t}_a") > 0) for t in titles]
     once = (F.col("small") != F.col("large")) | (F.col("first_a") <= F.col("first_b"))
-    apart = similar.join(a, ["article", "scope", "small"]).join(b, ["article", "scope", "large"]).filter(once & ~same[0] & ~same[1])
+    met = similar.unionByName(own.select("node", F.col("digest").alias("small"), F.col("digest").alias("large")))
+    apart = met.join(a, ["node", "small"]).join(b, ["article", "node", "large"]).filter(once & ~same[0] & ~same[1])
     entries = apart
     for side, digest in (("a", "small"), ("b", "large")):
         one = members.withColumnsRenamed({"digest": digest, "rank": f"rank_{side}", **{t: f"{t}_{side}" for t in titles}})
-        entries = entries.join(one, ["article", "scope", digest, *[f"{t}_{side}" for t in titles]])
+        entries = entries.join(one, ["article", "node", digest, *[f"{t}_{side}" for t in titles]])
     pair = entries.filter("rank_a <> rank_b").select("article", F.least("rank_a", "rank_b").alias("rank_a"), F.greatest("rank_a", "rank_b").alias("rank_b"))
     return pair.distinct()
 
 
-def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
-    """Exact score of each pair by the fixed rules for titles, cited URLs and bodies.
+def _linked_pairs(meeting: DataFrame, classes: DataFrame, bodies: bool) -> DataFrame:
+    """Pairs with their score by titles and cited URLs (`linked`) and, if asked for, the overlap of their bodies.
 
     The steps are separate projections, so an overlap is computed once and not once per rule.
     """
-    a, b, m = classes.alias("a"), classes.alias("b"), meeting.alias("m")
+    ends = meeting.select("article", F.explode(F.array("rank_a", "rank_b")).alias("rank")).distinct()
+    used = classes.join(few(materialise(ends, "ends")), ["article", "rank"], "left_semi")
+    a, b, m = used.alias("a"), used.alias("b"), meeting.alias("m")
     joined = m.join(a, (F.col("m.article") == F.col("a.article")) & (F.col("m.rank_a") == F.col("a.rank"))).join(
         b, (F.col("m.article") == F.col("b.article")) & (F.col("m.rank_b") == F.col("b.rank"))
     )
@@ -208,6 +225,7 @@ def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
         shared = jaccard(F.col(f"a.title_{lang}"), F.col(f"b.title_{lang}"))
         return F.when(untitled, F.lit(0.0)).when(same(lang), F.lit(1.0)).otherwise(shared)
 
+    body = [F.greatest(*[jaccard(F.col(f"a.body_{lang}"), F.col(f"b.body_{lang}")) for lang in ("zh", "en")]).alias("body")] if bodies else []
     measured = joined.select(
         "m.article", "m.rank_a", "m.rank_b",
         *[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("location", "copies")],
@@ -215,7 +233,7 @@ def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
         F.arrays_overlap("a.urls", "b.urls").alias("shares"),
         *[same(lang).alias(f"same_{lang}") for lang in ("zh", "en")],
         *[overlap(lang).alias(f"overlap_{lang}") for lang in ("zh", "en")],
-        F.greatest(*[jaccard(F.col(f"a.body_{lang}"), F.col(f"b.body_{lang}")) for lang in ("zh", "en")]).alias("body"),
+        *body,
     )
 
     def title(lang: str) -> Column:
@@ -228,10 +246,22 @@ def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
         .when(F.col("shares") & (F.col("title") < BORDERLINE_SCORE) & (F.col("overlap") >= _SHARED_OVERLAP), F.lit(0.66))
         .otherwise(F.col("title"))
     )
-    score = F.when((F.col("linked") < BORDERLINE_SCORE) & (F.col("body") >= _BODY_OVERLAP), F.lit(0.62)).otherwise(F.col("linked"))
-    return titled.withColumn("linked", linked).withColumn("score", score).select(
-        "article", "rank_a", "rank_b", "location_a", "location_b", "copies_a", "copies_b", "score"
+    return titled.withColumn("linked", linked).drop("together", "shares", "same_zh", "same_en", "overlap_zh", "overlap_en", "title", "overlap")
+
+
+def score_pairs(meeting: DataFrame, classes: DataFrame) -> DataFrame:
+    """Exact score of each pair by the fixed rules for titles, cited URLs and bodies.
+
+    Bodies are fetched only for pairs that are below the grey line without them.
+    """
+    linked = materialise(_linked_pairs(meeting, classes, False), "linked")
+    below = F.col("linked") < BORDERLINE_SCORE
+    rest = materialise(linked.filter(below).select("article", "rank_a", "rank_b").distinct(), "below")
+    by_body = _linked_pairs(rest, classes, True).filter(below)
+    scored = linked.filter(~below).withColumn("score", F.col("linked")).unionByName(
+        by_body.withColumn("score", F.when(F.col("body") >= _BODY_OVERLAP, F.lit(0.62)).otherwise(F.col("linked"))).drop("body")
     )
+    return scored.select("article", "rank_a", "rank_b", "location_a", "location_b", "copies_a", "copies_b", "score")
 
 
 def band(score: Column) -> Column:
@@ -269,12 +299,10 @@ def _titled(classes: DataFrame) -> DataFrame:
     )
 
 
-def title_groups(classes: DataFrame) -> DataFrame:
-    """Entries that share a normalised title: all their pairs score 0.95."""
+def _grouped(titled: DataFrame, title: str) -> DataFrame:
     members = F.sum("copies")
     return (
-        _titled(classes)
-        .groupBy("article", "lang", "norm")
+        titled.groupBy("article", "lang", title)
         .agg(
             members.alias("members"),
             F.min("rank").alias("first_rank"),
@@ -285,6 +313,16 @@ def title_groups(classes: DataFrame) -> DataFrame:
     )
 
 
+def title_groups(classes: DataFrame) -> DataFrame:
+    """Entries that share a normalised title: all their pairs score 0.95."""
+    return _grouped(_titled(classes), "norm")
+
+
+def _digest_groups(classes: DataFrame) -> DataFrame:
+    """title_groups() by the digests of titles (`title`), which are shorter."""
+    return _grouped(_titled(classes).withColumn("title", short_digest(F.col("norm"))).drop("norm"), "title")
+
+
 def resolve(candidates: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Entries dropped without a judge: (article, rank, location, kept, score).
 
@@ -292,18 +330,18 @@ def resolve(candidates: DataFrame, classes: DataFrame, pairs: DataFrame) -> Data
     the earliest partner, names the entry kept. A same-title partner (0.95) always outranks a
     shared-source partner (0.90), and only the first copy of a class can lack the former.
     """
-    first = title_groups(classes).select(
-        "article", "lang", "norm", F.struct("first_rank", "first_location").alias("first")
+    first = _digest_groups(classes).select(
+        "article", "lang", "title", F.struct("first_rank", "first_location").alias("first")
     )
     norms = F.array(
         F.struct(F.lit("zh").alias("lang"), normalise_title(F.col("title_zh")).alias("norm")),
         F.struct(F.lit("en").alias("lang"), normalise_title(F.col("title_en")).alias("norm")),
     )
-    entries = candidates.select("article", "rank", "location", F.explode(norms).alias("t")).select(
-        "article", "rank", "location", "t.lang", "t.norm"
+    entries = candidates.select("article", "rank", "location", F.explode(norms).alias("t")).filter("t.norm <> ''").select(
+        "article", "rank", "location", "t.lang", short_digest(F.col("t.norm")).alias("title")
     )
     by_title = (
-        entries.join(first, ["article", "lang", "norm"])
+        entries.join(first, ["article", "lang", "title"])
         .filter("rank > first.first_rank")
         .groupBy("article", "rank", "location")
         .agg(F.min("first")["first_location"].alias("kept"))
@@ -381,10 +419,10 @@ def duplicate_gate(
     """
     choose2 = "n * (n - 1) div 2"
     items = candidates.groupBy("article").agg(F.count(F.lit(1)).alias("items"))
-    by_lang = title_groups(classes).groupBy("article").agg(F.sum("pairs").alias("same_title"))
+    by_lang = _digest_groups(classes).groupBy("article").agg(F.sum("pairs").alias("same_title"))
     both = (
         classes.filter("norm_zh <> '' and norm_en <> ''")
-        .groupBy("article", "norm_zh", "norm_en")
+        .groupBy("article", *[short_digest(F.col(f"norm_{lang}")) for lang in ("zh", "en")])
         .agg(F.sum("copies").alias("n"))
         .groupBy("article")
         .agg(F.sum(F.expr(choose2)).alias("same_both"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 SHARE = 10_000
 #: Rows of a key that one task may have to meet from either side.
 BLOCK = 1_000
+#: Rows up to which a table goes whole to all executors.
+FEW = 1_000_000
 
 
 def attach(rows: DataFrame, keys: list[str], stats: DataFrame, count: str, share: int = SHARE) -> DataFrame:
@@ -26,6 +28,11 @@ def attach(rows: DataFrame, keys: list[str], stats: DataFrame, count: str, share
     return here.unionByName(there)
 
 
+def few(rows: DataFrame, most: int = FEW) -> DataFrame:
+    """A written table that meets others by broadcast if it has no more than `most` rows, else as Spark finds best."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def blocks(n: Column, block: int = BLOCK) -> Column:
     """Number of blocks into which `n` rows of a key are cut."""
     return F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
