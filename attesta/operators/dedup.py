@@ -30,7 +30,7 @@ _TITLE_OVERLAP = 0.5    # lowest overlap that scores 0.62 by title alone
 _SHARED_OVERLAP = 0.3   # lowest overlap that matters when a cited URL is shared
 _BODY_OVERLAP = 0.6
 #: Keys from which a node's sets are dealt out in blocks, keys of a block, and parts into which sets of one size can be cut.
-HOT_NODE, BLOCK_KEYS, SLICES = 1_000_000, 4_000_000, 1_024
+HOT_NODE, BLOCK_KEYS, SLICES = 1_000_000, 16_000_000, 1_024
 
 
 def entry_classes(candidates: DataFrame) -> DataFrame:
@@ -114,17 +114,17 @@ def _node() -> Column:
 def _blocks(sets: DataFrame, hot: int, block: int) -> tuple[DataFrame, int]:
     """(node, needed, blocks) of the nodes with more than `hot` keys, and how many tasks the other nodes are packed into.
 
-    A block is (size, slice, lowest), where it begins in the order of sizes and slices, and its lowest size.
+    A block is (size, slice), where it begins in that order. Large nodes have few large blocks, as a set goes to several.
     """
     key = ["node", "needed"]
     weights = materialise(sets.groupBy(*key).agg(F.sum("size").alias("weight")), "weights")
-    large = weights.filter(F.col("weight") > hot).select(*key)
+    large = weights.filter(F.col("weight") > hot).select(*key, F.least(F.lit(block), F.greatest(F.col("weight") / 4, F.lit(block / 8))).alias("block"))
     rest = weights.filter(F.col("weight") <= hot).agg(F.sum("weight")).first()[0] or 0
-    cells = sets.join(F.broadcast(large), key).groupBy(*key, "size", _slice()).agg(F.sum("size").alias("weight"))
+    cells = sets.join(F.broadcast(large), key).groupBy(*key, "block", "size", _slice()).agg(F.sum("size").alias("weight"))
     before = F.sum("weight").over(W.partitionBy(*key).orderBy("size", "slice")) - F.col("weight")
-    numbered = cells.withColumn("no", F.floor(before / block)).groupBy(*key, "no").agg(F.min(F.struct("size", "slice")).alias("start"))
+    numbered = cells.withColumn("no", F.floor(before / F.col("block"))).groupBy(*key, "no").agg(F.min(F.struct("size", "slice")).alias("start"))
     blocks = numbered.groupBy(*key).agg(F.array_sort(F.collect_list("start")).alias("blocks"))
-    return materialise(blocks, "blocks"), int(rest // block) + 1
+    return materialise(blocks, "blocks"), int(rest // max(block // 4, 1)) + 1
 
 
 def _sized() -> list[Column | str]:
@@ -141,7 +141,7 @@ def _meeting_sets(sets: DataFrame, sized: DataFrame | None = None, hot: int = HO
     `sized` has node, needed, digest and size of the same sets, if that is at hand.
 
     The sets of an article and scope stand in the order of their sizes. Small nodes are packed, several to a
-    task. Those of more than `hot` keys are cut into blocks of about `block` keys. A task holds one block, and the sets
+    task. Those of more than `hot` keys are cut into blocks of at most about `block` keys. A task holds one block, and the sets
     of earlier blocks that are not too small for its first set pass by it, so its memory doesn't grow with the node.
     """
     blocks, packs = _blocks(sets.select(*_sized()) if sized is None else sized, hot, block)

@@ -1,7 +1,7 @@
 """Sets of which a given part overlaps, found in a task that holds some and lets others pass by.
 
-Nothing but numpy and Arrow is imported, so tasks start fast. A set is a row of 4-byte keys in ascending order, one
-for each token. Two tokens of a set with one key are told apart by their order, so at most too much counts as shared.
+Nothing but numpy and Arrow is imported, so tasks start fast. A set is a row of 4-byte keys in any order, one for
+each token. Tokens with one key count as shared, so at most too much is found.
 """
 
 from __future__ import annotations
@@ -24,16 +24,15 @@ def required(a, b, needed: float):
 
 
 def _order(*columns: np.ndarray) -> np.ndarray:
-    """The order of rows by columns of small numbers, the last one capped to what fits: all in one number, which sorts fast."""
-    place = np.arange(len(columns[0]))
-    bits = [int(place[-1]).bit_length() if len(place) else 0]
-    code = np.zeros(len(place), dtype=np.int64)
-    for i, column in enumerate(columns):
-        left = 63 - bits[0] - sum(bits[1:])
-        most = int(column.max(initial=0))
-        bits.append(min(most.bit_length(), left))
+    """The order of rows by columns of numbers from 0 on, the last one capped to what fits: all in one number, which sorts fast."""
+    bits = [len(columns[0]).bit_length()]
+    code = np.zeros(len(columns[0]), dtype=np.int64)
+    for column in columns:
+        bits.append(min(int(column.max(initial=0)).bit_length(), 63 - sum(bits)))
         code = (code << bits[-1]) | np.minimum(column, (1 << bits[-1]) - 1)
-    return np.sort((code << bits[0]) | place) & ((1 << bits[0]) - 1)
+    code = (code << bits[0]) | np.arange(len(code))
+    code.sort()
+    return code & ((1 << bits[0]) - 1)
 
 
 def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -43,29 +42,16 @@ def spans(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Sets in ascending size: their sizes, nodes (only sets of one node are compared), digests and numbered keys."""
-
-    def __init__(self, sizes: np.ndarray, nodes: np.ndarray, digests: np.ndarray, keys: np.ndarray):
-        self.sizes, self.nodes, self.digests = sizes, nodes, digests
-        self.starts = np.cumsum(sizes) - sizes
-        self.keys = keys.astype(np.int64)
-        place = np.arange(len(keys))
-        new = np.ones(len(keys), dtype=bool)
-        new[1:] = keys[1:] != keys[:-1]
-        new[self.starts] = True
-        if not new.all():  # the second token of a key becomes a key of its own
-            self.keys += (place - np.maximum.accumulate(np.where(new, place, 0))) << 32
+    """Sets in ascending size: their sizes, nodes (only sets of one node are compared), digests and keys."""
+
+    def __init__(self, sizes: np.ndarray, nodes: np.ndarray, digests: np.ndarray, keys: np.ndarray | None):
+        self.sizes, self.nodes, self.digests, self.keys = sizes, nodes, digests, keys
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
 
     def __len__(self) -> int:
         return len(self.sizes)
 
-    def part(self, start: int, end: int) -> Sets:
-        cut = object.__new__(Sets)
-        cut.sizes, cut.nodes, cut.digests = self.sizes[start:end], self.nodes[start:end], self.digests[start:end]
-        cut.starts = self.starts[start:end] - self.starts[start]
-        cut.keys = self.keys[self.starts[start]:self.starts[start] + int(cut.sizes.sum())]
-        return cut
-
 
 def parts(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours that weigh at most `most` together, or are one heavier each."""
@@ -78,52 +64,64 @@ def parts(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 class Index:
-    """Sets that are held, with the sets of each key."""
+    """Sets that are held, with the sets of each key. A key is known by its rank among the keys held."""
 
     def __init__(self, held: Sets, needed: float):
-        self.held, self.needed = held, needed
-        order = _order(held.keys - held.keys.min()) if len(held.keys) < 1 << 24 and held.keys.max() < 1 << 38 else np.argsort(held.keys)
-        ordered = held.keys[order]
-        new = np.ones(len(ordered), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        at = np.flatnonzero(new)
-        self.known, self.first = ordered[at], at
-        self.carriers = np.diff(np.append(at, len(ordered)))
-        self.owners = np.repeat(np.arange(len(held), dtype=np.int32), held.sizes)[order]
-        self.ranks = np.empty(len(ordered), dtype=np.int32)
-        self.ranks[order] = np.cumsum(new) - 1
-        self.seen = np.zeros(len(at), dtype=bool)
-
-    def pairs(self, passing: Sets, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.held, self.needed = Sets(held.sizes, held.nodes, held.digests, None), needed
+        bits = len(held.keys).bit_length()
+        code = held.keys.astype(np.int64)
+        code += 1 << 31
+        code <<= bits
+        code |= np.arange(len(code))
+        code.sort()
+        place = (code & ((1 << bits) - 1)).astype(np.int32)
+        code >>= bits
+        new = np.append(True, code[1:] != code[:-1])
+        self.first = np.flatnonzero(new)
+        self.known = (code[self.first] - (1 << 31)).astype(np.int32)
+        self.carriers = np.diff(self.first, append=len(code))
+        del code
+        self.ranks = np.empty(len(place), dtype=np.int32)
+        self.ranks[place] = np.cumsum(new, dtype=np.int32) - 1
+        self.owners = np.repeat(np.arange(len(held), dtype=np.int32), held.sizes)[place]
+        self.seen = np.zeros(len(self.known), dtype=bool)
+
+    def pairs(self, passing: Sets | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Numbers of passing sets and of held ones that are no smaller and overlap enough.
 
-        With `own` the held sets pass by themselves, and each pair of them is found once.
+        Without `passing` the held sets pass by themselves, and each pair of them is found once.
         """
-        for start, end in parts(passing.sizes, KEYS):
-            for small, large in self._meet(passing.part(start, end), start if own else None):
+        sets = self.held if passing is None else passing
+        for start, end in parts(sets.sizes, KEYS):
+            first, last = sets.starts[start], sets.ends[end - 1]
+            if passing is not None:
+                keys = passing.keys[first:last]
+                ranks = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+                ranks[self.known[ranks] != keys] = -1
+            else:
+                ranks = self.ranks[first:last]
+            for small, large in self._meet(sets.sizes[start:end], sets.nodes[start:end], ranks, start if passing is None else None):
                 yield small + start, large
 
-    def _meet(self, passing: Sets, own: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _meet(self, sizes: np.ndarray, nodes: np.ndarray, ranks: np.ndarray, own: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of a passing set's tokens those with most carriers are skipped: as many as a partner can do without, so a
-        pair that shares enough shares some of the others."""
-        sizes = passing.sizes
+        pair that shares enough shares some of the others. `own` is the number of the first set if they are held ones."""
+        starts = np.cumsum(sizes) - sizes
         least = required(sizes, np.maximum(sizes, self.held.sizes[0]), self.needed)
         skipped = np.maximum(least - 1 - (sizes * SPARE).astype(np.int64), 0)
-        owner = np.repeat(np.arange(len(passing)), sizes)
-        rank = np.minimum(np.searchsorted(self.known, passing.keys), len(self.known) - 1)
+        here = np.flatnonzero(ranks >= 0 if own is None else self.carriers[ranks] > 1)
+        owner, rank = np.repeat(np.arange(len(sizes)), sizes)[here], ranks[here]
         carriers = self.carriers[rank]
-        here = np.flatnonzero((self.known[rank] == passing.keys) & (carriers > (own is not None)))
-        owner, rank, carriers = owner[here], rank[here], carriers[here]
-        shareable = np.bincount(owner, minlength=len(passing))
+        shareable = np.bincount(owner, minlength=len(sizes))
         order = _order(owner, carriers)
         owner, rank = owner[order], rank[order]
         place = np.arange(len(owner)) - np.repeat(np.cumsum(shareable) - shareable, shareable)
         taken = (place < (shareable - skipped)[owner]) & (shareable >= least)[owner]
         owner, rank = owner[taken], rank[taken]
-        at_all, owner = np.unique(owner, return_inverse=True)
-        sizes, nodes, least, skipped = sizes[at_all], passing.nodes[at_all], least[at_all], skipped[at_all]
-        meetings = np.bincount(owner, weights=self.carriers[rank], minlength=len(at_all)).astype(np.int64)
-        ends = np.searchsorted(owner, np.arange(len(at_all) + 1))
+        able, owner = np.unique(owner, return_inverse=True)
+        least, skipped = least[able], skipped[able]
+        meetings = np.bincount(owner, weights=self.carriers[rank], minlength=len(able)).astype(np.int64)
+        ends = np.searchsorted(owner, np.arange(len(able) + 1))
         for start, end in parts(np.maximum(meetings, len(self.held) * MEETINGS // PAIRS), MEETINGS):
             of, at = owner[ends[start]:ends[end]] - start, rank[ends[start]:ends[end]]
             code = np.repeat(of * len(self.held), self.carriers[at]) + self.owners[spans(self.first[at], self.carriers[at])]
@@ -135,31 +133,30 @@ class Index:
                 found = np.flatnonzero(counts >= fewest.min())
                 shared = counts[found]
             small, large = found // len(self.held) + start, found % len(self.held)
+            room, small = skipped[small], able[small]
             a, b = sizes[small], self.held.sizes[large]
-            keep = (b >= a) & (shared + skipped[small] >= required(a, b, self.needed)) & (nodes[small] == self.held.nodes[large])
-            small = at_all[small]
+            keep = (b >= a) & (shared + room >= required(a, b, self.needed)) & (nodes[small] == self.held.nodes[large])
             if own is not None:
                 keep &= large > small + own
             if keep.any():
-                yield from self._verified(passing, small[keep], large[keep])
+                yield from self._verified(sizes, starts, ranks, small[keep], large[keep])
 
-    def _verified(self, passing: Sets, small: np.ndarray, large: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _verified(self, sizes: np.ndarray, starts: np.ndarray, ranks: np.ndarray, small: np.ndarray, large: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The pairs that share enough of all their tokens; `small` ascends."""
         at = np.append(np.flatnonzero(np.diff(small, prepend=-1)), len(small))
         for start, end in zip(at[:-1], at[1:]):
             one = small[start]
-            keys = passing.keys[passing.starts[one]:passing.starts[one] + passing.sizes[one]]
-            rank = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-            rank = rank[self.known[rank] == keys]
-            self.seen[rank] = True
+            own = ranks[starts[one]:starts[one] + sizes[one]]
+            own = own[own >= 0]
+            self.seen[own] = True
             for first, last in parts(self.held.sizes[large[start:end]], PAIRS):
                 others = large[start + first:start + last]
                 b = self.held.sizes[others]
                 shared = np.add.reduceat(self.seen[self.ranks[spans(self.held.starts[others], b)]], np.cumsum(b) - b, dtype=np.int64)
-                others = others[shared >= required(passing.sizes[one], b, self.needed)]
+                others = others[shared >= required(sizes[one], b, self.needed)]
                 if len(others):
                     yield np.full(len(others), one), others
-            self.seen[rank] = False
+            self.seen[own] = False
 
 
 def _sets(rows: pa.Table) -> Sets:
@@ -167,10 +164,11 @@ def _sets(rows: pa.Table) -> Sets:
     return Sets(sizes.astype(np.int64), nodes, digests, pc.list_flatten(rows["keys"]).to_numpy())
 
 
-def _listed(index: Index, passing: Sets, own: bool) -> Iterator[pa.RecordBatch]:
-    for small, large in index.pairs(passing, own):
-        digests = [pa.array(list(x), pa.binary()) for x in (passing.digests[small], index.held.digests[large])]
-        yield pa.RecordBatch.from_arrays([pa.array(passing.nodes[small]), *digests], ["node", "small", "large"])
+def _listed(index: Index, passing: Sets | None = None) -> Iterator[pa.RecordBatch]:
+    own = index.held if passing is None else passing
+    for small, large in index.pairs(passing):
+        digests = [pa.array(list(x), pa.binary()) for x in (own.digests[small], index.held.digests[large])]
+        yield pa.RecordBatch.from_arrays([pa.array(index.held.nodes[large]), *digests], ["node", "small", "large"])
 
 
 def overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,15 +195,16 @@ def overlapping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in zip(borders[:-1], borders[1:]):
             task, passes = tuple(c[start] for c in columns[:3]), columns[3][start]
             some = rows.slice(start, end - start).filter(pa.array(~again[start:end]))
-            if index is None and waiting and (passes or task != now):
-                index = Index(_sets(pa.concat_tables(waiting)), float(now[0]))
-                yield from _listed(index, index.held, True)
+            if waiting and (passes or task != now):
+                held, waiting = _sets(pa.concat_tables(waiting)), []
+                index = Index(held, float(now[0]))
+                del held
+                yield from _listed(index)
             if task != now:
                 now, waiting, index = task, [], None
             if not passes:
                 waiting.append(some)
-            elif index is not None and some.num_rows:
-                yield from _listed(index, _sets(some), False)
-    if index is None and waiting:
-        index = Index(_sets(pa.concat_tables(waiting)), float(now[0]))
-        yield from _listed(index, index.held, True)
+            elif some.num_rows:
+                yield from _listed(index, _sets(some))
+    if waiting:
+        yield from _listed(Index(_sets(pa.concat_tables(waiting)), float(now[0])))

@@ -2,13 +2,12 @@
 
 import random
 import time
-from collections import Counter
 
 import numpy as np
 import pytest
 
 from attesta import session
-from attesta.operators import dedup, overlap
+from attesta.operators import dedup, overlap, skew
 
 COLUMNS = "article string, rank long, location string, section string, title_zh string, title_en string, body_zh string, body_en string, urls array<string>"
 
@@ -37,7 +36,7 @@ def test_pairs_that_only_share_rare_tokens_are_not_shuffled(spark):
 def test_passing_sets_meet_all_similar_held_ones(needed, monkeypatch):
     draw = random.Random(11)
     base = [draw.sample(range(-90, 90), draw.randint(1, 40)) for _ in range(60)]
-    every = base + [[k for k in s if draw.random() < 0.8] + [draw.randint(90, 95)] * draw.randint(0, 2) for s in base]
+    every = base + [[k for k in s if draw.random() < 0.8] + draw.sample(range(90, 96), draw.randint(0, 2)) for s in base]
     lists = sorted({tuple(sorted(s)) for s in every if s}, key=lambda s: (len(s), s))
     digests = np.array([str(i).encode() for i in range(len(lists))], dtype=object)
 
@@ -46,25 +45,27 @@ def test_passing_sets_meet_all_similar_held_ones(needed, monkeypatch):
         return overlap.Sets(np.array([len(lists[i]) for i in some]), nodes, digests[some], np.array([k for i in some for k in lists[i]], dtype=np.int32))
 
     def similar(i, j):
-        shared = sum((Counter(lists[i]) & Counter(lists[j])).values())
+        shared = len({*lists[i]} & {*lists[j]})
         return i % 2 == j % 2 and shared >= overlap.required(len(lists[i]), len(lists[j]), needed)
 
     for keys, meetings, pairs in ((500_000, 2_000_000, 4_000_000), (30, 20, 50)):
         monkeypatch.setattr(overlap, "KEYS", keys), monkeypatch.setattr(overlap, "MEETINGS", meetings), monkeypatch.setattr(overlap, "PAIRS", pairs)
         every, met = np.arange(len(lists)), 0
         index = overlap.Index(sets(every), needed)
-        own = [(int(a), int(b)) for x, y in index.pairs(index.held, True) for a, b in zip(x, y)]
+        own = [(int(a), int(b)) for x, y in index.pairs() for a, b in zip(x, y)]
         assert sorted(own) == [(i, j) for i in every for j in every if i < j and similar(i, j)] != []
         for cut in range(1, len(lists), 6):
             index = overlap.Index(sets(every[cut:]), needed)
-            passed = [(int(a), int(b) + cut) for x, y in index.pairs(sets(every[:cut]), False) for a, b in zip(x, y)]
+            passed = [(int(a), int(b) + cut) for x, y in index.pairs(sets(every[:cut])) for a, b in zip(x, y)]
             assert sorted(passed) == [(i, j) for i, j in sorted(own) if i < cut <= j]
             met += len(passed)
         assert met
 
 
-def test_entry_classes_count_copies_whatever_the_ranks(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_entry_classes_count_copies_whatever_the_ranks(spark, most, monkeypatch):
     """Ranks that repeat or are missing, and copies that go by shuffle or by broadcast, give what a plain join gives."""
+    monkeypatch.setattr(dedup, "few", lambda rows: skew.few(rows, most))
     text = ["x one", "x one", "y two", "z three", "x one", "z three", "w", "w", None]
     rank = [1, 2, 2, 2, 7, 3, None, None, 9]
     entries = [("a" if i != 7 else None, r, f"e{i}", "s", "", t, "", t, ["u"]) for i, (t, r) in enumerate(zip(text, rank))]
