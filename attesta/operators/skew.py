@@ -30,7 +30,7 @@ def attach(rows: DataFrame, keys: list[str], stats: DataFrame, count: str, share
 
 def few(rows: DataFrame, most: int = FEW) -> DataFrame:
     """A written table that meets others by broadcast if it has no more than `most` rows, else as Spark finds best."""
-    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def blocks(n: Column, block: int = BLOCK) -> Column:
